@@ -69,3 +69,384 @@ def _prompt_query(dataset: str):
 
 for _ds, _key in (("boolq", "prompt_build_boolq"), ("mnli", "prompt_build_mnli"), ("cnn_dm", "prompt_build_cnn"), ("samsum", "prompt_build_samsum")):
     register(_key, sql=_prompt_cols_sql(_ds))(_prompt_query(_ds))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Evaluation tasks
+# ---------------------------------------------------------------------------------------------------------------
+
+from .operators import metrics as M  # noqa: E402
+from .plans import evaluate as EV  # noqa: E402
+
+
+def _eval_class_query(task: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return normalize(EV.eval_class(spark, sf, [task]))
+
+    return run
+
+
+def _eval_ml_query(task: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return normalize(EV.eval_multilabel(spark, sf, [task]))
+
+    return run
+
+
+for _t in EV.CLASS_TASKS:
+    register(f"eval_{_t}", sql=O.eval_class_sql([_t]))(_eval_class_query(_t))
+for _t in EV.MULTILABEL_TASKS:
+    register(f"eval_{_t}", sql=O.eval_multilabel_sql([_t]))(_eval_ml_query(_t))
+
+
+@register("eval_stsb", sql=lambda: O.eval_stsb_sql())
+def q_eval_stsb(spark, sf):
+    return normalize(EV.eval_stsb(spark, sf))
+
+
+@register(
+    "eval_all",
+    sql=lambda: f"SELECT * FROM ({O.eval_class_sql(EV.CLASS_TASKS)}) a UNION ALL SELECT * FROM ({O.eval_multilabel_sql(EV.MULTILABEL_TASKS)}) b",
+)
+def q_eval_all(spark, sf):
+    return normalize(EV.eval_all(spark, sf))
+
+
+@register("macro_prf", sql=lambda: O.macro_prf_sql(O.class_labelled_sql(EV.CLASS_TASKS), ["task"]))
+def q_macro_prf(spark, sf):
+    """A1 pooled over models: one row per task."""
+    return normalize(M.macro_prf(EV.class_labelled(spark, sf), ["task"]))
+
+
+@register("macro_prf_multilabel", sql=lambda: O.macro_prf_multilabel_sql(O.multilabel_labelled_sql(EV.MULTILABEL_TASKS), ["task"]))
+def q_macro_prf_multilabel(spark, sf):
+    return normalize(M.macro_prf_multilabel(EV.multilabel_labelled(spark, sf), ["task"]))
+
+
+@register(
+    "accuracy",
+    sql=lambda: f"SELECT task, model, count(*) AS n, round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy "
+    f"FROM ({O.class_labelled_sql(EV.CLASS_TASKS)}) x GROUP BY task, model",
+)
+def q_accuracy(spark, sf):
+    return normalize(M.accuracy(EV.class_labelled(spark, sf), ["task", "model"]))
+
+
+@register("regression_metrics", sql=lambda: O.regression_sql(O.stsb_labelled_sql(), ["task"]))
+def q_regression_metrics(spark, sf):
+    return normalize(M.regression_metrics(EV.stsb_labelled(spark, sf), ["task"]))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Answers, scorer input, gate and the joins around it
+# ---------------------------------------------------------------------------------------------------------------
+
+from .functions.text import strip_echo  # noqa: E402
+from .operators import gate as G  # noqa: E402
+from .plans.responders import stub_answers  # noqa: E402
+
+
+@register(
+    "echo_strip",
+    sql=lambda: f"SELECT a.prompt_id, CAST(a.tier AS BIGINT) AS tier, a.model, {O.sql_strip_echo('a.response', 'a.prompt_text', 'a.model')} AS answer "
+    f"FROM ({O.answers_sql('boolq', C.CHAINS['phi'])}) a",
+)
+def q_echo_strip(spark, sf):
+    p = P.prompts(spark, sf, "boolq")
+    a = stub_answers(p, C.CHAINS["phi"], "boolq")
+    return normalize(a.select("prompt_id", "tier", "model", strip_echo("response", "prompt_text", "model").alias("answer")))
+
+
+@register(
+    "join_gold",
+    sql=lambda: f"SELECT prompt_id, CAST(tier AS BIGINT) AS tier, model, CAST(gold AS BIGINT) AS gold, CAST(pred AS BIGINT) AS pred "
+    f"FROM ({O.labelled_answers_sql('boolq', 'phi')}) x",
+)
+def q_join_gold(spark, sf):
+    return normalize(cascade.labelled_answers(spark, sf, "boolq", "phi").drop("answer"))
+
+
+def _scorer_input_sql() -> str:
+    boolq = O.labelled_answers_sql("boolq", "phi")
+    mnli = O.labelled_answers_sql("mnli", "flan")
+    pb = O.prompts_sql("boolq")
+    pm = O.prompts_sql("mnli")
+    return (
+        f"SELECT 'boolq' AS dataset, x.prompt_id, x.model, p.prompt_text || x.answer AS scorer_text "
+        f"FROM ({boolq}) x JOIN ({pb}) p ON x.prompt_id = p.prompt_id "
+        f"UNION ALL SELECT 'mnli' AS dataset, x.prompt_id, x.model, p.prompt_text || CAST(x.pred AS VARCHAR) AS scorer_text "
+        f"FROM ({mnli}) x JOIN ({pm}) p ON x.prompt_id = p.prompt_id"
+    )
+
+
+@register("scorer_input", sql=_scorer_input_sql)
+def q_scorer_input(spark, sf):
+    """Boolq scorer reads prompt + answer text; mnli reads prompt + predicted class digit."""
+    out = []
+    for ds, chain, tail in (("boolq", "phi", F.col("answer")), ("mnli", "flan", F.col("pred").cast("string"))):
+        x = cascade.labelled_answers(spark, sf, ds, chain)
+        p = P.prompts(spark, sf, ds).select("prompt_id", "prompt_text")
+        out.append(
+            x.join(p, "prompt_id").select(
+                F.lit(ds).alias("dataset"), "prompt_id", "model", F.concat("prompt_text", tail).alias("scorer_text")
+            )
+        )
+    return normalize(out[0].unionByName(out[1]))
+
+
+def _tier1_scored_sql(threshold: float | None = None) -> str:
+    return (
+        f"SELECT strategy, prompt_id, score FROM ({O.scored_long_sql('boolq', tuple(C.STRATEGIES))}) s WHERE tier = 1"
+    )
+
+
+@register(
+    "gate_split",
+    sql=lambda: f"SELECT strategy, prompt_id, score, CASE WHEN COALESCE(score > {O.sql_dbl(0.8)}, false) THEN 'accept' ELSE 'escalate' END AS route "
+    f"FROM ({_tier1_scored_sql()}) t",
+)
+def q_gate_split(spark, sf):
+    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
+    return normalize(G.route(s.select("strategy", "prompt_id", "score"), 0.8))
+
+
+@register(
+    "join_scores",
+    sql=lambda: f"SELECT s.strategy, a.prompt_id, CAST(a.tier AS BIGINT) AS tier, CAST(a.pred AS BIGINT) AS pred, CAST(a.gold AS BIGINT) AS gold, s.score "
+    f"FROM ({O.labelled_answers_sql('boolq', 'flan')}) a JOIN ({O.scored_long_sql('boolq', ('strategy-1', 'strategy-2'))}) s "
+    f"ON a.prompt_id = s.prompt_id AND a.tier = s.tier",
+)
+def q_join_scores(spark, sf):
+    """Answers and scores meet on (prompt_id, tier)."""
+    a = cascade.labelled_answers(spark, sf, "boolq", "flan").select("prompt_id", "tier", "pred", "gold")
+    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", ("strategy-1", "strategy-2")).select("strategy", "prompt_id", "tier", "score")
+    return normalize(a.join(s, ["prompt_id", "tier"]).select("strategy", "prompt_id", "tier", "pred", "gold", "score"))
+
+
+def _accepted_t1_sql() -> str:
+    return f"SELECT strategy, prompt_id FROM ({_tier1_scored_sql()}) t WHERE score > {O.sql_dbl(0.8)}"
+
+
+@register(
+    "remaining_anti",
+    sql=lambda: f"SELECT x.strategy, p.prompt_id FROM ({O.prompts_sql('boolq')}) p CROSS JOIN (VALUES {', '.join('(' + O.q(s) + ')' for s in C.STRATEGIES)}) x(strategy) "
+    f"WHERE NOT EXISTS (SELECT 1 FROM ({_accepted_t1_sql()}) a WHERE a.prompt_id = p.prompt_id AND a.strategy = x.strategy)",
+)
+def q_remaining_anti(spark, sf):
+    """Prompts left for tier 2 at threshold 0.8 = all prompts (per strategy) minus those tier 1 accepted."""
+    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
+    accepted, _ = G.gate_split(s, 0.8)
+    everyone = P.prompts(spark, sf, "boolq").select("prompt_id", F.explode(F.array(*[F.lit(x) for x in C.STRATEGIES])).alias("strategy"))
+    return normalize(everyone.join(accepted.select("strategy", "prompt_id"), ["strategy", "prompt_id"], "left_anti").select("strategy", "prompt_id"))
+
+
+@register(
+    "accepted_semi",
+    sql=lambda: f"SELECT p.prompt_id, CAST(p.gold_class AS BIGINT) AS gold_class FROM ({O.prompts_sql('boolq')}) p "
+    f"WHERE EXISTS (SELECT 1 FROM ({_accepted_t1_sql()}) a WHERE a.prompt_id = p.prompt_id AND a.strategy = 'strategy-1')",
+)
+def q_accepted_semi(spark, sf):
+    """Prompt rows whose tier-1 answer strategy-1 accepted at 0.8."""
+    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", ("strategy-1",)).where(F.col("tier") == 1)
+    accepted, _ = G.gate_split(s, 0.8)
+    p = P.prompts(spark, sf, "boolq").select("prompt_id", "gold_class")
+    return normalize(G.accepted_semi(p, accepted))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Cascade accounting
+# ---------------------------------------------------------------------------------------------------------------
+
+from .operators import batching as BT  # noqa: E402
+
+
+@register(
+    "first_accept",
+    sql=lambda: f"SELECT strategy, threshold, prompt_id, CAST(tier AS BIGINT) AS tier FROM ({O.sweep_final_sql()}) f",
+)
+def q_first_accept(spark, sf):
+    return normalize(cascade.sweep_final(spark, sf).select("strategy", "threshold", "prompt_id", "tier"))
+
+
+@register(
+    "tier_accounting",
+    sql=lambda: f"""
+    WITH per AS (SELECT strategy, threshold, tier, count(*) AS accepted FROM ({O.sweep_final_sql()}) f GROUP BY ALL)
+    SELECT strategy, threshold, CAST(tier AS BIGINT) AS tier, accepted,
+      CAST(sum(accepted) OVER (PARTITION BY strategy, threshold ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS completed,
+      CAST(sum(accepted) OVER (PARTITION BY strategy, threshold) - sum(accepted) OVER (PARTITION BY strategy, threshold ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS remaining
+    FROM per""",
+)
+def q_tier_accounting(spark, sf):
+    return normalize(cascade.tier_accounting(cascade.sweep_final(spark, sf)))
+
+
+@register(
+    "batch_offsets",
+    sql=lambda: f"""
+    WITH per AS (SELECT strategy, threshold, n_tiers, tier, count(*) AS acc FROM ({O.sweep_final_sql()}) f GROUP BY ALL),
+    reached AS (SELECT strategy, threshold, n_tiers, tier,
+                sum(acc) OVER (PARTITION BY strategy, threshold ORDER BY tier DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rows FROM per),
+    steps AS (SELECT strategy, threshold, tier, rows, 'model' AS step, tier * 2 - 1 AS step_no FROM reached
+              UNION ALL SELECT strategy, threshold, tier, rows, 'scorer', tier * 2 FROM reached WHERE tier < n_tiers)
+    SELECT strategy, threshold, CAST(step_no AS BIGINT) AS step_no, CAST(tier AS BIGINT) AS tier, step, CAST(rows AS BIGINT) AS rows,
+      CAST(ceil(rows / 4.0) AS BIGINT) AS batches,
+      CAST(COALESCE(sum(CAST(ceil(rows / 4.0) AS BIGINT)) OVER (PARTITION BY strategy, threshold ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS batch_offset
+    FROM steps""",
+)
+def q_batch_offsets(spark, sf):
+    return normalize(BT.batch_offsets(cascade.sweep_final(spark, sf), C.BATCH_SIZE_CASCADE))
+
+
+_FINAL_COLS_SQL = "strategy, threshold, prompt_id, CAST(tier AS BIGINT) AS tier, model, CAST(gold AS BIGINT) AS gold, CAST(pred AS BIGINT) AS pred, score"
+
+
+@register("cascade_union", sql=lambda: f"SELECT {_FINAL_COLS_SQL} FROM ({O.sweep_final_sql('boolq', ('strategy-9',), (0.8,))}) f")
+def q_cascade_union(spark, sf):
+    """U1 via C1: accepted rows of every tier of the sequential cascade, unioned with their tier."""
+    return normalize(cascade.sequential_final(spark, sf, "strategy-9", 0.8).drop("n_tiers"))
+
+
+@register("cascade_sequential", sql=lambda: O.threshold_sweep_sql("boolq", tuple(C.STRATEGIES), (0.8,)))
+def q_cascade_sequential(spark, sf):
+    return normalize(cascade.cascade_sequential(spark, sf, tuple(C.STRATEGIES), 0.8))
+
+
+@register("cascade_cost", sql=lambda: O.cascade_cost_sql(O.sweep_final_sql()))
+def q_cascade_cost(spark, sf):
+    return normalize(cascade.cascade_cost(cascade.sweep_final(spark, sf), P.prompts(spark, sf, "boolq")))
+
+
+@register(
+    "distinct_thresholds",
+    sql=lambda: f"SELECT DISTINCT strategy, threshold FROM ({O.threshold_sweep_sql()}) s",
+)
+def q_distinct_thresholds(spark, sf):
+    return normalize(cascade.threshold_sweep(spark, sf).select("strategy", "threshold").distinct())
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Sampling, splits, batches
+# ---------------------------------------------------------------------------------------------------------------
+
+from .operators import sampling as SM  # noqa: E402
+
+
+def _sample_key_sql(col: str = "prompt_id", seed: int = 42) -> str:
+    return f"md5(CAST({col} AS VARCHAR) || '-sample-' || '{seed}')"
+
+
+@register(
+    "sample_n",
+    sql=lambda: f"SELECT prompt_id, dataset FROM ({O.prompts_sql('cnn_dm')}) p ORDER BY {_sample_key_sql()}, prompt_id LIMIT 256",
+)
+def q_sample_n(spark, sf):
+    return normalize(SM.sample_n(P.prompts(spark, sf, "cnn_dm").select("prompt_id", "dataset"), 256))
+
+
+@register(
+    "split_positional",
+    sql=lambda: f"""
+    WITH s AS (SELECT prompt_id, dataset, {_sample_key_sql()} AS o FROM ({O.prompts_sql('cnn_dm')}) p ORDER BY o, prompt_id LIMIT 512)
+    SELECT prompt_id, dataset, row_number() OVER (ORDER BY o, prompt_id) AS sample_pos,
+      CASE WHEN row_number() OVER (ORDER BY o, prompt_id) <= 256 THEN 'train' ELSE 'test' END AS split FROM s""",
+)
+def q_split_positional(spark, sf):
+    return normalize(SM.split_positional(P.prompts(spark, sf, "cnn_dm").select("prompt_id", "dataset"), 512, 256))
+
+
+@register(
+    "split_hash",
+    sql=lambda: f"SELECT prompt_id, CASE WHEN {O.sql_h(O.sql_key('prompt_id', O.q('-split-'), O.q('42')))} < 20 THEN 'validation' ELSE 'train' END AS split "
+    f"FROM ({O.prompts_sql('boolq')}) p",
+)
+def q_split_hash(spark, sf):
+    return normalize(SM.split_hash(P.prompts(spark, sf, "boolq").select("prompt_id"), 20))
+
+
+def _batch_plan_sql(dataset: str = "boolq", bs: int = C.BATCH_SIZE_CASCADE) -> str:
+    return f"""
+    SELECT dataset, prompt_id, CAST(length(prompt_text) AS BIGINT) AS n_chars,
+      row_number() OVER (PARTITION BY dataset ORDER BY length(prompt_text), prompt_id) AS position,
+      CAST((row_number() OVER (PARTITION BY dataset ORDER BY length(prompt_text), prompt_id) - 1) // {bs} AS BIGINT) AS batch_id
+    FROM ({O.prompts_sql(dataset)}) p"""
+
+
+@register("batch_plan", sql=_batch_plan_sql)
+def q_batch_plan(spark, sf):
+    return normalize(BT.batch_plan(P.prompts(spark, sf, "boolq"), C.BATCH_SIZE_CASCADE))
+
+
+def _word_count_sql(x: str) -> str:
+    t = f"regexp_replace({x}, '^{O.WS}+|{O.WS}+$', '', 'g')"
+    return f"(CASE WHEN {t} = '' THEN 0 ELSE len(string_split_regex({t}, '{O.WS}+')) END)"
+
+
+@register(
+    "batch_stats",
+    sql=lambda: f"""
+    WITH b AS ({_batch_plan_sql()}),
+    w AS (SELECT prompt_id, {_word_count_sql('prompt_text')} AS n_words FROM ({O.prompts_sql('boolq')}) p)
+    SELECT dataset, batch_id, count(*) AS rows, CAST(min(n_chars) AS BIGINT) AS min_chars, CAST(max(n_chars) AS BIGINT) AS max_chars,
+      round(avg(n_chars), 6) AS mean_chars, CAST(max(n_words) AS BIGINT) AS max_words, round(avg(n_words), 6) AS mean_words,
+      CAST(count(*) * max(n_chars) - sum(n_chars) AS BIGINT) AS pad_chars
+    FROM b JOIN w ON b.prompt_id = w.prompt_id GROUP BY dataset, batch_id""",
+)
+def q_batch_stats(spark, sf):
+    p = P.prompts(spark, sf, "boolq")
+    return normalize(BT.batch_stats(BT.batch_plan(p, C.BATCH_SIZE_CASCADE), p))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Scorer training rows
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def _scorer_labels_sql() -> str:
+    parts = []
+    for ch in ("flan", "phi"):
+        parts.append(
+            f"SELECT model, prompt_id, CAST(CASE WHEN pred = gold THEN 1 ELSE 0 END AS BIGINT) AS label FROM ({O.labelled_answers_sql('boolq', ch)}) x"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _scorer_labels(spark, sf) -> DataFrame:
+    parts = [cascade.labelled_answers(spark, sf, "boolq", ch) for ch in ("flan", "phi")]
+    rows = parts[0].unionByName(parts[1])
+    return rows.select("model", "prompt_id", (F.col("pred") == F.col("gold")).cast("int").alias("label"))
+
+
+@register("scorer_labels_class", sql=_scorer_labels_sql)
+def q_scorer_labels_class(spark, sf):
+    """M4: a training row is right (1) when the answer's label equals gold."""
+    return normalize(_scorer_labels(spark, sf))
+
+
+@register(
+    "scorer_label_balance",
+    sql=lambda: f"SELECT model, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM ({_scorer_labels_sql()}) x GROUP BY model",
+)
+def q_scorer_label_balance(spark, sf):
+    """Positive count of scorer labels per model."""
+    return normalize(_scorer_labels(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positives")))
+
+
+@register(
+    "pooled_training",
+    sql=lambda: f"""
+    SELECT x.model, x.prompt_id, p.prompt_text || x.answer AS scorer_text, CAST(CASE WHEN x.pred = x.gold THEN 1 ELSE 0 END AS BIGINT) AS label
+    FROM ({O.labelled_answers_sql('boolq', 'flan')} UNION ALL {O.labelled_answers_sql('boolq', 'phi')}) x
+    JOIN ({O.prompts_sql('boolq')}) p ON x.prompt_id = p.prompt_id""",
+)
+def q_pooled_training(spark, sf):
+    """One pooled training table over all models (model kept as a column)."""
+    parts = [cascade.labelled_answers(spark, sf, "boolq", ch) for ch in ("flan", "phi")]
+    rows = parts[0].unionByName(parts[1])
+    p = P.prompts(spark, sf, "boolq").select("prompt_id", "prompt_text")
+    return normalize(
+        rows.join(p, "prompt_id").select(
+            "model", "prompt_id", F.concat("prompt_text", "answer").alias("scorer_text"),
+            (F.col("pred") == F.col("gold")).cast("int").alias("label"),
+        )
+    )

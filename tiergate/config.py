@@ -119,3 +119,24 @@ PHRASES_MNLI = (
     ("Neutral (1)", "neutral", "1", "It is neutral."),
     ("Contradiction (2)", "contradiction", "2", "CONTRADICTS the hypothesis"),
 )
+
+# Stub answer phrasings for the evaluation tasks (our own stand-ins), per class where the task has classes.
+EVAL_CLASS_PHRASES = {
+    "boolq": PHRASES_BOOLQ,
+    "mnli": PHRASES_MNLI,
+    "qnli": (("entailment", "It is entailed."), ("not entailment", "It does not entail that.")),
+    "wnli": (("0", "not entailment"), ("1", "entailment")),
+    "cola": (("0", "not acceptable"), ("1", "acceptable")),
+    "sst2": (("0", "negative"), ("1", "positive")),
+    "mrpc": (("0", "not equivalent (0)"), ("1", "equivalent")),
+    "copa": (("0", "choice1"), ("1", "choice2")),
+}
+EVAL_MULTILABEL_PHRASES = {
+    "vax": ("pro-vaccine", "Anti-vaccine stance", "neutral", "pro-vaccine and neutral", "unclear"),
+    "caves": ("side-effect, pharma", "Rushed and political", "none", "mandatory; conspiracy; country", "ineffective"),
+    "hatex": ("Hate speech.", "hatespeech", "This is offensive", "normal", "The text is normal, not hate speech"),
+}
+VAX_GOLD_CHOICES = ("ProVax", "AntiVax", "Neutral", None)
+HATEX_GOLD_CHOICES = HATEX_GOLD_LABELS
+STSB_PHRASES = ("4.5", "3/5", "3", "", "4.x", "abc", "2.0 because", "5")
+EVAL_MODELS = tuple(t for chain in CHAINS.values() for t in chain)

@@ -63,3 +63,15 @@ def word_count(text) -> Column:
     """Number of whitespace-separated words (0 for empty or blank text)."""
     t = F.regexp_replace(col(text), f"^{WS}+|{WS}+$", "")
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{WS}+")))
+
+
+def computed_once(df, *cols):
+    """Select ``df.*`` plus ``cols`` so that later expressions read them as plain columns.
+
+    Catalyst's CollapseProject would otherwise inline a large expression into every branch of a later ``when``
+    chain that reads it, and generated code can outgrow the JVM 64 KB method limit (then Spark falls back to
+    interpreted evaluation). A one-row ``inline`` is a Generate node, which projections are not merged across.
+    """
+    from pyspark.sql import functions as F
+
+    return df.select("*", F.inline(F.array(F.struct(*cols))))

@@ -304,7 +304,8 @@ def macro_prf_multilabel_sql(src: str, group_cols: Sequence[str], gold: str = "g
     gsel = (g + ", ") if g else ""
     return f"""
     WITH r AS (SELECT * FROM ({src}) s),
-    pos AS (SELECT {gsel}i, {gold}[i] AS g, {pred}[i] AS p FROM r, range(1, len({gold}) + 1) t(i)),
+    ex AS (SELECT *, unnest(generate_series(1, len({gold}))) AS i FROM r),
+    pos AS (SELECT {gsel}i, {gold}[i] AS g, {pred}[i] AS p FROM ex),
     per AS (SELECT {gsel}i, sum(g * p) AS tp, sum(g) AS ng, sum(p) AS np, count(*) AS rows FROM pos GROUP BY {gsel}i)
     SELECT {gsel}CAST(max(rows) AS BIGINT) AS n,
       round(avg(CASE WHEN np > 0 THEN tp::DOUBLE / np ELSE 0.0 END), {DIGITS}) AS m_pre,
@@ -329,3 +330,121 @@ def cascade_cost_sql(final_sql: str, dataset: str = "boolq") -> str:
       round(sum(kchar * (({rate}) + CASE WHEN v < n_tiers THEN {SCORER_WH_PER_KCHAR!r} ELSE 0.0 END)), 6) AS energy_wh
     FROM v GROUP BY strategy, threshold
     """
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# evaluation
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def _models_values() -> str:
+    rows = ", ".join(f"({q(t.model)}, {t.skill})" for t in C.EVAL_MODELS)
+    return f"(VALUES {rows}) AS m(model, skill)"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else q(v) for v in values) + "]"
+
+
+def task_rows_sql(tasks) -> str:
+    tv = ", ".join(f"({q(t)})" for t in tasks)
+    return (
+        "SELECT t.task, d.doc_id AS prompt_id, m.model, m.skill, "
+        f"(t.task || ': ' || {sql_first_line('d.text')}) AS prompt_text, l.quality, l.toxic "
+        f"FROM documents d JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN (VALUES {tv}) AS t(task) CROSS JOIN {_models_values()}"
+    )
+
+
+def _eh(tag: str) -> str:
+    return f"(('0x' || substr(md5({sql_key('prompt_id', q(tag), 'task', q('/'), 'model')}), 1, 4))::BIGINT)"
+
+
+def _respond_sql(phrase: str) -> str:
+    resp = f"(CASE WHEN {sql_echoes('model')} THEN prompt_text || {phrase} ELSE {phrase} END)"
+    return sql_strip_echo(resp, "prompt_text", "model")
+
+
+def class_labelled_sql(tasks) -> str:
+    parts = []
+    for task in tasks:
+        n = 3 if task == "mnli" else 2
+        gold = "CAST(quality + toxic AS INTEGER)" if task == "mnli" else "CAST(quality AS INTEGER)"
+        cls = f"(CASE WHEN {_eh('-a-')} % 100 < skill THEN {gold} ELSE ({gold} + 1 + {_eh('-w-')} % {n - 1}) % {n} END)"
+        table = C.EVAL_CLASS_PHRASES[task]
+        lit = "[" + ", ".join(_list(r) for r in table) + "]"
+        row = f"{lit}[{cls} + 1]"
+        phrase = f"{row}[{_eh('-p-')} % len({row}) + 1]"
+        parts.append(
+            f"SELECT task, model, prompt_id, {gold} AS gold, {_respond_sql(phrase)} AS answer "
+            f"FROM ({task_rows_sql([task])}) r"
+        )
+    labelled = []
+    for task, part in zip(tasks, parts):
+        labelled.append(f"SELECT *, {SQL_CLASS_RULES[task]('answer', 'model')} AS pred FROM ({part}) a")
+    return " UNION ALL ".join(labelled)
+
+
+def eval_class_sql(tasks) -> str:
+    return macro_prf_sql(class_labelled_sql(tasks), ["task", "model"])
+
+
+def _pick_sql(values, h: str) -> str:
+    return f"{_list(values)}[{h} % {len(values)} + 1]"
+
+
+def multilabel_labelled_sql(tasks) -> str:
+    parts = []
+    for task in tasks:
+        if task == "vax":
+            g = _pick_sql(C.VAX_GOLD_CHOICES, _eh("-g-"))
+        elif task == "caves":
+            g = f"({_pick_sql(C.CAVES_LABELS, _eh('-g-'))} || ',' || {_pick_sql(C.CAVES_LABELS, _eh('-h-'))})"
+        else:
+            g = _pick_sql(C.HATEX_GOLD_CHOICES, _eh("-g-"))
+        ph = _pick_sql(C.EVAL_MULTILABEL_PHRASES[task], _eh("-p-"))
+        gold_fn, pred_fn = SQL_MULTILABEL_RULES[task]
+        inner = f"SELECT task, model, prompt_id, {g} AS gold_text, {_respond_sql(ph)} AS answer FROM ({task_rows_sql([task])}) r"
+        parts.append(f"SELECT *, {gold_fn('gold_text')} AS gold, {pred_fn('answer')} AS pred FROM ({inner}) a")
+    return " UNION ALL ".join(parts)
+
+
+def eval_multilabel_sql(tasks) -> str:
+    return macro_prf_multilabel_sql(multilabel_labelled_sql(tasks), ["task", "model"])
+
+
+def stsb_labelled_sql() -> str:
+    ph = _pick_sql(C.STSB_PHRASES, _eh("-p-"))
+    inner = (
+        f"SELECT task, model, prompt_id, CAST(quality * 2.5 + toxic AS DOUBLE) AS gold, {_respond_sql(ph)} AS answer "
+        f"FROM ({task_rows_sql(['stsb'])}) r"
+    )
+    return f"SELECT *, {sql_stsb('answer')} AS pred FROM ({inner}) a"
+
+
+def regression_sql(src: str, group_cols) -> str:
+    g = ", ".join(group_cols)
+    return f"""
+    WITH r AS (SELECT * FROM ({src}) s WHERE gold IS NOT NULL AND pred IS NOT NULL),
+    s AS (SELECT {g}, count(*) AS n, sum(gold) AS sg, sum(gold * gold) AS sgg, sum((gold - pred) * (gold - pred)) AS see,
+                 sum(abs(gold - pred)) AS sae FROM r GROUP BY {g})
+    SELECT {g}, n, round(sqrt(see / n), 6) AS rmse, round(sae / n, 6) AS mae,
+      round(CASE WHEN sgg - sg * sg / n > 1e-12 THEN 1 - see / (sgg - sg * sg / n) END, 6) AS r2
+    FROM s
+    """
+
+
+def eval_stsb_sql() -> str:
+    lab = stsb_labelled_sql()
+    return f"""
+    SELECT m.*, u.unparsed FROM ({regression_sql(lab, ['task', 'model'])}) m
+    JOIN (SELECT task, model, CAST(sum(CASE WHEN pred IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unparsed FROM ({lab}) x GROUP BY task, model) u
+      ON m.task = u.task AND m.model = u.model
+    """
+
+
+def labelled_answers_sql(dataset: str, chain_name: str) -> str:
+    ans = sql_strip_echo("a.response", "a.prompt_text", "a.model")
+    return (
+        f"SELECT a.prompt_id, a.tier, a.model, a.gold_class AS gold, {ans} AS answer, "
+        f"{SQL_CASCADE_RULES[dataset](ans, 'a.model')} AS pred FROM ({answers_sql(dataset, C.CHAINS[chain_name])}) a"
+    )

@@ -190,3 +190,31 @@ def cascade_cost(final: DataFrame, prompts: DataFrame) -> DataFrame:
     return rows.groupBy("strategy", "threshold").agg(
         F.count(F.lit(1)).alias("model_calls"), F.round(F.sum(cost), 6).alias("energy_wh")
     )
+
+
+def scored_long(prompts: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:
+    """(strategy, prompt_id, tier, n_tiers, model, gold, pred, score): the wide rows turned long by a generate."""
+    wide = scored_wide(prompts, dataset, strategies)
+    items = F.array(
+        *[
+            F.struct(F.col(f"t{k}").alias("tier"), F.col(f"m{k}").alias("model"), F.col(f"p{k}").alias("pred"), F.col(f"s{k}").alias("score"))
+            for k in range(_max_len(strategies))
+        ]
+    )
+    long = wide.select("strategy", "prompt_id", "n_tiers", F.col("gold_class").alias("gold"), F.explode(items).alias("x"))
+    return long.where(F.col("x.tier").isNotNull()).select(
+        "strategy", "prompt_id", F.col("x.tier").alias("tier"), "n_tiers", F.col("x.model").alias("model"), "gold",
+        F.col("x.pred").alias("pred"), F.col("x.score").alias("score"),
+    )
+
+
+def labelled_answers(spark: SparkSession, sf_dir: str, dataset: str, chain_name: str) -> DataFrame:
+    """J1 + J2: answers joined to their prompts (gold, prompt text) on ``prompt_id``; echo stripped, rule applied."""
+    p = build_prompts(spark, sf_dir, dataset)
+    answers = stub_answers(p, C.CHAINS[chain_name], dataset).select("prompt_id", "tier", "model", "response")
+    rows = answers.join(p.select("prompt_id", "gold_class", "prompt_text"), "prompt_id")
+    answer = strip_echo(F.col("response"), F.col("prompt_text"), F.col("model"))
+    return rows.select(
+        "prompt_id", "tier", "model", F.col("gold_class").alias("gold"), answer.alias("answer"),
+        RULES[dataset](answer, F.col("model")).alias("pred"),
+    )
