@@ -450,3 +450,85 @@ def q_pooled_training(spark, sf):
             (F.col("pred") == F.col("gold")).cast("int").alias("label"),
         )
     )
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Emission records and energy
+# ---------------------------------------------------------------------------------------------------------------
+
+from .operators import energy as EN  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sources import emissions as EM  # noqa: E402
+
+
+@register(
+    "parse_run_names",
+    sql=lambda: f"""SELECT project_name, regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1) AS run,
+      TRY_CAST(split_part(project_name, '_', -1) AS BIGINT) AS batch,
+      regexp_extract(regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1), '^(.*)-[^-]*$', 1) AS strategy,
+      TRY_CAST(split_part(regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1), '-', -1) AS DOUBLE) AS threshold
+    FROM ({O.emission_records_sql()}) r""",
+)
+def q_parse_run_names(spark, sf):
+    recs = EM.emission_records(spark, sf)
+    parts = EN.parse_project_name(F.col("project_name"), EM.DATASET)
+    return normalize(recs.select("project_name", *[v.alias(k) for k, v in parts.items()]))
+
+
+@register(
+    "scan_emissions",
+    sql=lambda: f"SELECT folder, project_name, duration, energy_consumed FROM ({O.emission_records_sql()}) r",
+)
+def q_scan_emissions(spark, sf):
+    """S3 + S8: write the records as per-run CSV folders (dynamic partition overwrite), then scan them back."""
+    import uuid
+
+    base = scratch_path(spark, "emissions", uuid.uuid4().hex)
+    EM.write_emissions(EM.emission_records(spark, sf), base)
+    return normalize(EM.scan_emissions(spark, base).select("folder", "project_name", "duration", "energy_consumed"))
+
+
+@register(
+    "energy_rollup",
+    sql=lambda: f"""SELECT run, count(*) AS batches, CAST(sum(energy_wh) AS DOUBLE) / count(*) AS avg_wh, CAST(sum(energy_wh) AS DOUBLE) AS total_wh
+    FROM ({O.energy_batches_sql()}) b GROUP BY run""",
+)
+def q_energy_rollup(spark, sf):
+    return normalize(EN.energy_rollup(EN.energy_batches(EM.emission_records(spark, sf), EM.DATASET)))
+
+
+def _dup_records(spark, sf):
+    recs = EM.emission_records(spark, sf).select("project_name", "run_id", "energy_consumed")
+    first = recs.select("project_name", "energy_consumed", F.lit(0).alias("file_order"))
+    from .functions.hashing import h as _h, key as _key
+
+    again = recs.where(_h(_key(F.col("run_id"), "-dup")) < 10).select(
+        "project_name", (F.col("energy_consumed") * F.lit(1.5)).alias("energy_consumed"), F.lit(1).alias("file_order")
+    )
+    return first.unionByName(again)
+
+
+def _dup_records_sql() -> str:
+    r = O.emission_records_sql()
+    return (
+        f"SELECT project_name, energy_consumed, 0 AS file_order FROM ({r}) a UNION ALL "
+        f"SELECT project_name, energy_consumed * 1.5, 1 AS file_order FROM ({r}) b WHERE {O.sql_h(O.sql_key('run_id', O.q('-dup')))} < 10"
+    )
+
+
+@register(
+    "energy_dedup",
+    sql=lambda: f"SELECT project_name, arg_max(energy_consumed, file_order) AS energy_consumed, count(*) AS copies FROM ({_dup_records_sql()}) d GROUP BY project_name",
+)
+def q_energy_dedup(spark, sf):
+    return normalize(EN.energy_dedup(_dup_records(spark, sf)))
+
+
+@register(
+    "energy_lookup",
+    sql=lambda: f"""WITH b AS ({O.energy_batches_sql()}), c AS (SELECT run, count(*) AS n FROM b GROUP BY run)
+    SELECT b.run, b.batch, b.project_name, CAST(b.energy_wh AS DOUBLE) AS energy_wh FROM b JOIN c ON b.run = c.run WHERE b.batch < c.n""",
+)
+def q_energy_lookup(spark, sf):
+    """J8 with the reference's index rule (a gap drops the run's tail)."""
+    return normalize(EN.energy_lookup(EN.energy_batches(EM.emission_records(spark, sf), EM.DATASET), strict_reference=True))

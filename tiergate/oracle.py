@@ -448,3 +448,36 @@ def labelled_answers_sql(dataset: str, chain_name: str) -> str:
         f"SELECT a.prompt_id, a.tier, a.model, a.gold_class AS gold, {ans} AS answer, "
         f"{SQL_CASCADE_RULES[dataset](ans, 'a.model')} AS pred FROM ({answers_sql(dataset, C.CHAINS[chain_name])}) a"
     )
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# emission records derived from events
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def batch_records_sql() -> str:
+    from .sources.emissions import DATASET, RUN_THRESHOLDS
+
+    thr = _list(RUN_THRESHOLDS)
+    return f"""
+    SELECT dataset, run, row_number() OVER (PARTITION BY run ORDER BY event_id) - 1 AS batch, event_id, energy_kwh, duration_s
+    FROM (SELECT {q(DATASET)} AS dataset, 'strategy-' || event_type || '-' || {thr}[user_id % {len(RUN_THRESHOLDS)} + 1] AS run,
+                 event_id, value / 1e6 AS energy_kwh, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10.0 AS duration_s
+          FROM events) e"""
+
+
+def emission_records_sql() -> str:
+    from .sources.emissions import GAP_PCT
+
+    return f"""
+    SELECT dataset || '_' || run || '_' || CAST(batch AS VARCHAR) AS project_name, dataset || '_' || run AS folder, run, batch, event_id, md5(CAST(event_id AS VARCHAR)) AS run_id,
+           duration_s AS duration, energy_kwh AS energy_consumed
+    FROM ({batch_records_sql()}) b WHERE {sql_h(sql_key('event_id', q('-gap')))} >= {GAP_PCT}"""
+
+
+def sql_wh_rounded(x: str) -> str:
+    return f"round(CAST({x} * 1000 AS DECIMAL(18,9)), 3)"
+
+
+def energy_batches_sql() -> str:
+    return f"SELECT run, CAST(batch AS BIGINT) AS batch, project_name, {sql_wh_rounded('energy_consumed')} AS energy_wh FROM ({emission_records_sql()}) r"
