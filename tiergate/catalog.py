@@ -532,3 +532,54 @@ def q_energy_dedup(spark, sf):
 def q_energy_lookup(spark, sf):
     """J8 with the reference's index rule (a gap drops the run's tail)."""
     return normalize(EN.energy_lookup(EN.energy_batches(EM.emission_records(spark, sf), EM.DATASET), strict_reference=True))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Text metrics
+# ---------------------------------------------------------------------------------------------------------------
+
+from .operators import embed_match as EMB  # noqa: E402
+from .operators import rouge as RG  # noqa: E402
+from .plans import text_eval as TE  # noqa: E402
+from .sources.tables import scan as _scan  # noqa: E402
+
+
+@register("rouge_1", sql=lambda: O.rouge_n_sql(O.conversation_pairs_sql(), 1))
+def q_rouge_1(spark, sf):
+    return normalize(RG.rouge_n(TE.conversation_pairs(spark, sf), 1))
+
+
+@register("rouge_2", sql=lambda: O.rouge_n_sql(O.conversation_pairs_sql(), 2))
+def q_rouge_2(spark, sf):
+    return normalize(RG.rouge_n(TE.conversation_pairs(spark, sf), 2))
+
+
+@register("rouge_l")
+def q_rouge_l(spark, sf):
+    """LCS-based F over whole texts (no SQL oracle; tests compare with a plain dynamic-programming LCS)."""
+    return normalize(RG.rouge_l(TE.conversation_pairs(spark, sf)))
+
+
+@register("embed_match", sql=lambda: O.embed_match_sql(O.conversation_pairs_sql()))
+def q_embed_match(spark, sf):
+    return normalize(EMB.embed_match(TE.conversation_pairs(spark, sf), _scan(spark, sf, "embeddings", "vec_id", "embedding")))
+
+
+for _task, _key in (("samsum", "eval_samsum"), ("cnn_dm", "eval_cnn"), ("dolly", "eval_dolly")):
+    def _mk(task):
+        def run(spark, sf):
+            return normalize(TE.eval_text(spark, sf, task))
+
+        return run
+
+    register(_key, sql=O.eval_text_sql(_task))(_mk(_task))
+
+
+@register("scorer_labels_text", sql=lambda: O.scorer_labels_text_sql())
+def q_scorer_labels_text(spark, sf):
+    return normalize(TE.scorer_labels_text(spark, sf))
+
+
+@register("cascade_text", sql=lambda: O.cascade_text_sql())
+def q_cascade_text(spark, sf):
+    return normalize(TE.cascade_text(spark, sf))

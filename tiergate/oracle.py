@@ -481,3 +481,129 @@ def sql_wh_rounded(x: str) -> str:
 
 def energy_batches_sql() -> str:
     return f"SELECT run, CAST(batch AS BIGINT) AS batch, project_name, {sql_wh_rounded('energy_consumed')} AS energy_wh FROM ({emission_records_sql()}) r"
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# ROUGE and embedding match
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def sql_tokens(x: str) -> str:
+    t = f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+    return f"(CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, ' ') END)"
+
+
+def sql_ngrams(tk: str, n: int) -> str:
+    if n == 1:
+        return tk
+    return f"list_transform(range(1, len({tk}) - {n - 2}), lambda i: array_to_string({tk}[i:i + {n - 1}], ' '))"
+
+
+def _g(group_cols) -> tuple[str, str, str]:
+    """(select prefix, group-by list incl. pair_id, join condition on group cols) for grouped text jobs."""
+    pre = "".join(f"{c}, " for c in group_cols)
+    cond = "".join(f" AND a.{c} = b.{c}" for c in group_cols)
+    return pre, pre + "pair_id", cond
+
+
+def rouge_n_sql(pairs: str, n: int, group_cols=()) -> str:
+    pre, gp, _ = _g(group_cols)
+    gb = ", ".join(group_cols)
+    return f"""
+    WITH pr AS ({pairs}),
+    g AS (SELECT {pre}pair_id, 'p' AS side, unnest({sql_ngrams(sql_tokens('pred'), n)}) AS gram FROM pr
+          UNION ALL SELECT {pre}pair_id, 'r' AS side, unnest({sql_ngrams(sql_tokens('ref'), n)}) AS gram FROM pr),
+    pg AS (SELECT {gp}, gram, sum(CASE WHEN side = 'p' THEN 1 ELSE 0 END) AS pc, sum(CASE WHEN side = 'r' THEN 1 ELSE 0 END) AS rc
+           FROM g GROUP BY {gp}, gram),
+    pp AS (SELECT {gp}, sum(least(pc, rc)) AS ov, sum(pc) AS np, sum(rc) AS nr FROM pg GROUP BY {gp}),
+    fu AS (SELECT pr.*, COALESCE(pp.ov, 0) AS ov, COALESCE(pp.np, 0) AS np, COALESCE(pp.nr, 0) AS nr FROM pr LEFT JOIN pp USING ({gp})),
+    sc AS (SELECT *, CASE WHEN np > 0 THEN ov / np ELSE 0.0 END AS p, CASE WHEN nr > 0 THEN ov / nr ELSE 0.0 END AS r FROM fu)
+    SELECT {pre}count(*) AS pairs, round(avg(CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END), 9) AS rouge{n}
+    FROM sc {('GROUP BY ' + gb) if gb else ''}"""
+
+
+def embed_match_per_pair_sql(pairs: str, group_cols=()) -> str:
+    pre, gp, cond = _g(group_cols)
+    return f"""
+    WITH pr AS ({pairs}),
+    tk AS (SELECT {pre}pair_id, 'p' AS side, unnest({sql_tokens('pred')}) AS token FROM pr
+           UNION ALL SELECT {pre}pair_id, 'r' AS side, unnest({sql_tokens('ref')}) AS token FROM pr),
+    cnt AS (SELECT {gp}, side, token, count(*) AS cnt FROM tk GROUP BY {gp}, side, token),
+    nv AS (SELECT count(*) AS n FROM embeddings),
+    vec AS (SELECT c.*, e.embedding::DOUBLE[] AS v FROM cnt c CROSS JOIN nv
+            JOIN embeddings e ON e.vec_id = ((('0x' || substr(md5(c.token), 1, 8))::BIGINT) % nv.n)),
+    sim AS (SELECT {''.join('a.' + c + ', ' for c in group_cols)}a.pair_id, a.side, a.token, a.cnt, max(list_cosine_similarity(a.v, b.v)) AS m
+            FROM vec a JOIN vec b ON a.pair_id = b.pair_id{cond} AND a.side <> b.side
+            GROUP BY {''.join('a.' + c + ', ' for c in group_cols)}a.pair_id, a.side, a.token, a.cnt),
+    ss AS (SELECT {gp}, side, sum(cnt * m) / sum(cnt) AS s FROM sim GROUP BY {gp}, side),
+    pp AS (SELECT {''.join('pr.' + c + ', ' for c in group_cols)}pr.pair_id, COALESCE(sp.s, 0.0) AS p, COALESCE(sr.s, 0.0) AS r FROM pr
+           LEFT JOIN ss sp ON sp.pair_id = pr.pair_id AND sp.side = 'p'{''.join(f' AND sp.{c} = pr.{c}' for c in group_cols)}
+           LEFT JOIN ss sr ON sr.pair_id = pr.pair_id AND sr.side = 'r'{''.join(f' AND sr.{c} = pr.{c}' for c in group_cols)})
+    SELECT *, CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END AS f FROM pp"""
+
+
+def embed_match_sql(pairs: str, group_cols=()) -> str:
+    pre = "".join(f"{c}, " for c in group_cols)
+    gb = ", ".join(group_cols)
+    return f"""SELECT {pre}count(*) AS pairs, round(avg(p), 9) AS emb_p, round(avg(r), 9) AS emb_r, round(avg(f), 9) AS emb_f1
+    FROM ({embed_match_per_pair_sql(pairs, group_cols)}) x {('GROUP BY ' + gb) if gb else ''}"""
+
+
+def conversation_pairs_sql() -> str:
+    return f"SELECT pair_id, assistant_text AS pred, user_text AS ref FROM ({turn_pairs_sql()}) t"
+
+
+def task_prompts_sql(task: str) -> str:
+    if task == "cnn_dm":
+        return (
+            f"SELECT p.prompt_id, p.prompt_text, p.gold_text, d.text AS source_text FROM ({prompts_sql('cnn_dm')}) p "
+            "JOIN documents d ON d.doc_id = p.prompt_id"
+        )
+    prompt = _template(C.TEMPLATE_SAMSUM, "user_text") if task == "samsum" else "user_text"
+    return f"SELECT pair_id AS prompt_id, {prompt} AS prompt_text, assistant_text AS gold_text, user_text AS source_text FROM ({turn_pairs_sql()}) t"
+
+
+def text_answers_sql(task: str, models=C.EVAL_MODELS) -> str:
+    from .plans.text_eval import WRONG_CHARS
+
+    mv = ", ".join(f"({q(t.model)}, {t.skill}, {t.tier})" for t in models)
+    right = f"(((('0x' || substr(md5({sql_key('p.prompt_id', q('-a-'), q(task), q('/'), 'm.model')}), 1, 4))::BIGINT) % 100) < m.skill)"
+    text = f"(CASE WHEN {right} THEN p.gold_text ELSE substring(p.source_text, 1, {WRONG_CHARS}) END)"
+    resp = f"(CASE WHEN {sql_echoes('m.model')} THEN p.prompt_text || {text} ELSE {text} END)"
+    return (
+        f"SELECT p.prompt_id, m.model, m.tier, lower(p.gold_text) AS gold_text, lower({sql_strip_echo(resp, 'p.prompt_text', 'm.model')}) AS answer, "
+        f"{right} AS \"right\" FROM ({task_prompts_sql(task)}) p CROSS JOIN (VALUES {mv}) AS m(model, skill, tier)"
+    )
+
+
+def text_pairs_by_model_sql(task: str) -> str:
+    return f"SELECT model, prompt_id AS pair_id, answer AS pred, gold_text AS ref FROM ({text_answers_sql(task)}) a"
+
+
+def eval_text_sql(task: str) -> str:
+    pairs = text_pairs_by_model_sql(task)
+    return f"""SELECT e.model, e.pairs, r1.rouge1, r2.rouge2, e.emb_p, e.emb_r, e.emb_f1
+    FROM ({embed_match_sql(pairs, ['model'])}) e JOIN ({rouge_n_sql(pairs, 1, ['model'])}) r1 ON e.model = r1.model
+    JOIN ({rouge_n_sql(pairs, 2, ['model'])}) r2 ON e.model = r2.model"""
+
+
+def scorer_labels_text_sql() -> str:
+    from .config import SCORER_LABEL_MIN_F1
+
+    per = embed_match_per_pair_sql(text_pairs_by_model_sql("samsum"), ["model"])
+    return f"SELECT model, pair_id AS prompt_id, round(f, 9) AS emb_f1, CAST(CASE WHEN f > {SCORER_LABEL_MIN_F1} THEN 1 ELSE 0 END AS BIGINT) AS label FROM ({per}) x"
+
+
+def cascade_text_sql(strategy: str = "strategy-9", thresholds=C.THRESHOLDS_SAMSUM) -> str:
+    chain = C.CHAINS[C.STRATEGIES[strategy]]
+    last = max(t.tier for t in chain)
+    a = text_answers_sql("samsum", chain)
+    score = sql_score(q(strategy), "a.prompt_id", "a.model", 'a."right"')
+    grid = f"SELECT a.*, {score} AS score, th.threshold FROM ({a}) a CROSS JOIN {thresholds_values(thresholds)}"
+    pairs = f"""WITH gr AS ({grid}),
+      acc AS (SELECT threshold, prompt_id, min(CASE WHEN score > threshold OR tier = {last} THEN tier END) AS tier FROM gr GROUP BY threshold, prompt_id)
+      SELECT {q(strategy)} AS strategy, gr.threshold, gr.prompt_id AS pair_id, gr.answer AS pred, gr.gold_text AS ref
+      FROM gr JOIN acc ON gr.threshold = acc.threshold AND gr.prompt_id = acc.prompt_id AND gr.tier = acc.tier"""
+    return f"""SELECT r1.strategy, r1.threshold, r1.pairs, r1.rouge1, r2.rouge2
+    FROM ({rouge_n_sql(pairs, 1, ['strategy', 'threshold'])}) r1 JOIN ({rouge_n_sql(pairs, 2, ['strategy', 'threshold'])}) r2
+      ON r1.strategy = r2.strategy AND r1.threshold = r2.threshold"""
