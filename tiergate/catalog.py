@@ -583,3 +583,108 @@ def q_scorer_labels_text(spark, sf):
 @register("cascade_text", sql=lambda: O.cascade_text_sql())
 def q_cascade_text(spark, sf):
     return normalize(TE.cascade_text(spark, sf))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Prompt CSV, run outputs, inference plug-in
+# ---------------------------------------------------------------------------------------------------------------
+
+import uuid as _uuid  # noqa: E402
+
+from .plans import responders as RS  # noqa: E402
+from .sources import run_output as RO  # noqa: E402
+
+PROMPT_CSV_SCHEMA = "prompt_id bigint, dataset string, prompt_text string, gold_class int, gold_text string"
+
+
+@register("scan_prompts", sql=_prompt_cols_sql("boolq"))
+def q_scan_prompts(spark, sf):
+    """Prompts written as CSV (texts hold newlines and quotes) and scanned back with a declared schema."""
+    base = scratch_path(spark, "prompts_csv", _uuid.uuid4().hex)
+    keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (
+        P.prompts(spark, sf, "boolq").write.mode("overwrite")
+        .options(header=True, quoteAll=True, escape='"', **keep_spaces).csv(base)
+    )
+    df = spark.read.schema(PROMPT_CSV_SCHEMA).options(header=True, multiLine=True, escape='"', **keep_spaces).csv(base)
+    return normalize(df)
+
+
+def _run_tables(spark, sf):
+    """(answers with position and batch, per-model batch times) for both chains over the boolq batch plan."""
+    p = P.prompts(spark, sf, "boolq")
+    plan = BT.batch_plan(p, C.BATCH_SIZE_CASCADE)
+    answers = [RS.stub_answers(p, C.CHAINS[c], "boolq") for c in ("flan", "phi")]
+    a = answers[0].unionByName(answers[1]).select("model", "prompt_id", "response")
+    rows = a.join(plan.select("prompt_id", "position", "batch_id"), "prompt_id")
+    models = rows.select("model").distinct()
+    times = RO.batch_times(plan)
+    # every model ran every batch of the plan: a tiny (models x batches) table built by a join on a constant key
+    per_model = models.withColumn("_k", F.lit(1)).join(times.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return rows, per_model
+
+
+def _run_answers_times_sql() -> str:
+    plan = O.batch_plan_sql("boolq", C.BATCH_SIZE_CASCADE)
+    return f"SELECT r.model, r.position, r.batch_id, r.response, t.start_ts, t.end_ts FROM ({O.run_answers_sql()}) r JOIN ({O.batch_times_sql(plan)}) t ON r.batch_id = t.batch_id"
+
+
+@register("scan_run_output", sql=_run_answers_times_sql)
+def q_scan_run_output(spark, sf):
+    """Answers and batch times written in the runner's JSON layout, then scanned and exploded back to rows."""
+    rows, times = _run_tables(spark, sf)
+    base = scratch_path(spark, "run_output", _uuid.uuid4().hex)
+    RO.write_run_output_json(rows, times, C.BATCH_SIZE_CASCADE, base)
+    out = RO.scan_run_output(spark, base, C.BATCH_SIZE_CASCADE)
+    return normalize(out.select("model", "position", "batch_id", "response", "start_ts", "end_ts"))
+
+
+@register("sink_responses", sql=lambda: f"SELECT model, prompt_id, batch_id, response FROM ({O.run_answers_sql()}) r")
+def q_sink_responses(spark, sf):
+    """Responses and batches written as model-partitioned parquet and read back."""
+    rows, times = _run_tables(spark, sf)
+    base = scratch_path(spark, "responses", _uuid.uuid4().hex)
+    RO.write_responses(rows.select("model", "prompt_id", "batch_id", "response"), times, base)
+    resp, _ = RO.read_responses(spark, base)
+    return normalize(resp.select("model", "prompt_id", "batch_id", "response"))
+
+
+@register(
+    "batch_latency",
+    sql=lambda: f"""WITH r AS ({O.run_answers_sql()}), t AS ({O.batch_times_sql(O.batch_plan_sql('boolq', C.BATCH_SIZE_CASCADE))})
+    SELECT r.model, r.batch_id, count(*) AS rows, round(t.end_ts - t.start_ts, 6) AS latency_s, round(avg(length(r.response)), 6) AS mean_answer_chars
+    FROM r JOIN t ON r.batch_id = t.batch_id GROUP BY r.model, r.batch_id, t.start_ts, t.end_ts""",
+)
+def q_batch_latency(spark, sf):
+    rows, times = _run_tables(spark, sf)
+    return normalize(RO.batch_latency(rows, times))
+
+
+@register(
+    "run_integrity",
+    sql=lambda: f"""WITH r AS ({O.run_answers_sql()}), t AS ({O.batch_times_sql(O.batch_plan_sql('boolq', C.BATCH_SIZE_CASCADE))}),
+    m AS (SELECT DISTINCT model FROM r)
+    SELECT a.model, a.answers, b.batches, CAST(ceil(a.answers / {C.BATCH_SIZE_CASCADE}.0) AS BIGINT) AS expected_batches,
+      b.batches = CAST(ceil(a.answers / {C.BATCH_SIZE_CASCADE}.0) AS BIGINT) AS consistent
+    FROM (SELECT model, count(*) AS answers FROM r GROUP BY model) a
+    JOIN (SELECT m.model, count(DISTINCT t.batch_id) AS batches FROM m CROSS JOIN t GROUP BY m.model) b ON a.model = b.model""",
+)
+def q_run_integrity(spark, sf):
+    rows, times = _run_tables(spark, sf)
+    return normalize(RO.run_integrity(rows, times, C.BATCH_SIZE_CASCADE))
+
+
+@register(
+    "batch_inference",
+    sql=lambda: f"""SELECT a.prompt_id, CAST(a.tier AS BIGINT) AS tier, a.model, pl.batch_id, a.response
+    FROM ({O.answers_sql('boolq', C.CHAINS['phi'])}) a JOIN ({O.batch_plan_sql('boolq', C.BATCH_SIZE_DEFAULT)}) pl ON a.prompt_id = pl.prompt_id""",
+)
+def q_batch_inference(spark, sf):
+    """M1: each model of a chain runs over the length-sorted batch plan through ``mapInPandas`` (the plug-in path)."""
+    p = P.prompts(spark, sf, "boolq")
+    plan = BT.batch_plan(p, C.BATCH_SIZE_DEFAULT).join(p.select("prompt_id", "gold_class", "prompt_text"), "prompt_id")
+    outs = [RS.pandas_responder(plan, t, lambda t=t: RS.stub_pandas_model("boolq", t)) for t in C.CHAINS["phi"]]
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return normalize(out)

@@ -607,3 +607,32 @@ def cascade_text_sql(strategy: str = "strategy-9", thresholds=C.THRESHOLDS_SAMSU
     return f"""SELECT r1.strategy, r1.threshold, r1.pairs, r1.rouge1, r2.rouge2
     FROM ({rouge_n_sql(pairs, 1, ['strategy', 'threshold'])}) r1 JOIN ({rouge_n_sql(pairs, 2, ['strategy', 'threshold'])}) r2
       ON r1.strategy = r2.strategy AND r1.threshold = r2.threshold"""
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# run outputs
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def batch_plan_sql(dataset: str = "boolq", bs: int = 4) -> str:
+    return f"""
+    SELECT dataset, prompt_id, CAST(length(prompt_text) AS BIGINT) AS n_chars,
+      row_number() OVER (PARTITION BY dataset ORDER BY length(prompt_text), prompt_id) AS position,
+      CAST((row_number() OVER (PARTITION BY dataset ORDER BY length(prompt_text), prompt_id) - 1) // {bs} AS BIGINT) AS batch_id
+    FROM ({prompts_sql(dataset)}) p"""
+
+
+def batch_times_sql(plan: str) -> str:
+    from .sources.run_output import STEP_S, T0
+
+    start = f"({sql_dbl(T0)} + batch_id * {sql_dbl(STEP_S)})"
+    return (
+        f"SELECT batch_id, {start} AS start_ts, {start} + {sql_dbl(0.5)} + max(n_chars) / {sql_dbl(1000.0)} AS end_ts "
+        f"FROM ({plan}) pl GROUP BY batch_id"
+    )
+
+
+def run_answers_sql(bs: int = 4) -> str:
+    """(model, prompt_id, position, batch_id, response) for every model of both chains over the boolq batch plan."""
+    ans = " UNION ALL ".join(f"SELECT * FROM ({answers_sql('boolq', C.CHAINS[c])}) a{i}" for i, c in enumerate(("flan", "phi")))
+    return f"SELECT a.model, a.prompt_id, pl.position, pl.batch_id, a.response FROM ({ans}) a JOIN ({batch_plan_sql('boolq', bs)}) pl ON a.prompt_id = pl.prompt_id"

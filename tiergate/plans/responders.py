@@ -111,21 +111,37 @@ def pandas_responder(
     together, in plan order, like a DataLoader over the length-sorted prompts.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(grp: pd.DataFrame, generate) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "prompt_id": grp["prompt_id"].astype("int64").values,
+                "tier": tier.tier,
+                "model": tier.model,
+                "batch_id": grp["batch_id"].astype("int64").values,
+                "response": generate(grp).values,
+            }
+        )
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = model_factory()
-        for pdf in batches:
+        pending = None  # rows of the last, possibly incomplete batch of the previous Arrow chunk
+        for pdf in chunks:
+            if pending is not None:
+                pdf = pd.concat([pending, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            for _, grp in pdf.groupby("batch_id", sort=True):
-                yield pd.DataFrame(
-                    {
-                        "prompt_id": grp["prompt_id"].astype("int64"),
-                        "tier": tier.tier,
-                        "model": tier.model,
-                        "batch_id": grp["batch_id"].astype("int64"),
-                        "response": generate(grp).values,
-                    }
-                )
-
-    cols = planned.select("prompt_id", "gold_class", "prompt_text", "batch_id")
+            last = pdf["batch_id"].iloc[-1]
+            done, pending = pdf[pdf["batch_id"] != last], pdf[pdf["batch_id"] == last]
+            for _, grp in done.groupby("batch_id", sort=True):
+                yield answer(grp, generate)
+        if pending is not None and not pending.empty:
+            yield answer(pending, generate)
+
+    n = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a batch never straddles two tasks: range partitioning keeps equal batch ids together, sorted inside the task
+    cols = (
+        planned.select("prompt_id", "gold_class", "prompt_text", "batch_id")
+        .repartitionByRange(n, "batch_id")
+        .sortWithinPartitions("batch_id", "prompt_id")
+    )
     return cols.mapInPandas(run, RESPONSE_SCHEMA)
