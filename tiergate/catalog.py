@@ -688,3 +688,62 @@ def q_batch_inference(spark, sf):
     for o in outs[1:]:
         out = out.unionByName(o)
     return normalize(out)
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Result files and curves
+# ---------------------------------------------------------------------------------------------------------------
+
+from .plans import curves as CV  # noqa: E402
+
+
+@register("union_results", sql=lambda: O.quality_rows_sql(O.threshold_sweep_sql()))
+def q_union_results(spark, sf):
+    """One result file per strategy (published layout), scanned together and stacked by name."""
+    rows = CV.quality_rows(cascade.threshold_sweep(spark, sf)).cache()
+    base = scratch_path(spark, "results_csv", _uuid.uuid4().hex)
+    paths = []
+    for s in C.STRATEGIES:
+        path = f"{base}/boolq_{s}.csv"
+        CV.write_quality_csv(rows.where(F.col("Model") == s), path)
+        paths.append(path)
+    out = CV.union_results(spark, paths)
+    rows.unpersist()
+    return normalize(out)
+
+
+@register("sink_results", sql=lambda: O.quality_rows_sql(O.threshold_sweep_sql()))
+def q_sink_results(spark, sf):
+    """Write all grid points, then re-run one strategy's points: its partition is replaced, not doubled."""
+    rows = CV.quality_rows(cascade.threshold_sweep(spark, sf))
+    base = scratch_path(spark, "results", _uuid.uuid4().hex)
+    CV.sink_results(rows, base)
+    CV.sink_results(rows.where(F.col("Model") == "strategy-1"), base)
+    back = spark.read.parquet(base)
+    return normalize(back.select(*[F.col(f"`{c}`") for c in CV.QUALITY_COLUMNS]))
+
+
+@register("baseline_broadcast", sql=lambda: f"SELECT b.*, th.threshold FROM ({O.baselines_sql()}) b CROSS JOIN {O.thresholds_values(C.THRESHOLDS_BOOLQ)}")
+def q_baseline_broadcast(spark, sf):
+    """Single-model baselines (F1, energy) drawn at every threshold of the sweep."""
+    return normalize(CV.baseline_broadcast(CV.baselines(spark, sf)))
+
+
+@register("cost_quality", sql=O.cost_quality_sql)
+def q_cost_quality(spark, sf):
+    """J9 + C8: quality and energy per (strategy, threshold), full outer join."""
+    sweep = cascade.threshold_sweep(spark, sf)
+    cost = cascade.cascade_cost(cascade.sweep_final(spark, sf), P.prompts(spark, sf, "boolq"))
+    return normalize(CV.cost_quality(sweep, cost))
+
+
+@register(
+    "curve_series",
+    sql=lambda: f"""SELECT strategy, count(*) AS points,
+      string_agg(printf('%.2f:%.9f:%.6f', threshold, m_f1, energy_wh), '|' ORDER BY threshold, m_f1, energy_wh) AS series
+    FROM ({O.cost_quality_sql()}) c GROUP BY strategy""",
+)
+def q_curve_series(spark, sf):
+    sweep = cascade.threshold_sweep(spark, sf)
+    cost = cascade.cascade_cost(cascade.sweep_final(spark, sf), P.prompts(spark, sf, "boolq"))
+    return normalize(CV.curve_series(CV.cost_quality(sweep, cost)))

@@ -636,3 +636,38 @@ def run_answers_sql(bs: int = 4) -> str:
     """(model, prompt_id, position, batch_id, response) for every model of both chains over the boolq batch plan."""
     ans = " UNION ALL ".join(f"SELECT * FROM ({answers_sql('boolq', C.CHAINS[c])}) a{i}" for i, c in enumerate(("flan", "phi")))
     return f"SELECT a.model, a.prompt_id, pl.position, pl.batch_id, a.response FROM ({ans}) a JOIN ({batch_plan_sql('boolq', bs)}) pl ON a.prompt_id = pl.prompt_id"
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# results and curves
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def sql_pct1(x: str) -> str:
+    return f"CAST(round(CAST({x} * 100 AS DECIMAL(18,6)), 1) AS DOUBLE)"
+
+
+def quality_rows_sql(sweep: str) -> str:
+    return (
+        f'SELECT strategy AS "Model", threshold AS "Threshold", {sql_pct1("m_pre")} AS "M-Pre", {sql_pct1("m_rec")} AS "M-Rec", '
+        f'{sql_pct1("m_f1")} AS "M-F1" FROM ({sweep}) s'
+    )
+
+
+def baselines_sql(dataset: str = "boolq", chains=("flan", "phi")) -> str:
+    lab = " UNION ALL ".join(f"SELECT {q(ch)} AS chain, * FROM ({labelled_answers_sql(dataset, ch)}) x{i}" for i, ch in enumerate(chains))
+    rate = "CASE " + " ".join(f"WHEN l.tier = {t} THEN {r!r}" for t, r in MODEL_WH_PER_KCHAR.items()) + " ELSE 0.0 END"
+    return f"""
+    WITH lab AS ({lab}),
+    f1 AS ({macro_prf_sql('SELECT * FROM lab', ['chain', 'model', 'tier'])}),
+    p AS (SELECT prompt_id, length(prompt_text) / 1000.0 AS kchar FROM ({prompts_sql(dataset)}) x),
+    cost AS (SELECT l.chain, l.model, l.tier, round(sum(p.kchar * ({rate})), 6) AS energy_wh FROM lab l JOIN p ON l.prompt_id = p.prompt_id
+             GROUP BY l.chain, l.model, l.tier)
+    SELECT f1.chain, f1.model, CAST(f1.tier AS BIGINT) AS tier, f1.m_f1, cost.energy_wh FROM f1 JOIN cost
+      ON f1.chain = cost.chain AND f1.model = cost.model AND f1.tier = cost.tier"""
+
+
+def cost_quality_sql() -> str:
+    return f"""SELECT COALESCE(q.strategy, e.strategy) AS strategy, COALESCE(q.threshold, e.threshold) AS threshold, q.m_f1, e.energy_wh
+    FROM ({threshold_sweep_sql()}) q FULL OUTER JOIN ({cascade_cost_sql(sweep_final_sql())}) e
+      ON q.strategy = e.strategy AND q.threshold = e.threshold"""
