@@ -747,3 +747,39 @@ def q_curve_series(spark, sf):
     sweep = cascade.threshold_sweep(spark, sf)
     cost = cascade.cascade_cost(cascade.sweep_final(spark, sf), P.prompts(spark, sf, "boolq"))
     return normalize(CV.curve_series(CV.cost_quality(sweep, cost)))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Scorer training and scoring (rows checks: fitted models have no SQL form)
+# ---------------------------------------------------------------------------------------------------------------
+
+from .plans import scorer as SC  # noqa: E402
+
+SCORER_GRID = ((0.01, 20), (0.1, 20))
+
+
+@register("train_scorer")
+def q_train_scorer(spark, sf):
+    """M3: pooled scorer, two settings, best by validation log-loss; one report row per setting."""
+    _, report = SC.fit_best(SC.training_rows(spark, sf), SCORER_GRID)
+    best = min((r for r in report if r[4] == r[4]), key=lambda r: r[4], default=None)
+    rows = [(float(r[0]), int(r[1]), int(r[2]), int(r[3]), float(r[4]), r is best) for r in report]
+    return spark.createDataFrame(rows, "reg_param double, max_iter bigint, n_train bigint, n_val bigint, val_logloss double, chosen boolean")
+
+
+@register("score_rows")
+def q_score_rows(spark, sf):
+    """M2: the chosen scorer's class-1 probability for every (model, prompt) row."""
+    rows = SC.training_rows(spark, sf)
+    model, _ = SC.fit_best(rows, SCORER_GRID[:1])
+    return normalize(SC.score_rows(model, rows))
+
+
+@register("train_grid")
+def q_train_grid(spark, sf):
+    return SC.train_grid(spark, sf)
+
+
+@register("scorer_layouts")
+def q_scorer_layouts(spark, sf):
+    return SC.scorer_layouts(spark, sf)
