@@ -783,3 +783,46 @@ def q_train_grid(spark, sf):
 @register("scorer_layouts")
 def q_scorer_layouts(spark, sf):
     return SC.scorer_layouts(spark, sf)
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Streams (oracle = the batch answer on what the stream may emit)
+# ---------------------------------------------------------------------------------------------------------------
+
+from .streaming import jobs as ST  # noqa: E402
+
+
+@register(
+    "stream_energy",
+    sql="""WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM events),
+    wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM e),
+    agg AS (SELECT date_trunc('day', ts) AS ws, event_type, count(*) AS events, sum(value / 1000.0) AS energy FROM e GROUP BY ALL)
+    SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, events, round(energy, 6) AS energy_wh
+    FROM agg CROSS JOIN wm WHERE ws + INTERVAL 1 DAY <= wm.w""",
+)
+def q_stream_energy(spark, sf):
+    """Closed 1-day windows per event type (watermark 1 hour; the last, still open day is not emitted)."""
+    return normalize(ST.stream_energy(spark, sf))
+
+
+@register(
+    "stream_gate",
+    sql=lambda: f"SELECT strategy, prompt_id, score, CASE WHEN COALESCE(score > {O.sql_dbl(0.8)}, false) THEN 'accept' ELSE 'escalate' END AS route "
+    f"FROM ({_tier1_scored_sql()}) t",
+)
+def q_stream_gate(spark, sf):
+    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
+    return normalize(ST.stream_gate(spark, s.select("strategy", "prompt_id", "score"), 0.8))
+
+
+@register("stream_dedup", sql=lambda: f"SELECT project_name, energy_consumed FROM ({O.emission_records_sql()}) r")
+def q_stream_dedup(spark, sf):
+    """First arrival wins within the watermark; the changed copies arrive later and are dropped."""
+    from .functions.hashing import h as _h, key as _key
+
+    recs = EM.emission_records(spark, sf).select("project_name", "run_id", F.col("timestamp").alias("ts"), "energy_consumed")
+    first = recs.select("project_name", "ts", "energy_consumed")
+    again = recs.where(_h(_key(F.col("run_id"), "-dup")) < 10).select(
+        "project_name", "ts", (F.col("energy_consumed") * F.lit(1.5)).alias("energy_consumed")
+    )
+    return normalize(ST.stream_dedup(spark, first, again))
