@@ -826,3 +826,37 @@ def q_stream_dedup(spark, sf):
         "project_name", "ts", (F.col("energy_consumed") * F.lit(1.5)).alias("energy_consumed")
     )
     return normalize(ST.stream_dedup(spark, first, again))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Tracker logs
+# ---------------------------------------------------------------------------------------------------------------
+
+from .sources import tracker_logs as TL  # noqa: E402
+
+
+def _tracker_sql() -> str:
+    d = "duration_s"
+    dur = f"CAST(trunc({d} / 3600) AS BIGINT) * 3600 + CAST(trunc(({d} % 3600) / 60) AS BIGINT) * 60 + CAST(printf('%05.2f', {d} % 60) AS DOUBLE)"
+    cpu_none = f"{O.sql_h(O.sql_key('event_id', O.q('-cpu')))} < {TL.CPU_NONE_PCT}"
+    return f"""SELECT run, CAST(batch AS BIGINT) AS batch, '1.2.5' AS version, CAST(1.55 AS DOUBLE) AS pue, {dur} AS duration_s,
+      energy_kwh * 1e5 AS gpu_w_total, CASE WHEN {cpu_none} THEN NULL ELSE energy_kwh * 7e4 + energy_kwh * 5e4 END AS cpu_w_total,
+      CAST(626.01 AS DOUBLE) AS intensity_g_kwh, energy_kwh, energy_kwh * {TL.INTENSITY_G_PER_KWH!r} AS co2_g,
+      energy_kwh * {TL.INTENSITY_G_PER_KWH!r} * {TL.KM_PER_G!r} AS km
+    FROM ({O.batch_records_sql()}) b"""
+
+
+@register("scan_tracker_logs", sql=_tracker_sql)
+def q_scan_tracker_logs(spark, sf):
+    """Tracker logs generated per batch record, written as shard documents, scanned and parsed back."""
+    base = scratch_path(spark, "tracker_logs", _uuid.uuid4().hex)
+    TL.write_logs(TL.log_documents(EM.batch_records(spark, sf)), base)
+    t = TL.scan_tracker_logs(spark, base)
+    return normalize(
+        t.select(
+            "run", "batch", "version", "pue", "duration_s",
+            F.aggregate("gpu_w", F.lit(0.0), lambda a, x: a + x).alias("gpu_w_total"),
+            F.aggregate("cpu_w", F.lit(0.0), lambda a, x: a + x).alias("cpu_w_total"),
+            "intensity_g_kwh", "energy_kwh", "co2_g", "km",
+        )
+    )

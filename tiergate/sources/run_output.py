@@ -51,7 +51,7 @@ def write_run_output_json(answers: DataFrame, times: DataFrame, batch_size: int,
 
 def scan_run_output(spark: SparkSession, base: str, batch_size: int) -> DataFrame:
     """(model, position, batch_id, response, start_ts, end_ts) from the JSON documents under ``base``."""
-    raw = spark.read.option("wholetext", True).text(base)
+    raw = spark.read.text(base, wholetext=True)
     path = F.col("_metadata.file_path")
     docs = raw.select(
         F.regexp_extract(path, "model=([^/]+)/", 1).alias("model_enc"),
