@@ -616,12 +616,9 @@ def _run_tables(spark, sf):
     plan = BT.batch_plan(p, C.BATCH_SIZE_CASCADE)
     answers = [RS.stub_answers(p, C.CHAINS[c], "boolq") for c in ("flan", "phi")]
     a = answers[0].unionByName(answers[1]).select("model", "prompt_id", "response")
-    rows = a.join(plan.select("prompt_id", "position", "batch_id"), "prompt_id")
-    models = rows.select("model").distinct()
-    times = RO.batch_times(plan)
-    # every model ran every batch of the plan: a tiny (models x batches) table built by a join on a constant key
-    per_model = models.withColumn("_k", F.lit(1)).join(times.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return rows, per_model
+    rows = a.join(plan.select("prompt_id", "position", "batch_id", "n_chars"), "prompt_id")
+    times = RO.batch_times(rows, ("model", "batch_id"))  # each model's own batches, from its own answer rows
+    return rows.drop("n_chars"), times
 
 
 def _run_answers_times_sql() -> str:

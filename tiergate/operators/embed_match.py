@@ -8,6 +8,11 @@ Plan:
 4. per pair the two bounded token lists meet in one row, and an Arrow-batched pandas UDF takes the max cosine per
    token with one matrix product (no row per token pair is ever emitted);
 5. P = count-weighted mean over predicted tokens, R over reference tokens, F = 2PR / (P + R); mean over pairs.
+
+When the vector table is small enough (rows x dim x 8 bytes under ``BROADCAST_LIMIT_BYTES``, checked from its row
+count and vector width before anything is collected), a faster plan is used instead: the unit vectors go to every
+executor once as a broadcast matrix, and each pair is scored inside its own row from its two token-id arrays -
+no token rows, no shuffle. Above the limit the join plan above runs; both give the same numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from ..functions.hashing import hex_bits
 from .rouge import tokens
 
 DIGITS = 9
+BROADCAST_LIMIT_BYTES = 256 << 20
 
 
 def token_vec_id(token: Column, n_vectors: int) -> Column:
@@ -60,10 +66,46 @@ def _greedy_batch(pv: pd.Series, pc: pd.Series, rv: pd.Series, rc: pd.Series) ->
     return pd.DataFrame({"p": ps, "r": rs})
 
 
-def embed_match_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+def _ids_score(u: np.ndarray, a_ids, b_ids) -> float:
+    if a_ids is None or b_ids is None or len(a_ids) == 0 or len(b_ids) == 0:
+        return 0.0
+    a_u, a_cnt = np.unique(np.asarray(a_ids, dtype=np.int64), return_counts=True)
+    b_u = np.unique(np.asarray(b_ids, dtype=np.int64))
+    best = (u[a_u] @ u[b_u].T).max(axis=1)
+    return float((best * a_cnt).sum() / a_cnt.sum())
+
+
+def _broadcast_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str], n_vectors: int) -> DataFrame:
+    spark = pairs.sparkSession
+    vecs = unit_vectors(embeddings).orderBy("vec_id").toPandas()
+    mat = np.zeros((n_vectors, len(vecs["u"].iloc[0]) if len(vecs) else 0), dtype=np.float64)
+    for vid, u in zip(vecs["vec_id"], vecs["u"]):
+        if 0 <= vid < n_vectors:
+            mat[int(vid)] = np.asarray(u, dtype=np.float64)
+    bc = spark.sparkContext.broadcast(mat)
+
+    def run(p_ids: pd.Series, r_ids: pd.Series) -> pd.DataFrame:
+        u = bc.value
+        ps = [_ids_score(u, a, b) for a, b in zip(p_ids, r_ids)]
+        rs = [_ids_score(u, b, a) for a, b in zip(p_ids, r_ids)]
+        return pd.DataFrame({"p": ps, "r": rs})
+
+    udf = F.pandas_udf(run, "p double, r double")
+    ids = lambda col: F.transform(tokens(col), lambda t: token_vec_id(t, n_vectors))
+    scored = pairs.select(*group_cols, "pair_id", udf(ids("pred"), ids("ref")).alias("m"))
+    p, r = F.col("m.p"), F.col("m.r")
+    f = F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
+    return scored.select(*group_cols, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"))
+
+
+def embed_match_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str] = (), allow_broadcast: bool = True) -> DataFrame:
     """Per pair: P, R, F of the greedy embedding match."""
     g = list(group_cols)
     n_vectors = embeddings.count()
+    if allow_broadcast and n_vectors:
+        dim = embeddings.select(F.max(F.size("embedding"))).first()[0] or 0
+        if n_vectors * dim * 8 <= BROADCAST_LIMIT_BYTES:
+            return _broadcast_pairs(pairs, embeddings, g, n_vectors)
     side = lambda col, tag: pairs.select(*g, "pair_id", F.lit(tag).alias("side"), F.explode(tokens(col)).alias("token"))
     counted = side("pred", "p").unionByName(side("ref", "r")).groupBy(*g, "pair_id", "side", "token").agg(F.count(F.lit(1)).alias("cnt"))
     vocab = counted.select("token").distinct().select("token", token_vec_id(F.col("token"), n_vectors).alias("vec_id"))
@@ -86,8 +128,8 @@ def embed_match_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Seque
     return full.select(*g, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"))
 
 
-def embed_match(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    per = embed_match_pairs(pairs, embeddings, group_cols)
+def embed_match(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str] = (), allow_broadcast: bool = True) -> DataFrame:
+    per = embed_match_pairs(pairs, embeddings, group_cols, allow_broadcast)
     return per.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("pairs"),
         F.round(F.avg("p"), DIGITS).alias("emb_p"),

@@ -3,9 +3,12 @@
 Input: ``pairs(pair_id, pred, ref, <group cols>)``. Tokens: lower case, every run of characters outside
 ``[a-z0-9]`` is a separator.
 
-ROUGE-N is a counting job: explode the n-grams of both sides into (pair, gram, side) rows, aggregate the counts
-per (pair, gram) with map-side partial aggregation, clip with ``least``, and sum per pair. Keys include
-``pair_id``, so a very common n-gram ("the") spreads over as many tasks as there are pairs.
+ROUGE-N is a counting job inside one row: both texts of a pair are already in the same row, so the clipped n-gram
+overlap needs no shuffle at all. Tokens are made JVM-side (``lower`` + ``regexp_replace`` + ``split``); one
+Arrow-batched pandas UDF counts the n-grams of both sides for every requested n in one pass (``Counter``
+intersection). Only the final mean over pairs aggregates (partial, then a tiny shuffle).
+``rouge_n_exploded`` keeps the relational form (explode grams, aggregate per (pair, gram), clip, sum): it shuffles
+every n-gram, so it is only for cross-checking.
 
 ROUGE-L needs the longest common subsequence of each pair - sequential, quadratic work that no built-in
 expresses. It runs as an Arrow-batched pandas UDF over the token arrays with a bit-parallel LCS (a few machine
@@ -41,8 +44,67 @@ def _fmeasure(p: Column, r: Column) -> Column:
     return F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def _overlap_counts(pred: Sequence[str], ref: Sequence[str], n: int) -> tuple[int, int, int]:
+    from collections import Counter
+
+    p = Counter(tuple(pred[i : i + n]) for i in range(len(pred) - n + 1))
+    r = Counter(tuple(ref[i : i + n]) for i in range(len(ref) - n + 1))
+    return sum(p.values()), sum(r.values()), sum((p & r).values())
+
+
+def _counts_batch(ns: tuple[int, ...]):
+    def run(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        cols: dict[str, list[int]] = {f"{k}{n}": [] for n in ns for k in ("np", "nr", "ov")}
+        for p, r in zip(pred, ref):
+            p = [] if p is None else list(p)
+            r = [] if r is None else list(r)
+            for n in ns:
+                a, b, c = _overlap_counts(p, r, n)
+                cols[f"np{n}"].append(a)
+                cols[f"nr{n}"].append(b)
+                cols[f"ov{n}"].append(c)
+        return pd.DataFrame(cols)
+
+    return run
+
+
+def rouge_counts(pairs: DataFrame, ns: Sequence[int] = (1, 2), group_cols: Sequence[str] = ()) -> DataFrame:
+    """Per pair: n-gram counts of both sides and the clipped overlap for every n in ``ns`` (no shuffle)."""
+    ns = tuple(ns)
+    schema = ", ".join(f"{k}{n} bigint" for n in ns for k in ("np", "nr", "ov"))
+    udf = F.pandas_udf(_counts_batch(ns), schema)
+    t = pairs.select(*group_cols, "pair_id", udf(tokens("pred"), tokens("ref")).alias("c"))
+    return t.select(*group_cols, "pair_id", "c.*")
+
+
+def _prf(overlap: Column, n_pred: Column, n_ref: Column) -> tuple[Column, Column, Column]:
+    p = F.when(n_pred > 0, overlap / n_pred).otherwise(F.lit(0.0))
+    r = F.when(n_ref > 0, overlap / n_ref).otherwise(F.lit(0.0))
+    return p, r, _fmeasure(p, r)
+
+
 def rouge_n_pairs(pairs: DataFrame, n: int, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per pair: overlap, counts and P / R / F of ROUGE-n."""
+    c = rouge_counts(pairs, (n,), group_cols)
+    p, r, f = _prf(F.col(f"ov{n}"), F.col(f"np{n}"), F.col(f"nr{n}"))
+    return c.select(
+        *group_cols, "pair_id", F.col(f"ov{n}").alias("overlap"), F.col(f"np{n}").alias("n_pred"), F.col(f"nr{n}").alias("n_ref"),
+        p.alias("p"), r.alias("r"), f.alias("f"),
+    )
+
+
+def rouge_scores(pairs: DataFrame, ns: Sequence[int] = (1, 2), group_cols: Sequence[str] = ()) -> DataFrame:
+    """Mean ROUGE-n F for several n at once: one counting pass, one aggregation."""
+    c = rouge_counts(pairs, ns, group_cols)
+    fs = [_prf(F.col(f"ov{n}"), F.col(f"np{n}"), F.col(f"nr{n}"))[2].alias(f"f{n}") for n in ns]
+    per = c.select(*group_cols, "pair_id", *fs)
+    return per.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("pairs"), *[F.round(F.avg(f"f{n}"), DIGITS).alias(f"rouge{n}") for n in ns]
+    )
+
+
+def rouge_n_exploded(pairs: DataFrame, n: int, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Relational ROUGE-n per pair (cross-check only: shuffles every n-gram)."""
     g = list(group_cols)
     side = lambda col, tag: pairs.select(
         *g, "pair_id", F.explode(ngrams(tokens(col), n)).alias("gram"), F.lit(tag).alias("side")

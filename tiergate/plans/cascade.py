@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import rules
-from ..functions.text import strip_echo
+from ..functions.text import computed_once, strip_echo
 from ..operators.metrics import macro_prf
 from ..sources.prompts import prompts as build_prompts
 from .responders import N_CLASSES, answer_class, phrase, stub_answers, stub_score
@@ -55,6 +55,7 @@ def scored_wide(prompts: DataFrame, dataset: str, strategies: Sequence[str]) ->
     n_classes = N_CLASSES[dataset]
     base = prompts.select("prompt_id", "gold_class", "prompt_text", F.explode(strategies_array(strategies)).alias("s"))
     cols = [F.col("s.strategy").alias("strategy"), "prompt_id", "gold_class", F.size("s.tiers").alias("n_tiers")]
+    preds = []
     for k in range(_max_len(strategies)):
         t = F.col("s.tiers")[k]
         pid, gold = F.col("prompt_id"), F.col("gold_class")
@@ -62,13 +63,15 @@ def scored_wide(prompts: DataFrame, dataset: str, strategies: Sequence[str]) ->
         text = phrase(dataset, cls, pid, t["model"])
         response = F.when(~t["model"].contains(C.NON_ECHO_MARKER), F.concat(F.col("prompt_text"), text)).otherwise(text)
         pred = rule(strip_echo(response, F.col("prompt_text"), t["model"]), t["model"])
-        cols += [t["tier"].alias(f"t{k}"), t["model"].alias(f"m{k}"), pred.alias(f"p{k}")]
-    wide = base.select(*cols)
+        cols += [t["tier"].alias(f"t{k}"), t["model"].alias(f"m{k}")]
+        preds.append(pred.alias(f"p{k}"))
+    # labels are computed once per row; later scores and the accept chain read them as plain columns
+    wide = computed_once(base.select(*cols, "prompt_text", "s"), *preds).drop("prompt_text", "s")
     score_cols = [
         stub_score(F.col("strategy"), F.col("prompt_id"), F.col(f"m{k}"), F.col(f"p{k}") == F.col("gold_class")).alias(f"s{k}")
         for k in range(_max_len(strategies))
     ]
-    return wide.select("*", *score_cols)
+    return computed_once(wide, *score_cols)
 
 
 def sweep_final(

@@ -19,7 +19,7 @@ from .. import config as C
 from ..functions.hashing import hex_bits, key
 from ..functions.text import echoes, strip_echo
 from ..operators.embed_match import embed_match, embed_match_pairs
-from ..operators.rouge import rouge_n
+from ..operators.rouge import rouge_n, rouge_scores
 from ..sources import prompts as P
 from ..sources.tables import scan
 from .responders import stub_score
@@ -68,10 +68,9 @@ def eval_text(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
     a = text_answers(task_prompts(spark, sf_dir, task), task)
     pairs = a.select("model", F.col("prompt_id").alias("pair_id"), F.col("answer").alias("pred"), F.col("gold_text").alias("ref"))
     emb = scan(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    r1 = rouge_n(pairs, 1, ["model"]).drop("pairs")
-    r2 = rouge_n(pairs, 2, ["model"]).drop("pairs")
+    rg = rouge_scores(pairs, (1, 2), ["model"]).drop("pairs")
     em = embed_match(pairs, emb, ["model"])
-    return em.join(r1, "model").join(r2, "model").select("model", "pairs", "rouge1", "rouge2", "emb_p", "emb_r", "emb_f1")
+    return em.join(rg, "model").select("model", "pairs", "rouge1", "rouge2", "emb_p", "emb_r", "emb_f1")
 
 
 def scorer_labels_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +100,4 @@ def cascade_text(spark: SparkSession, sf_dir: str, strategy: str = "strategy-9",
         F.lit(strategy).alias("strategy"), "threshold", F.col("prompt_id").alias("pair_id"), F.col("answer").alias("pred"),
         F.col("gold_text").alias("ref"),
     )
-    r1 = rouge_n(pairs, 1, ["strategy", "threshold"])
-    r2 = rouge_n(pairs, 2, ["strategy", "threshold"]).drop("pairs")
-    return r1.join(r2, ["strategy", "threshold"])
+    return rouge_scores(pairs, (1, 2), ["strategy", "threshold"])

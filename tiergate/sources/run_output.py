@@ -24,11 +24,11 @@ T0 = 1719946222.0
 STEP_S = 2.5
 
 
-def batch_times(planned: DataFrame) -> DataFrame:
-    """(batch_id, start_ts, end_ts) from a batch plan (rows carry n_chars and batch_id)."""
-    per = planned.groupBy("batch_id").agg(F.max("n_chars").alias("max_chars"))
+def batch_times(planned: DataFrame, keys=("batch_id",)) -> DataFrame:
+    """(keys..., start_ts, end_ts) from planned rows carrying ``n_chars`` and the keys (e.g. model, batch_id)."""
+    per = planned.groupBy(*keys).agg(F.max("n_chars").alias("max_chars"))
     start = F.lit(T0) + F.col("batch_id") * F.lit(STEP_S)
-    return per.select("batch_id", start.alias("start_ts"), (start + F.lit(0.5) + F.col("max_chars") / F.lit(1000.0)).alias("end_ts"))
+    return per.select(*keys, start.alias("start_ts"), (start + F.lit(0.5) + F.col("max_chars") / F.lit(1000.0)).alias("end_ts"))
 
 
 def write_run_output_json(answers: DataFrame, times: DataFrame, batch_size: int, base: str) -> None:
