@@ -680,7 +680,8 @@ def q_batch_inference(spark, sf):
     """M1: each model of a chain runs over the length-sorted batch plan through ``mapInPandas`` (the plug-in path)."""
     p = P.prompts(spark, sf, "boolq")
     plan = BT.batch_plan(p, C.BATCH_SIZE_DEFAULT).join(p.select("prompt_id", "gold_class", "prompt_text"), "prompt_id")
-    outs = [RS.pandas_responder(plan, t, lambda t=t: RS.stub_pandas_model("boolq", t)) for t in C.CHAINS["phi"]]
+    laid = RS.prepare_plan(plan)  # laid out and checkpointed once, read by every tier
+    outs = [RS.pandas_responder(laid, t, lambda t=t: RS.stub_pandas_model("boolq", t), prepared=True) for t in C.CHAINS["phi"]]
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

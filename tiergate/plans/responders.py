@@ -102,8 +102,24 @@ def stub_pandas_model(dataset: str, tier: C.Tier) -> Callable[[pd.DataFrame], pd
     return generate
 
 
+def prepare_plan(planned: DataFrame) -> DataFrame:
+    """Lay a batch plan out for inference once, for every tier that will run over it.
+
+    Range partitioning on ``batch_id`` keeps each batch inside one task, sorted; the result is checkpointed to the
+    shared checkpoint folder, so every tier (and any re-run after an executor loss) reads the same layout
+    instead of re-planning.
+    """
+    n = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = (
+        planned.select("prompt_id", "gold_class", "prompt_text", "batch_id")
+        .repartitionByRange(n, "batch_id")
+        .sortWithinPartitions("batch_id", "prompt_id")
+    )
+    return laid.checkpoint(eager=True)
+
+
 def pandas_responder(
-    planned: DataFrame, tier: C.Tier, model_factory: Callable[[], Callable[[pd.DataFrame], pd.Series]]
+    planned: DataFrame, tier: C.Tier, model_factory: Callable[[], Callable[[pd.DataFrame], pd.Series]], prepared: bool = False
 ) -> DataFrame:
     """Run one tier over a batch plan with ``mapInPandas``; the model is built once per Python worker task.
 
@@ -137,11 +153,6 @@ def pandas_responder(
         if pending is not None and not pending.empty:
             yield answer(pending, generate)
 
-    n = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a batch never straddles two tasks: range partitioning keeps equal batch ids together, sorted inside the task
-    cols = (
-        planned.select("prompt_id", "gold_class", "prompt_text", "batch_id")
-        .repartitionByRange(n, "batch_id")
-        .sortWithinPartitions("batch_id", "prompt_id")
-    )
+    cols = planned if prepared else prepare_plan(planned)
     return cols.mapInPandas(run, RESPONSE_SCHEMA)
