@@ -16,7 +16,7 @@ def _rows(df):
 def test_sequential_equals_one_pass(spark):
     for strategy in ("strategy-1", "strategy-9"):
         seq = cascade.sequential_final(spark, SF_MID, strategy, 0.8).drop("n_tiers")
-        one = cascade.sweep_final(spark, SF_MID, "boolq", (strategy,), (0.8,)).drop("n_tiers")
+        one = cascade.sweep_final(spark, SF_MID, "boolq", (strategy,), (0.8,)).drop("n_tiers", "kchar")
         assert _rows(seq) == _rows(one)
 
 
@@ -83,3 +83,17 @@ def test_tier_accounting_adds_up(spark):
     n = cascade.build_prompts(spark, SF_SMALL, "boolq").count()
     for r in acc:
         assert r.completed + r.remaining == n
+
+
+def test_sequential_with_pandas_responder_equals_stub(spark):
+    """C1 through the mapInPandas plug-in (model built once per task) gives the same accepted rows as the stub."""
+    from tiergate.operators.batching import batch_plan
+    from tiergate.plans import responders as RS
+
+    def answers_fn(remaining, tier):
+        plan = batch_plan(remaining.withColumn("dataset", F.lit("boolq")), 4).join(remaining, "prompt_id")
+        return RS.pandas_responder(plan, tier, lambda: RS.stub_pandas_model("boolq", tier)).select("prompt_id", "response")
+
+    a = cascade.sequential_final(spark, SF_SMALL, "strategy-9", 0.7, answers_fn=answers_fn)
+    b = cascade.sequential_final(spark, SF_SMALL, "strategy-9", 0.7)
+    assert _rows(a) == _rows(b)

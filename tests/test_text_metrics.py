@@ -64,3 +64,23 @@ def test_embed_match_identical_texts(spark):
     r = embed_match(_pairs(spark, [("alpha beta gamma", "gamma beta alpha"), ("", "x")]), emb).first()
     # pair 0 matches itself exactly (P = R = 1); pair 1 has an empty side (0)
     assert abs(r.emb_p - 0.5) < 1e-9 and abs(r.emb_r - 0.5) < 1e-9
+
+
+def test_rouge_in_row_equals_exploded(spark):
+    """The shuffle-free counting path and the relational explode/aggregate path agree on every pair."""
+    pairs = TE.conversation_pairs(spark, SF_SMALL)
+    for n in (1, 2):
+        a = {r.pair_id: (r.overlap, r.n_pred, r.n_ref) for r in RG.rouge_n_pairs(pairs, n).collect()}
+        b = {r.pair_id: (r.overlap, r.n_pred, r.n_ref) for r in RG.rouge_n_exploded(pairs, n).collect()}
+        assert a == b
+
+
+def test_embed_broadcast_equals_join_path(spark):
+    from tiergate.operators.embed_match import embed_match
+    from tiergate.sources.tables import scan
+
+    pairs = TE.conversation_pairs(spark, SF_SMALL)
+    emb = scan(spark, SF_SMALL, "embeddings", "vec_id", "embedding")
+    a = embed_match(pairs, emb).first()
+    b = embed_match(pairs, emb, allow_broadcast=False).first()
+    assert tuple(a) == tuple(b)

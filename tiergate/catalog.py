@@ -314,7 +314,7 @@ def q_cascade_sequential(spark, sf):
 
 @register("cascade_cost", sql=lambda: O.cascade_cost_sql(O.sweep_final_sql()))
 def q_cascade_cost(spark, sf):
-    return normalize(cascade.cascade_cost(cascade.sweep_final(spark, sf), P.prompts(spark, sf, "boolq")))
+    return normalize(cascade.cascade_cost(cascade.sweep_final(spark, sf)))
 
 
 @register(
@@ -729,10 +729,8 @@ def q_baseline_broadcast(spark, sf):
 
 @register("cost_quality", sql=O.cost_quality_sql)
 def q_cost_quality(spark, sf):
-    """J9 + C8: quality and energy per (strategy, threshold), full outer join."""
-    sweep = cascade.threshold_sweep(spark, sf)
-    cost = cascade.cascade_cost(cascade.sweep_final(spark, sf), P.prompts(spark, sf, "boolq"))
-    return normalize(CV.cost_quality(sweep, cost))
+    """J9 + C8: quality and energy per (strategy, threshold), full outer join of two reads of the same cells."""
+    return normalize(CV.cost_quality_one_pass(cascade.sweep_final(spark, sf)))
 
 
 @register(
@@ -742,9 +740,7 @@ def q_cost_quality(spark, sf):
     FROM ({O.cost_quality_sql()}) c GROUP BY strategy""",
 )
 def q_curve_series(spark, sf):
-    sweep = cascade.threshold_sweep(spark, sf)
-    cost = cascade.cascade_cost(cascade.sweep_final(spark, sf), P.prompts(spark, sf, "boolq"))
-    return normalize(CV.curve_series(CV.cost_quality(sweep, cost)))
+    return normalize(CV.curve_series(CV.cost_quality_one_pass(cascade.sweep_final(spark, sf))))
 
 
 # ---------------------------------------------------------------------------------------------------------------

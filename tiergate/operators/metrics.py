@@ -28,6 +28,12 @@ def macro_prf(df: DataFrame, group_cols: Sequence[str] = (), gold: str = "gold",
     g = list(group_cols)
     rows = df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull())
     cells = rows.groupBy(*g, F.col(gold).alias("_g"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    return macro_prf_from_cells(cells, g)
+
+
+def macro_prf_from_cells(cells: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """A1 from confusion cells ``(group..., _g, _p, _n)`` - lets several metrics share one aggregation of the rows."""
+    g = list(group_cols)
     hit = F.when(F.col("_g") == F.col("_p"), F.col("_n")).otherwise(F.lit(0))
     per_cell = cells.select(
         *g,

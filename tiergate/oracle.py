@@ -467,12 +467,10 @@ def batch_records_sql() -> str:
 
 
 def emission_records_sql() -> str:
-    from .sources.emissions import GAP_PCT
-
     return f"""
     SELECT dataset || '_' || run || '_' || CAST(batch AS VARCHAR) AS project_name, dataset || '_' || run AS folder, run, batch, event_id, md5(CAST(event_id AS VARCHAR)) AS run_id,
            duration_s AS duration, energy_kwh AS energy_consumed
-    FROM ({batch_records_sql()}) b WHERE {sql_h(sql_key('event_id', q('-gap')))} >= {GAP_PCT}"""
+    FROM ({batch_records_sql()}) b"""
 
 
 def sql_wh_rounded(x: str) -> str:

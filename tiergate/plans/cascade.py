@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import rules
 from ..functions.text import computed_once, strip_echo
-from ..operators.metrics import macro_prf
+from ..operators.metrics import macro_prf, macro_prf_from_cells
 from ..sources.prompts import prompts as build_prompts
 from .responders import N_CLASSES, answer_class, phrase, stub_answers, stub_score
 
@@ -54,7 +54,10 @@ def scored_wide(prompts: DataFrame, dataset: str, strategies: Sequence[str]) ->
     rule = RULES[dataset]
     n_classes = N_CLASSES[dataset]
     base = prompts.select("prompt_id", "gold_class", "prompt_text", F.explode(strategies_array(strategies)).alias("s"))
-    cols = [F.col("s.strategy").alias("strategy"), "prompt_id", "gold_class", F.size("s.tiers").alias("n_tiers")]
+    cols = [
+        F.col("s.strategy").alias("strategy"), "prompt_id", "gold_class", F.size("s.tiers").alias("n_tiers"),
+        (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"),
+    ]
     preds = []
     for k in range(_max_len(strategies)):
         t = F.col("s.tiers")[k]
@@ -91,8 +94,41 @@ def sweep_final(
         cond = (F.col(f"s{k}") > t) | (F.col("n_tiers") == k + 1)
         accepted = F.when(cond, pick) if accepted is None else F.when(cond, pick).otherwise(accepted)
     return with_t.select(
-        "strategy", "threshold", "prompt_id", F.col("gold_class").alias("gold"), accepted.alias("a"), "n_tiers"
-    ).select("strategy", "threshold", "prompt_id", "a.tier", "a.model", "gold", "a.pred", "a.score", "n_tiers")
+        "strategy", "threshold", "prompt_id", F.col("gold_class").alias("gold"), accepted.alias("a"), "n_tiers", "kchar"
+    ).select("strategy", "threshold", "prompt_id", "a.tier", "a.model", "gold", "a.pred", "a.score", "n_tiers", "kchar")
+
+
+def prompt_cost(tier: Column, n_tiers: Column, kchar: Column) -> Column:
+    """C7 for one accepted row: model calls on tiers 1..tier, scorer calls on tiers below the last, x prompt size."""
+    total = F.lit(0.0)
+    for t, r in MODEL_WH_PER_KCHAR.items():
+        scorer = F.when(F.lit(t) < n_tiers, F.lit(SCORER_WH_PER_KCHAR)).otherwise(F.lit(0.0))
+        total = total + F.when(tier >= F.lit(t), F.lit(r) + scorer).otherwise(F.lit(0.0))
+    return kchar * total
+
+
+def sweep_cells(final: DataFrame) -> DataFrame:
+    """One aggregation of the accepted rows into (strategy, threshold, gold, pred) cells with row count, model
+    calls and Wh - the macro metrics and the cost both read these cells (one scan, one shuffle of counters)."""
+    valid = F.col("gold").isNotNull() & F.col("pred").isNotNull()
+    return final.groupBy("strategy", "threshold", F.col("gold").alias("_g"), F.col("pred").alias("_p")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count(F.when(valid, F.lit(1))).alias("_nv"),
+        F.sum("tier").alias("_calls"),
+        F.sum(prompt_cost(F.col("tier"), F.col("n_tiers"), F.col("kchar"))).alias("_wh"),
+    )
+
+
+def quality_from_cells(cells: DataFrame) -> DataFrame:
+    # filter on an aggregate output (not on the grouping keys), so it stays above the shared aggregation and both
+    # readers of ``cells`` keep the same sub-plan (the exchange is reused, the rows are read once)
+    return macro_prf_from_cells(cells.where(F.col("_nv") > 0), ["strategy", "threshold"])
+
+
+def cost_from_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("strategy", "threshold").agg(
+        F.sum("_calls").alias("model_calls"), F.round(F.sum("_wh"), 6).alias("energy_wh")
+    )
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str, dataset: str = "boolq", strategies=tuple(C.STRATEGIES), thresholds=C.THRESHOLDS_BOOLQ) -> DataFrame:
@@ -176,23 +212,16 @@ def cascade_sequential(spark: SparkSession, sf_dir: str, strategies=tuple(C.STRA
     return macro_prf(final, ["strategy", "threshold"])
 
 
-def cascade_cost(final: DataFrame, prompts: DataFrame) -> DataFrame:
+def cascade_cost(final: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
     """A prompt pays for every tier up to the accepting one (model call), plus the scorer on non-last tiers.
 
-    Visited tiers come from ``sequence(1, tier)`` (a generate, no join); only the prompt length is joined in.
+    The prompt size rides along in the one-pass rows (``kchar``), so no join back to the prompts is needed; rows
+    without it (the sequential cascade) get it from ``prompts``.
     """
-    lengths = prompts.select("prompt_id", (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"))
-    rows = final.join(lengths, "prompt_id").select(
-        "strategy", "threshold", "kchar", "tier", "n_tiers", F.explode(F.sequence(F.lit(1), F.col("tier"))).alias("visited")
-    )
-    rate = F.lit(0.0)
-    for tier, r in MODEL_WH_PER_KCHAR.items():
-        rate = F.when(F.col("visited") == tier, F.lit(r)).otherwise(rate)
-    scorer = F.when(F.col("visited") < F.col("n_tiers"), F.lit(SCORER_WH_PER_KCHAR)).otherwise(F.lit(0.0))
-    cost = F.col("kchar") * (rate + scorer)
-    return rows.groupBy("strategy", "threshold").agg(
-        F.count(F.lit(1)).alias("model_calls"), F.round(F.sum(cost), 6).alias("energy_wh")
-    )
+    if "kchar" not in final.columns:
+        sizes = prompts.select("prompt_id", (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"))
+        final = final.join(sizes, "prompt_id")
+    return cost_from_cells(sweep_cells(final))
 
 
 def scored_long(prompts: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:

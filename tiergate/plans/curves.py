@@ -52,7 +52,10 @@ def union_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def sink_results(rows: DataFrame, base: str) -> None:
-    """Partition by strategy, overwrite only the partitions present in ``rows``."""
+    """Partition by strategy, overwrite only the partitions present in ``rows``.
+
+    Quality rows are one per (strategy, threshold): a handful per strategy, so hashing on the strategy is safe.
+    """
     (
         rows.withColumn("strategy", F.col("Model"))
         .repartition("strategy")
@@ -87,6 +90,12 @@ def baseline_broadcast(base: DataFrame, thresholds: Sequence[float] = C.THRESHOL
     return base.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
 
 
+def cost_quality_one_pass(final: DataFrame) -> DataFrame:
+    """C8 from one aggregation of the accepted rows: quality and cost read the same cells (exchange reused)."""
+    cells = cascade.sweep_cells(final)
+    return cost_quality(cascade.quality_from_cells(cells), cascade.cost_from_cells(cells))
+
+
 def cost_quality(sweep: DataFrame, cost: DataFrame) -> DataFrame:
     """J9 + C8: (strategy, threshold, m_f1, energy_wh) by a full outer join on the two keys."""
     q = sweep.select("strategy", "threshold", "m_f1")

@@ -73,10 +73,14 @@ def scan_run_output(spark: SparkSession, base: str, batch_size: int) -> DataFram
 
 
 def write_responses(responses: DataFrame, batches: DataFrame, base: str) -> None:
-    """``responses(model, prompt_id, batch_id, response)`` and ``batches(model, batch_id, start_ts, end_ts)``."""
+    """``responses(model, prompt_id, batch_id, response)`` and ``batches(model, batch_id, start_ts, end_ts)``.
+
+    Range partitioning on (model, batch_id): one model's run (the whole prompt table) is written by many tasks.
+    """
     for name, df in (("responses", responses), ("batches", batches)):
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         (
-            df.repartition("model")
+            df.repartitionByRange(n, "model", "batch_id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("model")
