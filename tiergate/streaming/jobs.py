@@ -44,19 +44,29 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_energy(spark: SparkSession, sf_dir: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """(window_start, event_type, events, energy_wh) for windows closed by the watermark."""
-    ev = events_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    agg = (
-        ev.withWatermark("ts", delay)
-        .groupBy(F.window("ts", window), "event_type")
-        .agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value") / F.lit(1000.0)).alias("energy_wh"))
-    )
-    out = agg.select(
-        F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", "energy_wh"
-    )
+    """(window_start, event_type, events, energy_wh) for windows closed by the watermark.
+
+    Event times are wall-clock (``timestamp_ntz``). They are read as UTC - the session zone is pinned to UTC while
+    the stream is planned and run, and restored after - so window bounds and the rendered window start do not
+    depend on the caller's session time zone.
+    """
     run = uuid.uuid4().hex
     path = scratch_path(spark, "stream_energy", run, "out")
-    _run_to_parquet(out, path, scratch_path(spark, "stream_energy", run, "ckpt"))
+    old_tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        ev = events_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+        agg = (
+            ev.withWatermark("ts", delay)
+            .groupBy(F.window("ts", window), "event_type")
+            .agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value") / F.lit(1000.0)).alias("energy_wh"))
+        )
+        out = agg.select(
+            F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", "energy_wh"
+        )
+        _run_to_parquet(out, path, scratch_path(spark, "stream_energy", run, "ckpt"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
     res = spark.read.parquet(path)
     return res.select("window_start", "event_type", "events", F.round("energy_wh", 6).alias("energy_wh"))
 
