@@ -771,7 +771,8 @@ def q_score_rows(spark, sf):
 
 @register("train_grid")
 def q_train_grid(spark, sf):
-    return SC.train_grid(spark, sf)
+    """M6 + S10: the strategy grid, its training log appended to a ``strategies`` table and read back."""
+    return SC.train_grid(spark, sf, log_path=scratch_path(spark, "strategies", _uuid.uuid4().hex))
 
 
 @register("scorer_layouts")

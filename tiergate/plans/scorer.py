@@ -91,8 +91,12 @@ def grid_for_strategy(lr: float, epochs: int) -> tuple[float, int]:
     return (lr * 1000.0, 2 * epochs)
 
 
-def train_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6: one pooled scorer per strategy of the grid; one report row per strategy."""
+def train_grid(spark: SparkSession, sf_dir: str, log_path: str | None = None) -> DataFrame:
+    """M6: one pooled scorer per strategy of the grid; one report row per strategy.
+
+    S10: the report rows (strategy, learning rate, epochs, ...) are appended to the ``strategies`` training-log
+    table at ``log_path`` when one is given, and the table is returned as read back.
+    """
     rows = training_rows(spark, sf_dir)
     out = []
     for name, lr, epochs in C.STRATEGY_GRID:
@@ -101,7 +105,11 @@ def train_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, _, n_train, n_val, loss = rep[0]
         out.append((name, float(lr), int(epochs), float(reg), int(it), int(n_train), int(n_val), float(loss)))
     schema = "strategy string, learning_rate double, epochs bigint, reg_param double, max_iter bigint, n_train bigint, n_val bigint, val_logloss double"
-    return spark.createDataFrame(out, schema)
+    report = spark.createDataFrame(out, schema)
+    if log_path is None:
+        return report
+    report.coalesce(1).write.mode("append").parquet(log_path)
+    return spark.read.parquet(log_path)
 
 
 def scorer_layouts(spark: SparkSession, sf_dir: str, strategy: str = "strategy-1") -> DataFrame:
