@@ -62,22 +62,40 @@ def _logloss(model: PipelineModel, val: DataFrame) -> float:
     return MulticlassClassificationEvaluator(labelCol="label", metricName="logLoss").evaluate(pred)
 
 
-def fit_best(rows: DataFrame, grid: Sequence[tuple[float, int]]) -> tuple[PipelineModel, list[tuple]]:
-    """Fit every (regParam, maxIter) on the train split; keep the lowest validation log-loss.
+def fit_grid(rows: DataFrame, grid: Sequence[tuple[float, int]], parallelism: int = 4) -> tuple[list[tuple], int, int]:
+    """Fit every (regParam, maxIter) on the train split and score it on validation log-loss.
+
+    The two splits are cached once for all settings, and the settings are fitted concurrently (each fit is a
+    series of Spark jobs; a small thread pool keeps the cluster busy while one fit waits on its driver step).
+    Returns ([(reg, iter, model, loss)], n_train, n_val).
+    """
+    from concurrent.futures import ThreadPoolExecutor
 
-    The training table is cached once for the few fits (each fit makes several passes over it)."""
     train = rows.where(F.col("split") == "train").cache()
     val = rows.where(F.col("split") == "validation").cache()
     n_train, n_val = train.count(), val.count()
-    best, best_loss, report = None, None, []
-    for reg, it in grid:
+
+    def one(setting):
+        reg, it = setting
         model = pipeline(reg, it).fit(train)
         loss = _logloss(model, val) if n_val else float("nan")
-        report.append((reg, it, n_train, n_val, loss))
-        if best is None or (loss == loss and (best_loss != best_loss or loss < best_loss)):
-            best, best_loss = model, loss
-    train.unpersist()
-    val.unpersist()
+        return (reg, it, model, loss)
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(grid)))) as pool:
+            fitted = list(pool.map(one, grid))
+    finally:
+        train.unpersist()
+        val.unpersist()
+    return fitted, n_train, n_val
+
+
+def fit_best(rows: DataFrame, grid: Sequence[tuple[float, int]]) -> tuple[PipelineModel, list[tuple]]:
+    """Keep the setting with the lowest validation log-loss ("best epoch on validation")."""
+    fitted, n_train, n_val = fit_grid(rows, grid)
+    report = [(reg, it, n_train, n_val, loss) for reg, it, _, loss in fitted]
+    scored = [f for f in fitted if f[3] == f[3]]
+    best = min(scored, key=lambda f: f[3])[2] if scored else fitted[0][2]
     return best, report
 
 
@@ -98,12 +116,12 @@ def train_grid(spark: SparkSession, sf_dir: str, log_path: str | None = None) ->
     table at ``log_path`` when one is given, and the table is returned as read back.
     """
     rows = training_rows(spark, sf_dir)
-    out = []
-    for name, lr, epochs in C.STRATEGY_GRID:
-        reg, it = grid_for_strategy(lr, epochs)
-        _, rep = fit_best(rows, [(reg, it)])
-        _, _, n_train, n_val, loss = rep[0]
-        out.append((name, float(lr), int(epochs), float(reg), int(it), int(n_train), int(n_val), float(loss)))
+    settings = [grid_for_strategy(lr, epochs) for _, lr, epochs in C.STRATEGY_GRID]
+    fitted, n_train, n_val = fit_grid(rows, settings)
+    out = [
+        (name, float(lr), int(epochs), float(reg), int(it), int(n_train), int(n_val), float(loss))
+        for (name, lr, epochs), (reg, it, _, loss) in zip(C.STRATEGY_GRID, fitted)
+    ]
     schema = "strategy string, learning_rate double, epochs bigint, reg_param double, max_iter bigint, n_train bigint, n_val bigint, val_logloss double"
     report = spark.createDataFrame(out, schema)
     if log_path is None:
@@ -114,16 +132,23 @@ def train_grid(spark: SparkSession, sf_dir: str, log_path: str | None = None) ->
 
 def scorer_layouts(spark: SparkSession, sf_dir: str, strategy: str = "strategy-1") -> DataFrame:
     """Per-model scorers vs one pooled scorer for a strategy; validation log-loss of each."""
+    from concurrent.futures import ThreadPoolExecutor
+
     lr, epochs = next((lr, e) for n, lr, e in C.STRATEGY_GRID if n == strategy)
-    reg, it = grid_for_strategy(lr, epochs)
+    setting = grid_for_strategy(lr, epochs)
     rows = training_rows(spark, sf_dir).cache()
-    out = []
     models = [t.model for ch in ("flan", "phi") for t in C.CHAINS[ch]]
-    for m in models:
-        _, rep = fit_best(rows.where(F.col("model") == m), [(reg, it)])
-        out.append((strategy, "per_model", m, int(rep[0][2]), int(rep[0][3]), float(rep[0][4])))
-    _, rep = fit_best(rows, [(reg, it)])
-    out.append((strategy, "pooled", None, int(rep[0][2]), int(rep[0][3]), float(rep[0][4])))
-    rows.unpersist()
+    jobs = [("per_model", m, rows.where(F.col("model") == m)) for m in models] + [("pooled", None, rows)]
+
+    def one(job):
+        layout, m, subset = job
+        fitted, n_train, n_val = fit_grid(subset, [setting], parallelism=1)
+        return (strategy, layout, m, int(n_train), int(n_val), float(fitted[0][3]))
+
+    try:
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            out = list(pool.map(one, jobs))
+    finally:
+        rows.unpersist()
     schema = "strategy string, layout string, model string, n_train bigint, n_val bigint, val_logloss double"
     return spark.createDataFrame(out, schema)
