@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from . import config as C
 from . import oracle as O
-from .operators.metrics import macro_prf
+
 from .plans import cascade
 from .registry import register
 from .sources import prompts as P
@@ -194,7 +194,7 @@ def q_scorer_input(spark, sf):
     return normalize(out[0].unionByName(out[1]))
 
 
-def _tier1_scored_sql(threshold: float | None = None) -> str:
+def _tier1_scored_sql() -> str:
     return (
         f"SELECT strategy, prompt_id, score FROM ({O.scored_long_sql('boolq', tuple(C.STRATEGIES))}) s WHERE tier = 1"
     )

@@ -19,7 +19,7 @@ from .. import config as C
 from ..functions.hashing import hex_bits, key
 from ..functions.text import echoes, strip_echo
 from ..operators.embed_match import embed_match, embed_match_pairs
-from ..operators.rouge import rouge_n, rouge_scores
+from ..operators.rouge import rouge_scores
 from ..sources import prompts as P
 from ..sources.tables import scan
 from .responders import stub_score

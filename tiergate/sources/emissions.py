@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import config as C
+
 from ..operators.ranking import row_number_by
 from .tables import scan
 
