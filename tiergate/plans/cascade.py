@@ -205,7 +205,12 @@ def sequential_final(
 
 
 def cascade_sequential(spark: SparkSession, sf_dir: str, strategies=tuple(C.STRATEGIES), threshold: float = 0.8) -> DataFrame:
-    parts = [sequential_final(spark, sf_dir, s, threshold) for s in strategies]
+    """C1 for several strategies; their tier loops are independent, so they run concurrently (one driver thread
+    each, Spark schedules the jobs side by side)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, len(strategies))) as pool:
+        parts = list(pool.map(lambda s: sequential_final(spark, sf_dir, s, threshold), strategies))
     final = parts[0]
     for p in parts[1:]:
         final = final.unionByName(p)

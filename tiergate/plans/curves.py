@@ -91,8 +91,9 @@ def baseline_broadcast(base: DataFrame, thresholds: Sequence[float] = C.THRESHOL
 
 
 def cost_quality_one_pass(final: DataFrame) -> DataFrame:
-    """C8 from one aggregation of the accepted rows: quality and cost read the same cells (exchange reused)."""
-    cells = cascade.sweep_cells(final)
+    """C8 from one aggregation of the accepted rows: the (strategy, threshold, gold, pred) cells - a few rows per
+    grid point - are checkpointed once, and quality and cost are both read from them before the J9 join."""
+    cells = cascade.sweep_cells(final).checkpoint(eager=True)
     return cost_quality(cascade.quality_from_cells(cells), cascade.cost_from_cells(cells))
 
 
