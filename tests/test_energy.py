@@ -42,3 +42,20 @@ def test_dedup_last_wins_and_lookup_gaps(spark):
     strict = sorted(r.batch for r in EN.energy_lookup(b, strict_reference=True).collect())
     assert strict == [0, 2]  # n = 3 records -> indices 0..2; batch 1 missing, batch 3 beyond n
     assert sorted(r.batch for r in EN.energy_lookup(b, strict_reference=False).collect()) == [0, 2, 3]
+
+
+# Fixed golden values: energy_consumed (kWh) of the 25 batches of a second published run.
+GOLDEN_KWH_25 = [
+    0.0006736189729051, 0.0004792409712339, 0.0004629454900953, 0.0004612733102116, 0.0004814460504768,
+    0.0004676203576694, 0.0004924677467869, 0.0004705127964564, 0.0004744164031735, 0.0004829793876584,
+    0.0004872438606568, 0.0004815962782824, 0.0004790185748322, 0.0004801210991921, 0.0004805152284578,
+    0.0004802479161639, 0.0004781374231513, 0.0004826856689135, 0.0004921559325606, 0.0004865578139069,
+    0.0004805033424429, 0.0004891381497281, 0.0004846646146592, 0.0004862316273153, 0.00048574475522534226,
+]
+
+
+def test_round_first_second_run(spark):
+    b = EN.energy_batches(_records(spark, GOLDEN_KWH_25, run="Phi-3-small-8k-instruct"), "samsum_test_1k")
+    r = EN.energy_rollup(b).first()
+    assert r.batches == 25 and abs(r.total_wh - 12.202) < 1e-12
+    assert round(sum(v * 1000 for v in GOLDEN_KWH_25), 3) == 12.201
