@@ -4,7 +4,8 @@ The studied runner appends one emission record per batch while it runs and route
 streams:
 
 * ``stream_energy`` (T1): per-run energy in tumbling event-time windows with a watermark, append mode - a window
-  is emitted once the watermark passes its end; rows later than the watermark are dropped;
+  is emitted once the watermark passes its end; a row older than the watermark in force for late rows (the one
+  set by the previous micro-batch) is dropped;
 * ``stream_gate`` (T2): the gate as a stateless stream; ``foreachBatch`` writes each micro-batch to an accepted
   and an escalated table, overwriting that micro-batch's partition so a replayed batch is not written twice;
 * ``stream_dedup`` (T3): duplicate emission records removed with ``dropDuplicatesWithinWatermark`` - the *first*
@@ -38,12 +39,19 @@ def _run_to_parquet(stream: DataFrame, out: str, ckpt: str, mode: str = "append"
     q.awaitTermination()
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, source: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a file stream (``source`` overrides the path pattern, e.g. a folder of arriving files)."""
     schema = spark.read.parquet(table_path(sf_dir, "events")).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(source or f"{sf_dir.rstrip('/')}/events*.parquet")
 
 
-def stream_energy(spark: SparkSession, sf_dir: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
+def stream_energy(
+    spark: SparkSession, sf_dir: str, window: str = "1 day", delay: str = "1 hour", source: str | None = None,
+    files_per_trigger: int | None = None,
+) -> DataFrame:
     """(window_start, event_type, events, energy_wh) for windows closed by the watermark.
 
     Event times are wall-clock (``timestamp_ntz``). They are read as UTC - the session zone is pinned to UTC while
@@ -55,7 +63,9 @@ def stream_energy(spark: SparkSession, sf_dir: str, window: str = "1 day", delay
     old_tz = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
-        ev = events_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+        ev = events_stream(spark, sf_dir, source, files_per_trigger).select(
+            F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"
+        )
         agg = (
             ev.withWatermark("ts", delay)
             .groupBy(F.window("ts", window), "event_type")
