@@ -33,7 +33,7 @@ def test_tracker_log_parser_on_published_format(spark, tmp_path):
         "2024-07-03 23:50:33 - Duration: 0:00:01.05\n"
         "2024-07-03 23:50:33 - Average power usage (W) for gpu: [57.903]\n"
         "2024-07-03 23:50:33 - Average power usage (W) for cpu: None\n"
-        "2024-07-03 23:50:34 - Average carbon intensity during training was 626.01 gCO2/kWh at detected location: Delhi, Delhi, IN.\n"
+        "2024-07-03 23:50:34 - Average carbon intensity during training was 626.01 gCO2/kWh at detected location: IN.\n"
     )
     out = (
         "2024-07-03 23:55:36 - CarbonTracker: \nActual consumption for 1 epoch(s):\n\tTime:\t0:00:02\n"

@@ -23,12 +23,12 @@ from ..functions.hashing import h, key
 
 # Line formats of the tracker log, as the parser expects them.
 VERSION_LINE = "{ts} - carbontracker version 1.2.5"
-PUE_LINE = "{ts} - Only predicted and actual consumptions are multiplied by a PUE coefficient of 1.55 (Rhonda Ascierto, 2022, Uptime Institute Global Data Center Survey)."
+PUE_LINE = "{ts} - Only predicted and actual consumptions are multiplied by a PUE coefficient of 1.55."
 EPOCH_LINE = "{ts} - Epoch 1:"
 DURATION_LINE = "{ts} - Duration: {dur}"
 GPU_LINE = "{ts} - Average power usage (W) for gpu: {gpu}"
 CPU_LINE = "{ts} - Average power usage (W) for cpu: {cpu}"
-INTENSITY_LINE = "{ts} - Average carbon intensity during training was 626.01 gCO2/kWh at detected location: Delhi, Delhi, IN."
+INTENSITY_LINE = "{ts} - Average carbon intensity during training was 626.01 gCO2/kWh at detected location: IN."
 ACTUAL_BLOCK = (
     "{ts} - CarbonTracker: \nActual consumption for 1 epoch(s):\n\tTime:\t0:00:02\n\tEnergy:\t{kwh} kWh\n"
     "\tCO2eq:\t{co2} g\n\tThis is equivalent to:\n\t{km} km travelled by car\n"
@@ -127,7 +127,7 @@ def scan_tracker_logs(spark: SparkSession, base: str) -> DataFrame:
     logs = docs.where(F.col("kind") == "log").select(
         "run", "batch",
         F.regexp_extract("value", "carbontracker version ([0-9.]+)", 1).alias("version"),
-        _num(F.col("value"), "PUE coefficient of ([0-9.]+)").alias("pue"),
+        _num(F.col("value"), "PUE coefficient of ([0-9]+(?:[.][0-9]+)?)").alias("pue"),
         (
             F.regexp_extract("value", "Duration: ([0-9]+):([0-9]{2}):([0-9.]+)", 1).cast("double") * 3600
             + F.regexp_extract("value", "Duration: ([0-9]+):([0-9]{2}):([0-9.]+)", 2).cast("double") * 60
@@ -135,7 +135,7 @@ def scan_tracker_logs(spark: SparkSession, base: str) -> DataFrame:
         ).alias("duration_s"),
         _list(F.col("value"), "for gpu: (None|\\[[^\\]]*\\])").alias("gpu_w"),
         _list(F.col("value"), "for cpu: (None|\\[[^\\]]*\\])").alias("cpu_w"),
-        _num(F.col("value"), "during training was ([0-9.]+) gCO2/kWh").alias("intensity_g_kwh"),
+        _num(F.col("value"), "during training was ([0-9]+(?:[.][0-9]+)?) gCO2/kWh").alias("intensity_g_kwh"),
     )
     outs = docs.where(F.col("kind") == "output").select(
         "run", "batch",
