@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import first_line
-from .tables import scan
+from .tables import scan, spread_small
 
 PROMPT_COLUMNS = ("prompt_id", "dataset", "prompt_text", "gold_class", "gold_text")
 TURN_STRIDE = 1000  # samsum prompt_id = conv_id * 1000 + turn (turns per conversation are far below 1000)
@@ -37,7 +37,7 @@ def fill_template(pieces: tuple[str, ...], *inputs) -> F.Column:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scan(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread_small(scan(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
     labels = scan(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id")
 
@@ -65,7 +65,7 @@ def mnli_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cnn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scan(spark, sf_dir, "documents", "doc_id", "text")
+    d = spread_small(scan(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
     return d.select(
         F.col("doc_id").alias("prompt_id"),
         F.lit("cnn_dm").alias("dataset"),
@@ -77,7 +77,7 @@ def cnn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, conv_id, user_text, assistant_text): a user turn and the assistant turn right after it."""
-    conv = scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    conv = spread_small(scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn")
     user = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
     bot = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text")
