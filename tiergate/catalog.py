@@ -855,3 +855,20 @@ def q_scan_tracker_logs(spark, sf):
             "intensity_g_kwh", "energy_kwh", "co2_g", "km",
         )
     )
+
+
+@register(
+    "grid",
+    sql=lambda: f"""WITH r AS (
+      SELECT regexp_extract(regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1), '^(.*)-[^-]*$', 1) AS strategy,
+             TRY_CAST(split_part(regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1), '-', -1) AS DOUBLE) AS threshold
+      FROM ({O.emission_records_sql()}) x)
+    SELECT s.strategy, t.threshold FROM (SELECT DISTINCT strategy FROM r WHERE strategy <> '') s
+    CROSS JOIN (SELECT DISTINCT threshold FROM r WHERE threshold IS NOT NULL) t""",
+)
+def q_grid(spark, sf):
+    """Strategies x thresholds of the measured runs (run names parsed from the emission records)."""
+    recs = EM.emission_records(spark, sf)
+    parts = EN.parse_project_name(F.col("project_name"), EM.DATASET)
+    runs = recs.select(parts["strategy"].alias("strategy"), parts["threshold"].alias("threshold"))
+    return normalize(CV.strategy_threshold_grid(runs))

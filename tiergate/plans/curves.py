@@ -112,3 +112,14 @@ def curve_series(points: DataFrame) -> DataFrame:
         "pts", lambda x: F.format_string("%.2f:%.9f:%.6f", x["threshold"], x["m_f1"], x["energy_wh"])
     )
     return per.select("strategy", "points", F.array_join(fmt, "|").alias("series"))
+
+
+def strategy_threshold_grid(runs: DataFrame) -> DataFrame:
+    """Every strategy seen in ``runs`` at every threshold seen in ``runs`` (the grid the studied mains loop over).
+
+    No cross join: the distinct thresholds are one grid axis - a short list - read as a scalar subquery and
+    exploded next to each distinct strategy.
+    """
+    axis = runs.where(F.col("threshold").isNotNull()).select(F.array_sort(F.collect_set("threshold"))).scalar()
+    strategies = runs.where(F.col("strategy") != "").select("strategy").distinct()
+    return strategies.select("strategy", F.explode(axis).alias("threshold"))
