@@ -50,26 +50,33 @@ def _max_len(strategies: Sequence[str]) -> int:
 
 
 def scored_wide(prompts: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:
-    """One row per (strategy, prompt) with tier k's model, pred and score in columns ``m{k}``, ``p{k}``, ``s{k}``."""
+    """One row per (strategy, prompt) with tier k's model, pred and score in columns ``m{k}``, ``p{k}``, ``s{k}``.
+
+    An echoing stub model answers ``prompt_text || phrase``, and the echo strip (P6) of that is exactly ``phrase``
+    (null when the prompt is null). The sweep therefore reads the stripped answer directly and carries only the
+    prompt's size: no per-tier copy of every prompt is built and cut again. P6 itself runs wherever a response
+    table is read (``labelled_answers``, ``sequential_final``, the evaluators, ``echo_strip``).
+    """
     rule = RULES[dataset]
     n_classes = N_CLASSES[dataset]
-    base = prompts.select("prompt_id", "gold_class", "prompt_text", F.explode(strategies_array(strategies)).alias("s"))
-    cols = [
-        F.col("s.strategy").alias("strategy"), "prompt_id", "gold_class", F.size("s.tiers").alias("n_tiers"),
+    narrow = prompts.select(
+        "prompt_id", "gold_class", F.col("prompt_text").isNull().alias("no_prompt"),
         (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"),
-    ]
+    )
+    base = narrow.select("*", F.explode(strategies_array(strategies)).alias("s"))
+    cols = [F.col("s.strategy").alias("strategy"), "prompt_id", "gold_class", F.size("s.tiers").alias("n_tiers"), "kchar"]
     preds = []
     for k in range(_max_len(strategies)):
         t = F.col("s.tiers")[k]
         pid, gold = F.col("prompt_id"), F.col("gold_class")
         cls = answer_class(pid, gold, t["model"], t["skill"], n_classes)
         text = phrase(dataset, cls, pid, t["model"])
-        response = F.when(~t["model"].contains(C.NON_ECHO_MARKER), F.concat(F.col("prompt_text"), text)).otherwise(text)
-        pred = rule(strip_echo(response, F.col("prompt_text"), t["model"]), t["model"])
+        answer = F.when(~t["model"].contains(C.NON_ECHO_MARKER) & F.col("no_prompt"), F.lit(None).cast("string")).otherwise(text)
+        pred = rule(answer, t["model"])
         cols += [t["tier"].alias(f"t{k}"), t["model"].alias(f"m{k}")]
         preds.append(pred.alias(f"p{k}"))
     # labels are computed once per row; later scores and the accept chain read them as plain columns
-    wide = computed_once(base.select(*cols, "prompt_text", "s"), *preds).drop("prompt_text", "s")
+    wide = computed_once(base.select(*cols, "no_prompt", "s"), *preds).drop("no_prompt", "s")
     score_cols = [
         stub_score(F.col("strategy"), F.col("prompt_id"), F.col(f"m{k}"), F.col(f"p{k}") == F.col("gold_class")).alias(f"s{k}")
         for k in range(_max_len(strategies))

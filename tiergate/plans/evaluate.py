@@ -43,13 +43,15 @@ def _pick(values, k: Column) -> Column:
 def task_rows(spark: SparkSession, sf_dir: str, tasks: Sequence[str]) -> DataFrame:
     """(task, prompt_id, model, prompt_text, quality, toxic) for every labelled document, task and model."""
     d = labelled_documents(spark, sf_dir)
+    # only the first line of a document is used: cut it before the rows are multiplied by tasks and models
     t = d.select(
-        F.col("doc_id").alias("prompt_id"), "text", "quality", "toxic", F.explode(_lit_list(tasks)).alias("task")
+        F.col("doc_id").alias("prompt_id"), first_line("text").alias("line"), "quality", "toxic",
+        F.explode(_lit_list(tasks)).alias("task"),
     )
     m = t.select("*", F.explode(_models_array()).alias("m"))
     return m.select(
         "task", "prompt_id", F.col("m.model").alias("model"), F.col("m.skill").alias("skill"),
-        F.concat(F.col("task"), F.lit(": "), first_line("text")).alias("prompt_text"), "quality", "toxic",
+        F.concat(F.col("task"), F.lit(": "), F.col("line")).alias("prompt_text"), "quality", "toxic",
     )
 
 
