@@ -6,9 +6,10 @@ Two ways to run a cascade over a prompt table:
   unrolled into column expressions; thresholds are a literal array exploded next to the row, and the accepting
   tier is the first whose score is strictly above the threshold (the last tier always accepts). No join, no
   shuffle until the metric aggregation, which moves only counters. This is the default for threshold grids.
-* ``sequential_final`` (C1): the reference's loop - a driver loop over the (at most a handful of) tiers; each
-  tier answers only the rows still remaining (``left_anti`` against what earlier tiers accepted), and the
-  remainder is checkpointed so earlier tiers are never re-run. Use it for one threshold with costly models.
+* ``sequential_final`` (C1): the studied loop - a driver loop over the (at most a handful of) tiers; each
+  tier answers only the rows still remaining (the escalated side of the previous gate, i.e. all rows minus the
+  accepted ones), and the remainder is checkpointed so earlier tiers are never re-run. Use it for one threshold
+  with costly models.
 
 Both give the same accepted rows (tests check C1 = C2).
 """
@@ -199,7 +200,7 @@ def sequential_final(
         )
         if last:
             break
-        # escalate: null score or score <= threshold (J4 as the complement of the accepted set)
+        # escalate: null score or score <= threshold - the complement of this tier's accepted set
         remaining = scored.where(~F.coalesce(F.col("score") > F.lit(float(threshold)), F.lit(False))).select(
             "prompt_id", "gold_class", "prompt_text"
         ).checkpoint(eager=True)

@@ -64,13 +64,18 @@ def _respond(phrase: Column) -> Column:
     return strip_echo(response, F.col("prompt_text"), F.col("model"))
 
 
+def _hashed(rows: DataFrame, *tags: str) -> DataFrame:
+    """The per-row hash buckets, computed once (the task branches below read them as plain columns)."""
+    return computed_once(rows, *[_hash(t).alias(f"h{t.strip('-')}") for t in tags])
+
+
 def class_labelled(spark: SparkSession, sf_dir: str, tasks: Sequence[str] = CLASS_TASKS) -> DataFrame:
     """(task, model, prompt_id, gold, answer, pred) for the class tasks."""
-    rows = task_rows(spark, sf_dir, tasks)
+    rows = _hashed(task_rows(spark, sf_dir, tasks), "-a-", "-w-", "-p-")
     gold = F.when(F.col("task") == "mnli", F.col("quality") + F.col("toxic")).otherwise(F.col("quality")).cast("int")
     n = F.when(F.col("task") == "mnli", F.lit(3)).otherwise(F.lit(2))
-    right = (_hash("-a-") % F.lit(100)) < F.col("skill")
-    wrong = (gold + F.lit(1) + _hash("-w-") % (n - F.lit(1))) % n
+    right = (F.col("ha") % F.lit(100)) < F.col("skill")
+    wrong = (gold + F.lit(1) + F.col("hw") % (n - F.lit(1))) % n
     cls = F.when(right, gold).otherwise(wrong).cast("int")
     phrase = None
     pred = None
@@ -79,7 +84,7 @@ def class_labelled(spark: SparkSession, sf_dir: str, tasks: Sequence[str] = CLAS
         table = C.EVAL_CLASS_PHRASES[task]
         lit_table = F.array(*[_lit_list(row) for row in table])
         row = F.element_at(lit_table, (cls + F.lit(1)).cast("int"))
-        ph = F.element_at(row, ((_hash("-p-") % F.size(row)) + F.lit(1)).cast("int"))
+        ph = F.element_at(row, ((F.col("hp") % F.size(row)) + F.lit(1)).cast("int"))
         phrase = F.when(F.col("task") == task, ph) if phrase is None else phrase.when(F.col("task") == task, ph)
         r = rules.CLASS_RULES[task](answer, F.col("model"))
         pred = F.when(F.col("task") == task, r) if pred is None else pred.when(F.col("task") == task, r)
@@ -92,20 +97,20 @@ def eval_class(spark: SparkSession, sf_dir: str, tasks: Sequence[str] = CLASS_TA
 
 
 def multilabel_labelled(spark: SparkSession, sf_dir: str, tasks: Sequence[str] = MULTILABEL_TASKS) -> DataFrame:
-    rows = task_rows(spark, sf_dir, tasks)
+    rows = _hashed(task_rows(spark, sf_dir, tasks), "-g-", "-h-", "-p-")
     gold_text = None
     phrase = None
     for task in tasks:
         if task == "vax":
             g = F.element_at(
                 F.array(*[F.lit(v).cast("string") for v in C.VAX_GOLD_CHOICES]),
-                ((_hash("-g-") % F.lit(len(C.VAX_GOLD_CHOICES))) + F.lit(1)).cast("int"),
+                ((F.col("hg") % F.lit(len(C.VAX_GOLD_CHOICES))) + F.lit(1)).cast("int"),
             )
         elif task == "caves":
-            g = F.concat(_pick(C.CAVES_LABELS, _hash("-g-")), F.lit(","), _pick(C.CAVES_LABELS, _hash("-h-")))
+            g = F.concat(_pick(C.CAVES_LABELS, F.col("hg")), F.lit(","), _pick(C.CAVES_LABELS, F.col("hh")))
         else:
-            g = _pick(C.HATEX_GOLD_CHOICES, _hash("-g-"))
-        ph = _pick(C.EVAL_MULTILABEL_PHRASES[task], _hash("-p-"))
+            g = _pick(C.HATEX_GOLD_CHOICES, F.col("hg"))
+        ph = _pick(C.EVAL_MULTILABEL_PHRASES[task], F.col("hp"))
         gold_text = F.when(F.col("task") == task, g) if gold_text is None else gold_text.when(F.col("task") == task, g)
         phrase = F.when(F.col("task") == task, ph) if phrase is None else phrase.when(F.col("task") == task, ph)
     answered = computed_once(rows, gold_text.alias("gold_text"), _respond(phrase).alias("answer"))
