@@ -48,3 +48,17 @@ def test_tracker_log_parser_on_published_format(spark, tmp_path):
     assert (r.batch, r.version, r.pue) == (31, "1.2.5", 1.55)
     assert abs(r.duration_s - 1.05) < 1e-12 and list(r.gpu_w) == [57.903] and r.cpu_w is None
     assert (r.energy_kwh, r.co2_g, r.km) == (0.000142786555, 0.089385397427, 0.000831492069)
+
+
+def test_row_number_by_with_a_hot_key(spark):
+    """One key holds a third of all rows: the range partition splits it, the numbering still equals the window's."""
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 97).cast("string")).alias("k"),
+        F.col("id").alias("o"),
+    )
+    ours = row_number_by(df, ["k"], ["o"], num_partitions=8)
+    ref = df.select("*", F.row_number().over(Window.partitionBy("k").orderBy("o")).alias("rn"))
+    assert ours.exceptAll(ref).count() == 0 and ref.exceptAll(ours).count() == 0
+    ranged = df.repartitionByRange(8, "k", "o").select("k", F.spark_partition_id().alias("p"))
+    assert ranged.where(F.col("k") == "hot").select("p").distinct().count() > 1
