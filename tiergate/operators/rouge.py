@@ -68,6 +68,13 @@ def _counts_batch(ns: tuple[int, ...]):
     return run
 
 
+def rouge_counts_col(pred: Column, ref: Column, ns: Sequence[int] = (1, 2)) -> Column:
+    """struct<np{n}, nr{n}, ov{n} for n in ns> for one (pred, ref) text pair held in the row."""
+    ns = tuple(ns)
+    schema = ", ".join(f"{k}{n} bigint" for n in ns for k in ("np", "nr", "ov"))
+    return F.pandas_udf(_counts_batch(ns), schema)(tokens(pred), tokens(ref))
+
+
 def rouge_counts(pairs: DataFrame, ns: Sequence[int] = (1, 2), group_cols: Sequence[str] = ()) -> DataFrame:
     """Per pair: n-gram counts of both sides and the clipped overlap for every n in ``ns`` (no shuffle)."""
     ns = tuple(ns)
