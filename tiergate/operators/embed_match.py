@@ -75,8 +75,24 @@ def _ids_score(u: np.ndarray, a_ids, b_ids) -> float:
     return float((best * a_cnt).sum() / a_cnt.sum())
 
 
-def _broadcast_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str], n_vectors: int) -> DataFrame:
-    spark = pairs.sparkSession
+def broadcast_match_col(embeddings: DataFrame, pred: Column, ref: Column) -> Column | None:
+    """struct<p, r> of the greedy match for a (pred, ref) pair held in the row, scored against a broadcast matrix -
+    or None when the vector table is too large to broadcast (then use ``embed_match_pairs``'s join plan)."""
+    n_vectors = embeddings.count()
+    if not n_vectors:
+        return None
+    dim = embeddings.select(F.max(F.size("embedding"))).first()[0] or 0
+    if n_vectors * dim * 8 > BROADCAST_LIMIT_BYTES:
+        return None
+    return _broadcast_udf(embeddings, n_vectors)(_ids(pred, n_vectors), _ids(ref, n_vectors))
+
+
+def _ids(text: Column, n_vectors: int) -> Column:
+    return F.transform(tokens(text), lambda t: token_vec_id(t, n_vectors))
+
+
+def _broadcast_udf(embeddings: DataFrame, n_vectors: int):
+    spark = embeddings.sparkSession
     vecs = unit_vectors(embeddings).orderBy("vec_id").toPandas()
     mat = np.zeros((n_vectors, len(vecs["u"].iloc[0]) if len(vecs) else 0), dtype=np.float64)
     for vid, u in zip(vecs["vec_id"], vecs["u"]):
@@ -90,9 +106,12 @@ def _broadcast_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequen
         rs = [_ids_score(u, b, a) for a, b in zip(p_ids, r_ids)]
         return pd.DataFrame({"p": ps, "r": rs})
 
-    udf = F.pandas_udf(run, "p double, r double")
-    ids = lambda col: F.transform(tokens(col), lambda t: token_vec_id(t, n_vectors))
-    scored = pairs.select(*group_cols, "pair_id", udf(ids("pred"), ids("ref")).alias("m"))
+    return F.pandas_udf(run, "p double, r double")
+
+
+def _broadcast_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str], n_vectors: int) -> DataFrame:
+    udf = _broadcast_udf(embeddings, n_vectors)
+    scored = pairs.select(*group_cols, "pair_id", udf(_ids(F.col("pred"), n_vectors), _ids(F.col("ref"), n_vectors)).alias("m"))
     p, r = F.col("m.p"), F.col("m.r")
     f = F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
     return scored.select(*group_cols, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.hashing import hex_bits, key
 from ..functions.text import echoes, strip_echo
-from ..operators.embed_match import embed_match, embed_match_pairs
+from ..operators.embed_match import broadcast_match_col, embed_match, embed_match_pairs
 from ..operators.rouge import rouge_counts_col, rouge_scores
 from ..sources import prompts as P
 from ..sources.tables import scan
@@ -63,11 +63,37 @@ def text_answers(prompts: DataFrame, task: str, models: Sequence[C.Tier] = C.EVA
     )
 
 
+def _f(p: Column, r: Column) -> Column:
+    return F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
+
+
 def eval_text(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
-    """Per model: ROUGE-1, ROUGE-2 and embedding P / R / F1 (mean over prompts)."""
+    """Per model: ROUGE-1, ROUGE-2 and embedding P / R / F1 (mean over prompts).
+
+    With a broadcastable vector table both metrics come from one pass over the pairs (in-row counting and
+    matching, one aggregation); otherwise ROUGE and the join-based embedding plan run side by side.
+    """
     a = text_answers(task_prompts(spark, sf_dir, task), task)
     pairs = a.select("model", F.col("prompt_id").alias("pair_id"), F.col("answer").alias("pred"), F.col("gold_text").alias("ref"))
     emb = scan(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    match = broadcast_match_col(emb, F.col("pred"), F.col("ref"))
+    if match is not None:
+        per = pairs.select("model", rouge_counts_col(F.col("pred"), F.col("ref"), (1, 2)).alias("c"), match.alias("m"))
+
+        def rouge_f(n: int) -> Column:
+            ov, np_, nr = F.col(f"c.ov{n}"), F.col(f"c.np{n}"), F.col(f"c.nr{n}")
+            return _f(F.when(np_ > 0, ov / np_).otherwise(F.lit(0.0)), F.when(nr > 0, ov / nr).otherwise(F.lit(0.0)))
+
+        p, r = F.col("m.p"), F.col("m.r")
+        scored = per.select("model", rouge_f(1).alias("f1"), rouge_f(2).alias("f2"), p.alias("p"), r.alias("r"), _f(p, r).alias("f"))
+        return scored.groupBy("model").agg(
+            F.count(F.lit(1)).alias("pairs"),
+            F.round(F.avg("f1"), 9).alias("rouge1"),
+            F.round(F.avg("f2"), 9).alias("rouge2"),
+            F.round(F.avg("p"), 9).alias("emb_p"),
+            F.round(F.avg("r"), 9).alias("emb_r"),
+            F.round(F.avg("f"), 9).alias("emb_f1"),
+        )
     rg = rouge_scores(pairs, (1, 2), ["model"]).drop("pairs")
     em = embed_match(pairs, emb, ["model"])
     return em.join(rg, "model").select("model", "pairs", "rouge1", "rouge2", "emb_p", "emb_r", "emb_f1")
