@@ -109,7 +109,9 @@ def prepare_plan(planned: DataFrame) -> DataFrame:
     shared checkpoint folder, so every tier (and any re-run after an executor loss) reads the same layout
     instead of re-planning.
     """
-    n = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from ..session import shuffle_width
+
+    n = shuffle_width(planned)
     laid = (
         planned.select("prompt_id", "gold_class", "prompt_text", "batch_id")
         .repartitionByRange(n, "batch_id")

@@ -57,3 +57,16 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder, for written tables that cut lineage or round-trip a format."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "tiergate", *parts])
+
+
+def shuffle_width(df) -> int:
+    """Partition count for an explicit repartition of ``df`` (range partitioning, which AQE cannot split).
+
+    At least ``spark.sql.shuffle.partitions``, and at least ``df``'s own split count - input splits are sized by
+    ``spark.sql.files.maxPartitionBytes``, so no output partition grows past an input split as the data grows.
+    """
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        return max(base, df.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001 - sessions without an RDD view: fall back to the configured width
+        return base

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 
 from ..operators.ranking import row_number_by
+from ..session import shuffle_width
 from .tables import scan
 
 DATASET = "boolq_test_1k"
@@ -128,7 +129,7 @@ def write_emissions(records: DataFrame, base: str) -> None:
     Range partitioning on (folder, project_name) gives each task a contiguous slice: a run holding a third of all
     records is written by many tasks (a few files in its folder), never by one.
     """
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_width(records)
     (
         records.repartitionByRange(n, "folder", "project_name")
         .write.mode("overwrite")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffle_width
+
 SHARD_BATCHES = 64
 T0 = 1719946222.0
 STEP_S = 2.5
@@ -78,7 +80,7 @@ def write_responses(responses: DataFrame, batches: DataFrame, base: str) -> None
     Range partitioning on (model, batch_id): one model's run (the whole prompt table) is written by many tasks.
     """
     for name, df in (("responses", responses), ("batches", batches)):
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = shuffle_width(df)
         (
             df.repartitionByRange(n, "model", "batch_id")
             .write.mode("overwrite")
