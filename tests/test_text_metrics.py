@@ -84,3 +84,17 @@ def test_embed_broadcast_equals_join_path(spark):
     a = embed_match(pairs, emb).first()
     b = embed_match(pairs, emb, allow_broadcast=False).first()
     assert tuple(a) == tuple(b)
+
+
+def test_token_embedder_plugin(spark):
+    """A caller-supplied (token, embedding) table: identical texts match fully, orthogonal words score 0."""
+    from tiergate.operators.embed_match import embed_match_pairs
+
+    vecs = spark.createDataFrame(
+        [("alpha", [1.0, 0.0]), ("beta", [0.0, 1.0]), ("gamma", [1.0, 1.0])], "token string, embedding array<float>"
+    )
+    pairs = _pairs(spark, [("alpha beta", "beta alpha"), ("alpha", "beta"), ("alpha alpha", "gamma")])
+    got = {r.pair_id: (round(r.p, 9), round(r.r, 9)) for r in embed_match_pairs(pairs, None, token_vectors=vecs).collect()}
+    assert got[0] == (1.0, 1.0)
+    assert got[1] == (0.0, 0.0)
+    assert got[2] == (round(2 ** -0.5, 9), round(2 ** -0.5, 9))

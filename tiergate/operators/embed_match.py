@@ -35,11 +35,11 @@ def token_vec_id(token: Column, n_vectors: int) -> Column:
     return hex_bits(token, 8) % F.lit(n_vectors)
 
 
-def unit_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, u): the embedding as double[] scaled to length 1 (zero vectors stay zero)."""
+def unit_vectors(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(key, u): the embedding as double[] scaled to length 1 (zero vectors stay zero)."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return embeddings.select("vec_id", F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v).alias("u"))
+    return embeddings.select(key, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v).alias("u"))
 
 
 def _side_score(a_vecs, a_cnt, b_vecs) -> float:
@@ -117,18 +117,35 @@ def _broadcast_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequen
     return scored.select(*group_cols, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"))
 
 
-def embed_match_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str] = (), allow_broadcast: bool = True) -> DataFrame:
-    """Per pair: P, R, F of the greedy embedding match."""
+def embed_match_pairs(
+    pairs: DataFrame, embeddings: DataFrame | None, group_cols: Sequence[str] = (), allow_broadcast: bool = True,
+    token_vectors: DataFrame | None = None,
+) -> DataFrame:
+    """Per pair: P, R, F of the greedy embedding match.
+
+    Vectors come from ``embeddings`` (vec_id, embedding) through the token hash, or - the token-embedder plug-in -
+    straight from ``token_vectors`` (token, embedding), joined on the token (tokens without a vector are left out).
+    """
     g = list(group_cols)
+    if token_vectors is not None:
+        return _join_pairs(pairs, g, token_vectors.select("token", F.col("embedding").alias("embedding")), None)
     n_vectors = embeddings.count()
     if allow_broadcast and n_vectors:
         dim = embeddings.select(F.max(F.size("embedding"))).first()[0] or 0
         if n_vectors * dim * 8 <= BROADCAST_LIMIT_BYTES:
             return _broadcast_pairs(pairs, embeddings, g, n_vectors)
+    return _join_pairs(pairs, g, embeddings, n_vectors)
+
+
+def _join_pairs(pairs: DataFrame, g: list, vectors: DataFrame, n_vectors: int | None) -> DataFrame:
+    """The join plan: token counts per (pair, side), the vocabulary looked up once, vectors regrouped per pair."""
     side = lambda col, tag: pairs.select(*g, "pair_id", F.lit(tag).alias("side"), F.explode(tokens(col)).alias("token"))
     counted = side("pred", "p").unionByName(side("ref", "r")).groupBy(*g, "pair_id", "side", "token").agg(F.count(F.lit(1)).alias("cnt"))
-    vocab = counted.select("token").distinct().select("token", token_vec_id(F.col("token"), n_vectors).alias("vec_id"))
-    vocab_vecs = vocab.join(unit_vectors(embeddings), "vec_id").select("token", "u")
+    if n_vectors is None:  # (token, embedding) table given by the caller
+        vocab_vecs = counted.select("token").distinct().join(unit_vectors(vectors, key="token"), "token")
+    else:
+        vocab = counted.select("token").distinct().select("token", token_vec_id(F.col("token"), n_vectors).alias("vec_id"))
+        vocab_vecs = vocab.join(unit_vectors(vectors), "vec_id").select("token", "u")
     with_vec = counted.join(vocab_vecs, "token")
     item = F.struct(F.col("cnt"), F.col("u"))
     per_pair = with_vec.groupBy(*g, "pair_id").agg(
