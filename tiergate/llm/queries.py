@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiergate.llm import quality_classifier
+from tiergate.llm import best_fit_packing, line_dedup, quality_classifier, source_mixing
 from tiergate.llm.common import read_table
 from tiergate.registry import register
 
@@ -13,3 +13,37 @@ from tiergate.registry import register
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_classifier.classify(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@register("op10_source_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix_counts(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+@register("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+LINE_DEDUP_SQL = """
+WITH cut AS (
+  SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents
+), every AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(generate_series(0, len(ls) - 1)) AS pos, trim(unnest(ls), ' ') AS line FROM cut
+), spread AS (
+  SELECT line, count(DISTINCT site) AS n_sites, min((doc_id, pos)) AS first FROM every WHERE line <> '' GROUP BY line
+), gone AS (
+  SELECT e.doc_id, list(e.pos ORDER BY e.pos) AS drops
+  FROM every e JOIN spread s ON e.line = s.line WHERE s.n_sites >= 5 AND (e.doc_id, e.pos) <> s.first GROUP BY e.doc_id
+)
+SELECT c.doc_id, coalesce(len(c.ls), 0)::BIGINT AS n_lines, coalesce(len(g.drops), 0)::BIGINT AS n_removed,
+  coalesce(array_to_string(g.drops, ','), '') AS removed,
+  CASE WHEN g.drops IS NULL THEN md5(c.text)
+    ELSE md5(coalesce(array_to_string(list_filter(c.ls, lambda x, i: NOT list_contains(g.drops, i - 1)), chr(10)), '')) END AS kept_md5
+FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id
+"""
+
+
+@register("op7_line_dedup", LINE_DEDUP_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
