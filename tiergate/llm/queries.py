@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiergate.llm import best_fit_packing, line_dedup, quality_classifier, source_mixing
+from tiergate.llm import best_fit_packing, line_dedup, quality_classifier, simhash_dedup, source_mixing
 from tiergate.llm.common import read_table
 from tiergate.registry import register
 
 
+@register("op1_simhash_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @register("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
