@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiergate.llm import best_fit_packing, line_dedup, quality_classifier, simhash_dedup, source_mixing
+from tiergate.llm import best_fit_packing, host_quality_rules, line_dedup, quality_classifier, simhash_dedup, source_mixing, topk_search
 from tiergate.llm.common import read_table
 from tiergate.registry import register
 
@@ -14,6 +14,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS a FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.a, c.a)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@register("op2_topk_search", TOP_K_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 @register("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -30,6 +50,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+HOST_RULES_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), grams AS (
+  SELECT doc_id, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS p FROM w WHERE len(ws) > 3)
+), twice AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, w.source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    word_chars < 3 * greatest(n_words, 1) OR word_chars > 14 * greatest(n_words, 1) OR n_symbols * 10 > word_chars AS soft_failed
+  FROM m
+), h AS (
+  SELECT source, count(*) AS n, sum((base_failed OR soft_failed)::INT) AS k FROM b GROUP BY source
+), prior AS (
+  SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(d, m * (1 - m) / v - 1)) ELSE d END AS s
+  FROM (SELECT avg(k / n) AS m, var_pop(k / n) AS v, avg(n) AS d FROM h)
+)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (h.k + s * m) / (h.n + s) <= 0.6 AS kept
+FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, prior
+"""
+
+
+@register("op6_host_quality_rules", HOST_RULES_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality_rules.judge(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 LINE_DEDUP_SQL = """
 WITH cut AS (
   SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents
