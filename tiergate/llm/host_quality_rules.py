@@ -28,7 +28,7 @@ def _without(text: Column, pattern: str, by: str = "") -> Column:
 
 def _words(text: Column) -> Column:
     """Words as an array; a text without words gives an empty one."""
-    trimmed = _without(text, f"^[{SPACE}]+|[{SPACE}]+$")
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
