@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiergate.llm import best_fit_packing, host_quality_rules, line_dedup, quality_classifier, simhash_dedup, source_mixing, topk_search
+from tiergate.llm import best_fit_packing, host_quality_rules, license_scan, line_dedup, quality_classifier, simhash_dedup, source_mixing, topk_search
 from tiergate.llm.common import read_table
 from tiergate.registry import register
 
@@ -34,6 +34,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+@register("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @register("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
