@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiergate.llm import best_fit_packing, host_quality_rules, license_scan, line_dedup, quality_classifier, simhash_dedup, source_mixing, topk_search
+from tiergate.llm import (
+    best_fit_packing,
+    host_quality_rules,
+    license_scan,
+    line_dedup,
+    pii,
+    quality_classifier,
+    simhash_dedup,
+    source_mixing,
+    topk_search,
+)
 from tiergate.llm.common import read_table
 from tiergate.registry import register
 
@@ -50,6 +60,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_counts(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+@register("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @register("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
