@@ -14,6 +14,7 @@ from tiergate.llm import (
     simhash_dedup,
     source_mixing,
     topk_search,
+    url_filter,
 )
 from tiergate.llm.common import read_table
 from tiergate.registry import register
@@ -60,6 +61,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_counts(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+@register("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 @register("op8_pii")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents", "doc_id", "text"))
