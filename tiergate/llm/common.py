@@ -59,3 +59,14 @@ def free_name(df: DataFrame, stem: str) -> str:
         i += 1
         name = f"{stem}_{i}"
     return name
+
+
+def row_key(doc_id: Column, tie: Column, *others: Column) -> list[Column]:
+    """Keys without nulls that name a row by id, text hash and other columns, so that joins and windows on them share
+    one partitioning (null-safe equality does not)."""
+    rest = F.xxhash64(doc_id.isNull(), *(x for c in others for x in (c.isNull(), c)))
+    return [F.coalesce(doc_id, F.lit(-1).cast("long")), tie, rest]
+
+
+def with_keys(df: DataFrame, names: list[str], keys: list[Column]) -> DataFrame:
+    return df.withColumns(dict(zip(names, keys)))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiergate.llm.common import free_name, stage
+from tiergate.llm.common import free_name, row_key, stage, with_keys
 
 SHINGLE = 3
 RADIUS = 3
@@ -285,13 +285,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (all columns) that stand for their group: of each component the row with the smallest
     doc_id (rows without an id last, then by text hash), once where equal rows repeat."""
-    tie, key = free_name(docs, "__tie"), F.xxhash64("text")
-    prints = stage(docs.select("doc_id", key.alias("tie"), fingerprint_column("text", shingle, seed).alias("fp")), "fingerprints")
+    tie = F.xxhash64("text")
+    prints = stage(docs.select("doc_id", tie.alias("tie"), fingerprint_column("text", shingle, seed).alias("fp")), "fingerprints")
     groups = fingerprint_groups(prints, radius)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     best = prints.groupBy("fp").agg(F.min(place).alias("best")).join(groups, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__doc"), F.col("best.tie").alias(tie))
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col(tie)))
-    nth = free_name(docs, "__nth")
-    first = Window.partitionBy("__doc", tie).orderBy(F.lit(1))
+    keys, nth = [free_name(docs, f"__key{i}") for i in range(3)], free_name(docs, "__nth")
+    best = best.select(*(k.alias(n) for n, k in zip(keys, row_key(F.col("best.doc_id"), F.col("best.tie")))))
+    kept = with_keys(docs, keys, row_key(docs["doc_id"], F.xxhash64(docs["text"]))).join(best, keys)
+    first = Window.partitionBy(*keys).orderBy(F.lit(1))
     return kept.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).select(*docs.columns)

@@ -16,6 +16,7 @@ from two-level running sums over salted buckets, so a source with a third of all
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiergate.llm.common import SPACE, stage
+from tiergate.llm.common import SPACE, free_name, let, row_key, stage, with_keys
 
 BLOCK_WORDS = 64
 REPEATS = 3
 SEED = 7
 
+_WORD = re.compile(f"[^{SPACE}]+")
+
 #: A table of per-source driver state is broadcast up to this many sources (some MB); beyond it joins shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -181,7 +184,7 @@ def shard_draws(spark, sources: list[dict], seed: int = SEED) -> DataFrame:
 
 
 def slot_blocks(draws: DataFrame, sources: list[dict], seed: int = SEED) -> DataFrame:
-    """(shard, slot, num, block): the block that every slot of the mix takes."""
+    """(shard, slot, num, block, epoch): the block that every slot of the mix takes; ``epoch``: how often it was taken before."""
     blocks = {s["num"]: s["blocks"] for s in sources}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,10 +199,10 @@ def slot_blocks(draws: DataFrame, sources: list[dict], seed: int = SEED) -> Data
                         perms[num, epoch] = BlockPermutation(n, hash((seed, num, epoch)) & 0x7FFFFFFF)
                     own = k // n == epoch
                     taken[own] = perms[num, epoch](k[own] % n)
-                yield pd.DataFrame({"shard": shard, "slot": k, "num": np.int32(num), "block": taken})
+                yield pd.DataFrame({"shard": shard, "slot": k, "num": np.int32(num), "block": taken, "epoch": k // n})
 
     spread = draws.repartition(1 + sum(s["quota"] for s in sources) // 50_000, "shard", "num")  # few rows that unfold to many
-    return spread.mapInPandas(deal, "shard long, slot long, num int, block long")
+    return spread.mapInPandas(deal, "shard long, slot long, num int, block long, epoch long")
 
 
 def doc_blocks(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -234,3 +237,47 @@ def mix_counts(docs: DataFrame, weigh=cyclic_weights, repeats: int = REPEATS, bl
     full = placed.withColumn("key", F.when(F.col("size") > 0, F.col("at")))
     out = full.join(taken.withColumnRenamed("at", "key"), ["num", "key"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def _cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
+    """The word ranges (ascending) of each text, white space inside a range kept, joined by line feeds."""
+    out = []
+    for text, own in zip(texts, ranges):
+        if text is None or own is None:  # a whole document, kept as it is
+            out.append(None)
+            continue
+        words = [m.span() for m in _WORD.finditer(text)]
+        out.append("\n".join(text[words[r["lo"]][0] : words[r["hi"] - 1][1]] for r in own))
+    return pd.Series(out)
+
+
+def mix_documents(docs: DataFrame, weigh=cyclic_weights, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row per document and epoch that takes words from it.
+
+    An epoch that takes all words of a document gives it unchanged; otherwise ``text`` holds the taken ranges, in
+    order, one per line. Documents without words are not in the mix. ``source`` and other columns are copied; rows that
+    repeat id, text and source share their other columns.
+    """
+    placed, slots = plan_mix(docs, weigh, repeats, block_words, seed)
+    # runs of neighbouring blocks: words lo..hi of the document at ``at`` in its source's stream, taken in this epoch
+    parts = doc_blocks(placed, block_words).join(slots.select("num", "block", "epoch"), ["num", "block"])
+    key = ["doc_id", "tie", "source", "num", "at", "size", "epoch"]
+    ranges = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+
+    def joined(found: Column) -> Column:
+        # a range starts where the one before it does not end
+        lows = F.filter(found, lambda r, i: (i == 0) | (F.get(found, i - 1)["hi"] != r["lo"]))
+        highs = F.filter(found, lambda r, i: (i == F.size(found) - 1) | (F.get(found, i + 1)["lo"] != r["hi"]))
+        return F.zip_with(lows, highs, lambda a, b: F.struct(a["lo"].alias("lo"), b["hi"].alias("hi")))
+
+    ranges = ranges.withColumn("ranges", let(F.col("ranges"), joined))
+    whole = (F.size("ranges") == 1) & (F.col("ranges")[0]["hi"] - F.col("ranges")[0]["lo"] == F.col("size"))
+    keys = [free_name(docs, f"__key{i}") for i in range(3)]
+    nth, taken = free_name(docs, "__nth"), free_name(docs, "__ranges")
+    copies = with_keys(ranges, keys, row_key(F.col("doc_id"), F.col("tie"), F.col("source")))
+    copies = copies.select(*keys, F.when(~whole, F.col("ranges")).alias(taken))
+    keyed = with_keys(docs, keys, row_key(docs["doc_id"], F.xxhash64(docs["text"]), docs["source"]))
+    once = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).filter(F.col(nth) == 1)
+    some = F.col(taken).isNotNull()
+    cut = F.pandas_udf(_cut, "string")(F.when(some, F.col("text")), F.col(taken))
+    return once.join(copies, keys).withColumn("text", F.when(some, cut).otherwise(F.col("text"))).select(*docs.columns)
