@@ -69,7 +69,7 @@ openssl | openssl licen | openssl licen[cs]e | openssl | www openssl org source
 ssleay | ssleay | (?:original )?ssleay licen[cs]e | ssleay | www openssl org ssleay
 php-3 | php licen | php licen[cs]e(?: (?:version|v) ?3(?: 01?)?)? | php 3 0 1? | www php net license 3 0
 python-2 | python software foundation | python software foundation licen[cs]e(?: (?:version|v) ?2)? | (?:psf|python) 2 0 | docs python org 3 license
-ruby | ruby licen | ruby(?: s)? licen[cs]e | ruby | www ruby lang org en about license
+ruby | ruby | ruby(?: s)? licen[cs]e | ruby | www ruby lang org en about license
 tcl | tcl tk licen | tcl tk licen[cs]e | tcl | www tcl tk software tcltk license
 vim | vim licen | vim licen[cs]e | vim | vimdoc sourceforge net htmldoc uganda
 curl | curl licen | curl licen[cs]e | curl | curl (?:se|haxx se) docs copyright
@@ -97,7 +97,7 @@ elastic-2 | elastic licen | elastic licen[cs]e(?: (?:version|v))?(?: 2(?: 0)?)?
 commons-clause | commons clause | commons clause(?: licen[cs]e)?(?: condition)? | commons clause | commonsclause com
 polyform | polyform | polyform (?:noncommercial|small business|shield|perimeter)(?: licen[cs]e)? | polyform (?:noncommercial|small business) 1 0 0 | polyformproject org licenses
 hippocratic | hippocratic | hippocratic licen[cs]e(?: (?:version|v))?(?: [23] [01])? | hippocratic 2 1 | firstdonoharm dev
-openrail | rail licen | (?:creativeml )?(?:big ?science |bigcode )?open ?rail(?: m)? licen[cs]e | (?:creativeml|bigscience) openrail m | huggingface co spaces compvis stable diffusion license
+openrail | rail | (?:creativeml )?(?:big ?science |bigcode )?open ?rail(?: m)? licen[cs]e | (?:creativeml|bigscience) openrail m | huggingface co spaces compvis stable diffusion license
 odbl-1 | open database | open (?:data commons open )?database licen[cs]e(?: odbl)?(?: (?:version|v) ?1(?: 0)?)? | odbl 1 0 | opendatacommons org licenses odbl
 odc-by-1 | open data commons attribution | open data commons attribution licen[cs]e(?: (?:version|v) ?1(?: 0)?)? | odc by 1 0 | opendatacommons org licenses by
 pddl-1 | public domain dedication and licen | (?:open data commons )?public domain dedication and licen[cs]e | pddl 1 0 | opendatacommons org licenses pddl
@@ -148,7 +148,8 @@ proprietary | confidential and proprietary | confidential and proprietary
 proprietary | may not be reproduced | may not be reproduced(?: stored)?(?: or)?(?: transmitted| distributed)? without
 non-commercial | commercial use | (?:for )?non ?commercial use only
 non-commercial | commercial use | not for commercial use
-research-only | research | (?:for )?(?:academic|research)(?: and (?:educational|research))? (?:use|purposes) only
+research-only | research | (?:for )?(?:academic and )?research(?: and educational)? (?:use|purposes) only
+research-only | academic | (?:for )?academic(?: and educational)? (?:use|purposes) only
 """
 
 _UNDER = r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|made available)(?: to you)? under (?:the )?(?:terms of )?(?:the |a )?"
