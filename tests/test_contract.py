@@ -6,7 +6,7 @@ import sys
 
 import __spark_entry__ as E
 
-ROWS_ONLY = {"rouge_l", "train_scorer", "score_rows", "train_grid", "scorer_layouts"}
+ROWS_ONLY = {"train_scorer", "score_rows", "train_grid", "scorer_layouts"}
 
 
 def _own(keys):

@@ -30,6 +30,9 @@ def test_parse_names(spark):
     parts = EN.parse_project_name(df.project_name, "boolq_test_1k")
     r = df.select(*[v.alias(k) for k, v in parts.items()]).collect()[1]
     assert r.run == "Phi-3-mini-4k-instruct" and r.batch == 3 and r.threshold is None  # 'instruct' is not a number
+    assert r.strategy == "Phi-3-mini-4k-instruct"
+    other = df.select(*[v.alias(k) for k, v in parts.items()]).first()
+    assert tuple(other) == (None, None, None, None)  # a record of another data set
 
 
 def test_dedup_last_wins_and_lookup_gaps(spark):
@@ -41,7 +44,9 @@ def test_dedup_last_wins_and_lookup_gaps(spark):
     b = EN.energy_batches(recs, "d")
     strict = sorted(r.batch for r in EN.energy_lookup(b, strict_reference=True).collect())
     assert strict == [0, 2]  # n = 3 records -> indices 0..2; batch 1 missing, batch 3 beyond n
-    assert sorted(r.batch for r in EN.energy_lookup(b, strict_reference=False).collect()) == [0, 2, 3]
+    every = EN.energy_lookup(b)
+    assert sorted((r.batch, r.indexed) for r in every.collect()) == [(0, True), (2, True), (3, False)]
+    assert [tuple(r) for r in EN.energy_gaps(every).collect()] == [("r", 3, 1)]
 
 
 # Fixed golden values: energy_consumed (kWh) of the 25 batches of a second published run.

@@ -55,7 +55,7 @@ def test_regression_metrics(spark):
     mse = sum((a - b) ** 2 for a, b in zip(gg, pp)) / 4
     mean = sum(gg) / 4
     r2 = 1 - sum((a - b) ** 2 for a, b in zip(gg, pp)) / sum((a - mean) ** 2 for a in gg)
-    assert r.n == 4
+    assert r.n == 4 and r.unparsed == 1
     assert abs(r.rmse - math.sqrt(mse)) < 1e-6 and abs(r.mae - sum(abs(a - b) for a, b in zip(gg, pp)) / 4) < 1e-6
     assert abs(r.r2 - r2) < 1e-6
 
@@ -63,3 +63,16 @@ def test_regression_metrics(spark):
 def test_constant_gold_gives_null_r2(spark):
     df = spark.createDataFrame([(2.0, 1.0), (2.0, 3.0)], "gold double, pred double")
     assert M.regression_metrics(df).first().r2 is None
+
+
+def test_null_labels_are_counted(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", None, 1), ("a", 0, None), ("b", 1, None)], "k string, gold int, pred int")
+    got = {r.k: (r.n, r.unlabelled, r.m_f1) for r in M.macro_prf(df, ["k"]).collect()}
+    assert got == {"a": (1, 2, 1.0), "b": (0, 1, None)}
+
+
+def test_r2_of_large_offsets(spark):
+    """A sum of squares less a squared sum would cancel here."""
+    g = [1e9 + i for i in range(10)]
+    r = M.regression_metrics(spark.createDataFrame([(x, x + 0.5) for x in g], "gold double, pred double")).first()
+    assert abs(r.r2 - (1 - 10 * 0.25 / 82.5)) < 1e-6

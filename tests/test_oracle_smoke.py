@@ -39,4 +39,4 @@ def test_entry_smoke(spark):
 
     df = E.entry(spark)
     assert df.count() > 0
-    assert set(df.columns) == {"strategy", "threshold", "n", "m_pre", "m_rec", "m_f1"}
+    assert set(df.columns) == {"strategy", "threshold", "n", "unlabelled", "m_pre", "m_rec", "m_f1"}

@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from tiergate.functions import rules
 
 
+def _rule(task):
+    return lambda text, model: rules.class_label(task, text, model)
+
+
 def _apply(spark, fn, texts, model="Phi-3-mini-4k-instruct"):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     return [r[0] for r in df.orderBy("i").select(fn(F.col("t"), F.lit(model))).collect()]
@@ -13,11 +17,11 @@ def _apply(spark, fn, texts, model="Phi-3-mini-4k-instruct"):
 
 def test_boolq_rule_non_flan(spark):
     texts = ["True.", "**Yes**, because", "a b c d e true", "", None, "\n\ntrue", "No.", "yesterday"]
-    assert _apply(spark, rules.boolq, texts) == [1, 1, 0, 0, 0, 1, 0, 1]
+    assert _apply(spark, _rule("boolq"), texts) == [1, 1, 0, 0, 0, 1, 0, 1]
 
 
 def test_boolq_rule_flan_keeps_all_words(spark):
-    assert _apply(spark, rules.boolq, ["a b c d e true", "**Yes**"], model="flan-t5-xl") == [1, 1]
+    assert _apply(spark, _rule("boolq"), ["a b c d e true", "**Yes**"], model="flan-t5-xl") == [1, 1]
 
 
 def test_mnli_rules(spark):
@@ -25,19 +29,19 @@ def test_mnli_rules(spark):
     assert _apply(spark, rules.mnli_cascade, texts) == [1, 0, 2, 1, 0]
     # evaluator form: non-flan cleaned; one model keeps 10 words only
     long = "w " * 12 + "neutral"
-    assert _apply(spark, rules.mnli, [long], model="Phi-3-small-8k-instruct") == [0]
-    assert _apply(spark, rules.mnli, [long], model="Phi-3-mini-4k-instruct") == [1]
+    assert _apply(spark, _rule("mnli"), [long], model="Phi-3-small-8k-instruct") == [0]
+    assert _apply(spark, _rule("mnli"), [long], model="Phi-3-mini-4k-instruct") == [1]
 
 
 @pytest.mark.parametrize(
     "fn, texts, expected",
     [
-        (rules.qnli, ["It does not entail.", "entailment", "NOT ENTAILED"], [1, 0, 1]),
-        (rules.wnli, ["0", "not entailment", "entailment"], [0, 0, 1]),
-        (rules.cola, ["0", "Not acceptable", "acceptable"], [0, 0, 1]),
-        (rules.sst2, ["1", "Positive!", "negative"], [1, 1, 0]),
-        (rules.mrpc, ["0", "yes"], [0, 1]),
-        (rules.copa, ["choice1", "0", "choice2"], [0, 0, 1]),
+        (_rule("qnli"), ["It does not entail.", "entailment", "NOT ENTAILED"], [1, 0, 1]),
+        (_rule("wnli"), ["0", "not entailment", "entailment"], [0, 0, 1]),
+        (_rule("cola"), ["0", "Not acceptable", "acceptable"], [0, 0, 1]),
+        (_rule("sst2"), ["1", "Positive!", "negative"], [1, 1, 0]),
+        (_rule("mrpc"), ["0", "yes"], [0, 1]),
+        (_rule("copa"), ["choice1", "0", "choice2"], [0, 0, 1]),
     ],
 )
 def test_binary_rules(spark, fn, texts, expected):
@@ -46,19 +50,19 @@ def test_binary_rules(spark, fn, texts, expected):
 
 def test_multilabel_rules(spark):
     df = spark.createDataFrame([(None, "Pro-vaccine and NEUTRAL"), ("ProVax", "anti-vaccine")], "g string, t string")
-    out = df.select(rules.vax_gold("g"), rules.vax("t")).collect()
+    out = df.select(rules.gold_vector("vax", "g"), rules.vector_label("vax", "t", F.lit("Phi-3"))).collect()
     assert [list(r[0]) for r in out] == [[0, 0, 0], [1, 0, 0]]
     assert [list(r[1]) for r in out] == [[1, 0, 1], [0, 1, 0]]
     df = spark.createDataFrame([("side-effect, pharma",)], "t string")
-    vec = df.select(rules.caves(F.col("t"))).first()[0]
+    vec = df.select(rules.vector_label("caves", "t", F.lit("Phi-3"))).first()[0]
     assert vec[2] == 1 and vec[8] == 1 and sum(vec) == 2
     df = spark.createDataFrame([("The text: hate speech",), ("Hate speech.",)], "t string")
-    assert [list(r[0]) for r in df.select(rules.hatex(F.col("t"))).collect()] == [[0, 0, 0], [1, 0, 0]]
+    assert [list(r[0]) for r in df.select(rules.vector_label("hatex", "t", F.lit("Phi-3"))).collect()] == [[0, 0, 0], [1, 0, 0]]
 
 
 def test_stsb_rule(spark):
     texts = ["4.5", "4.x", "3/5", "3", "", "abc", None]
-    assert _apply(spark, rules.stsb, texts) == [4.5, 4.0, 3.0, 3.0, None, None, None]
+    assert _apply(spark, lambda t, _: rules.number_of(t), texts) == [4.5, 4.0, 3.0, 3.0, None, None, None]
 
 
 def test_echo_strip(spark):

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tiergate import config as C
+from tiergate.fixtures import stored_run
 from tiergate.plans import scorer as SC
 
 
 def test_scores_are_probabilities_and_repeatable(spark):
-    rows = SC.training_rows(spark, SF_SMALL)
+    rows = SC.training_rows(*stored_run(spark, SF_SMALL)[:2])
     model, report = SC.fit_best(rows, [(0.01, 10), (0.1, 10)])
     assert len(report) == 2 and all(r[2] > 0 for r in report)
     a = SC.score_rows(model, rows)
@@ -24,6 +25,18 @@ def test_scores_are_probabilities_and_repeatable(spark):
 
 def test_training_log_appends(spark, tmp_path):
     log = str(tmp_path / "strategies")
-    first = SC.train_grid(spark, SF_SMALL, log_path=log)
-    assert first.count() == len(C.STRATEGY_GRID)
-    assert {r.strategy for r in first.collect()} == {s for s, _, _ in C.STRATEGY_GRID}
+    rows = SC.training_rows(*stored_run(spark, SF_SMALL)[:2], chains=("flan",))
+    grid = C.STRATEGY_GRID[:1] + C.STRATEGY_GRID[4:5] + C.STRATEGY_GRID[6:7]
+    first = SC.train_grid(rows, grid, log_path=log).collect()
+    assert {(r.strategy, r.layout, r.training_text) for r in first} == {
+        ("strategy-1", "per-model", "stripped"), ("strategy-5", "per-model", "original"), ("single-scorer-strategy-2", "pooled", "stripped"),
+    }
+    assert len({r.n_train + r.n_val for r in first}) == 1 and all(r.val_logloss > 0 for r in first)
+    assert SC.train_grid(rows, grid[:1], log_path=log).count() == len(first) + 1
+
+
+def test_split_rates(spark):
+    for dataset, pct in (("boolq", 20), ("mnli", 60)):
+        rows = SC.training_rows(*stored_run(spark, SF_SMALL, dataset)[:2], dataset=dataset)
+        share = rows.agg(F.avg((F.col("split") == "validation").cast("double"))).first()[0]
+        assert abs(share - pct / 100) < 0.15

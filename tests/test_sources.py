@@ -25,29 +25,105 @@ def test_batch_plan_edges(spark):
     assert batch_plan(empty, 4).count() == 0
 
 
-def test_tracker_log_parser_on_published_format(spark, tmp_path):
-    """Golden lines in the published tracker format: first consumption block wins, None power list -> null."""
-    log = (
-        "2024-07-03 23:50:31 - carbontracker version 1.2.5\n"
-        "2024-07-03 23:50:31 - Only predicted and actual consumptions are multiplied by a PUE coefficient of 1.55 (x).\n"
-        "2024-07-03 23:50:33 - Duration: 0:00:01.05\n"
-        "2024-07-03 23:50:33 - Average power usage (W) for gpu: [57.903]\n"
-        "2024-07-03 23:50:33 - Average power usage (W) for cpu: None\n"
-        "2024-07-03 23:50:34 - Average carbon intensity during training was 626.01 gCO2/kWh at detected location: IN.\n"
-    )
-    out = (
-        "2024-07-03 23:55:36 - CarbonTracker: \nActual consumption for 1 epoch(s):\n\tTime:\t0:00:02\n"
-        "\tEnergy:\t0.000142786555 kWh\n\tCO2eq:\t0.089385397427 g\n\tThis is equivalent to:\n\t0.000831492069 km travelled by car\n"
-        "2024-07-03 23:55:37 - CarbonTracker: \nActual consumption for 1 epoch(s):\n\tTime:\t0:00:02\n"
-        "\tEnergy:\t0.999 kWh\n\tCO2eq:\t9.9 g\n\tThis is equivalent to:\n\t9.9 km travelled by car\n"
-    )
+LOG = """2024-01-02 10:00:00 - carbontracker version 1.2.5
+2024-01-02 10:00:00 - Only predicted and actual consumptions are multiplied by a PUE coefficient of 1.55 (A survey, 2022).
+2024-01-02 10:00:01 - Epoch 1:
+2024-01-02 10:00:01 - Duration: 1:02:01.05
+2024-01-02 10:00:01 - Average power usage (W) for gpu: [12.5  3.25]
+2024-01-02 10:00:01 - Average power usage (W) for cpu: {cpu}
+2024-01-02 10:00:02 - Carbon intensities (gCO2/kWh) fetched every 900 s at detected location A, B, C: [400.5]
+2024-01-02 10:00:02 - Average carbon intensity during training was 400.50 gCO2/kWh at detected location: A, B, C.
+2024-01-02 10:00:02 - Live carbon intensity could not be fetched at detected location: A, B, C. Defaulted to average carbon intensity for C in 2021 of 77.00 gCO2/kWh. at detected location: A, B, C.
+"""
+BLOCK = """2024-01-02 10:00:03 - CarbonTracker: 
+{kind} consumption for 1 epoch(s):
+\tTime:\t0:00:02
+\tEnergy:\t{kwh} kWh
+\tCO2eq:\t{co2} g
+\tThis is equivalent to:
+\t{km} km travelled by car
+"""
+
+
+def _outputs():
+    """A predicted block, the batch's own block, and the block of a later batch (invented numbers)."""
+    blocks = (("Predicted", 9, 9, 9), ("Actual", 0.25, 100.125, 1e-05), ("Actual", 8, 8, 8))
+    return "".join(BLOCK.format(kind=k, kwh=a, co2=b, km=c) for k, a, b, c in blocks)
+
+
+def _check_log(r):
+    assert (r.batch, r.version, r.pue, r.intensity_g_kwh) == (31, "1.2.5", 1.55, 400.5)
+    assert abs(r.duration_s - 3721.05) < 1e-9 and list(r.gpu_w) == [12.5, 3.25] and r.cpu_w is None
+    assert (r.energy_kwh, r.co2_g, r.km) == (0.25, 100.125, 1e-05)
+
+
+def test_tracker_logs_in_both_layouts(spark, tmp_path):
+    log, out = LOG.format(cpu="None"), _outputs()
     docs = spark.createDataFrame([("r", 31, "log", log), ("r", 31, "output", out)], "run string, batch long, kind string, value string")
-    base = str(tmp_path / "logs")
+    base = str(tmp_path / "lines")
     TL.write_logs(docs, base)
-    r = TL.scan_tracker_logs(spark, base).first()
-    assert (r.batch, r.version, r.pue) == (31, "1.2.5", 1.55)
-    assert abs(r.duration_s - 1.05) < 1e-12 and list(r.gpu_w) == [57.903] and r.cpu_w is None
-    assert (r.energy_kwh, r.co2_g, r.km) == (0.000142786555, 0.089385397427, 0.000831492069)
+    _check_log(TL.scan_tracker_logs(spark, base).first())
+    for run in ("r_1-0.9", "other"):
+        folder = tmp_path / "folders" / f"data_{run}" / "carbon_tracker"
+        folder.mkdir(parents=True)
+        (folder / "31__77_2024-01-02T100000Z_carbontracker.log").write_text(log)
+        (folder / "31__77_2024-01-02T100000Z_carbontracker_output.log").write_text(out)
+        (folder / "31__77_2024-01-02T100000Z_carbontracker_err.log").write_text("a warning")
+        (folder / "2__77_2024-01-02T090000Z_carbontracker.log").write_text(LOG.format(cpu="[1.5   2]"))
+    rows = TL.scan_log_folders(spark, str(tmp_path / "folders"), "data").collect()
+    assert sorted((r.run, r.batch) for r in rows) == [("other", 2), ("other", 31), ("r_1-0.9", 2), ("r_1-0.9", 31)]
+    for r in rows:
+        if r.batch == 31:
+            _check_log(r)
+        else:
+            assert list(r.cpu_w) == [1.5, 2.0] and r.energy_kwh is None
+
+
+def test_run_output_in_both_layouts(spark, tmp_path):
+    import json
+
+    from tiergate.sources import run_output as RO
+
+    texts = [f"text {i}\n\"q\" é" for i in range(10)] + [None]
+    times = [[1.5 + i, 2.5 + i] for i in range(3)]
+    want = [(i + 1, i // 4, t, *times[i // 4]) for i, t in enumerate(texts)]
+    for run in ("m-1", "strategy_1-0.9"):
+        folder = tmp_path / "runs" / f"data_{run}"
+        folder.mkdir(parents=True)
+        (folder / "output.json").write_text(json.dumps([texts, times], indent=4, ensure_ascii=False))
+    (tmp_path / "runs" / "data_broken").mkdir()
+    (tmp_path / "runs" / "data_broken" / "output.json").write_text("{")
+    rows = RO.scan_output_json(spark, str(tmp_path / "runs"), "data", 4).collect()
+    for run in ("m-1", "strategy_1-0.9"):
+        assert sorted(tuple(r)[1:] for r in rows if r.run == run) == want
+    assert {r.run for r in rows} == {"m-1", "strategy_1-0.9"}
+    # our own layout: many documents to a file, however many batches
+    n = 1500
+    answers = spark.createDataFrame([("m/1 x", i + 1, i // 4, f"t{i}") for i in range(n)], "model string, position long, batch_id long, response string")
+    pairs = spark.createDataFrame([("m/1 x", b, float(b), b + 0.5) for b in range(n // 4)], "model string, batch_id long, start_ts double, end_ts double")
+    base = str(tmp_path / "lines")
+    RO.write_run_output_json(answers.coalesce(2), pairs, 4, base)
+    files = [f for f in (tmp_path / "lines").rglob("part-*")]
+    assert len(files) <= 8
+    got = sorted(tuple(r) for r in RO.scan_run_output(spark, base, 4).collect())
+    assert got == [("m/1 x", i + 1, i // 4, f"t{i}", float(i // 4), i // 4 + 0.5) for i in range(n)]
+
+
+def test_emissions_in_both_layouts(spark, tmp_path):
+    from tiergate.sources import emissions as EM
+
+    names = [f.name for f in EM.EMISSIONS_SCHEMA.fields]
+    row = {"project_name": "data_run-0.5_0", "energy_consumed": "0.5", "timestamp": "2024-01-01T10:00:00", "duration": "2.0"}
+    folder = tmp_path / "m" / "data_run-0.5"
+    folder.mkdir(parents=True)
+    (folder / "emissions.csv").write_text(",".join(names) + "\n" + ",".join(row.get(n, "") for n in names) + "\n")
+    (folder / "output.json").write_text("[[], []]")
+    got = EM.scan_emissions(spark, str(tmp_path / "m"), "data").select("folder", "project_name", "energy_consumed").collect()
+    assert [tuple(r) for r in got] == [("data_run-0.5", "data_run-0.5_0", 0.5)]
+    again = EM.scan_emissions(spark, str(tmp_path / "m"), "data").drop("file_path")
+    EM.write_emissions(again, str(tmp_path / "own"))
+    back = EM.scan_emissions(spark, str(tmp_path / "own"), "data").select("folder", "project_name", "energy_consumed").collect()
+    assert back == got
 
 
 def test_row_number_by_with_a_hot_key(spark):

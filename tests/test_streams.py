@@ -4,32 +4,47 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
 from tiergate.streaming import jobs
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
-    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
-    src = str(tmp_path / "events_in")
+SCHEMA = "ts timestamp_ntz, run string, energy_kwh double"
+
 
-    def rows(day_hours, value):
-        return [
-            (i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 1, "click", value, "{}")
-            for i, h in enumerate(day_hours)
-        ]
+def _arrivals(spark, src):
+    def rows(hours, kwh):
+        return [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), "strategy-1-0.8", kwh) for h in hours]
 
     # micro-batch 1: days 1-3; micro-batch 2: day 5 (the watermark moves to day 5, 03:00 and closes days 1-4);
     # micro-batch 3: a row back on day 1 - behind the watermark in force for late rows, so it is dropped
     # (Spark judges late rows by the previous batch's watermark: a row only counts as late once that has passed it)
-    spark.createDataFrame(rows([1, 30, 70], 100.0), schema).coalesce(1).write.mode("overwrite").parquet(f"{src}/a")
-    spark.createDataFrame(rows([100], 100.0), schema).coalesce(1).write.mode("overwrite").parquet(f"{src}/b")
-    spark.createDataFrame(rows([2], 7.0), schema).coalesce(1).write.mode("overwrite").parquet(f"{src}/c")
-    out = jobs.stream_energy(spark, SF_SMALL, source=f"{src}/*/", files_per_trigger=1)
-    got = {r.window_start: (r.events, r.energy_wh) for r in out.collect()}
-    assert got["2024-01-01 00:00:00"] == (1, 0.1)  # the late day-1 row is not counted
-    assert got["2024-01-02 00:00:00"] == (1, 0.1)
-    assert got["2024-01-03 00:00:00"] == (1, 0.1)
-    assert "2024-01-05 00:00:00" not in got  # the last day stays open under the watermark
+    for name, data in (("a", rows([1, 30, 70], 0.1)), ("b", rows([100], 0.1)), ("c", rows([2], 0.007))):
+        spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{src}/{name}")
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    src = str(tmp_path / "records_in")
+    _arrivals(spark, src)
+    got = {}
+    for zone in ("UTC", "America/New_York"):
+        old = spark.conf.get("spark.sql.session.timeZone")
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            out = jobs.stream_energy(spark, f"{src}/*/", spark.read.parquet(f"{src}/a").schema, files_per_trigger=1)
+            got[zone] = {r.window_start: (r.batches, r.energy_wh) for r in out.collect()}
+            assert spark.conf.get("spark.sql.session.timeZone") == zone
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", old)
+    assert got["UTC"] == got["America/New_York"]
+    # the late day-1 row is not counted; the last day stays open under the watermark
+    assert got["UTC"] == {f"2024-01-0{d} 00:00:00": (1, 100.0) for d in (1, 2, 3)}
+
+
+def test_first_arrival_wins_over_many_files(spark):
+    rows = [(f"p{i}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(i)) for i in range(200)]
+    first = spark.createDataFrame(rows, "project_name string, ts timestamp, energy_consumed double").repartition(6)
+    again = first.where("energy_consumed < 50").withColumn("energy_consumed", F.col("energy_consumed") + 1000).repartition(4)
+    out = {r.project_name: r.energy_consumed for r in jobs.stream_dedup(spark, first, again).collect()}
+    assert out == {n: e for n, _, e in rows}
 
 
 def test_stream_gate_partitions_rows(spark):

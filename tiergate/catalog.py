@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import config as C
+from . import fixtures as FX
 from . import oracle as O
 
+from .fixtures import stored_run, stub_pandas_model
+from .functions import rules as RL
 from .plans import cascade
+from .plans import scorer as SC
 from .registry import register
 from .sources import prompts as P
+from .sources.tables import scan as _scan
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -46,13 +51,13 @@ def _prompt_cols_sql(dataset: str) -> str:
 
 @register("threshold_sweep", sql=lambda: O.threshold_sweep_sql())
 def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize(cascade.threshold_sweep(spark, sf))
+    return normalize(cascade.threshold_sweep(*stored_run(spark, sf)))
 
 
 @register("strategy_sweep", sql=lambda: O.threshold_sweep_sql("mnli", ("strategy-1", "strategy-9"), C.THRESHOLDS_MNLI))
 def q_strategy_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """C3 on the 3-class task: names x chains x thresholds in one pass."""
-    return normalize(cascade.threshold_sweep(spark, sf, "mnli", ("strategy-1", "strategy-9"), C.THRESHOLDS_MNLI))
+    return normalize(cascade.threshold_sweep(*stored_run(spark, sf, "mnli"), "mnli", ("strategy-1", "strategy-9"), C.THRESHOLDS_MNLI))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -79,62 +84,53 @@ from .operators import metrics as M  # noqa: E402
 from .plans import evaluate as EV  # noqa: E402
 
 
-def _eval_class_query(task: str):
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return normalize(EV.eval_class(spark, sf, [task]))
-
-    return run
+def _labelled(spark, sf, *tasks: str) -> DataFrame:
+    return EV.labelled(*FX.eval_run(spark, sf, tasks))
 
 
-def _eval_ml_query(task: str):
+def _eval_query(task: str, evaluate):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return normalize(EV.eval_multilabel(spark, sf, [task]))
+        return normalize(evaluate(_labelled(spark, sf, task)))
 
     return run
 
 
-for _t in EV.CLASS_TASKS:
-    register(f"eval_{_t}", sql=O.eval_class_sql([_t]))(_eval_class_query(_t))
-for _t in EV.MULTILABEL_TASKS:
-    register(f"eval_{_t}", sql=O.eval_multilabel_sql([_t]))(_eval_ml_query(_t))
-
+for _t in RL.CLASS_TASKS:
+    register(f"eval_{_t}", sql=O.eval_class_sql([_t]))(_eval_query(_t, EV.eval_class))
+for _t in RL.MULTILABEL_TASKS:
+    register(f"eval_{_t}", sql=O.eval_multilabel_sql([_t]))(_eval_query(_t, EV.eval_multilabel))
+register("eval_stsb", sql=lambda: O.eval_stsb_sql())(_eval_query("stsb", EV.eval_number))
 
-@register("eval_stsb", sql=lambda: O.eval_stsb_sql())
-def q_eval_stsb(spark, sf):
-    return normalize(EV.eval_stsb(spark, sf))
 
-
-@register(
-    "eval_all",
-    sql=lambda: f"SELECT * FROM ({O.eval_class_sql(EV.CLASS_TASKS)}) a UNION ALL SELECT * FROM ({O.eval_multilabel_sql(EV.MULTILABEL_TASKS)}) b",
-)
+@register("eval_all", sql=lambda: O.eval_all_sql(RL.CLASS_TASKS, RL.MULTILABEL_TASKS, RL.TEXT_TASKS))
 def q_eval_all(spark, sf):
-    return normalize(EV.eval_all(spark, sf))
+    """All 15 tasks, one row per (task, model, metric)."""
+    return normalize(EV.eval_all(*FX.eval_run(spark, sf, RL.ALL_TASKS), _scan(spark, sf, "embeddings", "vec_id", "embedding")))
 
 
-@register("macro_prf", sql=lambda: O.macro_prf_sql(O.class_labelled_sql(EV.CLASS_TASKS), ["task"]))
+@register("macro_prf", sql=lambda: O.macro_prf_sql(O.class_labelled_sql(RL.CLASS_TASKS), ["task"]))
 def q_macro_prf(spark, sf):
     """A1 pooled over models: one row per task."""
-    return normalize(M.macro_prf(EV.class_labelled(spark, sf), ["task"]))
+    return normalize(EV.eval_class(_labelled(spark, sf, *RL.CLASS_TASKS), ["task"]))
 
 
-@register("macro_prf_multilabel", sql=lambda: O.macro_prf_multilabel_sql(O.multilabel_labelled_sql(EV.MULTILABEL_TASKS), ["task"]))
+@register("macro_prf_multilabel", sql=lambda: O.macro_prf_multilabel_sql(O.multilabel_labelled_sql(RL.MULTILABEL_TASKS), ["task"]))
 def q_macro_prf_multilabel(spark, sf):
-    return normalize(M.macro_prf_multilabel(EV.multilabel_labelled(spark, sf), ["task"]))
+    return normalize(EV.eval_multilabel(_labelled(spark, sf, *RL.MULTILABEL_TASKS), ["task"]))
 
 
 @register(
     "accuracy",
     sql=lambda: f"SELECT task, model, count(*) AS n, round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy "
-    f"FROM ({O.class_labelled_sql(EV.CLASS_TASKS)}) x GROUP BY task, model",
+    f"FROM ({O.class_labelled_sql(RL.CLASS_TASKS)}) x GROUP BY task, model",
 )
 def q_accuracy(spark, sf):
-    return normalize(M.accuracy(EV.class_labelled(spark, sf), ["task", "model"]))
+    return normalize(M.accuracy(_labelled(spark, sf, *RL.CLASS_TASKS), ["task", "model"], "gold_class", "pred_class"))
 
 
 @register("regression_metrics", sql=lambda: O.regression_sql(O.stsb_labelled_sql(), ["task"]))
 def q_regression_metrics(spark, sf):
-    return normalize(M.regression_metrics(EV.stsb_labelled(spark, sf), ["task"]))
+    return normalize(EV.eval_number(_labelled(spark, sf, "stsb"), ["task"]))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -143,7 +139,6 @@ def q_regression_metrics(spark, sf):
 
 from .functions.text import strip_echo  # noqa: E402
 from .operators import gate as G  # noqa: E402
-from .plans.responders import stub_answers  # noqa: E402
 
 
 @register(
@@ -152,8 +147,8 @@ from .plans.responders import stub_answers  # noqa: E402
     f"FROM ({O.answers_sql('boolq', C.CHAINS['phi'])}) a",
 )
 def q_echo_strip(spark, sf):
-    p = P.prompts(spark, sf, "boolq")
-    a = stub_answers(p, C.CHAINS["phi"], "boolq")
+    p, answers, _ = stored_run(spark, sf)
+    a = answers.where(F.col("model").isin(cascade.chain_models("phi"))).join(p.select("prompt_id", "prompt_text"), "prompt_id")
     return normalize(a.select("prompt_id", "tier", "model", strip_echo("response", "prompt_text", "model").alias("answer")))
 
 
@@ -163,7 +158,8 @@ def q_echo_strip(spark, sf):
     f"FROM ({O.labelled_answers_sql('boolq', 'phi')}) x",
 )
 def q_join_gold(spark, sf):
-    return normalize(cascade.labelled_answers(spark, sf, "boolq", "phi").drop("answer"))
+    p, answers, _ = stored_run(spark, sf)
+    return normalize(cascade.labelled_answers(p, answers, "boolq", cascade.chain_models("phi")).select("prompt_id", "tier", "model", "gold", "pred"))
 
 
 def _scorer_input_sql() -> str:
@@ -181,16 +177,13 @@ def _scorer_input_sql() -> str:
 
 @register("scorer_input", sql=_scorer_input_sql)
 def q_scorer_input(spark, sf):
-    """Boolq scorer reads prompt + answer text; mnli reads prompt + predicted class digit."""
+    """Boolq scorer reads prompt + answer text; mnli reads prompt + predicted class digit. The prompt text that the
+    answers met for the echo strip is the one the scorer reads: no second join."""
     out = []
-    for ds, chain, tail in (("boolq", "phi", F.col("answer")), ("mnli", "flan", F.col("pred").cast("string"))):
-        x = cascade.labelled_answers(spark, sf, ds, chain)
-        p = P.prompts(spark, sf, ds).select("prompt_id", "prompt_text")
-        out.append(
-            x.join(p, "prompt_id").select(
-                F.lit(ds).alias("dataset"), "prompt_id", "model", F.concat("prompt_text", tail).alias("scorer_text")
-            )
-        )
+    for ds, chain in (("boolq", "phi"), ("mnli", "flan")):
+        p, answers, _ = stored_run(spark, sf, ds)
+        x = cascade.labelled_answers(p, answers, ds, cascade.chain_models(chain))
+        out.append(x.select(F.lit(ds).alias("dataset"), "prompt_id", "model", SC.scorer_text(ds).alias("scorer_text")))
     return normalize(out[0].unionByName(out[1]))
 
 
@@ -206,7 +199,7 @@ def _tier1_scored_sql() -> str:
     f"FROM ({_tier1_scored_sql()}) t",
 )
 def q_gate_split(spark, sf):
-    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
+    s = cascade.scored_long(*stored_run(spark, sf), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
     return normalize(G.route(s.select("strategy", "prompt_id", "score"), 0.8))
 
 
@@ -218,8 +211,9 @@ def q_gate_split(spark, sf):
 )
 def q_join_scores(spark, sf):
     """Answers and scores meet on (prompt_id, tier)."""
-    a = cascade.labelled_answers(spark, sf, "boolq", "flan").select("prompt_id", "tier", "pred", "gold")
-    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", ("strategy-1", "strategy-2")).select("strategy", "prompt_id", "tier", "score")
+    p, answers, scores = stored_run(spark, sf)
+    a = cascade.labelled_answers(p, answers, "boolq", cascade.chain_models("flan")).select("prompt_id", "tier", "pred", "gold")
+    s = scores.where(F.col("strategy").isin("strategy-1", "strategy-2"))
     return normalize(a.join(s, ["prompt_id", "tier"]).select("strategy", "prompt_id", "tier", "pred", "gold", "score"))
 
 
@@ -234,10 +228,10 @@ def _accepted_t1_sql() -> str:
 )
 def q_remaining_anti(spark, sf):
     """Prompts left for tier 2 at threshold 0.8 = all prompts (per strategy) minus those tier 1 accepted."""
-    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
+    s = cascade.scored_long(*stored_run(spark, sf), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
     accepted, _ = G.gate_split(s, 0.8)
     everyone = P.prompts(spark, sf, "boolq").select("prompt_id", F.explode(F.array(*[F.lit(x) for x in C.STRATEGIES])).alias("strategy"))
-    return normalize(everyone.join(accepted.select("strategy", "prompt_id"), ["strategy", "prompt_id"], "left_anti").select("strategy", "prompt_id"))
+    return normalize(G.remaining_anti(everyone, accepted, ["strategy", "prompt_id"]).select("strategy", "prompt_id"))
 
 
 @register(
@@ -247,7 +241,7 @@ def q_remaining_anti(spark, sf):
 )
 def q_accepted_semi(spark, sf):
     """Prompt rows whose tier-1 answer strategy-1 accepted at 0.8."""
-    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", ("strategy-1",)).where(F.col("tier") == 1)
+    s = cascade.scored_long(*stored_run(spark, sf), "boolq", ("strategy-1",)).where(F.col("tier") == 1)
     accepted, _ = G.gate_split(s, 0.8)
     p = P.prompts(spark, sf, "boolq").select("prompt_id", "gold_class")
     return normalize(G.accepted_semi(p, accepted))
@@ -265,7 +259,7 @@ from .operators import batching as BT  # noqa: E402
     sql=lambda: f"SELECT strategy, threshold, prompt_id, CAST(tier AS BIGINT) AS tier FROM ({O.sweep_final_sql()}) f",
 )
 def q_first_accept(spark, sf):
-    return normalize(cascade.sweep_final(spark, sf).select("strategy", "threshold", "prompt_id", "tier"))
+    return normalize(cascade.sweep_final(*stored_run(spark, sf)).select("strategy", "threshold", "prompt_id", "tier"))
 
 
 @register(
@@ -278,7 +272,7 @@ def q_first_accept(spark, sf):
     FROM per""",
 )
 def q_tier_accounting(spark, sf):
-    return normalize(cascade.tier_accounting(cascade.sweep_final(spark, sf)))
+    return normalize(cascade.tier_accounting(cascade.sweep_final(*stored_run(spark, sf))))
 
 
 @register(
@@ -295,26 +289,31 @@ def q_tier_accounting(spark, sf):
     FROM steps""",
 )
 def q_batch_offsets(spark, sf):
-    return normalize(BT.batch_offsets(cascade.sweep_final(spark, sf), C.BATCH_SIZE_CASCADE))
+    return normalize(BT.batch_offsets(cascade.sweep_final(*stored_run(spark, sf)), C.BATCH_SIZE_CASCADE))
 
 
 _FINAL_COLS_SQL = "strategy, threshold, prompt_id, CAST(tier AS BIGINT) AS tier, model, CAST(gold AS BIGINT) AS gold, CAST(pred AS BIGINT) AS pred, score"
 
 
+def _sequential(spark, sf, strategy: str, threshold: float) -> DataFrame:
+    p, answers, scores = stored_run(spark, sf)
+    return cascade.sequential_final(p, strategy, threshold, cascade.from_answers(answers), cascade.from_scores(scores, strategy))
+
+
 @register("cascade_union", sql=lambda: f"SELECT {_FINAL_COLS_SQL} FROM ({O.sweep_final_sql('boolq', ('strategy-9',), (0.8,))}) f")
 def q_cascade_union(spark, sf):
     """U1 via C1: accepted rows of every tier of the sequential cascade, unioned with their tier."""
-    return normalize(cascade.sequential_final(spark, sf, "strategy-9", 0.8).drop("n_tiers"))
+    return normalize(_sequential(spark, sf, "strategy-9", 0.8).drop("n_tiers"))
 
 
 @register("cascade_sequential", sql=lambda: O.threshold_sweep_sql("boolq", tuple(C.STRATEGIES), (0.8,)))
 def q_cascade_sequential(spark, sf):
-    return normalize(cascade.cascade_sequential(spark, sf, tuple(C.STRATEGIES), 0.8))
+    return normalize(cascade.cascade_sequential(*stored_run(spark, sf), tuple(C.STRATEGIES), 0.8))
 
 
 @register("cascade_cost", sql=lambda: O.cascade_cost_sql(O.sweep_final_sql()))
 def q_cascade_cost(spark, sf):
-    return normalize(cascade.cascade_cost(cascade.sweep_final(spark, sf)))
+    return normalize(cascade.cascade_cost(cascade.sweep_final(*stored_run(spark, sf))))
 
 
 @register(
@@ -322,7 +321,7 @@ def q_cascade_cost(spark, sf):
     sql=lambda: f"SELECT DISTINCT strategy, threshold FROM ({O.threshold_sweep_sql()}) s",
 )
 def q_distinct_thresholds(spark, sf):
-    return normalize(cascade.threshold_sweep(spark, sf).select("strategy", "threshold").distinct())
+    return normalize(cascade.threshold_sweep(*stored_run(spark, sf)).select("strategy", "threshold").distinct())
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -411,10 +410,14 @@ def _scorer_labels_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _labelled_rows(spark, sf) -> DataFrame:
+    """Answers of both chains with their labels, in one read of the answers."""
+    p, answers, _ = stored_run(spark, sf)
+    return cascade.labelled_answers(p, answers, "boolq", cascade.chain_models("flan", "phi"))
+
+
 def _scorer_labels(spark, sf) -> DataFrame:
-    parts = [cascade.labelled_answers(spark, sf, "boolq", ch) for ch in ("flan", "phi")]
-    rows = parts[0].unionByName(parts[1])
-    return rows.select("model", "prompt_id", (F.col("pred") == F.col("gold")).cast("int").alias("label"))
+    return _labelled_rows(spark, sf).select("model", "prompt_id", (F.col("pred") == F.col("gold")).cast("int").alias("label"))
 
 
 @register("scorer_labels_class", sql=_scorer_labels_sql)
@@ -441,15 +444,8 @@ def q_scorer_label_balance(spark, sf):
 )
 def q_pooled_training(spark, sf):
     """One pooled training table over all models (model kept as a column)."""
-    parts = [cascade.labelled_answers(spark, sf, "boolq", ch) for ch in ("flan", "phi")]
-    rows = parts[0].unionByName(parts[1])
-    p = P.prompts(spark, sf, "boolq").select("prompt_id", "prompt_text")
-    return normalize(
-        rows.join(p, "prompt_id").select(
-            "model", "prompt_id", F.concat("prompt_text", "answer").alias("scorer_text"),
-            (F.col("pred") == F.col("gold")).cast("int").alias("label"),
-        )
-    )
+    rows = _labelled_rows(spark, sf)
+    return normalize(rows.select("model", "prompt_id", SC.scorer_text("boolq").alias("scorer_text"), (F.col("pred") == F.col("gold")).cast("int").alias("label")))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -463,14 +459,10 @@ from .sources import emissions as EM  # noqa: E402
 
 @register(
     "parse_run_names",
-    sql=lambda: f"""SELECT project_name, regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1) AS run,
-      TRY_CAST(split_part(project_name, '_', -1) AS BIGINT) AS batch,
-      regexp_extract(regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1), '^(.*)-[^-]*$', 1) AS strategy,
-      TRY_CAST(split_part(regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1), '-', -1) AS DOUBLE) AS threshold
-    FROM ({O.emission_records_sql()}) r""",
+    sql=lambda: f"SELECT project_name, {O.run_parts_sql()} FROM ({O.emission_records_sql()}) r",
 )
 def q_parse_run_names(spark, sf):
-    recs = EM.emission_records(spark, sf)
+    recs = FX.emission_records(spark, sf)
     parts = EN.parse_project_name(F.col("project_name"), EM.DATASET)
     return normalize(recs.select("project_name", *[v.alias(k) for k, v in parts.items()]))
 
@@ -484,7 +476,7 @@ def q_scan_emissions(spark, sf):
     import uuid
 
     base = scratch_path(spark, "emissions", uuid.uuid4().hex)
-    EM.write_emissions(EM.emission_records(spark, sf), base)
+    EM.write_emissions(FX.emission_records(spark, sf), base)
     return normalize(EM.scan_emissions(spark, base).select("folder", "project_name", "duration", "energy_consumed"))
 
 
@@ -494,11 +486,11 @@ def q_scan_emissions(spark, sf):
     FROM ({O.energy_batches_sql()}) b GROUP BY run""",
 )
 def q_energy_rollup(spark, sf):
-    return normalize(EN.energy_rollup(EN.energy_batches(EM.emission_records(spark, sf), EM.DATASET)))
+    return normalize(EN.energy_rollup(EN.energy_batches(FX.emission_records(spark, sf), EM.DATASET)))
 
 
 def _dup_records(spark, sf):
-    recs = EM.emission_records(spark, sf).select("project_name", "run_id", "energy_consumed")
+    recs = FX.emission_records(spark, sf).select("project_name", "run_id", "energy_consumed")
     first = recs.select("project_name", "energy_consumed", F.lit(0).alias("file_order"))
     from .functions.hashing import h as _h, key as _key
 
@@ -527,11 +519,11 @@ def q_energy_dedup(spark, sf):
 @register(
     "energy_lookup",
     sql=lambda: f"""WITH b AS ({O.energy_batches_sql()}), c AS (SELECT run, count(*) AS n FROM b GROUP BY run)
-    SELECT b.run, b.batch, b.project_name, CAST(b.energy_wh AS DOUBLE) AS energy_wh FROM b JOIN c ON b.run = c.run WHERE b.batch < c.n""",
+    SELECT b.run, b.batch, b.project_name, CAST(b.energy_wh AS DOUBLE) AS energy_wh, b.batch < c.n AS indexed FROM b JOIN c ON b.run = c.run""",
 )
 def q_energy_lookup(spark, sf):
-    """J8 with the reference's index rule (a gap drops the run's tail)."""
-    return normalize(EN.energy_lookup(EN.energy_batches(EM.emission_records(spark, sf), EM.DATASET), strict_reference=True))
+    """Every record with its energy, and whether the studied index loop (a gap drops the run's tail) reaches it."""
+    return normalize(EN.energy_lookup(EN.energy_batches(FX.emission_records(spark, sf), EM.DATASET)).drop("strategy", "threshold"))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -541,7 +533,6 @@ def q_energy_lookup(spark, sf):
 from .operators import embed_match as EMB  # noqa: E402
 from .operators import rouge as RG  # noqa: E402
 from .plans import text_eval as TE  # noqa: E402
-from .sources.tables import scan as _scan  # noqa: E402
 
 
 @register("rouge_1", sql=lambda: O.rouge_n_sql(O.conversation_pairs_sql(), 1))
@@ -554,9 +545,9 @@ def q_rouge_2(spark, sf):
     return normalize(RG.rouge_n(TE.conversation_pairs(spark, sf), 2))
 
 
-@register("rouge_l")
+@register("rouge_l", sql=lambda: O.rouge_l_sql(O.conversation_pairs_sql()))
 def q_rouge_l(spark, sf):
-    """LCS-based F over whole texts (no SQL oracle; tests compare with a plain dynamic-programming LCS)."""
+    """LCS-based F over whole texts."""
     return normalize(RG.rouge_l(TE.conversation_pairs(spark, sf)))
 
 
@@ -565,10 +556,14 @@ def q_embed_match(spark, sf):
     return normalize(EMB.embed_match(TE.conversation_pairs(spark, sf), _scan(spark, sf, "embeddings", "vec_id", "embedding")))
 
 
+def _embeddings(spark, sf) -> DataFrame:
+    return _scan(spark, sf, "embeddings", "vec_id", "embedding")
+
+
 for _task, _key in (("samsum", "eval_samsum"), ("cnn_dm", "eval_cnn"), ("dolly", "eval_dolly")):
     def _mk(task):
         def run(spark, sf):
-            return normalize(TE.eval_text(spark, sf, task))
+            return normalize(EV.eval_text(_labelled(spark, sf, task), _embeddings(spark, sf), ["model"]))
 
         return run
 
@@ -577,12 +572,14 @@ for _task, _key in (("samsum", "eval_samsum"), ("cnn_dm", "eval_cnn"), ("dolly",
 
 @register("scorer_labels_text", sql=lambda: O.scorer_labels_text_sql())
 def q_scorer_labels_text(spark, sf):
-    return normalize(TE.scorer_labels_text(spark, sf))
+    rows = _labelled(spark, sf, "samsum")
+    pairs = rows.select("model", F.col("prompt_id").alias("pair_id"), F.col("answer").alias("pred"), F.col("gold_text").alias("ref"))
+    return normalize(TE.scorer_labels_text(pairs, _embeddings(spark, sf)))
 
 
 @register("cascade_text", sql=lambda: O.cascade_text_sql())
 def q_cascade_text(spark, sf):
-    return normalize(TE.cascade_text(spark, sf))
+    return normalize(TE.cascade_text(*FX.stored_text_run(spark, sf, "strategy-9"), _embeddings(spark, sf)))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -612,12 +609,10 @@ def q_scan_prompts(spark, sf):
 
 def _run_tables(spark, sf):
     """(answers with position and batch, per-model batch times) for both chains over the boolq batch plan."""
-    p = P.prompts(spark, sf, "boolq")
+    p, answers, _ = stored_run(spark, sf)
     plan = BT.batch_plan(p, C.BATCH_SIZE_CASCADE)
-    answers = [RS.stub_answers(p, C.CHAINS[c], "boolq") for c in ("flan", "phi")]
-    a = answers[0].unionByName(answers[1]).select("model", "prompt_id", "response")
-    rows = a.join(plan.select("prompt_id", "position", "batch_id", "n_chars"), "prompt_id")
-    times = RO.batch_times(rows, ("model", "batch_id"))  # each model's own batches, from its own answer rows
+    rows = answers.select("model", "prompt_id", "response").join(plan.select("prompt_id", "position", "batch_id", "n_chars"), "prompt_id")
+    times = FX.batch_times(rows, ("model", "batch_id"))  # each model's own batches, from its own answer rows
     return rows.drop("n_chars"), times
 
 
@@ -671,21 +666,17 @@ def q_run_integrity(spark, sf):
     return normalize(RO.run_integrity(rows, times, C.BATCH_SIZE_CASCADE))
 
 
-@register(
-    "batch_inference",
-    sql=lambda: f"""SELECT a.prompt_id, CAST(a.tier AS BIGINT) AS tier, a.model, pl.batch_id, a.response
-    FROM ({O.answers_sql('boolq', C.CHAINS['phi'])}) a JOIN ({O.batch_plan_sql('boolq', C.BATCH_SIZE_DEFAULT)}) pl ON a.prompt_id = pl.prompt_id""",
-)
+@register("batch_inference", sql=lambda: O.batch_inference_sql("boolq", C.CHAINS["phi"], C.BATCH_SIZE_DEFAULT))
 def q_batch_inference(spark, sf):
-    """M1: each model of a chain runs over the length-sorted batch plan through ``mapInPandas`` (the plug-in path)."""
-    p = P.prompts(spark, sf, "boolq")
-    plan = BT.batch_plan(p, C.BATCH_SIZE_DEFAULT).join(p.select("prompt_id", "gold_class", "prompt_text"), "prompt_id")
-    laid = RS.prepare_plan(plan)  # laid out and checkpointed once, read by every tier
-    outs = [RS.pandas_responder(laid, t, lambda t=t: RS.stub_pandas_model("boolq", t), prepared=True) for t in C.CHAINS["phi"]]
+    """M1: each model of a chain runs over the length-sorted batch plan through ``mapInPandas`` (the plug-in path).
+
+    The prompt text rides through the one range shuffle that numbers the rows; each model's batches keep their data set."""
+    plan = BT.batch_plan(P.prompts(spark, sf, "boolq"), C.BATCH_SIZE_DEFAULT, keep=("prompt_text",))
+    outs = [RS.pandas_responder(plan, t, lambda t=t: stub_pandas_model("boolq", t), ("dataset",)) for t in C.CHAINS["phi"]]
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    return normalize(out)
+    return normalize(out.drop("dataset"))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -698,7 +689,7 @@ from .plans import curves as CV  # noqa: E402
 @register("union_results", sql=lambda: O.quality_rows_sql(O.threshold_sweep_sql()))
 def q_union_results(spark, sf):
     """One result file per strategy (published layout), scanned together and stacked by name."""
-    rows = CV.quality_rows(cascade.threshold_sweep(spark, sf)).cache()
+    rows = CV.quality_rows(cascade.threshold_sweep(*stored_run(spark, sf))).cache()
     base = scratch_path(spark, "results_csv", _uuid.uuid4().hex)
     paths = []
     for s in C.STRATEGIES:
@@ -713,7 +704,7 @@ def q_union_results(spark, sf):
 @register("sink_results", sql=lambda: O.quality_rows_sql(O.threshold_sweep_sql()))
 def q_sink_results(spark, sf):
     """Write all grid points, then re-run one strategy's points: its partition is replaced, not doubled."""
-    rows = CV.quality_rows(cascade.threshold_sweep(spark, sf))
+    rows = CV.quality_rows(cascade.threshold_sweep(*stored_run(spark, sf)))
     base = scratch_path(spark, "results", _uuid.uuid4().hex)
     CV.sink_results(rows, base)
     CV.sink_results(rows.where(F.col("Model") == "strategy-1"), base)
@@ -724,38 +715,38 @@ def q_sink_results(spark, sf):
 @register("baseline_broadcast", sql=lambda: f"SELECT b.*, th.threshold FROM ({O.baselines_sql()}) b CROSS JOIN {O.thresholds_values(C.THRESHOLDS_BOOLQ)}")
 def q_baseline_broadcast(spark, sf):
     """Single-model baselines (F1, energy) drawn at every threshold of the sweep."""
-    return normalize(CV.baseline_broadcast(CV.baselines(spark, sf)))
+    return normalize(CV.baseline_broadcast(CV.baselines(*stored_run(spark, sf)[:2])))
 
 
 @register("cost_quality", sql=O.cost_quality_sql)
 def q_cost_quality(spark, sf):
-    """J9 + C8: quality and energy per (strategy, threshold), full outer join of two reads of the same cells."""
-    return normalize(CV.cost_quality_one_pass(cascade.sweep_final(spark, sf)))
+    """J9 + C8: quality against measured energy per (strategy, threshold), one-sided keys kept, single models as baselines."""
+    run = stored_run(spark, sf)
+    measured = CV.measured_energy(EN.energy_batches(FX.emission_records(spark, sf), EM.DATASET))
+    return normalize(CV.cost_quality(CV.sweep_points(cascade.sweep_final(*run)), CV.baselines(*run[:2]), measured))
 
 
 @register(
     "curve_series",
     sql=lambda: f"""SELECT strategy, count(*) AS points,
       string_agg(printf('%.2f:%.9f:%.6f', threshold, m_f1, energy_wh), '|' ORDER BY threshold, m_f1, energy_wh) AS series
-    FROM ({O.cost_quality_sql()}) c GROUP BY strategy""",
+    FROM ({O.sweep_points_sql()}) c GROUP BY strategy""",
 )
 def q_curve_series(spark, sf):
-    return normalize(CV.curve_series(CV.cost_quality_one_pass(cascade.sweep_final(spark, sf))))
+    return normalize(CV.curve_series(CV.sweep_points(cascade.sweep_final(*stored_run(spark, sf)))))
 
 
 # ---------------------------------------------------------------------------------------------------------------
 # Scorer training and scoring (rows checks: fitted models have no SQL form)
 # ---------------------------------------------------------------------------------------------------------------
 
-from .plans import scorer as SC  # noqa: E402
-
 SCORER_GRID = ((0.01, 20), (0.1, 20))
 
 
 @register("train_scorer")
 def q_train_scorer(spark, sf):
     """M3: pooled scorer, two settings, best by validation log-loss; one report row per setting."""
-    _, report = SC.fit_best(SC.training_rows(spark, sf), SCORER_GRID)
+    _, report = SC.fit_best(SC.training_rows(*stored_run(spark, sf)[:2]), SCORER_GRID)
     best = min((r for r in report if r[4] == r[4]), key=lambda r: r[4], default=None)
     rows = [(float(r[0]), int(r[1]), int(r[2]), int(r[3]), float(r[4]), r is best) for r in report]
     return spark.createDataFrame(rows, "reg_param double, max_iter bigint, n_train bigint, n_val bigint, val_logloss double, chosen boolean")
@@ -764,7 +755,7 @@ def q_train_scorer(spark, sf):
 @register("score_rows")
 def q_score_rows(spark, sf):
     """M2: the chosen scorer's class-1 probability for every (model, prompt) row."""
-    rows = SC.training_rows(spark, sf)
+    rows = SC.training_rows(*stored_run(spark, sf)[:2])
     model, _ = SC.fit_best(rows, SCORER_GRID[:1])
     return normalize(SC.score_rows(model, rows))
 
@@ -772,12 +763,12 @@ def q_score_rows(spark, sf):
 @register("train_grid")
 def q_train_grid(spark, sf):
     """M6 + S10: the strategy grid, its training log appended to a ``strategies`` table and read back."""
-    return SC.train_grid(spark, sf, log_path=scratch_path(spark, "strategies", _uuid.uuid4().hex))
+    return SC.train_grid(SC.training_rows(*stored_run(spark, sf)[:2]), log_path=scratch_path(spark, "strategies", _uuid.uuid4().hex))
 
 
 @register("scorer_layouts")
 def q_scorer_layouts(spark, sf):
-    return SC.scorer_layouts(spark, sf)
+    return SC.scorer_layouts(SC.training_rows(*stored_run(spark, sf)[:2]))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -789,15 +780,18 @@ from .streaming import jobs as ST  # noqa: E402
 
 @register(
     "stream_energy",
-    sql="""WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM events),
+    sql=lambda: f"""WITH e AS (SELECT CAST(v.ts AS TIMESTAMP) AS ts, b.run, b.energy_kwh FROM ({O.batch_records_sql()}) b JOIN events v ON b.event_id = v.event_id),
     wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM e),
-    agg AS (SELECT date_trunc('day', ts) AS ws, event_type, count(*) AS events, sum(value / 1000.0) AS energy FROM e GROUP BY ALL)
-    SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, events, round(energy, 6) AS energy_wh
+    agg AS (SELECT date_trunc('day', ts) AS ws, run, count(*) AS batches, sum(energy_kwh * 1000.0) AS energy FROM e GROUP BY ALL)
+    SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, run, batches, round(energy, 6) AS energy_wh
     FROM agg CROSS JOIN wm WHERE ws + INTERVAL 1 DAY <= wm.w""",
 )
 def q_stream_energy(spark, sf):
-    """Closed 1-day windows per event type (watermark 1 hour; the last, still open day is not emitted)."""
-    return normalize(ST.stream_energy(spark, sf))
+    """Closed 1-day windows per run (watermark 1 hour; the last, still open day is not emitted)."""
+    source = scratch_path(spark, "stream_energy_in", _uuid.uuid4().hex)
+    records = FX.batch_records(spark, sf).select(F.col("ts").cast("timestamp_ntz").alias("ts"), "run", "energy_kwh")
+    records.write.parquet(source)
+    return normalize(ST.stream_energy(spark, source, records.schema))
 
 
 @register(
@@ -806,7 +800,7 @@ def q_stream_energy(spark, sf):
     f"FROM ({_tier1_scored_sql()}) t",
 )
 def q_stream_gate(spark, sf):
-    s = cascade.scored_long(P.prompts(spark, sf, "boolq"), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
+    s = cascade.scored_long(*stored_run(spark, sf), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
     return normalize(ST.stream_gate(spark, s.select("strategy", "prompt_id", "score"), 0.8))
 
 
@@ -815,7 +809,7 @@ def q_stream_dedup(spark, sf):
     """First arrival wins within the watermark; the changed copies arrive later and are dropped."""
     from .functions.hashing import h as _h, key as _key
 
-    recs = EM.emission_records(spark, sf).select("project_name", "run_id", F.col("timestamp").alias("ts"), "energy_consumed")
+    recs = FX.emission_records(spark, sf).select("project_name", "run_id", F.col("timestamp").alias("ts"), "energy_consumed")
     first = recs.select("project_name", "ts", "energy_consumed")
     again = recs.where(_h(_key(F.col("run_id"), "-dup")) < 10).select(
         "project_name", "ts", (F.col("energy_consumed") * F.lit(1.5)).alias("energy_consumed")
@@ -833,11 +827,11 @@ from .sources import tracker_logs as TL  # noqa: E402
 def _tracker_sql() -> str:
     d = "duration_s"
     dur = f"CAST(trunc({d} / 3600) AS BIGINT) * 3600 + CAST(trunc(({d} % 3600) / 60) AS BIGINT) * 60 + CAST(printf('%05.2f', {d} % 60) AS DOUBLE)"
-    cpu_none = f"{O.sql_h(O.sql_key('event_id', O.q('-cpu')))} < {TL.CPU_NONE_PCT}"
+    cpu_none = f"{O.sql_h(O.sql_key('event_id', O.q('-cpu')))} < {FX.CPU_NONE_PCT}"
     return f"""SELECT run, CAST(batch AS BIGINT) AS batch, '1.2.5' AS version, CAST(1.55 AS DOUBLE) AS pue, {dur} AS duration_s,
       energy_kwh * 1e5 AS gpu_w_total, CASE WHEN {cpu_none} THEN NULL ELSE energy_kwh * 7e4 + energy_kwh * 5e4 END AS cpu_w_total,
-      CAST(626.01 AS DOUBLE) AS intensity_g_kwh, energy_kwh, energy_kwh * {TL.INTENSITY_G_PER_KWH!r} AS co2_g,
-      energy_kwh * {TL.INTENSITY_G_PER_KWH!r} * {TL.KM_PER_G!r} AS km
+      CAST(626.01 AS DOUBLE) AS intensity_g_kwh, energy_kwh, energy_kwh * {FX.INTENSITY_G_PER_KWH!r} AS co2_g,
+      energy_kwh * {FX.INTENSITY_G_PER_KWH!r} * {FX.KM_PER_G!r} AS km
     FROM ({O.batch_records_sql()}) b"""
 
 
@@ -845,7 +839,7 @@ def _tracker_sql() -> str:
 def q_scan_tracker_logs(spark, sf):
     """Tracker logs generated per batch record, written as shard documents, scanned and parsed back."""
     base = scratch_path(spark, "tracker_logs", _uuid.uuid4().hex)
-    TL.write_logs(TL.log_documents(EM.batch_records(spark, sf)), base)
+    TL.write_logs(FX.log_documents(FX.batch_records(spark, sf)), base)
     t = TL.scan_tracker_logs(spark, base)
     return normalize(
         t.select(
@@ -859,16 +853,13 @@ def q_scan_tracker_logs(spark, sf):
 
 @register(
     "grid",
-    sql=lambda: f"""WITH r AS (
-      SELECT regexp_extract(regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1), '^(.*)-[^-]*$', 1) AS strategy,
-             TRY_CAST(split_part(regexp_extract(substring(project_name, {len(EM.DATASET) + 2}), '^(.*)_[^_]*$', 1), '-', -1) AS DOUBLE) AS threshold
-      FROM ({O.emission_records_sql()}) x)
-    SELECT s.strategy, t.threshold FROM (SELECT DISTINCT strategy FROM r WHERE strategy <> '') s
+    sql=lambda: f"""WITH r AS (SELECT {O.run_parts_sql()} FROM ({O.emission_records_sql()}) x)
+    SELECT s.strategy, t.threshold FROM (SELECT DISTINCT strategy FROM r WHERE threshold IS NOT NULL) s
     CROSS JOIN (SELECT DISTINCT threshold FROM r WHERE threshold IS NOT NULL) t""",
 )
 def q_grid(spark, sf):
     """Strategies x thresholds of the measured runs (run names parsed from the emission records)."""
-    recs = EM.emission_records(spark, sf)
+    recs = FX.emission_records(spark, sf)
     parts = EN.parse_project_name(F.col("project_name"), EM.DATASET)
     runs = recs.select(parts["strategy"].alias("strategy"), parts["threshold"].alias("threshold"))
     return normalize(CV.strategy_threshold_grid(runs))

@@ -63,22 +63,43 @@ NON_ECHO_MARKER = "flan"      # models whose name holds this do not echo the pro
 
 # Thresholds swept by the grid mains (boolq 8, samsum 6, mnli 2).
 THRESHOLDS_BOOLQ = (0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
-THRESHOLDS_SAMSUM = (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
-THRESHOLDS_MNLI = (0.80, 0.90)
+THRESHOLDS_SAMSUM = (0.60, 0.65, 0.70, 0.75, 0.80, 0.85)
+THRESHOLDS_MNLI = (0.90, 0.95)
 
 # Batch sizes (boolq and samsum cascades 4, mnli and the plain runner 16).
 BATCH_SIZE_CASCADE = 4
 BATCH_SIZE_DEFAULT = 16
 SCORER_LABEL_MIN_F1 = 0.8    # text tasks: scorer label is 1 when the embedding-match F1 is above this
 
-# Strategy grid: learning rate and epochs per strategy name.
+# Share of the training rows held out for validation, in percent.
+VALIDATION_PCT = {"boolq": 20, "samsum": 20, "mnli": 60}
+
+# Strategy grids: (name, learning rate, epochs, layout, training text, scorer base). Layout: one scorer per model of
+# the chain, or one pooled over them. Training text: the stripped answer, or the original model output.
 STRATEGY_GRID = (
-    ("strategy-1", 1e-05, 10),
-    ("strategy-2", 2e-05, 10),
-    ("strategy-3", 4e-05, 10),
-    ("strategy-4", 4e-04, 10),
-    ("strategy-5", 2e-05, 10),
-    ("strategy-6", 4e-05, 10),
+    ("strategy-1", 1e-05, 10, "per-model", "stripped", None),
+    ("strategy-2", 2e-05, 10, "per-model", "stripped", None),
+    ("strategy-3", 4e-05, 10, "per-model", "stripped", None),
+    ("strategy-4", 4e-04, 10, "per-model", "stripped", None),
+    ("strategy-5", 2e-05, 10, "per-model", "original", None),
+    ("strategy-6", 4e-05, 10, "per-model", "original", None),
+    ("single-scorer-strategy-2", 1e-05, 10, "pooled", "stripped", None),
+    ("single-scorer-strategy-3", 2e-05, 10, "pooled", "stripped", None),
+    ("single-scorer-strategy-4", 4e-05, 10, "pooled", "stripped", None),
+    ("single-scorer-strategy-5", 2e-05, 10, "pooled", "original", None),
+    ("single-scorer-strategy-6", 4e-05, 10, "pooled", "original", None),
+)
+STRATEGY_GRID_SAMSUM = (
+    ("strategy-1", 4e-05, 8, "per-model", "original", "bigbird-roberta-base"),
+    ("strategy-2", 8e-05, 8, "per-model", "original", "bigbird-roberta-base"),
+    ("strategy-3", 4e-05, 8, "per-model", "original", "longformer-base-4096"),
+    ("strategy-4", 8e-05, 8, "per-model", "original", "longformer-base-4096"),
+)
+STRATEGY_GRID_MNLI = (
+    ("strategy_2", 1e-05, 10, "per-model", "stripped", None),
+    ("strategy_3", 2e-05, 10, "per-model", "stripped", None),
+    ("strategy_4", 5e-05, 10, "per-model", "stripped", None),
+    ("strategy_5", 1e-04, 10, "per-model", "stripped", None),
 )
 
 # --------------------------------------------------------------------------------------------------------------
@@ -139,4 +160,4 @@ EVAL_MULTILABEL_PHRASES = {
 VAX_GOLD_CHOICES = ("ProVax", "AntiVax", "Neutral", None)
 HATEX_GOLD_CHOICES = HATEX_GOLD_LABELS
 STSB_PHRASES = ("4.5", "3/5", "3", "", "4.x", "abc", "2.0 because", "5")
-EVAL_MODELS = tuple(t for chain in CHAINS.values() for t in chain)
+EVAL_MODELS = (CHAINS["flan"][0], CHAINS["flan"][2], CHAINS["phi"][1])

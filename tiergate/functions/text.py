@@ -6,8 +6,6 @@ in other engines' regex dialects (``\\s`` differs between them on ``\\x0B``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,22 +25,12 @@ def clean_alnum(text) -> Column:
     return F.regexp_replace(t, NOT_ALNUM_WS, " ")
 
 
-def first_words(text, n: int) -> Column:
-    """The first ``n`` whitespace-separated words joined by one space."""
+def first_words(text, n) -> Column:
+    """The first ``n`` (number or column) whitespace-separated words joined by one space."""
     t = F.regexp_replace(col(text), f"^{WS}+", "")
     return F.array_join(F.slice(F.split(t, f"{WS}+"), 1, n), " ")
 
 
-def has_any(text, words: Iterable[str]) -> Column:
-    """Substring test against any of ``words`` (null text gives null)."""
-    t = col(text)
-    out = None
-    for w in words:
-        c = t.contains(w)
-        out = c if out is None else (out | c)
-    return out
-
-
 def echoes(model) -> Column:
     """True for models that repeat the prompt in front of the answer (no 'flan' in the name)."""
     return ~col(model).contains(NON_ECHO_MARKER)
@@ -51,7 +39,7 @@ def echoes(model) -> Column:
 def strip_echo(response, prompt_text, model) -> Column:
     """Drop the first ``length(prompt_text)`` characters of the response for echoing models."""
     r, p = col(response), col(prompt_text)
-    stripped = F.substring(r, F.length(p) + 1, F.lit(1 << 30))
+    stripped = F.substr(r, F.length(p) + 1)
     return F.when(echoes(model), stripped).otherwise(r)
 
 
@@ -63,15 +51,3 @@ def word_count(text) -> Column:
     """Number of whitespace-separated words (0 for empty or blank text)."""
     t = F.regexp_replace(col(text), f"^{WS}+|{WS}+$", "")
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{WS}+")))
-
-
-def computed_once(df, *cols):
-    """Select ``df.*`` plus ``cols`` so that later expressions read them as plain columns.
-
-    Catalyst's CollapseProject would otherwise inline a large expression into every branch of a later ``when``
-    chain that reads it, and generated code can outgrow the JVM 64 KB method limit (then Spark falls back to
-    interpreted evaluation). A one-row ``inline`` is a Generate node, which projections are not merged across.
-    """
-    from pyspark.sql import functions as F
-
-    return df.select("*", F.inline(F.array(F.struct(*cols))))

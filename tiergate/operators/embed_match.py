@@ -12,7 +12,8 @@ Plan:
 When the vector table is small enough (rows x dim x 8 bytes under ``BROADCAST_LIMIT_BYTES``, checked from its row
 count and vector width before anything is collected), a faster plan is used instead: the unit vectors go to every
 executor once as a broadcast matrix, and each pair is scored inside its own row from its two token-id arrays -
-no token rows, no shuffle. Above the limit the join plan above runs; both give the same numbers.
+no token rows, no shuffle. Both plans follow one rule and give the same numbers: a token is mapped into the range of
+the table's own ids, a token whose id has no vector takes no part, and such tokens are counted in ``no_vector``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from ..functions.hashing import hex_bits
 from .rouge import tokens
 
 DIGITS = 9
-BROADCAST_LIMIT_BYTES = 256 << 20
+BROADCAST_LIMIT_BYTES = 64 << 20
 
 
 def token_vec_id(token: Column, n_vectors: int) -> Column:
@@ -66,55 +67,63 @@ def _greedy_batch(pv: pd.Series, pc: pd.Series, rv: pd.Series, rc: pd.Series) ->
     return pd.DataFrame({"p": ps, "r": rs})
 
 
-def _ids_score(u: np.ndarray, a_ids, b_ids) -> float:
-    if a_ids is None or b_ids is None or len(a_ids) == 0 or len(b_ids) == 0:
+def _ids_score(u: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or not len(b):
         return 0.0
-    a_u, a_cnt = np.unique(np.asarray(a_ids, dtype=np.int64), return_counts=True)
-    b_u = np.unique(np.asarray(b_ids, dtype=np.int64))
-    best = (u[a_u] @ u[b_u].T).max(axis=1)
+    a_u, a_cnt = np.unique(a, return_counts=True)
+    best = (u[a_u] @ u[np.unique(b)].T).max(axis=1)
     return float((best * a_cnt).sum() / a_cnt.sum())
 
 
+def id_range(embeddings: DataFrame) -> int:
+    """Tokens are mapped to 0 .. largest vec_id of the table: its own ids decide, not how many there are."""
+    top = embeddings.select(F.max("vec_id")).first()[0]
+    return 0 if top is None else int(top) + 1
+
+
 def broadcast_match_col(embeddings: DataFrame, pred: Column, ref: Column) -> Column | None:
-    """struct<p, r> of the greedy match for a (pred, ref) pair held in the row, scored against a broadcast matrix -
-    or None when the vector table is too large to broadcast (then use ``embed_match_pairs``'s join plan)."""
-    n_vectors = embeddings.count()
-    if not n_vectors:
+    """struct<p, r, no_vector> of the greedy match for a (pred, ref) pair held in the row, scored against a broadcast
+    matrix - or None when the vector table is too large to broadcast (then use ``embed_match_pairs``'s join plan)."""
+    count, dim = embeddings.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if not count or count * (dim or 0) * 8 > BROADCAST_LIMIT_BYTES:
         return None
-    dim = embeddings.select(F.max(F.size("embedding"))).first()[0] or 0
-    if n_vectors * dim * 8 > BROADCAST_LIMIT_BYTES:
-        return None
-    return _broadcast_udf(embeddings, n_vectors)(_ids(pred, n_vectors), _ids(ref, n_vectors))
+    n_ids = id_range(embeddings)
+    return _broadcast_udf(embeddings)(_ids(pred, n_ids), _ids(ref, n_ids))
 
 
-def _ids(text: Column, n_vectors: int) -> Column:
-    return F.transform(tokens(text), lambda t: token_vec_id(t, n_vectors))
+def _ids(text: Column, n_ids: int) -> Column:
+    return F.transform(tokens(text), lambda t: token_vec_id(t, n_ids))
 
 
-def _broadcast_udf(embeddings: DataFrame, n_vectors: int):
-    spark = embeddings.sparkSession
+def _broadcast_udf(embeddings: DataFrame):
     vecs = unit_vectors(embeddings).orderBy("vec_id").toPandas()
-    mat = np.zeros((n_vectors, len(vecs["u"].iloc[0]) if len(vecs) else 0), dtype=np.float64)
-    for vid, u in zip(vecs["vec_id"], vecs["u"]):
-        if 0 <= vid < n_vectors:
-            mat[int(vid)] = np.asarray(u, dtype=np.float64)
-    bc = spark.sparkContext.broadcast(mat)
+    ids = vecs["vec_id"].to_numpy(dtype=np.int64)
+    bc = embeddings.sparkSession.sparkContext.broadcast((ids, np.stack(vecs["u"]) if len(ids) else np.zeros((0, 0))))
+
+    def places(wanted) -> np.ndarray:
+        """Row of each id that has a vector."""
+        known = bc.value[0]
+        wanted = np.asarray([] if wanted is None else wanted, dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return at[known[at] == wanted]
 
     def run(p_ids: pd.Series, r_ids: pd.Series) -> pd.DataFrame:
-        u = bc.value
-        ps = [_ids_score(u, a, b) for a, b in zip(p_ids, r_ids)]
-        rs = [_ids_score(u, b, a) for a, b in zip(p_ids, r_ids)]
-        return pd.DataFrame({"p": ps, "r": rs})
+        u = bc.value[1]
+        out = []
+        for a, b in zip(p_ids, r_ids):
+            pa, pb = places(a), places(b)
+            lost = sum(0 if x is None else len(x) for x in (a, b)) - len(pa) - len(pb)
+            out.append((_ids_score(u, pa, pb), _ids_score(u, pb, pa), lost))
+        return pd.DataFrame(out, columns=["p", "r", "no_vector"])
 
-    return F.pandas_udf(run, "p double, r double")
+    return F.pandas_udf(run, "p double, r double, no_vector bigint")
 
 
-def _broadcast_pairs(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str], n_vectors: int) -> DataFrame:
-    udf = _broadcast_udf(embeddings, n_vectors)
-    scored = pairs.select(*group_cols, "pair_id", udf(_ids(F.col("pred"), n_vectors), _ids(F.col("ref"), n_vectors)).alias("m"))
+def _broadcast_pairs(pairs: DataFrame, match: Column, group_cols: Sequence[str]) -> DataFrame:
+    scored = pairs.select(*group_cols, "pair_id", match.alias("m"))
     p, r = F.col("m.p"), F.col("m.r")
     f = F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
-    return scored.select(*group_cols, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"))
+    return scored.select(*group_cols, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"), F.col("m.no_vector").alias("no_vector"))
 
 
 def embed_match_pairs(
@@ -129,31 +138,31 @@ def embed_match_pairs(
     g = list(group_cols)
     if token_vectors is not None:
         return _join_pairs(pairs, g, token_vectors.select("token", F.col("embedding").alias("embedding")), None)
-    n_vectors = embeddings.count()
-    if allow_broadcast and n_vectors:
-        dim = embeddings.select(F.max(F.size("embedding"))).first()[0] or 0
-        if n_vectors * dim * 8 <= BROADCAST_LIMIT_BYTES:
-            return _broadcast_pairs(pairs, embeddings, g, n_vectors)
-    return _join_pairs(pairs, g, embeddings, n_vectors)
+    match = broadcast_match_col(embeddings, F.col("pred"), F.col("ref")) if allow_broadcast else None
+    if match is not None:
+        return _broadcast_pairs(pairs, match, g)
+    return _join_pairs(pairs, g, embeddings, id_range(embeddings))
 
 
-def _join_pairs(pairs: DataFrame, g: list, vectors: DataFrame, n_vectors: int | None) -> DataFrame:
+def _join_pairs(pairs: DataFrame, g: list, vectors: DataFrame, n_ids: int | None) -> DataFrame:
     """The join plan: token counts per (pair, side), the vocabulary looked up once, vectors regrouped per pair."""
     side = lambda col, tag: pairs.select(*g, "pair_id", F.lit(tag).alias("side"), F.explode(tokens(col)).alias("token"))
     counted = side("pred", "p").unionByName(side("ref", "r")).groupBy(*g, "pair_id", "side", "token").agg(F.count(F.lit(1)).alias("cnt"))
-    if n_vectors is None:  # (token, embedding) table given by the caller
+    if n_ids is None:  # (token, embedding) table given by the caller
         vocab_vecs = counted.select("token").distinct().join(unit_vectors(vectors, key="token"), "token")
     else:
-        vocab = counted.select("token").distinct().select("token", token_vec_id(F.col("token"), n_vectors).alias("vec_id"))
+        vocab = counted.select("token").distinct().select("token", token_vec_id(F.col("token"), n_ids).alias("vec_id"))
         vocab_vecs = vocab.join(unit_vectors(vectors), "vec_id").select("token", "u")
-    with_vec = counted.join(vocab_vecs, "token")
+    with_vec = counted.join(vocab_vecs, "token", "left")
     item = F.struct(F.col("cnt"), F.col("u"))
+    known = F.col("u").isNotNull()
     per_pair = with_vec.groupBy(*g, "pair_id").agg(
-        F.collect_list(F.when(F.col("side") == "p", item)).alias("ps"),
-        F.collect_list(F.when(F.col("side") == "r", item)).alias("rs"),
+        F.collect_list(F.when(known & (F.col("side") == "p"), item)).alias("ps"),
+        F.collect_list(F.when(known & (F.col("side") == "r"), item)).alias("rs"),
+        F.sum(F.when(~known, F.col("cnt"))).alias("no_vector"),
     )
     scored = per_pair.select(
-        *g, "pair_id",
+        *g, "pair_id", "no_vector",
         _greedy_match(F.col("ps.u"), F.col("ps.cnt"), F.col("rs.u"), F.col("rs.cnt")).alias("m"),
     )
     everyone = pairs.select(*g, "pair_id")
@@ -161,7 +170,7 @@ def _join_pairs(pairs: DataFrame, g: list, vectors: DataFrame, n_vectors: int |
     p = F.coalesce(F.col("m.p"), F.lit(0.0))
     r = F.coalesce(F.col("m.r"), F.lit(0.0))
     f = F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
-    return full.select(*g, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"))
+    return full.select(*g, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"), F.coalesce("no_vector", F.lit(0)).cast("bigint").alias("no_vector"))
 
 
 def embed_match(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[str] = (), allow_broadcast: bool = True) -> DataFrame:
@@ -171,4 +180,5 @@ def embed_match(pairs: DataFrame, embeddings: DataFrame, group_cols: Sequence[st
         F.round(F.avg("p"), DIGITS).alias("emb_p"),
         F.round(F.avg("r"), DIGITS).alias("emb_r"),
         F.round(F.avg("f"), DIGITS).alias("emb_f1"),
+        F.sum("no_vector").cast("bigint").alias("no_vector"),
     )

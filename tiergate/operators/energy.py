@@ -16,17 +16,17 @@ def wh_rounded(kwh: Column) -> Column:
 
 def parse_project_name(name: Column, dataset: str) -> dict[str, Column]:
     """``<dataset>_<run>_<batch>`` with a known dataset prefix (runs may hold '_'), and
-    ``run = <strategy>-<threshold>`` split at the last '-'; a threshold that is not a number is null."""
-    rest = F.substring(name, len(dataset) + 2, 1 << 30)
-    batch = F.substring_index(rest, "_", -1)
+    ``run = <strategy>-<threshold>`` split at the last '-'. A run without a number there is a single model: threshold
+    null, strategy = run. The record of another data set gives nulls."""
+    rest = F.when(name.startswith(f"{dataset}_"), F.substr(name, F.lit(len(dataset) + 2)))
     run = F.regexp_extract(rest, "^(.*)_[^_]*$", 1)
-    thr = F.substring_index(run, "-", -1)
-    strategy = F.regexp_extract(run, "^(.*)-[^-]*$", 1)
+    threshold = F.substring_index(run, "-", -1).try_cast("double")
+    strategy = F.when(threshold.isNull(), run).otherwise(F.regexp_extract(run, "^(.*)-[^-]*$", 1))
     return {
         "run": run,
-        "batch": batch.try_cast("bigint"),
+        "batch": F.substring_index(rest, "_", -1).try_cast("bigint"),
         "strategy": strategy,
-        "threshold": thr.try_cast("double"),
+        "threshold": threshold,
     }
 
 
@@ -34,19 +34,19 @@ def energy_batches(records: DataFrame, dataset: str) -> DataFrame:
     """(run, batch, project_name, energy_wh): one row per record, Wh rounded to 3 decimals."""
     parts = parse_project_name(F.col("project_name"), dataset)
     return records.select(
-        parts["run"].alias("run"), parts["batch"].alias("batch"), "project_name",
+        *(parts[k].alias(k) for k in ("run", "batch", "strategy", "threshold")), "project_name",
         wh_rounded(F.col("energy_consumed")).alias("energy_wh"),
     )
 
 
 def energy_rollup(batches: DataFrame) -> DataFrame:
-    """A9 (+ A10): per run, number of batches, mean and total of the rounded per-batch Wh."""
+    """A9 (+ A10, O2): per run, number of batches, mean and total of the rounded per-batch Wh, in run order."""
     agg = batches.groupBy("run").agg(F.count(F.lit(1)).alias("batches"), F.sum("energy_wh").alias("_total"))
     return agg.select(
         "run", "batches",
         (F.col("_total").cast("double") / F.col("batches")).alias("avg_wh"),
         F.col("_total").cast("double").alias("total_wh"),
-    )
+    ).orderBy("run")
 
 
 def energy_dedup(records: DataFrame, order_col: str = "file_order") -> DataFrame:
@@ -57,13 +57,18 @@ def energy_dedup(records: DataFrame, order_col: str = "file_order") -> DataFrame
     )
 
 
-def energy_lookup(batches: DataFrame, strict_reference: bool = True) -> DataFrame:
-    """The studied loop looks up keys ``<run>_0 .. <run>_{n-1}`` where n = number of records of the run, so a
-    gap also drops the run's last batches. ``strict_reference=True`` keeps that rule; False keeps every record.
+def energy_lookup(batches: DataFrame, strict_reference: bool = False) -> DataFrame:
+    """The studied loop looks up keys ``<run>_0 .. <run>_{n-1}`` where n = number of records of the run, so a gap
+    also drops the run's last batches. Here every record stays, and ``indexed`` tells whether that loop would reach
+    it; ``strict_reference=True`` keeps only those.
 
     Implemented as a join against per-run counts (one row per run), not as an exploded index sequence.
     """
-    if not strict_reference:
-        return batches
     counts = batches.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
-    return batches.join(counts, "run").where(F.col("batch") < F.col("_n")).drop("_n")
+    out = batches.join(counts, "run").withColumn("indexed", F.coalesce(F.col("batch") < F.col("_n"), F.lit(False))).drop("_n")
+    return out.where("indexed") if strict_reference else out
+
+
+def energy_gaps(lookup: DataFrame) -> DataFrame:
+    """(run, batches, dropped): how many records of each run the index loop misses."""
+    return lookup.groupBy("run").agg(F.count(F.lit(1)).alias("batches"), F.count(F.when(~F.col("indexed"), F.lit(1))).alias("dropped"))

@@ -26,11 +26,13 @@ def route(scored: DataFrame, threshold: float, score_col: str = "score") -> Data
     return scored.select("*", F.when(acc, F.lit("accept")).otherwise(F.lit("escalate")).alias("route"))
 
 
-def remaining_anti(all_rows: DataFrame, accepted: DataFrame, key: str = "prompt_id") -> DataFrame:
+def remaining_anti(all_rows: DataFrame, accepted: DataFrame, keys: str | list[str] = "prompt_id") -> DataFrame:
     """Rows not yet accepted."""
-    return all_rows.join(accepted.select(key), key, "left_anti")
+    keys = [keys] if isinstance(keys, str) else keys
+    return all_rows.join(accepted.select(*keys), keys, "left_anti")
 
 
-def accepted_semi(all_rows: DataFrame, accepted_keys: DataFrame, key: str = "prompt_id") -> DataFrame:
+def accepted_semi(all_rows: DataFrame, accepted: DataFrame, keys: str | list[str] = "prompt_id") -> DataFrame:
     """Rows of ``all_rows`` whose key was accepted."""
-    return all_rows.join(accepted_keys.select(key), key, "left_semi")
+    keys = [keys] if isinstance(keys, str) else keys
+    return all_rows.join(accepted.select(*keys), keys, "left_semi")

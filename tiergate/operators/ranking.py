@@ -33,7 +33,7 @@ def row_number_by(
 ) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or shuffle_width(df)
+    n = num_partitions or shuffle_width(spark)
     keys = list(partition_cols)
     order = list(order_cols)
     ranged = df.repartitionByRange(n, *[F.col(c) for c in keys + order]).sortWithinPartitions(*keys, *order)

@@ -154,7 +154,7 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
 
 
 def _lcs_batch(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(p), list(r)) for p, r in zip(pred, ref)], dtype="int64")
+    return pd.Series([0 if p is None or r is None else lcs_length(list(p), list(r)) for p, r in zip(pred, ref)], dtype="int64")
 
 
 def _lcs_udf(pred: Column, ref: Column) -> Column:
@@ -162,6 +162,11 @@ def _lcs_udf(pred: Column, ref: Column) -> Column:
     return F.pandas_udf(_lcs_batch, "bigint")(pred, ref)
 
 
+def lcs_col(pred: Column, ref: Column) -> Column:
+    """Length of the longest common token subsequence of a text pair held in the row."""
+    return _lcs_udf(tokens(pred), tokens(ref))
+
+
 def rouge_l_pairs(pairs: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     toks = pairs.select(*group_cols, "pair_id", tokens("pred").alias("pt"), tokens("ref").alias("rt"))
     with_lcs = toks.select(*group_cols, "pair_id", F.size("pt").alias("n_pred"), F.size("rt").alias("n_ref"), _lcs_udf("pt", "rt").alias("lcs"))

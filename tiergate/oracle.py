@@ -9,9 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from . import config as C
+from .fixtures import N_CLASSES, PHRASES, SCORE_RIGHT_BONUS, SCORE_SCALE
 from .plans.cascade import MODEL_WH_PER_KCHAR, SCORER_WH_PER_KCHAR
-from .plans.responders import N_CLASSES, PHRASES, SCORE_RIGHT_BONUS, SCORE_SCALE
-from .sources.prompts import TURN_STRIDE
 
 WS = "[ \\t\\n\\x0B\\f\\r]"
 NOT_ALNUM_WS = "[^A-Za-z0-9 \\t\\n\\x0B\\f\\r]"
@@ -89,7 +88,7 @@ def prompts_sql(dataset: str) -> str:
 
 def turn_pairs_sql() -> str:
     return (
-        f"SELECT u.conv_id * {TURN_STRIDE} + u.turn AS pair_id, u.conv_id, u.text AS user_text, a.text AS assistant_text "
+        f"SELECT CASE WHEN u.conv_id >= u.turn THEN u.conv_id * u.conv_id + u.conv_id + u.turn ELSE u.turn * u.turn + u.conv_id END AS pair_id, u.conv_id, u.text AS user_text, a.text AS assistant_text "
         "FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 "
         "WHERE u.role = 'user' AND a.role = 'assistant'"
     )
@@ -283,7 +282,8 @@ def macro_prf_sql(src: str, group_cols: Sequence[str], gold: str = "gold", pred:
     gsel = (g + ", ") if g else ""
     gby = f"GROUP BY {g}" if g else ""
     return f"""
-    WITH r AS (SELECT * FROM ({src}) s WHERE {gold} IS NOT NULL AND {pred} IS NOT NULL),
+    WITH src AS (SELECT * FROM ({src}) s),
+    r AS (SELECT * FROM src WHERE {gold} IS NOT NULL AND {pred} IS NOT NULL),
     lab AS (SELECT {gsel}{gold} AS label FROM r UNION SELECT {gsel}{pred} AS label FROM r),
     per AS (
       SELECT {', '.join('lab.' + c for c in group_cols) + (', ' if group_cols else '')}lab.label,
@@ -292,6 +292,7 @@ def macro_prf_sql(src: str, group_cols: Sequence[str], gold: str = "gold", pred:
         (SELECT count(*) FROM r WHERE r.{pred} = lab.label AND r.{gold} = lab.label {''.join(f' AND r.{c} = lab.{c}' for c in group_cols)}) AS tp
       FROM lab)
     SELECT {gsel}CAST(sum(ng) AS BIGINT) AS n,
+      CAST((SELECT count(*) FROM src WHERE ({gold} IS NULL OR {pred} IS NULL) {''.join(f' AND src.{c} = per.{c}' for c in group_cols)}) AS BIGINT) AS unlabelled,
       round(avg(CASE WHEN np > 0 THEN tp::DOUBLE / np ELSE 0.0 END), {DIGITS}) AS m_pre,
       round(avg(CASE WHEN ng > 0 THEN tp::DOUBLE / ng ELSE 0.0 END), {DIGITS}) AS m_rec,
       round(avg(CASE WHEN ng + np > 0 THEN 2.0 * tp / (ng + np) ELSE 0.0 END), {DIGITS}) AS m_f1
@@ -350,7 +351,7 @@ def task_rows_sql(tasks) -> str:
     tv = ", ".join(f"({q(t)})" for t in tasks)
     return (
         "SELECT t.task, d.doc_id AS prompt_id, m.model, m.skill, "
-        f"(t.task || ': ' || {sql_first_line('d.text')}) AS prompt_text, l.quality, l.toxic "
+        f"(t.task || ': ' || d.text) AS prompt_text, l.quality, l.toxic "
         f"FROM documents d JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN (VALUES {tv}) AS t(task) CROSS JOIN {_models_values()}"
     )
 
@@ -359,6 +360,10 @@ def _eh(tag: str) -> str:
     return f"(('0x' || substr(md5({sql_key('prompt_id', q(tag), 'task', q('/'), 'model')}), 1, 4))::BIGINT)"
 
 
+def _gh(tag: str) -> str:
+    return f"(('0x' || substr(md5({sql_key('prompt_id', q(tag), 'task')}), 1, 4))::BIGINT)"
+
+
 def _respond_sql(phrase: str) -> str:
     resp = f"(CASE WHEN {sql_echoes('model')} THEN prompt_text || {phrase} ELSE {phrase} END)"
     return sql_strip_echo(resp, "prompt_text", "model")
@@ -396,11 +401,11 @@ def multilabel_labelled_sql(tasks) -> str:
     parts = []
     for task in tasks:
         if task == "vax":
-            g = _pick_sql(C.VAX_GOLD_CHOICES, _eh("-g-"))
+            g = _pick_sql(C.VAX_GOLD_CHOICES, _gh("-g-"))
         elif task == "caves":
-            g = f"({_pick_sql(C.CAVES_LABELS, _eh('-g-'))} || ',' || {_pick_sql(C.CAVES_LABELS, _eh('-h-'))})"
+            g = f"({_pick_sql(C.CAVES_LABELS, _gh('-g-'))} || ',' || {_pick_sql(C.CAVES_LABELS, _gh('-h-'))})"
         else:
-            g = _pick_sql(C.HATEX_GOLD_CHOICES, _eh("-g-"))
+            g = _pick_sql(C.HATEX_GOLD_CHOICES, _gh("-g-"))
         ph = _pick_sql(C.EVAL_MULTILABEL_PHRASES[task], _eh("-p-"))
         gold_fn, pred_fn = SQL_MULTILABEL_RULES[task]
         inner = f"SELECT task, model, prompt_id, {g} AS gold_text, {_respond_sql(ph)} AS answer FROM ({task_rows_sql([task])}) r"
@@ -424,22 +429,18 @@ def stsb_labelled_sql() -> str:
 def regression_sql(src: str, group_cols) -> str:
     g = ", ".join(group_cols)
     return f"""
-    WITH r AS (SELECT * FROM ({src}) s WHERE gold IS NOT NULL AND pred IS NOT NULL),
-    s AS (SELECT {g}, count(*) AS n, sum(gold) AS sg, sum(gold * gold) AS sgg, sum((gold - pred) * (gold - pred)) AS see,
-                 sum(abs(gold - pred)) AS sae FROM r GROUP BY {g})
-    SELECT {g}, n, round(sqrt(see / n), 6) AS rmse, round(sae / n, 6) AS mae,
-      round(CASE WHEN sgg - sg * sg / n > 1e-12 THEN 1 - see / (sgg - sg * sg / n) END, 6) AS r2
+    WITH r AS (SELECT *, CASE WHEN gold IS NOT NULL AND pred IS NOT NULL THEN gold END AS gv FROM ({src}) s),
+    s AS (SELECT {g}, count(gv) AS n, count(*) - count(gv) AS unparsed, var_pop(gv) AS vg,
+                 sum(CASE WHEN gv IS NOT NULL THEN (gold - pred) * (gold - pred) END) AS see,
+                 sum(CASE WHEN gv IS NOT NULL THEN abs(gold - pred) END) AS sae FROM r GROUP BY {g})
+    SELECT {g}, n, unparsed, round(sqrt(see / n), 6) AS rmse, round(sae / n, 6) AS mae,
+      round(CASE WHEN vg > 0 THEN 1 - see / (n * vg) END, 6) AS r2
     FROM s
     """
 
 
 def eval_stsb_sql() -> str:
-    lab = stsb_labelled_sql()
-    return f"""
-    SELECT m.*, u.unparsed FROM ({regression_sql(lab, ['task', 'model'])}) m
-    JOIN (SELECT task, model, CAST(sum(CASE WHEN pred IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unparsed FROM ({lab}) x GROUP BY task, model) u
-      ON m.task = u.task AND m.model = u.model
-    """
+    return regression_sql(stsb_labelled_sql(), ["task", "model"])
 
 
 def labelled_answers_sql(dataset: str, chain_name: str) -> str:
@@ -456,12 +457,15 @@ def labelled_answers_sql(dataset: str, chain_name: str) -> str:
 
 
 def batch_records_sql() -> str:
-    from .sources.emissions import DATASET, RUN_THRESHOLDS
+    from .fixtures import RUN_OF_EVENT, RUN_THRESHOLDS, SINGLE_MODEL_RUN
+    from .sources.emissions import DATASET
 
-    thr = _list(RUN_THRESHOLDS)
+    thr = f"{_list(RUN_THRESHOLDS)}[user_id % {len(RUN_THRESHOLDS)} + 1]"
+    cases = " ".join(f"WHEN event_type = {q(e)} THEN {q(n + '-')} || {thr}" for e, n in RUN_OF_EVENT)
+    run = f"CASE {cases} ELSE {q(SINGLE_MODEL_RUN)} END"
     return f"""
     SELECT dataset, run, row_number() OVER (PARTITION BY run ORDER BY event_id) - 1 AS batch, event_id, energy_kwh, duration_s
-    FROM (SELECT {q(DATASET)} AS dataset, 'strategy-' || event_type || '-' || {thr}[user_id % {len(RUN_THRESHOLDS)} + 1] AS run,
+    FROM (SELECT {q(DATASET)} AS dataset, {run} AS run,
                  event_id, value / 1e6 AS energy_kwh, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10.0 AS duration_s
           FROM events) e"""
 
@@ -520,6 +524,30 @@ def rouge_n_sql(pairs: str, n: int, group_cols=()) -> str:
     FROM sc {('GROUP BY ' + gb) if gb else ''}"""
 
 
+def rouge_l_sql(pairs: str, group_cols=()) -> str:
+    """One row of the LCS table per step: a step takes the next token of the reference, and the new row is the running
+    maximum of greatest(value above, value above left + equal)."""
+    pre, gp, _ = _g(group_cols)
+    gb = ", ".join(group_cols)
+    return f"""
+    WITH RECURSIVE pr AS ({pairs}),
+    tl AS (SELECT *, row_number() OVER () AS id, COALESCE({sql_tokens('pred')}, []) AS pt, COALESCE({sql_tokens('ref')}, []) AS rt FROM pr),
+    tp AS (SELECT id, unnest(pt) AS tok, unnest(generate_series(1, len(pt))) AS k FROM tl WHERE len(rt) > 0 AND len(pt) > 0),
+    tr AS (SELECT id, unnest(rt) AS tok, unnest(generate_series(1, len(rt))) AS i, len(rt) AS n FROM tl),
+    step AS (
+      SELECT 0 AS i, id, k, tok, 0 AS v FROM tp
+      UNION ALL
+      SELECT i, id, k, tok, CAST(max(best) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS v
+      FROM (SELECT tr.i, s.id, s.k, s.tok, greatest(s.v, lag(s.v, 1, 0) OVER (PARTITION BY s.id ORDER BY s.k) + CASE WHEN s.tok = tr.tok THEN 1 ELSE 0 END) AS best
+            FROM step s JOIN tr ON s.id = tr.id AND tr.i = s.i + 1) x
+    ),
+    lcs AS (SELECT s.id, max(s.v) AS v FROM step s GROUP BY s.id),
+    sc AS (SELECT tl.*, CASE WHEN len(pt) > 0 THEN COALESCE(lcs.v, 0) / len(pt) ELSE 0.0 END AS p, CASE WHEN len(rt) > 0 THEN COALESCE(lcs.v, 0) / len(rt) ELSE 0.0 END AS r
+           FROM tl LEFT JOIN lcs ON lcs.id = tl.id)
+    SELECT {pre}count(*) AS pairs, round(avg(CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END), 9) AS "rougeL"
+    FROM sc {('GROUP BY ' + gb) if gb else ''}"""
+
+
 def embed_match_per_pair_sql(pairs: str, group_cols=()) -> str:
     pre, gp, cond = _g(group_cols)
     return f"""
@@ -527,14 +555,17 @@ def embed_match_per_pair_sql(pairs: str, group_cols=()) -> str:
     tk AS (SELECT {pre}pair_id, 'p' AS side, unnest({sql_tokens('pred')}) AS token FROM pr
            UNION ALL SELECT {pre}pair_id, 'r' AS side, unnest({sql_tokens('ref')}) AS token FROM pr),
     cnt AS (SELECT {gp}, side, token, count(*) AS cnt FROM tk GROUP BY {gp}, side, token),
-    nv AS (SELECT count(*) AS n FROM embeddings),
+    nv AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+    lost AS (SELECT {gp}, sum(c.cnt) AS no_vector FROM cnt c CROSS JOIN nv LEFT JOIN embeddings e ON e.vec_id = ((('0x' || substr(md5(c.token), 1, 8))::BIGINT) % nv.n)
+             WHERE e.vec_id IS NULL GROUP BY {gp}),
     vec AS (SELECT c.*, e.embedding::DOUBLE[] AS v FROM cnt c CROSS JOIN nv
             JOIN embeddings e ON e.vec_id = ((('0x' || substr(md5(c.token), 1, 8))::BIGINT) % nv.n)),
     sim AS (SELECT {''.join('a.' + c + ', ' for c in group_cols)}a.pair_id, a.side, a.token, a.cnt, max(list_cosine_similarity(a.v, b.v)) AS m
             FROM vec a JOIN vec b ON a.pair_id = b.pair_id{cond} AND a.side <> b.side
             GROUP BY {''.join('a.' + c + ', ' for c in group_cols)}a.pair_id, a.side, a.token, a.cnt),
     ss AS (SELECT {gp}, side, sum(cnt * m) / sum(cnt) AS s FROM sim GROUP BY {gp}, side),
-    pp AS (SELECT {''.join('pr.' + c + ', ' for c in group_cols)}pr.pair_id, COALESCE(sp.s, 0.0) AS p, COALESCE(sr.s, 0.0) AS r FROM pr
+    pp AS (SELECT {''.join('pr.' + c + ', ' for c in group_cols)}pr.pair_id, COALESCE(sp.s, 0.0) AS p, COALESCE(sr.s, 0.0) AS r, COALESCE(lo.no_vector, 0) AS no_vector FROM pr
+           LEFT JOIN lost lo ON lo.pair_id = pr.pair_id{''.join(f' AND lo.{c} = pr.{c}' for c in group_cols)}
            LEFT JOIN ss sp ON sp.pair_id = pr.pair_id AND sp.side = 'p'{''.join(f' AND sp.{c} = pr.{c}' for c in group_cols)}
            LEFT JOIN ss sr ON sr.pair_id = pr.pair_id AND sr.side = 'r'{''.join(f' AND sr.{c} = pr.{c}' for c in group_cols)})
     SELECT *, CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END AS f FROM pp"""
@@ -543,7 +574,7 @@ def embed_match_per_pair_sql(pairs: str, group_cols=()) -> str:
 def embed_match_sql(pairs: str, group_cols=()) -> str:
     pre = "".join(f"{c}, " for c in group_cols)
     gb = ", ".join(group_cols)
-    return f"""SELECT {pre}count(*) AS pairs, round(avg(p), 9) AS emb_p, round(avg(r), 9) AS emb_r, round(avg(f), 9) AS emb_f1
+    return f"""SELECT {pre}count(*) AS pairs, round(avg(p), 9) AS emb_p, round(avg(r), 9) AS emb_r, round(avg(f), 9) AS emb_f1, CAST(sum(no_vector) AS BIGINT) AS no_vector
     FROM ({embed_match_per_pair_sql(pairs, group_cols)}) x {('GROUP BY ' + gb) if gb else ''}"""
 
 
@@ -562,11 +593,9 @@ def task_prompts_sql(task: str) -> str:
 
 
 def text_answers_sql(task: str, models=C.EVAL_MODELS) -> str:
-    from .plans.text_eval import WRONG_CHARS
-
     mv = ", ".join(f"({q(t.model)}, {t.skill}, {t.tier})" for t in models)
     right = f"(((('0x' || substr(md5({sql_key('p.prompt_id', q('-a-'), q(task), q('/'), 'm.model')}), 1, 4))::BIGINT) % 100) < m.skill)"
-    text = f"(CASE WHEN {right} THEN p.gold_text ELSE substring(p.source_text, 1, {WRONG_CHARS}) END)"
+    text = f"(CASE WHEN {right} THEN p.gold_text ELSE p.source_text END)"
     resp = f"(CASE WHEN {sql_echoes('m.model')} THEN p.prompt_text || {text} ELSE {text} END)"
     return (
         f"SELECT p.prompt_id, m.model, m.tier, lower(p.gold_text) AS gold_text, lower({sql_strip_echo(resp, 'p.prompt_text', 'm.model')}) AS answer, "
@@ -578,11 +607,31 @@ def text_pairs_by_model_sql(task: str) -> str:
     return f"SELECT model, prompt_id AS pair_id, answer AS pred, gold_text AS ref FROM ({text_answers_sql(task)}) a"
 
 
+def text_metrics_sql(pairs: str, keys) -> str:
+    on = lambda t: " AND ".join(f"e.{k} = {t}.{k}" for k in keys)
+    return f"""SELECT {', '.join('e.' + k for k in keys)}, e.pairs, r1.rouge1, r2.rouge2, rl."rougeL", e.emb_p, e.emb_r, e.emb_f1, e.no_vector
+    FROM ({embed_match_sql(pairs, keys)}) e JOIN ({rouge_n_sql(pairs, 1, keys)}) r1 ON {on('r1')}
+    JOIN ({rouge_n_sql(pairs, 2, keys)}) r2 ON {on('r2')} JOIN ({rouge_l_sql(pairs, keys)}) rl ON {on('rl')}"""
+
+
 def eval_text_sql(task: str) -> str:
-    pairs = text_pairs_by_model_sql(task)
-    return f"""SELECT e.model, e.pairs, r1.rouge1, r2.rouge2, e.emb_p, e.emb_r, e.emb_f1
-    FROM ({embed_match_sql(pairs, ['model'])}) e JOIN ({rouge_n_sql(pairs, 1, ['model'])}) r1 ON e.model = r1.model
-    JOIN ({rouge_n_sql(pairs, 2, ['model'])}) r2 ON e.model = r2.model"""
+    return text_metrics_sql(text_pairs_by_model_sql(task), ["model"])
+
+
+def eval_all_sql(class_tasks, multilabel_tasks, text_tasks) -> str:
+    """(task, model, metric, value) of all tasks."""
+    prf = ("n", "unlabelled", "m_pre", "m_rec", "m_f1")
+    text = ("pairs", "rouge1", "rouge2", "rougeL", "emb_p", "emb_r", "emb_f1", "no_vector")
+    sources = [
+        (eval_class_sql(class_tasks), prf), (eval_multilabel_sql(multilabel_tasks), ("n", "m_pre", "m_rec", "m_f1")),
+        (eval_stsb_sql(), ("n", "unparsed", "rmse", "mae", "r2")),
+        *((f"SELECT {q(t)} AS task, * FROM ({eval_text_sql(t)}) x", text) for t in text_tasks),
+    ]
+    parts = []
+    for sql, names in sources:
+        lists = "[" + ", ".join(q(n) for n in names) + "]", "[" + ", ".join(f'CAST("{n}" AS DOUBLE)' for n in names) + "]"
+        parts.append(f"SELECT task, model, unnest({lists[0]}) AS metric, unnest({lists[1]}) AS value FROM ({sql}) s")
+    return " UNION ALL ".join(parts)
 
 
 def scorer_labels_text_sql() -> str:
@@ -602,9 +651,7 @@ def cascade_text_sql(strategy: str = "strategy-9", thresholds=C.THRESHOLDS_SAMSU
       acc AS (SELECT threshold, prompt_id, min(CASE WHEN score > threshold OR tier = {last} THEN tier END) AS tier FROM gr GROUP BY threshold, prompt_id)
       SELECT {q(strategy)} AS strategy, gr.threshold, gr.prompt_id AS pair_id, gr.answer AS pred, gr.gold_text AS ref
       FROM gr JOIN acc ON gr.threshold = acc.threshold AND gr.prompt_id = acc.prompt_id AND gr.tier = acc.tier"""
-    return f"""SELECT r1.strategy, r1.threshold, r1.pairs, r1.rouge1, r2.rouge2
-    FROM ({rouge_n_sql(pairs, 1, ['strategy', 'threshold'])}) r1 JOIN ({rouge_n_sql(pairs, 2, ['strategy', 'threshold'])}) r2
-      ON r1.strategy = r2.strategy AND r1.threshold = r2.threshold"""
+    return text_metrics_sql(pairs, ["strategy", "threshold"])
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -621,7 +668,7 @@ def batch_plan_sql(dataset: str = "boolq", bs: int = 4) -> str:
 
 
 def batch_times_sql(plan: str) -> str:
-    from .sources.run_output import STEP_S, T0
+    from .fixtures import STEP_S, T0
 
     start = f"({sql_dbl(T0)} + batch_id * {sql_dbl(STEP_S)})"
     return (
@@ -665,7 +712,45 @@ def baselines_sql(dataset: str = "boolq", chains=("flan", "phi")) -> str:
       ON f1.chain = cost.chain AND f1.model = cost.model AND f1.tier = cost.tier"""
 
 
+def measured_energy_sql() -> str:
+    return f"""SELECT strategy, threshold, CAST(sum(energy_wh) AS DOUBLE) AS measured_wh
+    FROM (SELECT {run_parts_sql()}, {sql_wh_rounded('energy_consumed')} AS energy_wh FROM ({emission_records_sql()}) r) b GROUP BY strategy, threshold"""
+
+
+def sweep_points_sql() -> str:
+    return f"""SELECT s.strategy, s.threshold, s.m_f1, c.energy_wh FROM ({threshold_sweep_sql()}) s
+          JOIN ({cascade_cost_sql(sweep_final_sql())}) c ON s.strategy = c.strategy AND s.threshold = c.threshold"""
+
+
 def cost_quality_sql() -> str:
-    return f"""SELECT COALESCE(q.strategy, e.strategy) AS strategy, COALESCE(q.threshold, e.threshold) AS threshold, q.m_f1, e.energy_wh
-    FROM ({threshold_sweep_sql()}) q FULL OUTER JOIN ({cascade_cost_sql(sweep_final_sql())}) e
-      ON q.strategy = e.strategy AND q.threshold = e.threshold"""
+    return f"""
+    WITH m AS ({measured_energy_sql()}),
+    q AS ({sweep_points_sql()})
+    SELECT 'cascade' AS kind, COALESCE(q.strategy, e.strategy) AS strategy, COALESCE(q.threshold, e.threshold) AS threshold, q.m_f1, q.energy_wh, e.measured_wh
+    FROM q FULL OUTER JOIN (SELECT * FROM m WHERE threshold IS NOT NULL) e ON q.strategy = e.strategy AND q.threshold = e.threshold
+    UNION ALL
+    SELECT 'single' AS kind, COALESCE(b.model, e.strategy) AS strategy, th.threshold, b.m_f1, b.energy_wh, e.measured_wh
+    FROM ({baselines_sql()}) b FULL OUTER JOIN (SELECT * FROM m WHERE threshold IS NULL) e ON b.model = e.strategy
+    CROSS JOIN {thresholds_values(C.THRESHOLDS_BOOLQ)}"""
+
+
+def batch_inference_sql(dataset: str, chain, batch_size: int) -> str:
+    """What the blind pandas stub answers, with the batch of every prompt."""
+    cls = sql_h(sql_key("p.prompt_id", q("-b-"), "ch.model"), N_CLASSES[dataset])
+    text = sql_phrase(dataset, cls, "p.prompt_id", "ch.model")
+    resp = f"(CASE WHEN {sql_echoes('ch.model')} THEN p.prompt_text || {text} ELSE {text} END)"
+    return f"""SELECT p.prompt_id, CAST(ch.tier AS BIGINT) AS tier, ch.model, pl.batch_id, {resp} AS response
+    FROM ({prompts_sql(dataset)}) p CROSS JOIN {chain_values(chain)} JOIN ({batch_plan_sql(dataset, batch_size)}) pl ON p.prompt_id = pl.prompt_id"""
+
+
+def run_parts_sql(name: str = "project_name") -> str:
+    """run, batch, strategy and threshold of a project name of the known data set."""
+    from .sources.emissions import DATASET
+
+    rest = f"substring({name}, {len(DATASET) + 2})"
+    run = f"regexp_extract({rest}, '^(.*)_[^_]*$', 1)"
+    threshold = f"TRY_CAST(split_part({run}, '-', -1) AS DOUBLE)"
+    return (
+        f"{run} AS run, TRY_CAST(split_part({name}, '_', -1) AS BIGINT) AS batch, "
+        f"CASE WHEN {threshold} IS NULL THEN {run} ELSE regexp_extract({run}, '^(.*)-[^-]*$', 1) END AS strategy, {threshold} AS threshold"
+    )

@@ -1,136 +1,140 @@
 """Cascade jobs.
 
-Two ways to run a cascade over a prompt table:
-
-* ``sweep_final`` (C2, one pass): every (prompt, tier) is answered and scored once, per row, with the chain
-  unrolled into column expressions; thresholds are a literal array exploded next to the row, and the accepting
-  tier is the first whose score is strictly above the threshold (the last tier always accepts). No join, no
-  shuffle until the metric aggregation, which moves only counters. This is the default for threshold grids.
-* ``sequential_final`` (C1): the studied loop - a driver loop over the (at most a handful of) tiers; each
-  tier answers only the rows still remaining (the escalated side of the previous gate, i.e. all rows minus the
-  accepted ones), and the remainder is checkpointed so earlier tiers are never re-run. Use it for one threshold
-  with costly models.
-
-Both give the same accepted rows (tests check C1 = C2).
+A cascade runs over tables:
+
+* ``prompts(prompt_id, prompt_text, gold_class)``,
+* ``answers(prompt_id, tier, model, response)``: what each model of a chain said,
+* ``scores(strategy, prompt_id, tier, score)``: what each strategy's scorer thought of it.
+
+Two ways to run it:
+
+* ``sweep_final`` (C2, one pass): answers and scores of a prompt meet once, in one row with a step per tier of every
+  strategy's chain; thresholds are a literal array exploded next to it, and the accepting tier is the first whose
+  score is strictly above the threshold (the last tier always accepts). Texts are shuffled once, to meet their
+  prompt; from there on rows are narrow. This is the default for threshold grids.
+* ``sequential_final`` (C1): the studied loop over the (at most a handful of) tiers; each tier answers only what is
+  still left. Every tier's labels and scores are written once, and both sides of its gate read that table: a model
+  is asked once for each row. Use it for one threshold with costly models.
+
+Both give the same accepted rows (tests check C1 = C2). A prompt that a model did not answer, or without a score,
+escalates; at the last tier it is accepted without a label, and the metrics count such rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import rules
-from ..functions.text import computed_once, strip_echo
+from ..functions.rules import CASCADE_RULES as RULES
+from ..functions.text import strip_echo
+from ..operators.gate import accepted_condition
 from ..operators.metrics import macro_prf, macro_prf_from_cells
-from ..sources.prompts import prompts as build_prompts
-from .responders import N_CLASSES, answer_class, phrase, stub_answers, stub_score
+from ..session import staged
 
-RULES = {"boolq": rules.boolq, "mnli": rules.mnli_cascade}
-
-# Our cost model (C7): Wh per 1,000 prompt characters for one model call, and for one scorer call.
+# Our cost model (C7): Wh per 1,000 prompt characters for one model call, by tier, and for one scorer call. Each tier
+# past the listed ones costs ``MODEL_WH_GROWTH`` times the one before it.
 MODEL_WH_PER_KCHAR = {1: 0.010, 2: 0.030, 3: 0.080}
+MODEL_WH_GROWTH = 3.0
 SCORER_WH_PER_KCHAR = 0.002
 
 
+def model_rate(tier: int) -> float:
+    """Wh per 1,000 characters of a call of tier ``tier``."""
+    last = max(MODEL_WH_PER_KCHAR)
+    return MODEL_WH_PER_KCHAR[tier] if tier <= last else MODEL_WH_PER_KCHAR[last] * MODEL_WH_GROWTH ** (tier - last)
+
+
 def strategies_array(strategies: Sequence[str]) -> Column:
+    """array<struct<strategy, tiers array<struct<tier, model>>>>, a handful of entries."""
     items = []
     for s in strategies:
-        chain = C.CHAINS[C.STRATEGIES[s]]
-        tiers = F.array(
-            *[F.struct(F.lit(t.tier).alias("tier"), F.lit(t.model).alias("model"), F.lit(t.skill).alias("skill")) for t in chain]
-        )
+        tiers = F.array(*[F.struct(F.lit(t.tier).alias("tier"), F.lit(t.model).alias("model")) for t in C.CHAINS[C.STRATEGIES[s]]])
         items.append(F.struct(F.lit(s).alias("strategy"), tiers.alias("tiers")))
     return F.array(*items)
 
 
-def _max_len(strategies: Sequence[str]) -> int:
+def _longest(strategies: Sequence[str]) -> int:
     return max(len(C.CHAINS[C.STRATEGIES[s]]) for s in strategies)
 
 
-def scored_wide(prompts: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:
-    """One row per (strategy, prompt) with tier k's model, pred and score in columns ``m{k}``, ``p{k}``, ``s{k}``.
+def labelled_answers(prompts: DataFrame, answers: DataFrame, dataset: str = "boolq", models: Sequence[str] | None = None) -> DataFrame:
+    """J1 + J2: (prompt_id, tier, model, gold, prompt_text, response, answer, pred) - answers meet their prompts on ``prompt_id``;
+    echo stripped, rule applied. ``models``: only these models' answers."""
+    wanted = answers if models is None else answers.where(F.col("model").isin(list(models)))
+    rows = wanted.select("prompt_id", "tier", "model", "response").join(prompts.select("prompt_id", "gold_class", "prompt_text"), "prompt_id")
+    answer = strip_echo("response", "prompt_text", "model")
+    rows = rows.select("prompt_id", "tier", "model", F.col("gold_class").alias("gold"), "prompt_text", "response", answer.alias("answer"))
+    return rows.withColumn("pred", RULES[dataset](F.col("answer"), F.col("model")))
+
+
+def chain_models(*chains: str) -> list[str]:
+    return [t.model for ch in chains for t in C.CHAINS[ch]]
+
+
+def scored_steps(prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:
+    """(strategy, prompt_id, gold, kchar, steps): one row per strategy and prompt; ``steps`` holds tier, model, pred,
+    score and whether there is an answer, in chain order. All sides meet on ``prompt_id``."""
+    models = sorted({t.model for s in strategies for t in C.CHAINS[C.STRATEGIES[s]]})
+    labels = labelled_answers(prompts, answers, dataset, models).select("prompt_id", "model", "pred")
+    per_model = labels.groupBy("prompt_id").agg(F.collect_list(F.struct("model", "pred")).alias("preds"))
+    wanted = scores.where(F.col("strategy").isin(list(strategies)))
+    per_score = wanted.groupBy("prompt_id").agg(F.collect_list(F.struct("strategy", "tier", "score")).alias("scores"))
+    base = prompts.select("prompt_id", F.col("gold_class").alias("gold"), (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"))
+    rows = base.join(per_model, "prompt_id", "left").join(per_score, "prompt_id", "left")
+    rows = rows.select("*", F.explode(strategies_array(strategies)).alias("s"))
+
+    def step(t: Column) -> Column:
+        said = F.filter("preds", lambda p: p["model"] == t["model"])
+        score = F.filter("scores", lambda x: (x["strategy"] == F.col("s.strategy")) & (x["tier"] == t["tier"]))
+        return F.struct(
+            t["tier"].alias("tier"), t["model"].alias("model"), F.get(said, F.lit(0))["pred"].alias("pred"),
+            F.get(score, F.lit(0))["score"].alias("score"), F.coalesce(F.size(said) > 0, F.lit(False)).alias("answered"),
+        )
 
-    An echoing stub model answers ``prompt_text || phrase``, and the echo strip (P6) of that is exactly ``phrase``
-    (null when the prompt is null). The sweep therefore reads the stripped answer directly and carries only the
-    prompt's size: no per-tier copy of every prompt is built and cut again. P6 itself runs wherever a response
-    table is read (``labelled_answers``, ``sequential_final``, the evaluators, ``echo_strip``).
-    """
-    rule = RULES[dataset]
-    n_classes = N_CLASSES[dataset]
-    narrow = prompts.select(
-        "prompt_id", "gold_class", F.col("prompt_text").isNull().alias("no_prompt"),
-        (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"),
-    )
-    base = narrow.select("*", F.explode(strategies_array(strategies)).alias("s"))
-    cols = [F.col("s.strategy").alias("strategy"), "prompt_id", "gold_class", F.size("s.tiers").alias("n_tiers"), "kchar"]
-    preds = []
-    for k in range(_max_len(strategies)):
-        t = F.col("s.tiers")[k]
-        pid, gold = F.col("prompt_id"), F.col("gold_class")
-        cls = answer_class(pid, gold, t["model"], t["skill"], n_classes)
-        text = phrase(dataset, cls, pid, t["model"])
-        answer = F.when(~t["model"].contains(C.NON_ECHO_MARKER) & F.col("no_prompt"), F.lit(None).cast("string")).otherwise(text)
-        pred = rule(answer, t["model"])
-        cols += [t["tier"].alias(f"t{k}"), t["model"].alias(f"m{k}")]
-        preds.append(pred.alias(f"p{k}"))
-    # labels are computed once per row; later scores and the accept chain read them as plain columns
-    wide = computed_once(base.select(*cols, "no_prompt", "s"), *preds).drop("no_prompt", "s")
-    score_cols = [
-        stub_score(F.col("strategy"), F.col("prompt_id"), F.col(f"m{k}"), F.col(f"p{k}") == F.col("gold_class")).alias(f"s{k}")
-        for k in range(_max_len(strategies))
-    ]
-    return computed_once(wide, *score_cols)
+    return rows.select(F.col("s.strategy").alias("strategy"), "prompt_id", "gold", "kchar", F.transform("s.tiers", step).alias("steps"))
 
 
 def sweep_final(
-    spark: SparkSession,
-    sf_dir: str,
-    dataset: str = "boolq",
-    strategies: Sequence[str] = tuple(C.STRATEGIES),
-    thresholds: Sequence[float] = C.THRESHOLDS_BOOLQ,
+    prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str = "boolq",
+    strategies: Sequence[str] = tuple(C.STRATEGIES), thresholds: Sequence[float] = C.THRESHOLDS_BOOLQ,
 ) -> DataFrame:
     """Accepted row per (strategy, threshold, prompt): tier, model, gold, pred, score (C2 + W3 + J6)."""
-    wide = scored_wide(build_prompts(spark, sf_dir, dataset), dataset, strategies)
-    t = F.col("threshold")
-    with_t = wide.select("*", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
-    accepted = None
-    for k in reversed(range(_max_len(strategies))):
-        pick = F.struct(F.col(f"t{k}").alias("tier"), F.col(f"m{k}").alias("model"), F.col(f"p{k}").alias("pred"), F.col(f"s{k}").alias("score"))
-        cond = (F.col(f"s{k}") > t) | (F.col("n_tiers") == k + 1)
-        accepted = F.when(cond, pick) if accepted is None else F.when(cond, pick).otherwise(accepted)
-    return with_t.select(
-        "strategy", "threshold", "prompt_id", F.col("gold_class").alias("gold"), accepted.alias("a"), "n_tiers", "kchar"
-    ).select("strategy", "threshold", "prompt_id", "a.tier", "a.model", "gold", "a.pred", "a.score", "n_tiers", "kchar")
-
-
-def prompt_cost(tier: Column, n_tiers: Column, kchar: Column) -> Column:
+    rows = scored_steps(prompts, answers, scores, dataset, strategies)
+    rows = rows.select("*", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
+    n = F.size("steps")
+    passed = F.filter("steps", lambda x, i: (i < n - 1) & x["answered"] & accepted_condition(x["score"], F.col("threshold")))
+    taken = F.coalesce(F.get(passed, F.lit(0)), F.element_at("steps", -1))
+    rows = rows.select("strategy", "threshold", "prompt_id", "gold", taken.alias("a"), n.alias("n_tiers"), "kchar")
+    return rows.select("strategy", "threshold", "prompt_id", "a.tier", "a.model", "gold", "a.pred", "a.score", "n_tiers", "kchar")
+
+
+def prompt_cost(tier: Column, n_tiers: Column, kchar: Column, longest: int) -> Column:
     """C7 for one accepted row: model calls on tiers 1..tier, scorer calls on tiers below the last, x prompt size."""
     total = F.lit(0.0)
-    for t, r in MODEL_WH_PER_KCHAR.items():
+    for t in range(1, longest + 1):
         scorer = F.when(F.lit(t) < n_tiers, F.lit(SCORER_WH_PER_KCHAR)).otherwise(F.lit(0.0))
-        total = total + F.when(tier >= F.lit(t), F.lit(r) + scorer).otherwise(F.lit(0.0))
+        total = total + F.when(tier >= F.lit(t), F.lit(model_rate(t)) + scorer).otherwise(F.lit(0.0))
     return kchar * total
 
 
-def sweep_cells(final: DataFrame) -> DataFrame:
+LONGEST_CHAIN = max(len(chain) for chain in C.CHAINS.values())
+
+
+def sweep_cells(final: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
     """One aggregation of the accepted rows into (strategy, threshold, gold, pred) cells with row count, model
     calls and Wh - the macro metrics and the cost both read these cells (one scan, one shuffle of counters)."""
-    valid = F.col("gold").isNotNull() & F.col("pred").isNotNull()
     return final.groupBy("strategy", "threshold", F.col("gold").alias("_g"), F.col("pred").alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.count(F.when(valid, F.lit(1))).alias("_nv"),
         F.sum("tier").alias("_calls"),
-        F.sum(prompt_cost(F.col("tier"), F.col("n_tiers"), F.col("kchar"))).alias("_wh"),
+        F.sum(prompt_cost(F.col("tier"), F.col("n_tiers"), F.col("kchar"), longest)).alias("_wh"),
     )
 
 
 def quality_from_cells(cells: DataFrame) -> DataFrame:
-    # filter on an aggregate output (not on the grouping keys), so it stays above the shared aggregation and both
-    # readers of ``cells`` keep the same sub-plan (the exchange is reused, the rows are read once)
-    return macro_prf_from_cells(cells.where(F.col("_nv") > 0), ["strategy", "threshold"])
+    return macro_prf_from_cells(cells, ["strategy", "threshold"])
 
 
 def cost_from_cells(cells: DataFrame) -> DataFrame:
@@ -139,9 +143,10 @@ def cost_from_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def threshold_sweep(spark: SparkSession, sf_dir: str, dataset: str = "boolq", strategies=tuple(C.STRATEGIES), thresholds=C.THRESHOLDS_BOOLQ) -> DataFrame:
-    final = sweep_final(spark, sf_dir, dataset, strategies, thresholds)
-    return macro_prf(final, ["strategy", "threshold"])
+def threshold_sweep(
+    prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str = "boolq", strategies=tuple(C.STRATEGIES), thresholds=C.THRESHOLDS_BOOLQ
+) -> DataFrame:
+    return macro_prf(sweep_final(prompts, answers, scores, dataset, strategies, thresholds), ["strategy", "threshold"])
 
 
 def tier_accounting(final: DataFrame) -> DataFrame:
@@ -159,66 +164,76 @@ def tier_accounting(final: DataFrame) -> DataFrame:
 # Sequential cascade, one threshold, tiers answered only for remaining rows
 # ---------------------------------------------------------------------------------------------------------------
 
+#: (remaining prompts, tier) -> (prompt_id, response)
+AnswerFn = Callable[[DataFrame, C.Tier], DataFrame]
+#: (rows with prompt_id, prompt_text, answer, pred; tier) -> the same rows with a column ``score``
+ScoreFn = Callable[[DataFrame, C.Tier], DataFrame]
+
+
+def from_answers(answers: DataFrame) -> AnswerFn:
+    """Responder that looks answers up in a stored table."""
+    return lambda remaining, tier: answers.where(F.col("model") == tier.model).join(remaining.select("prompt_id"), "prompt_id", "left_semi")
+
+
+def from_scores(scores: DataFrame, strategy: str) -> ScoreFn:
+    """Scorer that looks scores up in a stored table."""
+
+    def score(rows: DataFrame, tier: C.Tier) -> DataFrame:
+        own = scores.where((F.col("strategy") == strategy) & (F.col("tier") == tier.tier)).select("prompt_id", "score")
+        return rows.join(own, "prompt_id", "left")
+
+    return score
+
 
 def sequential_final(
-    spark: SparkSession, sf_dir: str, strategy: str, threshold: float, dataset: str = "boolq", answers_fn=None
+    prompts: DataFrame, strategy: str, threshold: float, answer_fn: AnswerFn, score_fn: ScoreFn, dataset: str = "boolq",
+    chain: Sequence[C.Tier] | None = None,
 ) -> DataFrame:
     """Run tier after tier on what is left; return the union of accepted rows (U1) in tier order.
 
-    ``answers_fn(remaining_prompts, tier) -> (prompt_id, response)`` is the responder; default is the stub.
-    Each remainder is checkpointed to the shared checkpoint folder (reliable, survives executor loss).
+    Each tier's narrow table (prompt_id, pred, score) is written once to the shared folder; the accepted rows and the
+    next tier's remainder (an anti-join on ids) are both read from it.
     """
-    rule = RULES[dataset]
-    chain = C.CHAINS[C.STRATEGIES[strategy]]
-    remaining = build_prompts(spark, sf_dir, dataset).select("prompt_id", "gold_class", "prompt_text")
-    accepted_parts: list[DataFrame] = []
+    chain = list(C.CHAINS[C.STRATEGIES[strategy]] if chain is None else chain)
+    base = prompts.select("prompt_id", "gold_class", "prompt_text")
+    remaining, parts = base, []
     for tier in chain:
-        if answers_fn is None:
-            answered = stub_answers(remaining, [tier], dataset).select("prompt_id", "response")
-        else:
-            answered = answers_fn(remaining, tier)
-        rows = remaining.join(answered, "prompt_id")
-        pred = rule(strip_echo(F.col("response"), F.col("prompt_text"), F.lit(tier.model)), F.lit(tier.model))
-        labelled = rows.select("prompt_id", "gold_class", "prompt_text", pred.alias("pred"))
-        score = stub_score(F.lit(strategy), F.col("prompt_id"), F.lit(tier.model), F.col("pred") == F.col("gold_class"))
-        scored = labelled.select("*", score.alias("score"))
-        last = tier.tier == chain[-1].tier
-        gate = F.lit(True) if last else (F.col("score") > F.lit(float(threshold)))
-        acc = scored.where(gate)
-        accepted_parts.append(
-            acc.select(
-                F.lit(strategy).alias("strategy"),
-                F.lit(float(threshold)).alias("threshold"),
-                "prompt_id",
-                F.lit(tier.tier).alias("tier"),
-                F.lit(tier.model).alias("model"),
-                F.col("gold_class").alias("gold"),
-                "pred",
-                "score",
-                F.lit(len(chain)).alias("n_tiers"),
+        last = tier is chain[-1]
+        said = answer_fn(remaining, tier).select("prompt_id", "response", F.lit(True).alias("answered"))
+        rows = remaining.join(said, "prompt_id", "left")
+        model = F.lit(tier.model)
+        rows = rows.withColumn("answer", strip_echo("response", "prompt_text", model))
+        rows = rows.withColumn("pred", F.when(F.col("answered"), RULES[dataset](F.col("answer"), model)))
+        scored = score_fn(rows, tier)
+        score = F.when(F.col("answered"), F.col("score"))
+        table = staged(scored.select("prompt_id", F.col("gold_class").alias("gold"), "pred", score.alias("score")), f"tier-{tier.tier}")
+        passed = F.lit(True) if last else accepted_condition(F.col("score"), F.lit(float(threshold)))
+        parts.append(
+            table.where(passed).select(
+                F.lit(strategy).alias("strategy"), F.lit(float(threshold)).alias("threshold"), "prompt_id", F.lit(tier.tier).alias("tier"),
+                model.alias("model"), "gold", "pred", "score", F.lit(len(chain)).alias("n_tiers"),
             )
         )
         if last:
             break
-        # escalate: null score or score <= threshold - the complement of this tier's accepted set
-        remaining = scored.where(~F.coalesce(F.col("score") > F.lit(float(threshold)), F.lit(False))).select(
-            "prompt_id", "gold_class", "prompt_text"
-        ).checkpoint(eager=True)
-        if remaining.isEmpty():  # C4: nothing left, stop early
+        left = table.where(~passed).select("prompt_id")
+        if left.isEmpty():  # C4: nothing left, stop early
             break
-    out = accepted_parts[0]
-    for part in accepted_parts[1:]:
+        remaining = base.join(left, "prompt_id", "left_semi")
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def cascade_sequential(spark: SparkSession, sf_dir: str, strategies=tuple(C.STRATEGIES), threshold: float = 0.8) -> DataFrame:
+def cascade_sequential(prompts: DataFrame, answers: DataFrame, scores: DataFrame, strategies=tuple(C.STRATEGIES), threshold: float = 0.8) -> DataFrame:
     """C1 for several strategies; their tier loops are independent, so they run concurrently (one driver thread
     each, Spark schedules the jobs side by side)."""
     from concurrent.futures import ThreadPoolExecutor
 
+    run = lambda s: sequential_final(prompts, s, threshold, from_answers(answers), from_scores(scores, s))
     with ThreadPoolExecutor(max_workers=max(1, len(strategies))) as pool:
-        parts = list(pool.map(lambda s: sequential_final(spark, sf_dir, s, threshold), strategies))
+        parts = list(pool.map(run, strategies))
     final = parts[0]
     for p in parts[1:]:
         final = final.unionByName(p)
@@ -237,29 +252,8 @@ def cascade_cost(final: DataFrame, prompts: DataFrame | None = None) -> DataFram
     return cost_from_cells(sweep_cells(final))
 
 
-def scored_long(prompts: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:
-    """(strategy, prompt_id, tier, n_tiers, model, gold, pred, score): the wide rows turned long by a generate."""
-    wide = scored_wide(prompts, dataset, strategies)
-    items = F.array(
-        *[
-            F.struct(F.col(f"t{k}").alias("tier"), F.col(f"m{k}").alias("model"), F.col(f"p{k}").alias("pred"), F.col(f"s{k}").alias("score"))
-            for k in range(_max_len(strategies))
-        ]
-    )
-    long = wide.select("strategy", "prompt_id", "n_tiers", F.col("gold_class").alias("gold"), F.explode(items).alias("x"))
-    return long.where(F.col("x.tier").isNotNull()).select(
-        "strategy", "prompt_id", F.col("x.tier").alias("tier"), "n_tiers", F.col("x.model").alias("model"), "gold",
-        F.col("x.pred").alias("pred"), F.col("x.score").alias("score"),
-    )
-
-
-def labelled_answers(spark: SparkSession, sf_dir: str, dataset: str, chain_name: str) -> DataFrame:
-    """J1 + J2: answers joined to their prompts (gold, prompt text) on ``prompt_id``; echo stripped, rule applied."""
-    p = build_prompts(spark, sf_dir, dataset)
-    answers = stub_answers(p, C.CHAINS[chain_name], dataset).select("prompt_id", "tier", "model", "response")
-    rows = answers.join(p.select("prompt_id", "gold_class", "prompt_text"), "prompt_id")
-    answer = strip_echo(F.col("response"), F.col("prompt_text"), F.col("model"))
-    return rows.select(
-        "prompt_id", "tier", "model", F.col("gold_class").alias("gold"), answer.alias("answer"),
-        RULES[dataset](answer, F.col("model")).alias("pred"),
-    )
+def scored_long(prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:
+    """(strategy, prompt_id, tier, n_tiers, model, gold, pred, score): one row per step."""
+    rows = scored_steps(prompts, answers, scores, dataset, strategies)
+    long = rows.select("strategy", "prompt_id", F.size("steps").alias("n_tiers"), "gold", F.explode("steps").alias("x"))
+    return long.select("strategy", "prompt_id", "x.tier", "n_tiers", "x.model", "gold", "x.pred", "x.score")

@@ -4,8 +4,8 @@
   rounded through a decimal so the printed value is the exact half-up of the stored one);
 * ``sink_results`` writes partitioned by strategy with dynamic partition overwrite: re-running one grid point
   replaces its partition instead of appending a second copy (the studied loop re-reads and re-writes a CSV);
-* ``cost_quality`` full-outer-joins quality and energy on (strategy, threshold) - a key present on one side only
-  keeps its row with nulls on the other;
+* ``cost_quality`` full-outer-joins quality with measured energy on (strategy, threshold) - a key present on one side
+  only keeps its row with nulls on the other - and adds the single models at every threshold;
 * single-model baselines are one row per model, attached to every threshold of the sweep by a literal-array
   ``explode`` (no cross join), and ``curve_series`` folds each strategy's points into one ordered string.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators.metrics import macro_prf
-from ..sources.prompts import prompts as build_prompts
+from ..operators.metrics import macro_prf_from_cells
+from ..session import staged
 from . import cascade
 
 QUALITY_COLUMNS = ("Model", "Threshold", "M-Pre", "M-Rec", "M-F1")
@@ -66,22 +66,22 @@ def sink_results(rows: DataFrame, base: str) -> None:
     )
 
 
-def baselines(spark: SparkSession, sf_dir: str, dataset: str = "boolq", chains: Sequence[str] = ("flan", "phi")) -> DataFrame:
-    """Each model alone on every prompt: (chain, model, tier, m_f1, energy_wh) with the C7 cost model."""
-    p = build_prompts(spark, sf_dir, dataset)
-    kchar = p.select("prompt_id", (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"))
-    parts = []
-    for ch in chains:
-        lab = cascade.labelled_answers(spark, sf_dir, dataset, ch).select(F.lit(ch).alias("chain"), "prompt_id", "tier", "model", "gold", "pred")
-        parts.append(lab)
-    lab = parts[0]
-    for x in parts[1:]:
-        lab = lab.unionByName(x)
-    f1 = macro_prf(lab, ["chain", "model", "tier"]).select("chain", "model", "tier", "m_f1")
-    rate = F.lit(0.0)
-    for tier, r in cascade.MODEL_WH_PER_KCHAR.items():
-        rate = F.when(F.col("tier") == tier, F.lit(r)).otherwise(rate)
-    cost = lab.join(kchar, "prompt_id").groupBy("chain", "model", "tier").agg(F.round(F.sum(F.col("kchar") * rate), 6).alias("energy_wh"))
+def baselines(prompts: DataFrame, answers: DataFrame, dataset: str = "boolq", chains: Sequence[str] = ("flan", "phi")) -> DataFrame:
+    """Each model alone on every prompt: (chain, model, tier, m_f1, energy_wh) with the C7 cost model.
+
+    One read of prompts and answers: quality and cost both come from the cells of one aggregation, written once.
+    """
+    names = F.array(*[F.struct(F.lit(ch).alias("chain"), F.lit(t.model).alias("m"), F.lit(cascade.model_rate(t.tier)).alias("rate")) for ch in chains for t in C.CHAINS[ch]])
+    lab = cascade.labelled_answers(prompts, answers, dataset, cascade.chain_models(*chains))
+    lab = lab.select("model", "tier", "gold", "pred", (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"), F.explode(names).alias("n"))
+    lab = lab.where(F.col("n.m") == F.col("model"))
+    keys = [F.col("n.chain").alias("chain"), "model", "tier"]
+    cells = staged(
+        lab.groupBy(*keys, F.col("gold").alias("_g"), F.col("pred").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("kchar") * F.col("n.rate")).alias("_wh")),
+        "baseline-cells",
+    )
+    f1 = macro_prf_from_cells(cells.where(F.col("_g").isNotNull() & F.col("_p").isNotNull()), ["chain", "model", "tier"]).select("chain", "model", "tier", "m_f1")
+    cost = cells.groupBy("chain", "model", "tier").agg(F.round(F.sum("_wh"), 6).alias("energy_wh"))
     return f1.join(cost, ["chain", "model", "tier"])
 
 
@@ -90,18 +90,33 @@ def baseline_broadcast(base: DataFrame, thresholds: Sequence[float] = C.THRESHOL
     return base.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
 
 
-def cost_quality_one_pass(final: DataFrame) -> DataFrame:
-    """C8 from one aggregation of the accepted rows: the (strategy, threshold, gold, pred) cells - a few rows per
-    grid point - are checkpointed once, and quality and cost are both read from them before the J9 join."""
-    cells = cascade.sweep_cells(final).checkpoint(eager=True)
-    return cost_quality(cascade.quality_from_cells(cells), cascade.cost_from_cells(cells))
+def sweep_points(final: DataFrame) -> DataFrame:
+    """(strategy, threshold, m_f1, energy_wh) from one aggregation of the accepted rows: the (strategy, threshold, gold,
+    pred) cells - a few rows per grid point - are written once, and quality and modelled cost are both read from them."""
+    cells = staged(cascade.sweep_cells(final), "sweep-cells")
+    quality = cascade.quality_from_cells(cells).select("strategy", "threshold", "m_f1")
+    return quality.join(cascade.cost_from_cells(cells).select("strategy", "threshold", "energy_wh"), ["strategy", "threshold"], "full")
+
 
+def measured_energy(batches: DataFrame) -> DataFrame:
+    """(strategy, threshold, measured_wh) of emission batches; threshold is null for a model measured alone."""
+    return batches.groupBy("strategy", "threshold").agg(F.sum("energy_wh").cast("double").alias("measured_wh"))
 
-def cost_quality(sweep: DataFrame, cost: DataFrame) -> DataFrame:
-    """J9 + C8: (strategy, threshold, m_f1, energy_wh) by a full outer join on the two keys."""
-    q = sweep.select("strategy", "threshold", "m_f1")
-    e = cost.select("strategy", "threshold", "energy_wh")
-    return q.join(e, ["strategy", "threshold"], "full")
+
+def cost_quality(points: DataFrame, single: DataFrame, measured: DataFrame, thresholds: Sequence[float] = C.THRESHOLDS_BOOLQ) -> DataFrame:
+    """J9 + J10 + C8: (kind, strategy, threshold, m_f1, energy_wh, measured_wh).
+
+    ``points``: quality and modelled energy of every (strategy, threshold); ``single``: each model alone (model, m_f1,
+    energy_wh), drawn at every threshold; ``measured``: energy from emission records. Full outer joins: a point that
+    was measured but has no quality row keeps its row, with a null, and so does one without a measurement.
+    """
+    grid = measured.where(F.col("threshold").isNotNull())
+    curve = points.join(grid, ["strategy", "threshold"], "full")
+    alone = measured.where(F.col("threshold").isNull()).select("strategy", "measured_wh")
+    base = single.select(F.col("model").alias("strategy"), "m_f1", "energy_wh").join(alone, "strategy", "full")
+    base = baseline_broadcast(base, thresholds)
+    columns = ["strategy", "threshold", "m_f1", "energy_wh", "measured_wh"]
+    return curve.select(F.lit("cascade").alias("kind"), *columns).unionByName(base.select(F.lit("single").alias("kind"), *columns))
 
 
 def curve_series(points: DataFrame) -> DataFrame:
@@ -121,5 +136,5 @@ def strategy_threshold_grid(runs: DataFrame) -> DataFrame:
     exploded next to each distinct strategy.
     """
     axis = runs.where(F.col("threshold").isNotNull()).select(F.array_sort(F.collect_set("threshold"))).scalar()
-    strategies = runs.where(F.col("strategy") != "").select("strategy").distinct()
+    strategies = runs.where(F.col("threshold").isNotNull()).select("strategy").distinct()
     return strategies.select("strategy", F.explode(axis).alias("threshold"))

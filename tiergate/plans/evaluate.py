@@ -1,150 +1,84 @@
-"""Evaluation jobs (L1-L12, L16; A1-A5).
+"""Evaluation jobs (L1-L16; A1-A8) over stored answers.
 
-One pass over the labelled documents: rows are multiplied by the (few) task names and (few) models with
-``explode`` of literal arrays, the stub answer is built, the echo is stripped (P6), and a ``when`` chain built
-from the rule table turns each answer into a label. The metric step then groups by (task, model). Adding a task
-adds a branch to the chain, not another scan.
+Two tables in: ``answers(task, model, prompt_id, response)`` and ``references(task, prompt_id, prompt_text, gold_text)``.
+They meet once, on (task, prompt_id); the whole response is stripped of its echoed prompt (P6) and labelled by the
+task's row of the rule table. The labels of all tasks go through one aggregation each for classes, label vectors,
+numbers and texts.
 
-Gold values per task are derived from ``labels``: binary tasks use ``quality``, mnli ``quality + toxic``, stsb
-``2.5 * quality + toxic``; multi-label golds are picked by a hash from the task's label words.
+The rules are rows of a table (``functions.rules.task_rules``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import config as C
-from ..functions import rules
-from ..functions.hashing import hex_bits, key
-from ..functions.text import computed_once, echoes, first_line, strip_echo
+from ..functions.rules import class_of, number_of, prepared_answer, rule_column, vector_of
+from ..functions.text import strip_echo
 from ..operators.metrics import macro_prf, macro_prf_multilabel, regression_metrics
-from ..sources.prompts import labelled_documents
+from ..session import staged
+from .text_eval import text_metrics
+
+def labelled(answers: DataFrame, references: DataFrame, rules: dict[str, dict] | None = None) -> DataFrame:
+    """One row per answer: (task, model, prompt_id, kind, gold_class, pred_class, gold_vector, pred_vector, gold_number,
+    pred_number, gold_text, answer); the columns of other kinds are null."""
+    rows = answers.select("task", "model", "prompt_id", "response").join(references.select("task", "prompt_id", "prompt_text", "gold_text"), ["task", "prompt_id"])
+    rows = rows.select("task", "model", "prompt_id", "gold_text", strip_echo("response", "prompt_text", "model").alias("answer"), rule_column(F.col("task"), rules).alias("rule"))
+    rule, kind, gold, answer = F.col("rule"), F.col("rule.kind"), F.col("gold_text"), F.col("answer")
+    text = prepared_answer(answer, F.col("model"), rule)
+    return rows.select(
+        "task", "model", "prompt_id", kind.alias("kind"),
+        F.when(kind == "class", gold.try_cast("int")).alias("gold_class"),
+        F.when(kind == "class", class_of(text, rule)).alias("pred_class"),
+        F.when(kind == "vector", vector_of(F.coalesce(gold, rule["gold_if_null"]), rule["gold_words"])).alias("gold_vector"),
+        F.when(kind == "vector", vector_of(text, rule["answer_words"])).alias("pred_vector"),
+        F.when(kind == "number", gold.try_cast("double")).alias("gold_number"),
+        F.when(kind == "number", number_of(answer)).alias("pred_number"),
+        F.when(kind == "text", F.lower(gold)).alias("gold_text"),
+        F.when(kind == "text", F.lower(answer)).alias("answer"),
+    )
 
-CLASS_TASKS = tuple(C.EVAL_CLASS_PHRASES)
-MULTILABEL_TASKS = tuple(C.EVAL_MULTILABEL_PHRASES)
 
+def eval_class(rows: DataFrame, keys: Sequence[str] = ("task", "model")) -> DataFrame:
+    return macro_prf(rows.where("kind = 'class'"), list(keys), "gold_class", "pred_class")
 
-def _models_array() -> Column:
-    return F.array(*[F.struct(F.lit(t.model).alias("model"), F.lit(t.skill).alias("skill")) for t in C.EVAL_MODELS])
 
+def eval_multilabel(rows: DataFrame, keys: Sequence[str] = ("task", "model")) -> DataFrame:
+    return macro_prf_multilabel(rows.where("kind = 'vector'"), list(keys), "gold_vector", "pred_vector")
 
-def _lit_list(values) -> Column:
-    return F.array(*[F.lit(v).cast("string") for v in values])
 
+def eval_number(rows: DataFrame, keys: Sequence[str] = ("task", "model")) -> DataFrame:
+    """L12 + A4/A5; rows whose answer gives no number are counted in ``unparsed`` and left out of the metrics."""
+    return regression_metrics(rows.where("kind = 'number'"), list(keys), "gold_number", "pred_number")
 
-def _pick(values, k: Column) -> Column:
-    """values[k mod len] as a literal-array lookup."""
-    return F.element_at(_lit_list(values), ((k % F.lit(len(values))) + F.lit(1)).cast("int"))
 
+def eval_text(rows: DataFrame, embeddings: DataFrame, keys: Sequence[str] = ("task", "model")) -> DataFrame:
+    """ROUGE-1 / 2 / L and embedding P / R / F1, means over prompts."""
+    texts = rows.where("kind = 'text'")
+    return text_metrics(texts.select(*keys, F.col("prompt_id").alias("pair_id"), F.col("answer").alias("pred"), F.col("gold_text").alias("ref")), embeddings, keys)
 
-def task_rows(spark: SparkSession, sf_dir: str, tasks: Sequence[str]) -> DataFrame:
-    """(task, prompt_id, model, prompt_text, quality, toxic) for every labelled document, task and model."""
-    d = labelled_documents(spark, sf_dir)
-    # only the first line of a document is used: cut it before the rows are multiplied by tasks and models
-    t = d.select(
-        F.col("doc_id").alias("prompt_id"), first_line("text").alias("line"), "quality", "toxic",
-        F.explode(_lit_list(tasks)).alias("task"),
-    )
-    m = t.select("*", F.explode(_models_array()).alias("m"))
-    return m.select(
-        "task", "prompt_id", F.col("m.model").alias("model"), F.col("m.skill").alias("skill"),
-        F.concat(F.col("task"), F.lit(": "), F.col("line")).alias("prompt_text"), "quality", "toxic",
-    )
 
+def eval_all(answers: DataFrame, references: DataFrame, embeddings: DataFrame, rules: dict[str, dict] | None = None) -> DataFrame:
+    """Every task of the answers in one table (task, model, metric, value).
 
-def _hash(tag: str) -> Column:
-    return hex_bits(key(F.col("prompt_id"), tag, F.col("task"), "/", F.col("model")))
-
-
-def _respond(phrase: Column) -> Column:
-    response = F.when(echoes(F.col("model")), F.concat(F.col("prompt_text"), phrase)).otherwise(phrase)
-    return strip_echo(response, F.col("prompt_text"), F.col("model"))
-
-
-def _hashed(rows: DataFrame, *tags: str) -> DataFrame:
-    """The per-row hash buckets, computed once (the task branches below read them as plain columns)."""
-    return computed_once(rows, *[_hash(t).alias(f"h{t.strip('-')}") for t in tags])
-
-
-def class_labelled(spark: SparkSession, sf_dir: str, tasks: Sequence[str] = CLASS_TASKS) -> DataFrame:
-    """(task, model, prompt_id, gold, answer, pred) for the class tasks."""
-    rows = _hashed(task_rows(spark, sf_dir, tasks), "-a-", "-w-", "-p-")
-    gold = F.when(F.col("task") == "mnli", F.col("quality") + F.col("toxic")).otherwise(F.col("quality")).cast("int")
-    n = F.when(F.col("task") == "mnli", F.lit(3)).otherwise(F.lit(2))
-    right = (F.col("ha") % F.lit(100)) < F.col("skill")
-    wrong = (gold + F.lit(1) + F.col("hw") % (n - F.lit(1))) % n
-    cls = F.when(right, gold).otherwise(wrong).cast("int")
-    phrase = None
-    pred = None
-    answer = F.col("answer")
-    for task in tasks:
-        table = C.EVAL_CLASS_PHRASES[task]
-        lit_table = F.array(*[_lit_list(row) for row in table])
-        row = F.element_at(lit_table, (cls + F.lit(1)).cast("int"))
-        ph = F.element_at(row, ((F.col("hp") % F.size(row)) + F.lit(1)).cast("int"))
-        phrase = F.when(F.col("task") == task, ph) if phrase is None else phrase.when(F.col("task") == task, ph)
-        r = rules.CLASS_RULES[task](answer, F.col("model"))
-        pred = F.when(F.col("task") == task, r) if pred is None else pred.when(F.col("task") == task, r)
-    answered = computed_once(rows, gold.alias("gold"), _respond(phrase).alias("answer"))
-    return answered.select("task", "model", "prompt_id", "gold", "answer", pred.alias("pred"))
-
-
-def eval_class(spark: SparkSession, sf_dir: str, tasks: Sequence[str] = CLASS_TASKS) -> DataFrame:
-    return macro_prf(class_labelled(spark, sf_dir, tasks), ["task", "model"])
-
-
-def multilabel_labelled(spark: SparkSession, sf_dir: str, tasks: Sequence[str] = MULTILABEL_TASKS) -> DataFrame:
-    rows = _hashed(task_rows(spark, sf_dir, tasks), "-g-", "-h-", "-p-")
-    gold_text = None
-    phrase = None
-    for task in tasks:
-        if task == "vax":
-            g = F.element_at(
-                F.array(*[F.lit(v).cast("string") for v in C.VAX_GOLD_CHOICES]),
-                ((F.col("hg") % F.lit(len(C.VAX_GOLD_CHOICES))) + F.lit(1)).cast("int"),
-            )
-        elif task == "caves":
-            g = F.concat(_pick(C.CAVES_LABELS, F.col("hg")), F.lit(","), _pick(C.CAVES_LABELS, F.col("hh")))
-        else:
-            g = _pick(C.HATEX_GOLD_CHOICES, F.col("hg"))
-        ph = _pick(C.EVAL_MULTILABEL_PHRASES[task], F.col("hp"))
-        gold_text = F.when(F.col("task") == task, g) if gold_text is None else gold_text.when(F.col("task") == task, g)
-        phrase = F.when(F.col("task") == task, ph) if phrase is None else phrase.when(F.col("task") == task, ph)
-    answered = computed_once(rows, gold_text.alias("gold_text"), _respond(phrase).alias("answer"))
-    answered = answered.select("task", "model", "prompt_id", "gold_text", "answer")
-    gold = None
-    pred = None
-    for task in tasks:
-        gold_fn, pred_fn = rules.MULTILABEL_RULES[task]
-        gv, pv = gold_fn(F.col("gold_text")), pred_fn(F.col("answer"))
-        gold = F.when(F.col("task") == task, gv) if gold is None else gold.when(F.col("task") == task, gv)
-        pred = F.when(F.col("task") == task, pv) if pred is None else pred.when(F.col("task") == task, pv)
-    return answered.select("*", gold.alias("gold"), pred.alias("pred"))
-
-
-def eval_multilabel(spark: SparkSession, sf_dir: str, tasks: Sequence[str] = MULTILABEL_TASKS) -> DataFrame:
-    return macro_prf_multilabel(multilabel_labelled(spark, sf_dir, tasks), ["task", "model"])
-
-
-def stsb_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = task_rows(spark, sf_dir, ["stsb"])
-    gold = (F.col("quality") * F.lit(2.5) + F.col("toxic")).cast("double")
-    answer = _respond(_pick(C.STSB_PHRASES, _hash("-p-")))
-    answered = rows.select("task", "model", "prompt_id", gold.alias("gold"), answer.alias("answer"))
-    return answered.select("*", rules.stsb(F.col("answer")).alias("pred"))
-
-
-def eval_stsb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L12 + A4/A5; rows whose answer gives no number are counted in ``unparsed`` and left out of the metrics."""
-    lab = stsb_labelled(spark, sf_dir)
-    metrics = regression_metrics(lab, ["task", "model"])
-    unparsed = lab.groupBy("task", "model").agg(F.sum(F.col("pred").isNull().cast("int")).cast("bigint").alias("unparsed"))
-    return metrics.join(unparsed, ["task", "model"])
+    Labels are written once (texts only for the text tasks) and every kind of metric reads them.
+    """
+    rows = staged(labelled(answers, references, rules), "labelled-answers")
+    parts = [eval_class(rows), eval_multilabel(rows), eval_number(rows), eval_text(rows, embeddings)]
+    out = None
+    for part in parts:
+        names = [c for c in part.columns if c not in ("task", "model")]
+        values = part.select("task", "model", *(F.col(c).cast("double").alias(c) for c in names))
+        long = values.unpivot(["task", "model"], names, "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
-def eval_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every class and multi-label task in one table (task, model, n, m_pre, m_rec, m_f1)."""
-    return eval_class(spark, sf_dir).unionByName(eval_multilabel(spark, sf_dir))
+def run_status(references: DataFrame, answers: DataFrame, models: Sequence[str]) -> DataFrame:
+    """(task, model, references, answers): runs that a table of answers should hold, and how many answers it has. A run
+    without answers is reported, not evaluated."""
+    wanted = references.groupBy("task").agg(F.count(F.lit(1)).alias("references")).select("*", F.explode(F.array(*map(F.lit, models))).alias("model"))
+    got = answers.groupBy("task", "model").agg(F.count(F.lit(1)).alias("answers"))
+    return wanted.join(got, ["task", "model"], "left").select("task", "model", "references", F.coalesce("answers", F.lit(0)).alias("answers"))

@@ -1,160 +1,68 @@
-"""Responders and scorers: the plug-in points that stand for model inference.
+"""Responders: the plug-in point that stands for model inference (M1).
 
-A *responder* maps a prompt table to one answer per (prompt, tier). Two forms are offered:
-
-* ``stub_answers`` - a deterministic stand-in written as column expressions (JVM side, no Python worker): tier
-  ``k`` answers right when ``h(prompt_id || '-a-' || model) < skill_k``; the wording is picked by another hash
-  from a small phrase table; echoing models repeat the prompt in front of the answer.
-* ``pandas_responder`` - wraps any ``Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]`` function with
-  ``mapInPandas`` (Arrow batches). This is where a real model plugs in (loaded once per Python worker).
-
-A *scorer* gives the class-1 probability that an answer is right. ``stub_score`` is a hash-based stand-in that
-leans on the true label, so gating behaves like a useful scorer; ``plans.scorer`` trains a real one.
+``pandas_responder`` runs a model over a batch plan with ``mapInPandas`` (Arrow batches). The model comes from a
+factory that is called once per Python worker task; it sees the rows of one batch together, in plan order, and never
+the gold label. Its answers are written once to the shared folder, so a model that does not repeat itself is asked
+once for each row, whatever is computed from the answers later.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .. import config as C
-from ..functions.hashing import h, key
-from ..functions.text import echoes
-
-PHRASES = {"boolq": C.PHRASES_BOOLQ, "mnli": C.PHRASES_MNLI}
-N_CLASSES = {"boolq": 2, "mnli": 3}
-SCORE_RIGHT_BONUS = 60
-SCORE_SCALE = 160.0
-
-
-def chain_array(chain: Sequence[C.Tier]) -> Column:
-    """Literal array<struct<tier, model, skill>> for one chain (at most a handful of tiers)."""
-    return F.array(
-        *[F.struct(F.lit(t.tier).alias("tier"), F.lit(t.model).alias("model"), F.lit(t.skill).alias("skill")) for t in chain]
-    )
-
-
-def answer_class(prompt_id: Column, gold: Column, model: Column, skill: Column, n_classes: int) -> Column:
-    right = h(key(prompt_id, "-a-", model)) < skill
-    wrong = (gold + F.lit(1) + h(key(prompt_id, "-w-", model), max(n_classes - 1, 1))) % F.lit(n_classes)
-    return F.when(right, gold).otherwise(wrong).cast("int")
-
-
-def phrase(dataset: str, cls: Column, prompt_id: Column, model: Column) -> Column:
-    table = PHRASES[dataset]
-    lit_table = F.array(*[F.array(*[F.lit(p) for p in row]) for row in table])
-    pick = (h(key(prompt_id, "-p-", model), len(table[0])) + F.lit(1)).cast("int")
-    return F.element_at(F.element_at(lit_table, (cls + F.lit(1)).cast("int")), pick)
-
-
-def stub_answers(prompts: DataFrame, chain: Sequence[C.Tier], dataset: str = "boolq") -> DataFrame:
-    """Long answer table: (prompt_id, tier, model, gold_class, prompt_text, response). No shuffle: a generate."""
-    t = prompts.select("prompt_id", "gold_class", "prompt_text", F.explode(chain_array(chain)).alias("t"))
-    cls = answer_class(F.col("prompt_id"), F.col("gold_class"), F.col("t.model"), F.col("t.skill"), N_CLASSES[dataset])
-    text = phrase(dataset, cls, F.col("prompt_id"), F.col("t.model"))
-    response = F.when(echoes(F.col("t.model")), F.concat(F.col("prompt_text"), text)).otherwise(text)
-    return t.select(
-        "prompt_id",
-        F.col("t.tier").alias("tier"),
-        F.col("t.model").alias("model"),
-        "gold_class",
-        "prompt_text",
-        response.alias("response"),
-    )
-
+from ..session import shuffle_width, staged
 
-def stub_score(strategy: Column, prompt_id: Column, model: Column, is_right: Column) -> Column:
-    """Class-1 probability stand-in in [0, 1): hash noise plus a bonus when the answer is right."""
-    bonus = F.when(is_right, F.lit(SCORE_RIGHT_BONUS)).otherwise(F.lit(0))
-    return (h(key(strategy, "-s-", prompt_id, "-", model)) + bonus).cast("double") / F.lit(SCORE_SCALE)
 
-
-# ---------------------------------------------------------------------------------------------------------------
-# pandas plug-in form (M1)
-# ---------------------------------------------------------------------------------------------------------------
-
-RESPONSE_SCHEMA = "prompt_id bigint, tier int, model string, batch_id bigint, response string"
-
-
-def _h_py(x: str, mod: int) -> int:
-    return int(hashlib.md5(x.encode("utf-8")).hexdigest()[:4], 16) % mod
-
-
-def stub_pandas_model(dataset: str, tier: C.Tier) -> Callable[[pd.DataFrame], pd.Series]:
-    """Same answers as ``stub_answers`` computed in pandas: what a real model wrapper looks like to Spark."""
-    table = PHRASES[dataset]
-    n = N_CLASSES[dataset]
-
-    def generate(batch: pd.DataFrame) -> pd.Series:
-        out = []
-        for pid, gold, prompt in zip(batch["prompt_id"], batch["gold_class"], batch["prompt_text"]):
-            pid = str(int(pid))
-            right = _h_py(pid + "-a-" + tier.model, 100) < tier.skill
-            cls = int(gold) if right else (int(gold) + 1 + _h_py(pid + "-w-" + tier.model, max(n - 1, 1))) % n
-            text = table[cls][_h_py(pid + "-p-" + tier.model, len(table[0]))]
-            out.append(prompt + text if tier.echoes else text)
-        return pd.Series(out, dtype="object")
-
-    return generate
-
-
-def prepare_plan(planned: DataFrame) -> DataFrame:
+def prepare_plan(planned: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Lay a batch plan out for inference once, for every tier that will run over it.
 
-    Range partitioning on ``batch_id`` keeps each batch inside one task, sorted; the result is checkpointed to the
-    shared checkpoint folder, so every tier (and any re-run after an executor loss) reads the same layout
-    instead of re-planning.
+    Range partitioning on (group, batch) keeps each batch inside one task, sorted. ``planned`` holds the group columns,
+    ``prompt_id, prompt_text, batch_id``; other columns (the gold label among them) do not reach a model.
     """
-    from ..session import shuffle_width
-
-    n = shuffle_width(planned)
-    laid = (
-        planned.select("prompt_id", "gold_class", "prompt_text", "batch_id")
-        .repartitionByRange(n, "batch_id")
-        .sortWithinPartitions("batch_id", "prompt_id")
-    )
-    return laid.checkpoint(eager=True)
+    keys = [*group_cols, "batch_id"]
+    narrow = planned.select(*keys, "prompt_id", "prompt_text")
+    laid = narrow.repartitionByRange(shuffle_width(planned.sparkSession), *keys).sortWithinPartitions(*keys, "prompt_id")
+    return laid
 
 
 def pandas_responder(
-    planned: DataFrame, tier: C.Tier, model_factory: Callable[[], Callable[[pd.DataFrame], pd.Series]], prepared: bool = False
+    planned: DataFrame, tier: C.Tier, model_factory: Callable[[], Callable[[pd.DataFrame], pd.Series]],
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Run one tier over a batch plan with ``mapInPandas``; the model is built once per Python worker task.
+    """(group..., prompt_id, tier, model, batch_id, response): one tier over a batch plan.
 
-    ``planned`` must carry ``prompt_id, gold_class, prompt_text, batch_id``; rows of one batch are answered
-    together, in plan order, like a DataLoader over the length-sorted prompts.
+    Batches are cut per group: equal batch ids of different groups (data sets, runs) are different batches.
     """
-
-    def answer(grp: pd.DataFrame, generate) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "prompt_id": grp["prompt_id"].astype("int64").values,
-                "tier": tier.tier,
-                "model": tier.model,
-                "batch_id": grp["batch_id"].astype("int64").values,
-                "response": generate(grp).values,
-            }
-        )
+    groups = list(group_cols)
+    keys = [*groups, "batch_id"]
+    fields = {f.name: f.dataType.simpleString() for f in planned.schema.fields}
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in groups), "prompt_id bigint, tier int, model string, batch_id bigint, response string"])
+
+    def answer(rows: pd.DataFrame, generate) -> pd.DataFrame:
+        out = {c: rows[c].to_numpy() for c in groups} | {
+            "prompt_id": rows["prompt_id"].to_numpy(), "tier": tier.tier, "model": tier.model,
+            "batch_id": rows["batch_id"].to_numpy(), "response": generate(rows).to_numpy(),
+        }
+        return pd.DataFrame(out)
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = model_factory()
         pending = None  # rows of the last, possibly incomplete batch of the previous Arrow chunk
-        for pdf in chunks:
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-            if pdf.empty:
+        for rows in chunks:
+            rows = rows if pending is None else pd.concat([pending, rows], ignore_index=True)
+            if rows.empty:
                 continue
-            last = pdf["batch_id"].iloc[-1]
-            done, pending = pdf[pdf["batch_id"] != last], pdf[pdf["batch_id"] == last]
-            for _, grp in done.groupby("batch_id", sort=True):
-                yield answer(grp, generate)
+            new = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            for lo, hi in zip(starts, starts[1:]):
+                yield answer(rows.iloc[lo:hi], generate)
+            pending = rows.iloc[starts[-1] :]
         if pending is not None and not pending.empty:
             yield answer(pending, generate)
 
-    # a batch never straddles two tasks: range partitioning keeps equal batch ids together, sorted inside the task
-    cols = planned if prepared else prepare_plan(planned)
-    return cols.mapInPandas(run, RESPONSE_SCHEMA)
+    return staged(prepare_plan(planned, groups).mapInPandas(run, schema), "model-answers")

@@ -5,7 +5,7 @@ The studied scorer is a fine-tuned transformer on one GPU; the Spark re-aim is a
 answer right (M4). Train / validation come from the seeded hash split (P5, 20 % validation); each candidate
 setting is fitted on train and judged by validation log-loss, and the best is kept ("best epoch on validation").
 
-The strategy grid (M6) maps each strategy's learning rate and epochs to ``regParam = lr * 1000`` and
+The strategy grids (M6) map each strategy's learning rate and epochs to ``regParam = lr * 1000`` and
 ``maxIter = 2 * epochs`` - our mapping, stated here, not a property of the studied models.
 
 Layouts (C5): one scorer per (strategy, model), or one pooled scorer per strategy over every model's rows.
@@ -20,66 +20,67 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators.sampling import split_hash
-from ..sources.prompts import prompts as build_prompts
+from ..session import staged
 from . import cascade
 
 NUM_FEATURES = 1 << 16
-VALIDATION_PCT = 20
-
-
-def training_rows(spark: SparkSession, sf_dir: str, dataset: str = "boolq", chains: Sequence[str] = ("flan", "phi")) -> DataFrame:
-    """(model, prompt_id, scorer_text, label double, split): U2 pooled rows with the P5 split."""
-    parts = [cascade.labelled_answers(spark, sf_dir, dataset, ch) for ch in chains]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    p = build_prompts(spark, sf_dir, dataset).select("prompt_id", "prompt_text")
-    t = rows.join(p, "prompt_id").select(
-        "model", "prompt_id", F.concat("prompt_text", "answer").alias("scorer_text"),
-        (F.col("pred") == F.col("gold")).cast("double").alias("label"),
-    )
-    return split_hash(t, VALIDATION_PCT)
 
 
-def pipeline(reg_param: float, max_iter: int) -> Pipeline:
+def scorer_text(dataset: str) -> Column:
+    """What a scorer reads of a labelled answer. boolq: prompt + stripped answer; mnli: prompt + class digit;
+    samsum: the raw, unstripped output."""
+    if dataset == "samsum":
+        return F.col("response")
+    return F.concat("prompt_text", F.col("answer") if dataset == "boolq" else F.col("pred").cast("string"))
+
+
+def training_rows(prompts: DataFrame, answers: DataFrame, dataset: str = "boolq", chains: Sequence[str] = ("flan", "phi"), validation_pct: int | None = None) -> DataFrame:
+    """(model, prompt_id, scorer_text, label double, split): U2 pooled rows with the P5 split of the data set."""
+    rows = cascade.labelled_answers(prompts, answers, dataset, cascade.chain_models(*chains))
+    t = rows.select("model", "prompt_id", scorer_text(dataset).alias("scorer_text"), "response", (F.col("pred") == F.col("gold")).cast("double").alias("label"))
+    return split_hash(t, C.VALIDATION_PCT[dataset] if validation_pct is None else validation_pct)
+
+
+def feature_pipeline() -> Pipeline:
+    """Text to features; the same for every setting, so it is fitted once."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="scorer_text", outputCol="tokens", pattern="[^a-z0-9]+", toLowercase=True),
             HashingTF(inputCol="tokens", outputCol="tf", numFeatures=NUM_FEATURES),
             IDF(inputCol="tf", outputCol="features"),
-            LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param, maxIter=max_iter),
         ]
     )
 
 
-def _logloss(model: PipelineModel, val: DataFrame) -> float:
-    pred = model.transform(val)
+def _logloss(pred: DataFrame) -> float:
     return MulticlassClassificationEvaluator(labelCol="label", metricName="logLoss").evaluate(pred)
 
 
 def fit_grid(rows: DataFrame, grid: Sequence[tuple[float, int]], parallelism: int = 4) -> tuple[list[tuple], int, int]:
     """Fit every (regParam, maxIter) on the train split and score it on validation log-loss.
 
-    The two splits are cached once for all settings, and the settings are fitted concurrently (each fit is a
-    series of Spark jobs; a small thread pool keeps the cluster busy while one fit waits on its driver step).
-    Returns ([(reg, iter, model, loss)], n_train, n_val).
+    Features are fitted once, on the train split, and the vectors of both splits are cached for all settings (no raw
+    text is); the settings are fitted concurrently (each fit is a series of Spark jobs; a small thread pool keeps the
+    cluster busy while one fit waits on its driver step). Returns ([(reg, iter, model, loss)], n_train, n_val).
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    train = rows.where(F.col("split") == "train").cache()
-    val = rows.where(F.col("split") == "validation").cache()
+    features = feature_pipeline().fit(rows.where(F.col("split") == "train"))
+    vectors = features.transform(rows).select("split", "label", "features")
+    train = vectors.where(F.col("split") == "train").cache()
+    val = vectors.where(F.col("split") == "validation").cache()
     n_train, n_val = train.count(), val.count()
 
     def one(setting):
         reg, it = setting
-        model = pipeline(reg, it).fit(train)
-        loss = _logloss(model, val) if n_val else float("nan")
-        return (reg, it, model, loss)
+        model = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=it).fit(train)
+        loss = _logloss(model.transform(val)) if n_val else float("nan")
+        return (reg, it, PipelineModel(stages=[*features.stages, model]), loss)
 
     try:
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(grid)))) as pool:
@@ -105,38 +106,85 @@ def score_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.select("model", "prompt_id", vector_to_array("probability")[1].alias("score"))
 
 
+def as_score_fn(model: PipelineModel, dataset: str = "boolq"):
+    """A fitted scorer as a cascade takes it: adds ``score`` to rows with prompt_text, answer, response and pred."""
+
+    def score(rows: DataFrame, tier) -> DataFrame:
+        text = F.coalesce(scorer_text(dataset), F.lit(""))
+        out = model.transform(rows.withColumn("scorer_text", text))
+        return out.select(*rows.columns, vector_to_array("probability")[1].alias("score"))
+
+    return score
+
+
+def scores_table(model: PipelineModel, labelled: DataFrame, strategy: str, dataset: str = "boolq") -> DataFrame:
+    """(strategy, prompt_id, tier, score): a fitted scorer's scores of labelled answers, as ``sweep_final`` takes them."""
+    out = model.transform(labelled.withColumn("scorer_text", F.coalesce(scorer_text(dataset), F.lit(""))))
+    return out.select(F.lit(strategy).alias("strategy"), "prompt_id", "tier", vector_to_array("probability")[1].alias("score"))
+
+
 def grid_for_strategy(lr: float, epochs: int) -> tuple[float, int]:
     return (lr * 1000.0, 2 * epochs)
 
 
-def train_grid(spark: SparkSession, sf_dir: str, log_path: str | None = None) -> DataFrame:
-    """M6: one pooled scorer per strategy of the grid; one report row per strategy.
+LOG_SCHEMA = (
+    "strategy string, learning_rate double, epochs bigint, layout string, training_text string, reg_param double, max_iter bigint, "
+    "n_train bigint, n_val bigint, val_logloss double"
+)
+
+
+def train_grid(rows: DataFrame, grid: Sequence[tuple] = C.STRATEGY_GRID, log_path: str | None = None) -> DataFrame:
+    """M6: every strategy of a grid; one report row per strategy.
+
+    A pooled strategy is one scorer over all models' rows, a per-model one is a scorer for each model (its loss is the
+    mean over their validation rows). ``rows`` hold both training texts: ``scorer_text`` and ``response``. Settings
+    that share layout and text share their features, fitted once; groups run concurrently.
 
-    S10: the report rows (strategy, learning rate, epochs, ...) are appended to the ``strategies`` training-log
-    table at ``log_path`` when one is given, and the table is returned as read back.
+    S10: the report rows are appended to the ``strategies`` training-log table at ``log_path`` when one is given, and
+    the table is returned as read back.
     """
-    rows = training_rows(spark, sf_dir)
-    settings = [grid_for_strategy(lr, epochs) for _, lr, epochs in C.STRATEGY_GRID]
-    fitted, n_train, n_val = fit_grid(rows, settings)
-    out = [
-        (name, float(lr), int(epochs), float(reg), int(it), int(n_train), int(n_val), float(loss))
-        for (name, lr, epochs), (reg, it, _, loss) in zip(C.STRATEGY_GRID, fitted)
-    ]
-    schema = "strategy string, learning_rate double, epochs bigint, reg_param double, max_iter bigint, n_train bigint, n_val bigint, val_logloss double"
-    report = spark.createDataFrame(out, schema)
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark = rows.sparkSession
+    rows = staged(rows, "grid-rows")
+    models = sorted(r["model"] for r in rows.select("model").distinct().collect())  # a handful
+    groups: dict[tuple, list[tuple]] = {}
+    for name, lr, epochs, layout, text, *_ in grid:
+        groups.setdefault((layout, text), []).append((name, lr, epochs))
+
+    def fit_one(job):
+        (layout, text), model = job
+        own = rows if model is None else rows.where(F.col("model") == model)
+        own = own.withColumn("scorer_text", F.coalesce("response", F.lit(""))) if text == "original" else own
+        fitted, n_train, n_val = fit_grid(own, [grid_for_strategy(lr, e) for _, lr, e in groups[layout, text]], parallelism=2)
+        return [(n_train, n_val, loss) for *_, loss in fitted]
+
+    jobs = [(k, m) for k in groups for m in ([None] if k[0] == "pooled" else models)]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        results = dict(zip(jobs, pool.map(fit_one, jobs)))
+    out = []
+    for (layout, text), members in groups.items():
+        for i, (name, lr, epochs) in enumerate(members):
+            own = [results[k, m][i] for k, m in jobs if k == (layout, text)]
+            n_train, n_val = sum(r[0] for r in own), sum(r[1] for r in own)
+            loss = sum(r[1] * r[2] for r in own if r[1]) / n_val if n_val else float("nan")
+            reg, it = grid_for_strategy(lr, epochs)
+            out.append((name, float(lr), epochs, layout, text, reg, it, n_train, n_val, loss))
+    report = spark.createDataFrame(out, LOG_SCHEMA)
     if log_path is None:
         return report
     report.coalesce(1).write.mode("append").parquet(log_path)
     return spark.read.parquet(log_path)
 
 
-def scorer_layouts(spark: SparkSession, sf_dir: str, strategy: str = "strategy-1") -> DataFrame:
+def scorer_layouts(rows: DataFrame, strategy: str = "strategy-1") -> DataFrame:
     """Per-model scorers vs one pooled scorer for a strategy; validation log-loss of each."""
     from concurrent.futures import ThreadPoolExecutor
 
-    lr, epochs = next((lr, e) for n, lr, e in C.STRATEGY_GRID if n == strategy)
+    lr, epochs = next((lr, e) for n, lr, e, *_ in C.STRATEGY_GRID if n == strategy)
     setting = grid_for_strategy(lr, epochs)
-    rows = training_rows(spark, sf_dir).cache()
+    spark = rows.sparkSession
+    rows = staged(rows, "scorer-rows")
     models = [t.model for ch in ("flan", "phi") for t in C.CHAINS[ch]]
     jobs = [("per_model", m, rows.where(F.col("model") == m)) for m in models] + [("pooled", None, rows)]
 
@@ -145,10 +193,7 @@ def scorer_layouts(spark: SparkSession, sf_dir: str, strategy: str = "strategy-1
         fitted, n_train, n_val = fit_grid(subset, [setting], parallelism=1)
         return (strategy, layout, m, int(n_train), int(n_val), float(fitted[0][3]))
 
-    try:
-        with ThreadPoolExecutor(max_workers=4) as pool:
-            out = list(pool.map(one, jobs))
-    finally:
-        rows.unpersist()
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        out = list(pool.map(one, jobs))
     schema = "strategy string, layout string, model string, n_train bigint, n_val bigint, val_logloss double"
     return spark.createDataFrame(out, schema)

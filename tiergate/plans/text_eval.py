@@ -1,11 +1,8 @@
 """Free-text tasks (L13-L15, M5, C6): answers are compared to the gold text with ROUGE and embedding match.
 
-Text pairs come from the driver's tables:
-* ``turn_pairs``: consecutive conversation turns; prediction = assistant turn, reference = the user turn before it;
-* samsum / dolly: prompt = a user turn, gold = the assistant turn after it; cnn_dm: prompt = a document, gold = its
-  first line.
-Stub text answers: a model that is right (hash < skill) returns the gold text, otherwise the first 200 characters
-of the source; echoing models repeat the prompt first (stripped by P6). Both sides are lower-cased.
+Everything works on pairs (keys..., pair_id, pred, ref) of whole texts. The in-row counters of a pair - n-gram overlaps,
+the longest common subsequence and the two sides of the embedding match - are taken once; metrics, the scorer's training
+labels and the text cascade only average them.
 """
 
 from __future__ import annotations
@@ -16,16 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.hashing import hex_bits, key
-from ..functions.text import echoes, strip_echo
-from ..operators.embed_match import broadcast_match_col, embed_match, embed_match_pairs
-from ..operators.rouge import rouge_counts_col, rouge_scores
+from ..functions.text import strip_echo
+from ..operators.embed_match import broadcast_match_col, embed_match_pairs
+from ..operators.gate import accepted_condition
+from ..operators.rouge import lcs_col, rouge_counts_col
+from ..session import staged
 from ..sources import prompts as P
-from ..sources.tables import scan
-from .responders import stub_score
 
-WRONG_CHARS = 200
-TEXT_TASKS = ("samsum", "cnn_dm", "dolly")
+DIGITS = 9
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,119 +28,86 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("pair_id", F.col("assistant_text").alias("pred"), F.col("user_text").alias("ref"))
 
 
-def task_prompts(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
-    """(prompt_id, prompt_text, gold_text, source_text) for one text task."""
-    if task == "cnn_dm":
-        d = scan(spark, sf_dir, "documents", "doc_id", "text")
-        p = P.cnn_prompts(spark, sf_dir)
-        return p.join(d.select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("source_text")), "prompt_id").select(
-            "prompt_id", "prompt_text", "gold_text", "source_text"
-        )
-    t = P.turn_pairs(spark, sf_dir)
-    prompt = P.fill_template(C.TEMPLATE_SAMSUM, F.col("user_text")) if task == "samsum" else F.col("user_text")
-    return t.select(
-        F.col("pair_id").alias("prompt_id"), prompt.alias("prompt_text"), F.col("assistant_text").alias("gold_text"),
-        F.col("user_text").alias("source_text"),
-    )
-
-
-def text_answers(prompts: DataFrame, task: str, models: Sequence[C.Tier] = C.EVAL_MODELS) -> DataFrame:
-    """(prompt_id, model, tier, gold_text, answer, right): stripped, lower-cased answers of every model."""
-    arr = F.array(*[F.struct(F.lit(t.model).alias("model"), F.lit(t.skill).alias("skill"), F.lit(t.tier).alias("tier")) for t in models])
-    m = prompts.select("*", F.explode(arr).alias("m"))
-    right = (hex_bits(key(F.col("prompt_id"), "-a-", F.lit(task), "/", F.col("m.model"))) % F.lit(100)) < F.col("m.skill")
-    text = F.when(right, F.col("gold_text")).otherwise(F.substring("source_text", 1, WRONG_CHARS))
-    response = F.when(echoes(F.col("m.model")), F.concat(F.col("prompt_text"), text)).otherwise(text)
-    answer = strip_echo(response, F.col("prompt_text"), F.col("m.model"))
-    return m.select(
-        "prompt_id", F.col("m.model").alias("model"), F.col("m.tier").alias("tier"), F.lower("gold_text").alias("gold_text"),
-        F.lower(answer).alias("answer"), right.alias("right"),
-    )
+def answer_pairs(prompts: DataFrame, answers: DataFrame) -> DataFrame:
+    """(prompt_id, tier, model, pred, ref): answers meet their prompts, echo stripped, both sides lower-cased."""
+    rows = answers.select("prompt_id", "tier", "model", "response").join(prompts.select("prompt_id", "prompt_text", "gold_text"), "prompt_id")
+    return rows.select("prompt_id", "tier", "model", F.lower(strip_echo("response", "prompt_text", "model")).alias("pred"), F.lower("gold_text").alias("ref"))
 
 
 def _f(p: Column, r: Column) -> Column:
     return F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def eval_text(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
-    """Per model: ROUGE-1, ROUGE-2 and embedding P / R / F1 (mean over prompts).
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
-    With a broadcastable vector table both metrics come from one pass over the pairs (in-row counting and
-    matching, one aggregation); otherwise ROUGE and the join-based embedding plan run side by side.
+
+def pair_scores(pairs: DataFrame, embeddings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., pair_id, rouge1, rouge2, rougeL, emb_p, emb_r, emb_f1, no_vector): F-measures of every pair, and how many of
+    its tokens have no vector.
+
+    With a broadcastable vector table all of them come from one pass over the texts; otherwise the embedding match is
+    a join plan over tokens, which gives the same numbers.
     """
-    a = text_answers(task_prompts(spark, sf_dir, task), task)
-    pairs = a.select("model", F.col("prompt_id").alias("pair_id"), F.col("answer").alias("pred"), F.col("gold_text").alias("ref"))
-    emb = scan(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    match = broadcast_match_col(emb, F.col("pred"), F.col("ref"))
-    if match is not None:
-        per = pairs.select("model", rouge_counts_col(F.col("pred"), F.col("ref"), (1, 2)).alias("c"), match.alias("m"))
-
-        def rouge_f(n: int) -> Column:
-            ov, np_, nr = F.col(f"c.ov{n}"), F.col(f"c.np{n}"), F.col(f"c.nr{n}")
-            return _f(F.when(np_ > 0, ov / np_).otherwise(F.lit(0.0)), F.when(nr > 0, ov / nr).otherwise(F.lit(0.0)))
-
-        p, r = F.col("m.p"), F.col("m.r")
-        scored = per.select("model", rouge_f(1).alias("f1"), rouge_f(2).alias("f2"), p.alias("p"), r.alias("r"), _f(p, r).alias("f"))
-        return scored.groupBy("model").agg(
-            F.count(F.lit(1)).alias("pairs"),
-            F.round(F.avg("f1"), 9).alias("rouge1"),
-            F.round(F.avg("f2"), 9).alias("rouge2"),
-            F.round(F.avg("p"), 9).alias("emb_p"),
-            F.round(F.avg("r"), 9).alias("emb_r"),
-            F.round(F.avg("f"), 9).alias("emb_f1"),
-        )
-    rg = rouge_scores(pairs, (1, 2), ["model"]).drop("pairs")
-    em = embed_match(pairs, emb, ["model"])
-    return em.join(rg, "model").select("model", "pairs", "rouge1", "rouge2", "emb_p", "emb_r", "emb_f1")
-
-
-def scorer_labels_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5: a samsum training row is right (1) when its embedding-match F1 is above 0.8."""
-    a = text_answers(task_prompts(spark, sf_dir, "samsum"), "samsum")
-    pairs = a.select("model", F.col("prompt_id").alias("pair_id"), F.col("answer").alias("pred"), F.col("gold_text").alias("ref"))
-    emb = scan(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    per = embed_match_pairs(pairs, emb, ["model"])
+    match = broadcast_match_col(embeddings, F.col("pred"), F.col("ref"))
+    counts = [rouge_counts_col(F.col("pred"), F.col("ref"), (1, 2)).alias("c"), lcs_col(F.col("pred"), F.col("ref")).alias("lcs")]
+    rows = pairs.select(*keys, "pair_id", *counts, *([match.alias("m")] if match is not None else []))
+    if match is None:
+        per = embed_match_pairs(pairs, embeddings, list(keys), allow_broadcast=False)
+        rows = rows.join(per.select(*keys, "pair_id", F.struct("p", "r", "no_vector").alias("m")), [*keys, "pair_id"])
+
+    def overlap_f(part: Column, n: int) -> Column:
+        return _f(_share(part, F.col(f"c.np{n}")), _share(part, F.col(f"c.nr{n}")))
+
+    return rows.select(
+        *keys, "pair_id", overlap_f(F.col("c.ov1"), 1).alias("rouge1"), overlap_f(F.col("c.ov2"), 2).alias("rouge2"), overlap_f(F.col("lcs"), 1).alias("rougeL"),
+        F.col("m.p").alias("emb_p"), F.col("m.r").alias("emb_r"), _f(F.col("m.p"), F.col("m.r")).alias("emb_f1"), F.col("m.no_vector").alias("no_vector"),
+    )
+
+
+SCORES = ("rouge1", "rouge2", "rougeL", "emb_p", "emb_r", "emb_f1")
+
+
+def _means(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return scores.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pairs"), *[F.round(F.avg(c), DIGITS).alias(c) for c in SCORES], F.sum("no_vector").cast("bigint").alias("no_vector")
+    )
+
+
+def text_metrics(pairs: DataFrame, embeddings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group: ROUGE-1 / 2 / L and embedding P / R / F1, means over pairs."""
+    return _means(pair_scores(pairs, embeddings, keys), keys)
+
+
+def scorer_labels_text(pairs: DataFrame, embeddings: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+    """M5: a training row is right (1) when its embedding-match F1 is above 0.8."""
+    per = embed_match_pairs(pairs, embeddings, list(keys))
     return per.select(
-        "model", F.col("pair_id").alias("prompt_id"), F.round("f", 9).alias("emb_f1"),
+        *keys, F.col("pair_id").alias("prompt_id"), F.round("f", DIGITS).alias("emb_f1"),
         (F.col("f") > F.lit(C.SCORER_LABEL_MIN_F1)).cast("int").alias("label"),
     )
 
 
-def cascade_text(spark: SparkSession, sf_dir: str, strategy: str = "strategy-9", thresholds=C.THRESHOLDS_SAMSUM) -> DataFrame:
-    """Samsum cascade per threshold - gate on the stub score, then ROUGE-1 / ROUGE-2 of the accepted answers.
+def cascade_text(
+    prompts: DataFrame, answers: DataFrame, scores: DataFrame, embeddings: DataFrame, strategy: str = "strategy-9",
+    thresholds: Sequence[float] = C.THRESHOLDS_SAMSUM,
+) -> DataFrame:
+    """Text cascade per threshold over stored answers and scores: the gate picks one answer per prompt, then
+    ROUGE-1 / 2 / L and embedding P / R / F1 of the accepted answers.
 
-    One row per prompt holds every tier's answer, score and ROUGE counts (counted once per tier, in the row); the
-    thresholds are exploded over these counters only and the accepting tier picks its counts. No text is shuffled
-    or copied per threshold; only the final mean per threshold aggregates.
+    Every answer is compared with its gold text once; thresholds are exploded over these counters only, and no text
+    is shuffled or copied per threshold. A prompt without an answer at its accepting tier counts with zero scores.
     """
     chain = C.CHAINS[C.STRATEGIES[strategy]]
-    p = task_prompts(spark, sf_dir, "samsum")
-    ref = F.lower("gold_text")
-    cols = [F.col("prompt_id")]
-    for k, t in enumerate(chain):
-        right = (hex_bits(key(F.col("prompt_id"), "-a-", F.lit("samsum"), "/", F.lit(t.model))) % F.lit(100)) < F.lit(t.skill)
-        text = F.when(right, F.col("gold_text")).otherwise(F.substring("source_text", 1, WRONG_CHARS))
-        # an echoing model's stripped answer is exactly its text (null when the prompt is null)
-        answer = F.when(F.col("prompt_text").isNull() & F.lit(t.echoes), F.lit(None).cast("string")).otherwise(text)
-        cols += [
-            rouge_counts_col(F.lower(answer), ref, (1, 2)).alias(f"c{k}"),
-            stub_score(F.lit(strategy), F.col("prompt_id"), F.lit(t.model), right).alias(f"s{k}"),
-        ]
-    wide = p.select(*cols)
-    grid = wide.select("*", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
-    last = len(chain) - 1
-    picked = F.col(f"c{last}")
-    for k in reversed(range(last)):
-        picked = F.when(F.col(f"s{k}") > F.col("threshold"), F.col(f"c{k}")).otherwise(picked)
-    rows = grid.select("threshold", picked.alias("c"))
-
-    def f_of(n: int) -> Column:
-        ov, np_, nr = F.col(f"c.ov{n}"), F.col(f"c.np{n}"), F.col(f"c.nr{n}")
-        pr = F.when(np_ > 0, ov / np_).otherwise(F.lit(0.0))
-        rc = F.when(nr > 0, ov / nr).otherwise(F.lit(0.0))
-        return F.when((pr + rc) > 0, F.lit(2.0) * pr * rc / (pr + rc)).otherwise(F.lit(0.0))
-
-    per = rows.select("threshold", f_of(1).alias("f1"), f_of(2).alias("f2"))
-    return per.groupBy("threshold").agg(
-        F.count(F.lit(1)).alias("pairs"), F.round(F.avg("f1"), 9).alias("rouge1"), F.round(F.avg("f2"), 9).alias("rouge2")
-    ).select(F.lit(strategy).alias("strategy"), "threshold", "pairs", "rouge1", "rouge2")
+    last = chain[-1].tier
+    models = [t.model for t in chain]
+    pairs = answer_pairs(prompts, answers.where(F.col("model").isin(models))).withColumnRenamed("prompt_id", "pair_id")
+    per = staged(pair_scores(pairs.drop("model"), embeddings, ["tier"]), "answer-scores")
+    gate = scores.where(F.col("strategy") == strategy).select(F.col("prompt_id").alias("pair_id"), "tier", "score")
+    steps = per.join(gate, ["pair_id", "tier"], "left").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("tier", "score", *SCORES, "no_vector"))).alias("steps"))
+    rows = prompts.select(F.col("prompt_id").alias("pair_id")).join(steps, "pair_id", "left")
+    rows = rows.select("*", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
+    passed = F.filter("steps", lambda x: (x["tier"] == last) | accepted_condition(x["score"], F.col("threshold")))
+    picked = rows.select("threshold", F.get(passed, F.lit(0)).alias("a"))
+    out = picked.select("threshold", *[F.coalesce(F.col(f"a.{c}"), F.lit(0.0)).alias(c) for c in SCORES], F.coalesce("a.no_vector", F.lit(0)).alias("no_vector"))
+    return _means(out, ["threshold"]).select(F.lit(strategy).alias("strategy"), "*")

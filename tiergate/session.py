@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -39,17 +40,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder: ``spark.checkpoint.dir``, else what ``setCheckpointDir`` was given.
 
-    On a cluster this setting names a shared folder and is left alone. Only when it is unset (local tests,
-    the bench) do we point it at a fresh scratch folder.
+    Only a local master gets a fresh scratch folder where neither is set (tests, the bench): on a cluster a local
+    folder would be another one on each machine, so that is an error.
     """
-    current = spark.conf.get(CHECKPOINT_KEY, None)
+    sc = spark.sparkContext
+    current = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tiergate-ckpt-", dir=os.environ.get("TIERGATE_SCRATCH", "/tmp"))
         spark.conf.set(CHECKPOINT_KEY, current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
@@ -59,14 +63,14 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "tiergate", *parts])
 
 
-def shuffle_width(df) -> int:
-    """Partition count for an explicit repartition of ``df`` (range partitioning, which AQE cannot split).
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: whatever made it never runs again."""
+    path = scratch_path(df.sparkSession, "staged", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    At least ``spark.sql.shuffle.partitions``, and at least ``df``'s own split count - input splits are sized by
-    ``spark.sql.files.maxPartitionBytes``, so no output partition grows past an input split as the data grows.
-    """
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        return max(base, df.rdd.getNumPartitions())
-    except Exception:  # noqa: BLE001 - sessions without an RDD view: fall back to the configured width
-        return base
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Partition count for an explicit range repartition: ``spark.sql.shuffle.partitions``, which the user sizes to
+    the data, and at least one partition per core. Takes no job to find out."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -1,13 +1,8 @@
-"""Emission records: one row per measured batch (S3, S8), their CSV layout, and a derivation from ``events``.
+"""Emission records: one row per measured batch (S3, S8), and their CSV layout.
 
 Layout on disk, as the meter writes it: one folder per run named ``<dataset>_<run>``, holding ``emissions.csv``
-with 31 columns. Spark writes the same table partitioned by that folder name (``folder=<dataset>_<run>/``), and
-the scan reads every folder whose name holds the dataset, taking the folder from ``_metadata.file_path``.
-
-Derivation from the driver's ``events`` (our stand-in for real meter output):
-run = ``strategy-<event_type>-<threshold>`` with the threshold picked by ``user_id``; batch = 0-based position by
-``event_id`` within the run (distributed row number); energy = ``value / 1e6`` kWh; duration = ``props.k / 10`` s.
-Every event becomes a record (the gap rule of the index lookup is tested on hand-made frames).
+with 31 columns. Spark writes the same table partitioned by that folder name (``folder=<dataset>_<run>/``). The scan
+reads the CSV files of every folder whose name holds the dataset, in either layout.
 """
 
 from __future__ import annotations
@@ -16,15 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-from ..operators.ranking import row_number_by
 from ..session import shuffle_width
-from .tables import scan
 
 DATASET = "boolq_test_1k"
-RUN_THRESHOLDS = ("0.6", "0.65", "0.7", "0.75", "0.8", "0.85", "0.9", "0.95")
-CO2_PER_KWH = 0.6334  # kg per kWh, the ratio seen in every published emissions.csv
 
+# The meter's 31 columns.
 EMISSIONS_SCHEMA = T.StructType(
     [
         T.StructField("timestamp", T.TimestampType()),
@@ -62,74 +53,13 @@ EMISSIONS_SCHEMA = T.StructType(
 )
 
 
-def run_name_col() -> F.Column:
-    thr = F.element_at(F.array(*[F.lit(t) for t in RUN_THRESHOLDS]), ((F.col("user_id") % F.lit(len(RUN_THRESHOLDS))) + F.lit(1)).cast("int"))
-    return F.concat(F.lit("strategy-"), F.col("event_type"), F.lit("-"), thr)
-
-
-def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, run, batch, event_id, ts, energy_kwh, duration_s): one row per measured batch."""
-    ev = scan(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
-    base = ev.select(
-        F.lit(DATASET).alias("dataset"),
-        run_name_col().alias("run"),
-        "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("value") / F.lit(1e6)).alias("energy_kwh"),
-        (F.get_json_object("props", "$.k").cast("double") / F.lit(10.0)).alias("duration_s"),
-    )
-    ranked = row_number_by(base, ["run"], ["event_id"], out="rn")
-    return ranked.select("dataset", "run", (F.col("rn") - 1).alias("batch"), "event_id", "ts", "energy_kwh", "duration_s")
-
-
-def emission_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records in the meter's 31-column shape, plus ``folder`` (= ``<dataset>_<run>``) for the partitioned write."""
-    b = batch_records(spark, sf_dir)
-    e = F.col("energy_kwh")
-    dur = F.col("duration_s")
-    return b.select(
-        F.col("ts").alias("timestamp"),
-        F.concat_ws("_", "dataset", "run", F.col("batch").cast("string")).alias("project_name"),
-        F.md5(F.col("event_id").cast("string")).alias("run_id"),
-        dur.alias("duration"),
-        (e * F.lit(CO2_PER_KWH)).alias("emissions"),
-        F.when(dur > 0, e * F.lit(CO2_PER_KWH) / dur).alias("emissions_rate"),
-        F.when(dur > 0, e * 0.3 * 3.6e6 / dur).alias("cpu_power"),
-        F.when(dur > 0, e * 0.6 * 3.6e6 / dur).alias("gpu_power"),
-        F.when(dur > 0, e * 0.1 * 3.6e6 / dur).alias("ram_power"),
-        (e * 0.3).alias("cpu_energy"),
-        (e * 0.6).alias("gpu_energy"),
-        (e - e * 0.3 - e * 0.6).alias("ram_energy"),
-        e.alias("energy_consumed"),
-        F.lit("India").alias("country_name"),
-        F.lit("IND").alias("country_iso_code"),
-        F.lit(None).cast("string").alias("region"),
-        F.lit(None).cast("string").alias("cloud_provider"),
-        F.lit(None).cast("string").alias("cloud_region"),
-        F.lit("Linux").alias("os"),
-        F.lit("3.10.14").alias("python_version"),
-        F.lit("2.4.2").alias("codecarbon_version"),
-        F.lit(40).alias("cpu_count"),
-        F.lit("Intel(R) Xeon(R) Silver 4210R CPU @ 2.40GHz").alias("cpu_model"),
-        F.lit(4).alias("gpu_count"),
-        F.lit("4 x GPU").alias("gpu_model"),
-        F.lit(None).cast("double").alias("longitude"),
-        F.lit(None).cast("double").alias("latitude"),
-        F.lit(125.5).alias("ram_total_size"),
-        F.lit("process").alias("tracking_mode"),
-        F.lit("N").alias("on_cloud"),
-        F.lit(1.0).alias("pue"),
-        F.concat_ws("_", "dataset", "run").alias("folder"),
-    )
-
-
 def write_emissions(records: DataFrame, base: str) -> None:
     """Write one CSV set per run folder. Dynamic partition overwrite: re-running a run replaces only its folder.
 
     Range partitioning on (folder, project_name) gives each task a contiguous slice: a run holding a third of all
     records is written by many tasks (a few files in its folder), never by one.
     """
-    n = shuffle_width(records)
+    n = shuffle_width(records.sparkSession)
     (
         records.repartitionByRange(n, "folder", "project_name")
         .write.mode("overwrite")
@@ -146,7 +76,8 @@ def scan_emissions(spark: SparkSession, base: str, dataset: str = DATASET) -> Da
         spark.read.schema(EMISSIONS_SCHEMA)
         .option("header", True)
         .option("mode", "PERMISSIVE")
-        .csv(f"{base.rstrip('/')}/folder=*{dataset}*/")
+        .option("pathGlobFilter", "*.csv")
+        .csv(f"{base.rstrip('/')}/*{dataset}*/")
     )
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "folder=([^/]+)/", 1)
-    return df.select("*", folder.alias("folder"), F.col("_metadata.file_path").alias("file_path"))
+    path = F.col("_metadata.file_path")
+    return df.select("*", F.regexp_extract(path, "/(?:folder=)?([^/]+)/[^/]+$", 1).alias("folder"), path.alias("file_path"))

@@ -14,7 +14,7 @@ Null inputs give a null prompt (``concat`` semantics) instead of failing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -22,7 +22,6 @@ from ..functions.text import first_line
 from .tables import scan, spread_small
 
 PROMPT_COLUMNS = ("prompt_id", "dataset", "prompt_text", "gold_class", "gold_text")
-TURN_STRIDE = 1000  # samsum prompt_id = conv_id * 1000 + turn (turns per conversation are far below 1000)
 
 
 def fill_template(pieces: tuple[str, ...], *inputs) -> F.Column:
@@ -75,6 +74,12 @@ def cnn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pair_key(a: Column, b: Column) -> Column:
+    """One number for two non-negative ones, different for every two (Szudzik's pairing): a conversation may have any
+    number of turns. Exact while both are below 3e9."""
+    return F.when(a >= b, a * a + a + b).otherwise(b * b + a)
+
+
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, conv_id, user_text, assistant_text): a user turn and the assistant turn right after it."""
     conv = spread_small(scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn")
@@ -83,7 +88,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text")
     )
     return user.join(bot, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * TURN_STRIDE + F.col("turn")).alias("pair_id"), "conv_id", "user_text", "assistant_text"
+        pair_key(F.col("conv_id"), F.col("turn")).alias("pair_id"), "conv_id", "user_text", "assistant_text"
     )
 
 

@@ -1,17 +1,15 @@
 """Run outputs.
 
-The studied runner writes one JSON document per run: ``[[text, ...], [[start, end], ...]]`` - one text per prompt
-in length order, one time pair per batch. Here:
-
-* ``write_run_output_json`` writes that format, one document per (model, shard of ``SHARD_BATCHES`` batches), so
-  no document (and no task) ever holds a whole run; ``scan_run_output`` reads every document with
-  ``wholetext``, pulls the two arrays apart with ``get_json_object`` + ``from_json`` and ``posexplode``s them back
-  into rows with the batch id recovered from the position.
+The studied runner writes one JSON document per run, ``<data>_<run>/output.json``: ``[[text, ...], [[start, end], ...]]``
+- one text per prompt in length order, one time pair per batch.
+
+* ``scan_output_json`` reads that layout: every run folder of a data set, one document each.
+* ``write_run_output_json`` writes the same arrays as lines, one document per line for a bounded run of batches, many
+  lines to a file and one folder per model, so neither a document nor the number of files follows the run's length;
+  ``scan_run_output`` reads them. Texts and times of a document stand in one row: a text finds its batch's times by
+  position, without a join.
 * ``write_responses`` / ``read_responses`` are the native sink: ``responses`` and ``batches`` parquet tables
   partitioned by model; re-writing a model replaces only its partition.
-
-Batch times are our stand-in (no real model runs here): a batch starts 2.5 s after the previous one and takes
-0.5 s plus 1 ms per character of its longest prompt.
 """
 
 from __future__ import annotations
@@ -21,57 +19,54 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_width
 
-SHARD_BATCHES = 64
-T0 = 1719946222.0
-STEP_S = 2.5
-
-
-def batch_times(planned: DataFrame, keys=("batch_id",)) -> DataFrame:
-    """(keys..., start_ts, end_ts) from planned rows carrying ``n_chars`` and the keys (e.g. model, batch_id)."""
-    per = planned.groupBy(*keys).agg(F.max("n_chars").alias("max_chars"))
-    start = F.lit(T0) + F.col("batch_id") * F.lit(STEP_S)
-    return per.select(*keys, start.alias("start_ts"), (start + F.lit(0.5) + F.col("max_chars") / F.lit(1000.0)).alias("end_ts"))
+LINE_BATCHES = 64  # batches in one line of our own layout
+RUN_JSON = "first_batch bigint, texts array<string>, times array<array<double>>"
 
 
 def write_run_output_json(answers: DataFrame, times: DataFrame, batch_size: int, base: str) -> None:
     """answers: (model, position, batch_id, response); times: (model, batch_id, start_ts, end_ts)."""
-    a = answers.select("model", "position", "response", (F.col("batch_id") / SHARD_BATCHES).cast("bigint").alias("shard"))
-    texts = a.groupBy("model", "shard").agg(
+    first = (F.floor(F.col("batch_id") / LINE_BATCHES) * LINE_BATCHES).alias("first_batch")
+    texts = answers.select("model", "position", "response", first).groupBy("model", "first_batch").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "response"))), lambda x: x["response"]).alias("texts")
     )
-    t = times.select("model", "batch_id", "start_ts", "end_ts", (F.col("batch_id") / SHARD_BATCHES).cast("bigint").alias("shard"))
-    pairs = t.groupBy("model", "shard").agg(
+    pairs = times.select("model", "batch_id", "start_ts", "end_ts", first).groupBy("model", "first_batch").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("batch_id", "start_ts", "end_ts"))), lambda x: F.array(x["start_ts"], x["end_ts"])
         ).alias("times")
     )
-    docs = texts.join(pairs, ["model", "shard"]).select(
-        "model", "shard", F.concat(F.lit("["), F.to_json("texts"), F.lit(","), F.to_json("times"), F.lit("]")).alias("value")
+    lines = texts.join(pairs, ["model", "first_batch"]).select("model", F.to_json(F.struct("first_batch", "texts", "times"), {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.mode("overwrite").partitionBy("model").text(base)
+
+
+def _unfold(docs: DataFrame, batch_size: int, *keys: str) -> DataFrame:
+    """One row per text of (keys..., first_batch, texts, times): position, batch and the batch's times."""
+    rows = docs.select(*keys, "first_batch", "times", F.posexplode("texts").alias("i", "response"))
+    nth = F.floor(F.col("i") / batch_size).cast("int")
+    pair = F.get("times", nth)
+    return rows.select(
+        *keys, (F.col("first_batch") * batch_size + F.col("i") + 1).alias("position"), (F.col("first_batch") + nth).alias("batch_id"), "response",
+        pair[0].alias("start_ts"), pair[1].alias("end_ts"),
     )
-    docs.write.mode("overwrite").partitionBy("model", "shard").text(base)
 
 
 def scan_run_output(spark: SparkSession, base: str, batch_size: int) -> DataFrame:
-    """(model, position, batch_id, response, start_ts, end_ts) from the JSON documents under ``base``."""
-    raw = spark.read.text(base, wholetext=True)
-    path = F.col("_metadata.file_path")
+    """S2, our layout: (model, position, batch_id, response, start_ts, end_ts)."""
+    lines = spark.read.schema("value string, model string").text(base)
+    return _unfold(lines.select("model", F.from_json("value", RUN_JSON).alias("d")).select("model", "d.*"), batch_size, "model")
+
+
+def scan_output_json(spark: SparkSession, base: str, dataset: str, batch_size: int) -> DataFrame:
+    """S2, the runner's layout: (run, position, batch_id, response, start_ts, end_ts) of every ``<dataset>_<run>/output.json``.
+
+    A document that is not of that shape has no rows.
+    """
+    raw = spark.read.text(f"{base.rstrip('/')}/{dataset}_*/output.json", wholetext=True)
     docs = raw.select(
-        F.regexp_extract(path, "model=([^/]+)/", 1).alias("model_enc"),
-        F.regexp_extract(path, "shard=([0-9]+)/", 1).cast("bigint").alias("shard"),
+        F.regexp_extract(F.col("_metadata.file_path"), f"/{dataset}_([^/]+)/output[.]json$", 1).alias("run"), F.lit(0).cast("bigint").alias("first_batch"),
         F.from_json(F.get_json_object("value", "$[0]"), "array<string>").alias("texts"),
         F.from_json(F.get_json_object("value", "$[1]"), "array<array<double>>").alias("times"),
     )
-    docs = docs.select(F.expr("url_decode(model_enc)").alias("model"), "shard", "texts", "times")
-    first_pos = F.col("shard") * F.lit(SHARD_BATCHES * batch_size)
-    rows = docs.select("model", "shard", F.posexplode("texts").alias("i", "response")).select(
-        "model", (first_pos + F.col("i") + 1).alias("position"),
-        (F.col("shard") * F.lit(SHARD_BATCHES) + (F.col("i") / batch_size).cast("bigint")).alias("batch_id"), "response",
-    )
-    times = docs.select("model", "shard", F.posexplode("times").alias("j", "t")).select(
-        "model", (F.col("shard") * F.lit(SHARD_BATCHES) + F.col("j")).alias("batch_id"),
-        F.col("t")[0].alias("start_ts"), F.col("t")[1].alias("end_ts"),
-    )
-    return rows.join(times, ["model", "batch_id"], "left")
+    return _unfold(docs, batch_size, "run")
 
 
 def write_responses(responses: DataFrame, batches: DataFrame, base: str) -> None:
@@ -79,8 +74,8 @@ def write_responses(responses: DataFrame, batches: DataFrame, base: str) -> None
 
     Range partitioning on (model, batch_id): one model's run (the whole prompt table) is written by many tasks.
     """
+    n = shuffle_width(responses.sparkSession)
     for name, df in (("responses", responses), ("batches", batches)):
-        n = shuffle_width(df)
         (
             df.repartitionByRange(n, "model", "batch_id")
             .write.mode("overwrite")

@@ -1,17 +1,14 @@
 """Tracker logs (S4): free-text logs, one set per measured batch, parsed into one row per batch.
 
-Layout written here (Spark-partitioned): ``run=<run>/shard=<s>/kind=log|output/part-*.txt``; one document per
-(run, shard of ``SHARD_BATCHES`` batches, kind), made of per-batch sections that start with a ``## batch <n>`` line
-(the real tracker writes one small file per batch; a shard keeps file counts sane and bounds every document).
-The scan reads every file whole (``wholetext``), splits it into sections, parses each kind with
-``regexp_extract`` and joins the two kinds on (run, batch).
+The tracker writes small files, ``<data>_<run>/carbon_tracker/<batch>__<pid>_<time>_carbontracker[_output].log``:
+``scan_log_folders`` reads that layout. At scale a file per batch is too many, so ``write_logs`` stores documents as
+JSON lines (run, batch, kind, value), as many to a file as the task holds, and ``scan_tracker_logs`` reads those.
+``parse_logs`` is the same for both.
 
 Parsing rules:
 * power lines hold ``[a b ...]`` (space-padded lists) or ``None`` -> ``array<double>`` or null;
-* the output log of batch *i* also carries the "Actual consumption" blocks of later batches, so energy, CO2 and
-  distance come from the **first** block only (``regexp_extract`` returns the first match).
-
-The logs are generated from the ``events``-derived batch records (our stand-in for real tracker output).
+* the output log of batch *i* also carries the "Actual consumption" blocks of later batches, and predicted ones, so
+  energy, CO2 and distance come from the **first** actual block only.
 """
 
 from __future__ import annotations
@@ -19,83 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h, key
-
-# Line formats of the tracker log, as the parser expects them.
-VERSION_LINE = "{ts} - carbontracker version 1.2.5"
-PUE_LINE = "{ts} - Only predicted and actual consumptions are multiplied by a PUE coefficient of 1.55."
-EPOCH_LINE = "{ts} - Epoch 1:"
-DURATION_LINE = "{ts} - Duration: {dur}"
-GPU_LINE = "{ts} - Average power usage (W) for gpu: {gpu}"
-CPU_LINE = "{ts} - Average power usage (W) for cpu: {cpu}"
-INTENSITY_LINE = "{ts} - Average carbon intensity during training was 626.01 gCO2/kWh at detected location: IN."
-ACTUAL_BLOCK = (
-    "{ts} - CarbonTracker: \nActual consumption for 1 epoch(s):\n\tTime:\t0:00:02\n\tEnergy:\t{kwh} kWh\n"
-    "\tCO2eq:\t{co2} g\n\tThis is equivalent to:\n\t{km} km travelled by car\n"
-)
-INTENSITY_G_PER_KWH = 626.01
-KM_PER_G = 1.0 / 107.5
-CPU_NONE_PCT = 10
-SHARD_BATCHES = 256
-SECTION_MARK = "## batch "
-
-
-def _txt(c: Column) -> Column:
-    """Shortest text that reads back to the same double (so parse(write(x)) == x exactly)."""
-    return c.cast("string")
-
-
-def log_documents(batches: DataFrame) -> DataFrame:
-    """(run, batch, kind, value): one log and one output document per batch record.
-
-    ``batches``: (run, batch, event_id, ts, energy_kwh, duration_s). The output log of a batch also holds the block
-    of the next batch of its run (as the real logs repeat later blocks), built from a shifted copy of its values.
-    """
-    ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    dur = F.col("duration_s")
-    dur_txt = F.format_string("%d:%02d:%05.2f", (dur / 3600).cast("int"), ((dur % 3600) / 60).cast("int"), dur % 60)
-    gpu = F.concat(F.lit("["), _txt(F.col("energy_kwh") * F.lit(1e5)), F.lit("]"))
-    cpu = F.when(h(key(F.col("event_id"), "-cpu")) < CPU_NONE_PCT, F.lit("None")).otherwise(
-        F.concat(F.lit("["), _txt(F.col("energy_kwh") * F.lit(7e4)), F.lit("  "), _txt(F.col("energy_kwh") * F.lit(5e4)), F.lit("]"))
-    )
-
-    def line(template: str, **parts: Column) -> Column:
-        pieces = []
-        rest = template
-        while "{" in rest:
-            pre, tail = rest.split("{", 1)
-            name, rest = tail.split("}", 1)
-            pieces += [F.lit(pre), parts[name]]
-        pieces.append(F.lit(rest))
-        return F.concat(*pieces)
-
-    log = F.concat_ws(
-        "\n",
-        line(VERSION_LINE, ts=ts), line(PUE_LINE, ts=ts), line(EPOCH_LINE, ts=ts), line(DURATION_LINE, ts=ts, dur=dur_txt),
-        line(GPU_LINE, ts=ts, gpu=gpu), line(CPU_LINE, ts=ts, cpu=cpu), line(INTENSITY_LINE, ts=ts),
-    )
-
-    def block(kwh: Column) -> Column:
-        co2 = kwh * F.lit(INTENSITY_G_PER_KWH)
-        return line(ACTUAL_BLOCK, ts=ts, kwh=_txt(kwh), co2=_txt(co2), km=_txt(co2 * F.lit(KM_PER_G)))
-
-    later = F.col("energy_kwh") * F.lit(2.0)  # the block of a later batch, different numbers
-    output = F.concat(block(F.col("energy_kwh")), block(later))
-    return batches.select(
-        "run", "batch", F.explode(F.array(F.struct(F.lit("log").alias("kind"), log.alias("value")), F.struct(F.lit("output").alias("kind"), output.alias("value")))).alias("d")
-    ).select("run", "batch", "d.kind", "d.value")
+DOCUMENT_SCHEMA = "run string, batch bigint, kind string, value string"
 
 
 def write_logs(docs: DataFrame, base: str) -> None:
-    """Group sections into bounded shard documents, in batch order, and write one document per (run, shard, kind)."""
-    sec = docs.select(
-        "run", "kind", (F.col("batch") / SHARD_BATCHES).cast("bigint").alias("shard"),
-        F.struct("batch", F.concat(F.lit(SECTION_MARK), F.col("batch").cast("string"), F.lit("\n"), "value").alias("text")).alias("s"),
-    )
-    grouped = sec.groupBy("run", "shard", "kind").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["text"]), "\n").alias("value")
-    )
-    grouped.write.mode("overwrite").partitionBy("run", "shard", "kind").text(base)
+    """``docs``: (run, batch, kind = log | output, value), one JSON line each."""
+    docs.select("run", "batch", "kind", "value").write.mode("overwrite").json(base)
 
 
 def _num(text: Column, pattern: str) -> Column:
@@ -110,37 +36,43 @@ def _list(text: Column, pattern: str) -> Column:
     )
 
 
-def scan_tracker_logs(spark: SparkSession, base: str) -> DataFrame:
-    """(run, batch, version, pue, duration_s, gpu_w, cpu_w, intensity_g_kwh, energy_kwh, co2_g, km)."""
-    raw = spark.read.text(base, wholetext=True)
-    path = F.col("_metadata.file_path")
-    files = raw.select(
-        F.expr("url_decode(regexp_extract(_metadata.file_path, 'run=([^/]+)/', 1))").alias("run"),
-        F.regexp_extract(path, "kind=([a-z]+)/", 1).alias("kind"),
-        F.explode(F.split("value", f"(?m)^{SECTION_MARK}")).alias("section"),
-    )
-    docs = files.where(F.col("section") != "").select(
-        "run", "kind",
-        F.regexp_extract("section", "^([0-9]+)", 1).cast("bigint").alias("batch"),
-        F.col("section").alias("value"),
-    )
+def parse_logs(docs: DataFrame) -> DataFrame:
+    """(run, batch, version, pue, duration_s, gpu_w, cpu_w, intensity_g_kwh, energy_kwh, co2_g, km) of log documents."""
+    value = F.col("value")
+    took = lambda i: F.regexp_extract(value, "Duration: ([0-9]+):([0-9]{2}):([0-9.]+)", i).try_cast("double")
+    first = F.regexp_extract(value, "(?s)Actual consumption(.*?km travelled)", 1)
     logs = docs.where(F.col("kind") == "log").select(
         "run", "batch",
-        F.regexp_extract("value", "carbontracker version ([0-9.]+)", 1).alias("version"),
-        _num(F.col("value"), "PUE coefficient of ([0-9]+(?:[.][0-9]+)?)").alias("pue"),
-        (
-            F.regexp_extract("value", "Duration: ([0-9]+):([0-9]{2}):([0-9.]+)", 1).cast("double") * 3600
-            + F.regexp_extract("value", "Duration: ([0-9]+):([0-9]{2}):([0-9.]+)", 2).cast("double") * 60
-            + F.regexp_extract("value", "Duration: ([0-9]+):([0-9]{2}):([0-9.]+)", 3).cast("double")
-        ).alias("duration_s"),
-        _list(F.col("value"), "for gpu: (None|\\[[^\\]]*\\])").alias("gpu_w"),
-        _list(F.col("value"), "for cpu: (None|\\[[^\\]]*\\])").alias("cpu_w"),
-        _num(F.col("value"), "during training was ([0-9]+(?:[.][0-9]+)?) gCO2/kWh").alias("intensity_g_kwh"),
+        F.regexp_extract(value, "carbontracker version ([0-9.]+)", 1).alias("version"),
+        _num(value, "PUE coefficient of ([0-9]+(?:[.][0-9]+)?)").alias("pue"),
+        (took(1) * 3600 + took(2) * 60 + took(3)).alias("duration_s"),
+        _list(value, "for gpu: (None|\\[[^\\]]*\\])").alias("gpu_w"),
+        _list(value, "for cpu: (None|\\[[^\\]]*\\])").alias("cpu_w"),
+        _num(value, "during training was ([0-9]+(?:[.][0-9]+)?) gCO2/kWh").alias("intensity_g_kwh"),
     )
-    outs = docs.where(F.col("kind") == "output").select(
+    outs = docs.where(F.col("kind") == "output").select("run", "batch", first.alias("block")).select(
         "run", "batch",
-        _num(F.col("value"), "Energy:\t([0-9.eE+-]+) kWh").alias("energy_kwh"),
-        _num(F.col("value"), "CO2eq:\t([0-9.eE+-]+) g").alias("co2_g"),
-        _num(F.col("value"), "\t([0-9.eE+-]+) km travelled").alias("km"),
+        _num(F.col("block"), "Energy:\t([0-9.eE+-]+) kWh").alias("energy_kwh"),
+        _num(F.col("block"), "CO2eq:\t([0-9.eE+-]+) g").alias("co2_g"),
+        _num(F.col("block"), "\t([0-9.eE+-]+) km travelled").alias("km"),
     )
     return logs.join(outs, ["run", "batch"], "full")
+
+
+def scan_tracker_logs(spark: SparkSession, base: str) -> DataFrame:
+    """S4, our layout."""
+    return parse_logs(spark.read.schema(DOCUMENT_SCHEMA).json(base))
+
+
+def scan_log_folders(spark: SparkSession, base: str, dataset: str) -> DataFrame:
+    """S4, the tracker's layout: the log and output files of every ``<dataset>_<run>/carbon_tracker`` folder. Error logs
+    are left out; a batch without an output file keeps its row, with null energy."""
+    raw = spark.read.option("pathGlobFilter", "*_carbontracker*.log").text(f"{base.rstrip('/')}/{dataset}_*/carbon_tracker", wholetext=True)
+    path = F.col("_metadata.file_path")
+    docs = raw.select(
+        F.regexp_extract(path, f"/{dataset}_([^/]+)/carbon_tracker/", 1).alias("run"),
+        F.regexp_extract(path, "/([0-9]+)__[^/]*$", 1).try_cast("bigint").alias("batch"),
+        F.when(path.endswith("_carbontracker.log"), "log").when(path.endswith("_carbontracker_output.log"), "output").alias("kind"),
+        "value",
+    )
+    return parse_logs(docs.where(F.col("kind").isNotNull() & F.col("batch").isNotNull()))

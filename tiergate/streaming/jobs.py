@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ..operators.gate import accepted_condition
 from ..session import scratch_path
-from ..sources.tables import table_path
 
 
 def _run_to_parquet(stream: DataFrame, out: str, ckpt: str, mode: str = "append") -> None:
@@ -39,46 +38,37 @@ def _run_to_parquet(stream: DataFrame, out: str, ckpt: str, mode: str = "append"
     q.awaitTermination()
 
 
-def events_stream(spark: SparkSession, sf_dir: str, source: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """The events table as a file stream (``source`` overrides the path pattern, e.g. a folder of arriving files)."""
-    schema = spark.read.parquet(table_path(sf_dir, "events")).schema
+def record_stream(spark: SparkSession, source: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A folder of arriving Parquet files of emission records as a stream."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(source or f"{sf_dir.rstrip('/')}/events*.parquet")
+    return reader.parquet(source)
 
 
 def stream_energy(
-    spark: SparkSession, sf_dir: str, window: str = "1 day", delay: str = "1 hour", source: str | None = None,
-    files_per_trigger: int | None = None,
+    spark: SparkSession, source: str, schema, window: str = "1 day", delay: str = "1 hour", files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """(window_start, event_type, events, energy_wh) for windows closed by the watermark.
+    """(window_start, run, batches, energy_wh) for windows closed by the watermark.
 
-    Event times are wall-clock (``timestamp_ntz``). They are read as UTC - the session zone is pinned to UTC while
-    the stream is planned and run, and restored after - so window bounds and the rendered window start do not
-    depend on the caller's session time zone.
+    ``source`` holds records (ts, run, energy_kwh), ``ts`` a wall-clock time (``timestamp_ntz``) read as UTC: the
+    conversion there and back names the zones itself, so neither windows nor the rendered start depend on the session.
     """
+    here = F.current_timezone()
     run = uuid.uuid4().hex
     path = scratch_path(spark, "stream_energy", run, "out")
-    old_tz = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        ev = events_stream(spark, sf_dir, source, files_per_trigger).select(
-            F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"
-        )
-        agg = (
-            ev.withWatermark("ts", delay)
-            .groupBy(F.window("ts", window), "event_type")
-            .agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value") / F.lit(1000.0)).alias("energy_wh"))
-        )
-        out = agg.select(
-            F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", "energy_wh"
-        )
-        _run_to_parquet(out, path, scratch_path(spark, "stream_energy", run, "ckpt"))
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", old_tz)
+    records = record_stream(spark, source, schema, files_per_trigger)
+    rows = records.select(F.convert_timezone(F.lit("UTC"), here, "ts").cast("timestamp").alias("ts"), "run", "energy_kwh")
+    agg = (
+        rows.withWatermark("ts", delay)
+        .groupBy(F.window("ts", window), "run")
+        .agg(F.count(F.lit(1)).alias("batches"), F.sum(F.col("energy_kwh") * F.lit(1000.0)).alias("energy_wh"))
+    )
+    start = F.convert_timezone(here, F.lit("UTC"), F.col("window.start").cast("timestamp_ntz"))
+    out = agg.select(F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("window_start"), "run", "batches", "energy_wh")
+    _run_to_parquet(out, path, scratch_path(spark, "stream_energy", run, "ckpt"))
     res = spark.read.parquet(path)
-    return res.select("window_start", "event_type", "events", F.round("energy_wh", 6).alias("energy_wh"))
+    return res.select("window_start", "run", "batches", F.round("energy_wh", 6).alias("energy_wh"))
 
 
 def stream_gate(spark: SparkSession, scored: DataFrame, threshold: float) -> DataFrame:
@@ -113,15 +103,18 @@ def stream_gate(spark: SparkSession, scored: DataFrame, threshold: float) -> Dat
     return acc.unionByName(esc)
 
 
-def stream_dedup(spark: SparkSession, first: DataFrame, again: DataFrame, delay: str = "40 days") -> DataFrame:
-    """``first`` arrives in one micro-batch, ``again`` (copies, changed values) in a later one; copies of a key
-    already seen within the watermark are dropped. Both frames: (project_name, ts timestamp, energy_consumed)."""
+def stream_dedup(spark: SparkSession, first: DataFrame, again: DataFrame, delay: str = "2 days") -> DataFrame:
+    """``first`` arrives and is processed, then ``again`` (copies, changed values); copies of a key already seen
+    within the watermark are dropped. Both frames: (project_name, ts timestamp, energy_consumed).
+
+    State holds the keys of the last ``delay`` of event time, so ``delay`` bounds it: how late a copy may arrive.
+    """
     run = uuid.uuid4().hex
     src = scratch_path(spark, "stream_dedup", run, "src")
-    first.coalesce(1).write.mode("overwrite").parquet(f"{src}/a")
-    again.coalesce(1).write.mode("overwrite").parquet(f"{src}/b")
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*/")
-    dedup = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["project_name"])
-    out = scratch_path(spark, "stream_dedup", run, "out")
-    _run_to_parquet(dedup, out, scratch_path(spark, "stream_dedup", run, "ckpt"))
+    out, ckpt = scratch_path(spark, "stream_dedup", run, "out"), scratch_path(spark, "stream_dedup", run, "ckpt")
+    for name, frame in (("a", first), ("b", again)):
+        frame.write.mode("overwrite").parquet(f"{src}/{name}")
+        stream = spark.readStream.schema(first.schema).parquet(f"{src}/*/")
+        dedup = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["project_name"])
+        _run_to_parquet(dedup, out, ckpt)
     return spark.read.parquet(out).select("project_name", "energy_consumed")
