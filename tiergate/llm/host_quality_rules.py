@@ -93,10 +93,10 @@ def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     hosts = hosts.withColumn("raw", F.col("n_failed") / F.col("n_docs"))
     prior = hosts.agg(F.avg("raw").alias("m"), F.var_pop("raw").alias("v"), F.avg("n_docs").alias("docs_per_host"))
     strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least("docs_per_host", F.col("m") * (1 - F.col("m")) / F.col("v") - 1)))
-    prior = prior.select("m", F.coalesce(strength, "docs_per_host").alias("s"))
-    # the prior is one row
-    rate = (F.col("n_failed") + F.col("s") * F.col("m")) / (F.col("n_docs") + F.col("s"))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate")).withColumn("good", F.col("rate") <= limit)
+    m, s = prior.select("m", F.coalesce(strength, "docs_per_host")).first()  # two numbers; null without hosts
+    m, s = (F.lit(x).cast("double") for x in (m, s))
+    rate = (F.col("n_failed") + s * m) / (F.col("n_docs") + s)
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate")).withColumn("good", F.col("rate") <= limit)
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:

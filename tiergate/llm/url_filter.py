@@ -113,12 +113,13 @@ def lexical(rows: DataFrame) -> DataFrame:
 def with_suffix_statistics(rows: DataFrame) -> DataFrame:
     """Add, for the host's last two parts and its last part, the log share of all URLs and the smoothed rate of bad
     ones among URLs that no rule decides. Both tables grow with the number of suffixes, so they are joined."""
+    free = F.col("verdict").isNull()
+    n, bad = rows.agg(F.count("*"), F.avg(F.when(free, F.col("bad").cast("double")))).first()
+    mean = float(bad or 0.0)
     for key, name in (("suffix", "suffix"), ("top", "top")):
-        free = F.col("verdict").isNull()
         table = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(free.cast("long")).alias("k"), F.sum((free & F.col("bad")).cast("long")).alias("b"))
-        every = table.agg(F.sum("n").alias("all_n"), (F.sum("b") / F.greatest(F.sum("k"), F.lit(1))).alias("mean"))  # one row
-        rate = (F.col("b") + SMOOTHING * F.col("mean")) / (F.col("k") + SMOOTHING)
-        table = table.join(F.broadcast(every)).select(F.col(key).alias("__key"), F.log(F.col("n") / F.col("all_n")).alias(f"{name}_share"), rate.alias(f"{name}_rate"))
+        rate = (F.col("b") + SMOOTHING * mean) / (F.col("k") + SMOOTHING)
+        table = table.select(F.col(key).alias("__key"), F.log(F.col("n") / F.lit(n)).alias(f"{name}_share"), rate.alias(f"{name}_rate"))
         rows = rows.join(table, F.col(key) == F.col("__key")).drop("__key")
     return rows
 
