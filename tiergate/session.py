@@ -7,6 +7,7 @@ tests, the bench and the command line; on a cluster the caller passes its own se
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -74,3 +75,21 @@ def shuffle_width(spark: SparkSession) -> int:
     """Partition count for an explicit range repartition: ``spark.sql.shuffle.partitions``, which the user sizes to
     the data, and at least one partition per core. Takes no job to find out."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that were started elsewhere than in the repository.
+
+    Nothing is done where PYTHONPATH or the working folder already lead to it. Once for each application.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    app = spark.sparkContext.applicationId
+    if root in known or app in _SHIPPED:
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="tiergate-zip-"), "tiergate")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "tiergate"))
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
