@@ -15,6 +15,7 @@ real run leaves them; this module writes such tables, so that every query has so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -26,7 +27,7 @@ from .functions.hashing import h, h_py, hex_bits, key
 from .functions.rules import CASCADE_RULES, TEXT_TASKS
 from .functions.text import echoes, first_line, strip_echo
 from .operators.ranking import row_number_by
-from .session import staged
+from .session import scratch_path
 from .sources.emissions import DATASET
 from .sources.prompts import fill_template, labelled_documents, turn_pairs
 from .sources.prompts import prompts as build_prompts
@@ -88,21 +89,34 @@ def stub_scores(prompts: DataFrame, answers: DataFrame, strategies: Sequence[str
     )
 
 
-_STORED: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
+#: (application, input, run) -> paths of the stored tables.
+_STORED: dict[tuple[str, str, str], list[str]] = {}
 
 
-def stored_run(spark: SparkSession, sf_dir: str, dataset: str = "boolq") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(prompts, answers, scores): the prompt table, and the stored answers and scores of all chains and strategies.
+def _stored(spark: SparkSession, sf_dir: str, run: str, build: Callable[[], list[DataFrame]]) -> list[DataFrame]:
+    """The tables of a run, written to the shared scratch folder once for each application and input, as a finished run
+    would have left them, and read by whichever session asks."""
+    at = (spark.sparkContext.applicationId, sf_dir, run)
+    if at not in _STORED:
+        base = scratch_path(spark, "runs", uuid.uuid4().hex)
+        paths = []
+        for i, table in enumerate(build()):
+            paths.append(f"{base}/{i}")
+            table.write.parquet(paths[-1])
+        _STORED[at] = paths
+    return [spark.read.parquet(p) for p in _STORED[at]]
 
-    Written to the shared scratch folder once for each application and input, as a finished run would have been.
-    """
+
+def stored_run(spark: SparkSession, sf_dir: str, dataset: str = "boolq") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prompts, answers, scores): the prompt table, and the stored answers and scores of all chains and strategies."""
     prompts = build_prompts(spark, sf_dir, dataset)
-    at = (spark.sparkContext.applicationId, sf_dir, dataset)
-    if at not in _STORED:
+
+    def build() -> list[DataFrame]:
         models = {t.model: t for chain in C.CHAINS.values() for t in chain}
-        answers = staged(stub_answers(prompts, list(models.values()), dataset), f"answers-{dataset}")
-        _STORED[at] = answers, staged(stub_scores(prompts, answers, tuple(C.STRATEGIES), dataset), f"scores-{dataset}")
-    return prompts, *_STORED[at]
+        answers = stub_answers(prompts, list(models.values()), dataset)
+        return [answers, stub_scores(prompts, answers, tuple(C.STRATEGIES), dataset)]
+
+    return prompts, *_stored(spark, sf_dir, dataset, build)
 
 
 def blind_class(prompt_id: Column, model: Column, n_classes: int) -> Column:
@@ -378,13 +392,13 @@ def _text_task_run(spark: SparkSession, sf_dir: str, task: str) -> tuple[DataFra
 def stored_text_run(spark: SparkSession, sf_dir: str, strategy: str, task: str = "samsum") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(prompts, answers, scores) of a text cascade, in the shape of ``stored_run``; prompts carry ``gold_text``."""
     base = text_prompts(spark, sf_dir, task)
-    at = (spark.sparkContext.applicationId, sf_dir, f"{task}/{strategy}")
-    if at not in _STORED:
+
+    def build() -> list[DataFrame]:
         rows = base.select("*", F.inline(chain_array(C.CHAINS[C.STRATEGIES[strategy]])))
         right = text_right(task, F.col("model"), F.col("skill"))
         said = F.when(right, F.col("gold_text")).otherwise(F.col("source_text"))
         response = F.when(echoes(F.col("model")), F.concat("prompt_text", said)).otherwise(said)
-        answers = staged(rows.select("prompt_id", "tier", "model", response.alias("response")), f"answers-{task}")
-        scores = rows.select(F.lit(strategy).alias("strategy"), "prompt_id", "tier", stub_score(F.lit(strategy), F.col("prompt_id"), F.col("model"), right).alias("score"))
-        _STORED[at] = answers, staged(scores, f"scores-{task}")
-    return base.select("prompt_id", "prompt_text", "gold_text"), *_STORED[at]
+        score = stub_score(F.lit(strategy), F.col("prompt_id"), F.col("model"), right).alias("score")
+        return [rows.select("prompt_id", "tier", "model", response.alias("response")), rows.select(F.lit(strategy).alias("strategy"), "prompt_id", "tier", score)]
+
+    return base.select("prompt_id", "prompt_text", "gold_text"), *_stored(spark, sf_dir, f"{task}/{strategy}", build)
