@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergate.llm.common import free_name, let, stage
+from tiergate.llm.common import free_name, let, row_key, stage, with_keys
 
 MIN_SITES = 5
 MARGIN = 0.5
@@ -55,9 +55,10 @@ def marked(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, ma
     common = boilerplate(lines, min_sites, margin)
     here = F.struct(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc_id"), "tie", "pos")
     gone = lines.join(common.select("h1", "h2", "first"), ["h1", "h2"]).filter(here != F.col("first"))
-    by_doc = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie")).agg(F.collect_set("pos").alias(drop))
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__tie")), "left")
-    return joined.drop("__doc", "__tie")
+    keys = [free_name(docs, f"__key{i}") for i in range(3)]
+    by_doc = with_keys(gone, keys, row_key(F.col("doc_id"), F.col("tie"))).groupBy(*keys).agg(F.collect_set("pos").alias(drop))
+    keyed = with_keys(docs, keys, row_key(docs["doc_id"], F.xxhash64(docs["text"])))
+    return keyed.join(by_doc, keys, "left").drop(*keys)
 
 
 def kept_text(text: Column, drop: Column) -> Column:
