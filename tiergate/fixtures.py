@@ -15,6 +15,7 @@ real run leaves them; this module writes such tables, so that every query has so
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -300,15 +301,22 @@ def _lit_list(values) -> Column:
     return F.array(*[F.lit(v).cast("string") for v in values])
 
 
-def _pick(values, k: Column) -> Column:
-    """values[k mod len] as a literal-array lookup."""
-    return F.element_at(_lit_list(values), ((k % F.lit(len(values))) + F.lit(1)).cast("int"))
-
-
 def _task_hash(tag: str) -> Column:
     return hex_bits(key(F.col("prompt_id"), tag, F.col("task"), "/", F.col("model")))
 
 
+LABEL_TASK_SCHEMA = "map<string, struct<gold string, n int, phrases array<array<string>>, choices array<string>, parts int>>"
+
+
+def _label_tasks() -> dict[str, dict]:
+    """How the label tasks are made up. ``gold``: from quality ("quality"), quality + toxic ("sum"), both as a number
+    ("number"), or ``parts`` words of ``choices`` by hash ("choice"). ``phrases``: wordings, by class where there are any."""
+    classes = {t: {"gold": "sum" if t == "mnli" else "quality", "n": 3 if t == "mnli" else 2, "phrases": p} for t, p in C.EVAL_CLASS_PHRASES.items()}
+    choices = {"vax": (C.VAX_GOLD_CHOICES, 1), "caves": (C.CAVES_LABELS, 2), "hatex": (C.HATEX_GOLD_CHOICES, 1)}
+    vectors = {t: {"gold": "choice", "n": 1, "phrases": [p], "choices": choices[t][0], "parts": choices[t][1]} for t, p in C.EVAL_MULTILABEL_PHRASES.items()}
+    return classes | vectors | {"stsb": {"gold": "number", "n": 1, "phrases": [C.STSB_PHRASES]}}
+
+
 def eval_run(spark: SparkSession, sf_dir: str, tasks: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(answers, references) of evaluation tasks for the models of ``C.EVAL_MODELS``.
 
@@ -316,7 +324,9 @@ def eval_run(spark: SparkSession, sf_dir: str, tasks: Sequence[str]) -> tuple[Da
     labels that the data do not have, a hash). Text tasks: prompt = a user turn or a document, gold = the turn after
     it or the document's first line; a model that is wrong repeats its source.
     """
-    parts = [_label_task_run(spark, sf_dir, t) for t in tasks if t not in TEXT_TASKS] + [_text_task_run(spark, sf_dir, t) for t in tasks if t in TEXT_TASKS]
+    label_tasks = [t for t in tasks if t not in TEXT_TASKS]
+    parts = [_label_task_run(spark, sf_dir, label_tasks)] if label_tasks else []
+    parts += [_text_task_run(spark, sf_dir, t) for t in tasks if t in TEXT_TASKS]
     answers, references = parts[0]
     for a, r in parts[1:]:
         answers, references = answers.unionByName(a), references.unionByName(r)
@@ -333,32 +343,32 @@ def _with_models(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.inline(models))
 
 
-def _label_task_run(spark: SparkSession, sf_dir: str, task: str) -> tuple[DataFrame, DataFrame]:
-    docs = labelled_documents(spark, sf_dir)
-    base = docs.select(
-        F.lit(task).alias("task"), F.col("doc_id").alias("prompt_id"), F.concat(F.lit(f"{task}: "), F.col("text")).alias("prompt_text"), "quality", "toxic"
+def _label_task_run(spark: SparkSession, sf_dir: str, tasks: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """All label tasks in one pass over the labelled documents."""
+    spec = F.element_at(F.from_json(F.lit(json.dumps(_label_tasks())), LABEL_TASK_SCHEMA), F.col("task"))
+    docs = labelled_documents(spark, sf_dir).select("doc_id", "text", "quality", "toxic", F.explode(_lit_list(tasks)).alias("task"))
+    prompt = F.concat("task", F.lit(": "), "text").alias("prompt_text")
+    base = docs.select("task", F.col("doc_id").alias("prompt_id"), prompt, "quality", "toxic", spec.alias("spec"))
+    kind, n = F.col("spec.gold"), F.col("spec.n")
+
+    def nth(values: Column, k: Column) -> Column:
+        return F.element_at(values, ((k % F.size(values)) + F.lit(1)).cast("int"))
+
+    gold_hash = lambda tag: hex_bits(key(F.col("prompt_id"), tag, F.col("task")))
+    chosen = nth(F.col("spec.choices"), gold_hash("-g-"))
+    gold_class = (F.col("quality") + F.when(kind == "sum", F.col("toxic")).otherwise(F.lit(0))).cast("int")
+    number = (F.col("quality") * F.lit(2.5) + F.col("toxic")).cast("double")
+    gold_text = (
+        F.when(kind == "number", number.cast("string"))
+        .when((kind == "choice") & (F.col("spec.parts") == 2), F.concat(chosen, F.lit(","), nth(F.col("spec.choices"), gold_hash("-h-"))))
+        .when(kind == "choice", chosen)
+        .otherwise(gold_class.cast("string"))
     )
     asked = _with_models(base)
-    gold_hash = lambda tag: hex_bits(key(F.col("prompt_id"), tag, F.col("task")))
-    if task in C.EVAL_CLASS_PHRASES:
-        n = 3 if task == "mnli" else 2
-        gold = (F.col("quality") + F.col("toxic") if task == "mnli" else F.col("quality")).cast("int")
-        wrong = (gold + F.lit(1) + _task_hash("-w-") % F.lit(n - 1)) % F.lit(n)
-        cls = F.when(_task_hash("-a-") % F.lit(100) < F.col("skill"), gold).otherwise(wrong).cast("int")
-        row = F.element_at(F.array(*[_lit_list(r) for r in C.EVAL_CLASS_PHRASES[task]]), (cls + F.lit(1)).cast("int"))
-        said = F.element_at(row, ((_task_hash("-p-") % F.size(row)) + F.lit(1)).cast("int"))
-        gold_text = gold.cast("string")
-    elif task == "stsb":
-        said = _pick(C.STSB_PHRASES, _task_hash("-p-"))
-        gold_text = (F.col("quality") * F.lit(2.5) + F.col("toxic")).cast("double").cast("string")
-    else:
-        said = _pick(C.EVAL_MULTILABEL_PHRASES[task], _task_hash("-p-"))
-        if task == "vax":
-            gold_text = _pick(C.VAX_GOLD_CHOICES, gold_hash("-g-"))
-        elif task == "caves":
-            gold_text = F.concat(_pick(C.CAVES_LABELS, gold_hash("-g-")), F.lit(","), _pick(C.CAVES_LABELS, gold_hash("-h-")))
-        else:
-            gold_text = _pick(C.HATEX_GOLD_CHOICES, gold_hash("-g-"))
+    wrong = (gold_class + F.lit(1) + _task_hash("-w-") % F.greatest(n - 1, F.lit(1))) % n
+    cls = F.when(_task_hash("-a-") % F.lit(100) < F.col("skill"), gold_class).otherwise(wrong)
+    row = F.element_at(F.col("spec.phrases"), F.when(n > 1, cls + F.lit(1)).otherwise(F.lit(1)).cast("int"))
+    said = nth(row, _task_hash("-p-"))
     return _responses(asked, said), base.select("task", "prompt_id", "prompt_text", gold_text.alias("gold_text"))
 
 
