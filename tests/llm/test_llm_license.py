@@ -97,6 +97,13 @@ def test_awkward_rows(spark):
     assert L.scan(empty(spark)).count() == 0
 
 
+def test_long_runs_of_separators(spark):
+    runs = [" " * 100_000, "\t" * 100_000, " \t\n.-| " * 20_000, " " * 100_000 + "under the MIT license" + " \t" * 50_000, "released under" + " " * 100_000 + "the MIT" + "-" * 100_000 + " license"]
+    rows = list(enumerate(runs))
+    got = {r.doc_id: tuple(r)[1:] for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+
+
 @pytest.mark.parametrize("sf", [SF_SMALL])
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")

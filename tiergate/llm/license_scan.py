@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tiergate.llm.common import let, lower_az, text_or_empty
 from tiergate.llm.license_rules import rules, stems
 
+#: A plain class (it holds the space): a repeated group would recurse once for each character of a long run.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Phrases that always count, in every place.
@@ -31,7 +32,7 @@ OPEN, CLOSE = "\x01", "\x02"  # control characters never stand in a word
 
 def word_line(text: Column) -> Column:
     """The words of a text between single spaces, with a space at both ends; one space if there are none."""
-    return F.regexp_replace(F.concat(F.lit(" "), lower_az(text), F.lit(" ")), f"(?: |{NOT_WORD})+", " ")
+    return F.regexp_replace(F.concat(F.lit(" "), lower_az(text), F.lit(" ")), NOT_WORD, " ")
 
 
 def _rule_table() -> Column:
