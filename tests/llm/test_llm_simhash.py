@@ -94,6 +94,41 @@ def test_runs_keep_components():
         assert groups(len(fps), [(at[int(x)], at[int(y)]) for x, y in zip(a, b)]) == groups(len(fps), same_run)
 
 
+def chain(seed=1):
+    """h1-n1-n2-h2 whose middle link stands in one bucket only, with 80 unrelated fingerprints of that bucket between
+    the ends of the chain and its middle, in order of value."""
+    bits = lambda *b: sum(1 << i for i in b)
+    r = random.Random(seed)
+    others = set()
+    while len(others) < 80:
+        others.add(bits(60, 61) | r.getrandbits(34) << 26)
+    return sorted({bits(30, 31), bits(62), bits(62, 27, 40, 53), bits(27, 40, 53, 35, 36)} | others)
+
+
+def test_links_between_reached_fingerprints():
+    for seed in range(5):
+        fps = chain(seed)
+        assert groups(len(fps), S.forest_of_run(np.array(fps, np.uint64))) == groups(len(fps), close_pairs(fps))
+    for seed in range(8):  # chains with steps of three bits, many side by side
+        r = random.Random(seed)
+        fps = set()
+        for _ in range(40):
+            walk = r.getrandbits(64)
+            for _ in range(r.randint(1, 12)):
+                fps.add(walk)
+                walk ^= sum(1 << b for b in r.sample(range(64), 3))
+        fps = np.array(r.sample(sorted(fps), len(fps)), np.uint64)
+        pairs = S.forest_of_run(fps)
+        assert groups(len(fps), pairs) == groups(len(fps), close_pairs(fps)) and len(pairs) < len(fps)
+
+
+def test_chain_through_one_bucket(spark):
+    fps = chain()
+    edges = [(r.a, r.b) for r in S.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    at = {f: i for i, f in enumerate(fps)}
+    assert groups(len(fps), [(at[a], at[b]) for a, b in edges]) == groups(len(fps), close_pairs(fps))
+
+
 def test_links_and_components(spark):
     """Buckets over the chunk size are dealt into cells; the components stay those of brute force."""
     r = random.Random(2)

@@ -119,31 +119,47 @@ def _lanes(bitmap: np.ndarray, n: int) -> np.ndarray:
 def forest_of_run(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Pairs of positions that span the components of one run of distinct fingerprints.
 
-    Breadth first, 64 at a time: reached fingerprints, or else the next unreached ones, are compared with all that are
-    not reached yet. Unreached ones that hit the same fingerprint are tied to each other.
+    Breadth first, 64 heads at a time: reached fingerprints, or else the next unreached ones. Heads are compared with
+    all that were not heads yet, each other included; only what is known to be in the one component of all heads is
+    left out. So of every link one end has met the other, or both are in one component already.
     """
     left, front, pairs = np.arange(len(fps)), np.zeros(0, np.int64), []
-    planes, full = None, ~np.uint64(0)
-    while len(left):
-        fresh = not len(front)
-        heads, front = (left[:64], front) if fresh else (front[:64], front[64:])
-        if planes is None:
-            planes = planes_of(fps[left])
-        own = fps[heads]
+    label, full = np.arange(len(fps)), ~np.uint64(0)  # the component of each position so far
+
+    def tie(a: np.ndarray, b: np.ndarray) -> None:
+        apart = label[a] != label[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+            if label[i] != label[j]:
+                pairs.append((i, j))
+                label[label == label[j]] = label[i]
+
+    while len(left) or (label[front] != label[front[:1]]).any():
+        if len(front):
+            front = front[np.argsort(label[front], kind="stable")]
+            heads, front = front[:64], front[64:]
+        else:
+            heads, left = left[:64], left[64:]
+        joined = (label[heads] == label[heads[0]]).all()
+        others = front[label[front] != label[heads[0]]] if joined else np.concatenate((heads, front))
+        seen = np.concatenate((others, left))
+        if not len(seen):
+            continue
+        own, planes = fps[heads], planes_of(fps[seen])
         masks = [np.where(own >> np.uint64(b) & np.uint64(1), full, np.uint64(0))[:, None] for b in range(64)]
         close = within((planes[b][None, :] ^ masks[b] for b in range(64)), radius)
-        hit = _lanes(close, len(left)) if close is not None else np.zeros((len(heads), len(left)), bool)
-        reached = hit.any(0)
-        if fresh:
-            shared = hit.astype(np.float32) @ hit.T.astype(np.float32)
-            i, j = np.nonzero(np.triu(shared, 1))
-            pairs += zip(heads[i].tolist(), heads[j].tolist())
-            hit, left, reached = hit[:, len(heads) :], left[len(heads) :], reached[len(heads) :]
-            planes = None
-        if reached.any():
-            parent, new = heads[hit[:, reached].argmax(0)], left[reached]
-            pairs += zip(parent.tolist(), new.tolist())
-            front, left, planes = np.concatenate((front, new)), left[~reached], None
+        if close is None:
+            continue
+        hit = _lanes(close, len(seen))
+        if not joined:  # heads that hit the same fingerprint, or each other
+            i, j = np.nonzero(np.triu(hit.astype(np.float32) @ hit.T.astype(np.float32), 1))
+            tie(heads[i], heads[j])
+        parent, reached = heads[hit.argmax(0)], hit.any(0)
+        old, new = reached[: len(others)], reached[len(others) :]
+        tie(parent[: len(others)][old], others[old])
+        above, found = parent[len(others) :][new], left[new]
+        pairs += zip(above.tolist(), found.tolist())
+        label[found] = label[above]
+        front, left = np.concatenate((front, found)), left[~new]
     return pairs
 
 
