@@ -1,5 +1,6 @@
 """Best-fit packing: plan against plain best fit, ids against the tokenizers library, layout of the sequences."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -69,6 +70,38 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert B.load_encoder()(text) == t.encode(text, add_special_tokens=False).ids
 
 
+NAMED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y", "<|endoftext| > <|ENDOFTEXT|>", "it'<|endoftext|>s " * 500]
+
+
+def test_added_tokens_in_a_text():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert B.load_encoder()(NAMED[0]) == [64, 220, 50256, 275]
+    for text in NAMED:
+        assert B.load_encoder()(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_of_a_given_file(tmp_path):
+    """Names that begin alike, and tokens that take the spaces beside them."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for flag in (None, "lstrip", "rstrip", "single_word"):
+        more = [{**spec["added_tokens"][0], "id": 50257 + i, "content": c} for i, c in enumerate(("<a>", "<a><b>"))]
+        if flag:
+            more[0][flag] = True
+        path = tmp_path / f"{flag}.json"
+        path.write_text(json.dumps({**spec, "added_tokens": spec["added_tokens"] + more}), encoding="utf-8")
+        t, encode = Tokenizer.from_file(str(path)), B.load_encoder(str(path))
+        for text in [*NAMED, "x  <a>  y", "<a><b> <a> <b>", "w<a>w <a><a><b><|endoftext|>", "no name"]:
+            assert encode(text) == t.encode(text, add_special_tokens=False).ids, (flag, text)
+
+
+def test_named_tokens_in_documents(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in B.pack_documents(spark.createDataFrame(list(enumerate(NAMED[:5])), "doc_id long, text string")).collect()}
+    want = {i: [*t.encode(text, add_special_tokens=False).ids, 0] for i, text in enumerate(NAMED[:5])}
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
+
+
 def test_cut_points():
     for n in (1, 9, 10, 11, 20, 25, 100):
         cuts = B.cut_points(n, 10)
