@@ -53,6 +53,16 @@ def test_held_out_accuracy(spark):
     assert all(abs(r.score - got[r.doc_id].score) < 1e-12 for r in again.collect())
 
 
+def test_one_training_row_for_each_id(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i}") for i in range(40)] + [(ids[0], f"zeta {n}") for n in range(500)] + [(ids[1], None), (ids[2], "a first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: (r.text, r.y) for r in Q.training_rows(docs, marks).collect()}
+    assert got == {i: ("a first" if i == ids[2] else f"text {i}", i % 2) for i in ids}
+    assert Q.training_rows(docs, marks).count() == len(ids) and Q.training_rows(docs, marks, max_train_rows=len(ids) // 2).count() == len(ids) // 2
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = Q.classify(docs, labels(spark))

@@ -191,9 +191,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, label: str = "quality") -> DataFrame:
-    """(text, y) of at most ``max_train_rows`` labelled documents that are not held out, lowest id hash first.
+    """(doc_id, text, y) of at most ``max_train_rows`` labelled documents that are not held out, lowest id hash first.
 
-    Labels that repeat an id are averaged; null ids, null labels and labels without a document do not count.
+    Labels that repeat an id are averaged, and of documents that repeat an id the smallest text counts, once; null ids,
+    null labels and labels without a document do not count.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("double").alias("y"))
@@ -201,7 +202,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_
         .groupBy("doc_id").agg(F.avg("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> GamModel:
