@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 from cases import awkward, empty
@@ -54,6 +55,28 @@ def test_base_spans():
         assert [(P.KINDS[k], a, b) for a, k, b in got] == brute(t), t
 
 
+def test_base_spans_of_random_texts():
+    r = np.random.default_rng(5)
+    for alphabet in ("1.a@", "12 -", "a.b-@_ ", "+1(). -", "1.@+ -a"):
+        for _ in range(1500):
+            t = "".join(r.choice(list(alphabet), r.integers(1, 40)))
+            got = sorted((a, P.KINDS.index(k), b) for k, a, b, ok in P.base_matches(t) if ok)
+            assert [(P.KINDS[k], a, b) for a, k, b in got] == brute(t), t
+
+
+def test_long_runs_take_linear_time():
+    n = 2_000_000
+    for t in ("7" * n, "a" * n + "@ ", "a" * n, " " * n, "\n" * n, "1." * (n // 2), "a@" * (n // 2), "+1" + "(" * n, "A1" * (n // 2), "a." * (n // 2) + "@", "1 " * (n // 2), "1-" * (n // 2)):
+        start = time.perf_counter()
+        list(P.candidates(t))
+        assert time.perf_counter() - start < 20, t[:10]
+
+
+def test_written_out_addresses_in_any_case():
+    for t in ("john [at] example [dot] com", "JOHN [AT] EXAMPLE [DOT] COM", "John (At) Example.Com"):
+        assert [(k, t[a:b]) for k, a, b, *_ in P.candidates(t)] == [("email", t)]
+
+
 def test_label_model_recovers_reliabilities():
     """Three good labelers, one bad, with abstentions: posteriors beat the majority."""
     r = np.random.default_rng(0)

@@ -29,9 +29,11 @@ KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 LABELERS = ("format", "checks", "gazetteer", "context_for", "context_against")
 YES, NO, ABSTAIN = "1", "0", "-"
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# A match of these kinds takes a run of characters whole, so one that fails at the start of a run fails at every later
+# start in it: an IP is tried where a run of digits starts, a mail address once per "@", and no run is read again.
+MAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 LOOSE = {
@@ -81,23 +83,21 @@ def base_ok(kind: str, match: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """Matches of EMAIL, searched only in the runs of its characters around each "@"."""
+    """Matches of the mail expression: the run of local characters before each "@", and the domain after it."""
     done = 0
     at = text.find("@")
     while at >= 0:
         lo = at
-        while lo > done and text[lo - 1] in _MAIL_CHARS:
+        while lo > done and text[lo - 1] in _LOCAL_CHARS:
             lo -= 1
-        hi = at + 1
-        while hi < len(text) and text[hi] in _MAIL_CHARS:
-            hi += 1
-        for m in EMAIL.finditer(text, lo, hi):
-            yield m.span()
-        done = hi
-        at = text.find("@", hi)
+        domain = MAIL_DOMAIN.match(text, at + 1) if lo < at else None
+        if domain:
+            yield lo, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
 
 
-_MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 def base_matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
@@ -171,9 +171,8 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool, str]]:
         if ok or kind != "card" or b - a >= 12:  # short digit runs are no candidates for cards
             yield kind, a, b, ok, key(kind, a, b, ok)
     for kind, expression in LOOSE.items():
-        if kind != "email" or "@" in text or "at" in text:
-            for m in expression.finditer(text) if kind != "email" else _bracketed(text):
-                yield kind, *m.span(), False, key(kind, *m.span(), None)
+        for m in expression.finditer(text) if kind != "email" else _bracketed(text):
+            yield kind, *m.span(), False, key(kind, *m.span(), None)
 
 
 _AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
