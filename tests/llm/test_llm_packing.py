@@ -70,6 +70,13 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert B.load_encoder()(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_runs():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for c in (" ", "\t", "\n", "a", "7", "\u3000", " \n"):
+        text = "x " + c * (2_000_000 // len(c)) + "y<|endoftext|>" + c * 5
+        assert B.load_encoder()(text) == t.encode(text, add_special_tokens=False).ids, repr(c)
+
+
 NAMED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y", "<|endoftext| > <|ENDOFTEXT|>", "it'<|endoftext|>s " * 500]
 
 

@@ -29,6 +29,14 @@ from tiergate.llm.common import stage
 CAPACITY = 2048
 END_ID = 0
 
+#: Texts with a longer run of white space are encoded by ``tokenizers`` (``tiktoken`` fails from about 900,000 on).
+LONG_GAP = 100_000
+
+
+def longest_gap(text: str) -> int:
+    """Length of the longest run of white space; 0 for texts that are too short to matter."""
+    return 0 if len(text) <= LONG_GAP else max(map(len, re.findall(r"\s+", text)), default=0)
+
 
 @lru_cache(maxsize=2)
 def load_encoder(path: str | None = None):
@@ -36,35 +44,36 @@ def load_encoder(path: str | None = None):
 
     Merges of such a vocabulary are ordered by id, so ``tiktoken`` gives the same ids from the same file, about three
     times as fast; a test compares both. Added tokens that a text names become their own ids and the text between them is
-    encoded piece by piece, as in ``tokenizers``; that library itself does it if they also take spaces or need word ends.
+    encoded piece by piece, as in ``tokenizers``; that library itself does it if they also take spaces or need word ends,
+    and it encodes texts with a very long run of white space, on which the expression engine of ``tiktoken`` gives up.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    library = Tokenizer.from_file(path)
+    by_library = lambda text: library.encode(text, add_special_tokens=False).ids
     added = spec.get("added_tokens", [])
     id_of = {x["content"]: x["id"] for x in added}
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
     hidden = [b for b in range(256) if b not in set(shown)]  # the others are shifted past 255, in order
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in id_of}
-    ordinary = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ordinary = lambda text: by_library(text) if longest_gap(text) > LONG_GAP else fast(text)
     if not added:
         return ordinary
     plain = not any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip"))
     names = re.compile("|".join(re.escape(name) for name in sorted(id_of, key=len, reverse=True)))  # the longest first
-    library = None
-    if not plain:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
 
     def encode(text: str) -> list[int]:
         if not names.search(text):
             return ordinary(text)
-        if library:
-            return library.encode(text, add_special_tokens=False).ids
+        if not plain or longest_gap(text) > LONG_GAP:
+            return by_library(text)
         ids, at = [], 0
         for name in names.finditer(text):
             ids += ordinary(text[at : name.start()])
