@@ -15,7 +15,7 @@ def brute(rows, min_sites=D.MIN_SITES):
     sites, first = defaultdict(set), {}
     for doc_id, text, site, tie in rows:
         for i, line in enumerate((text or "").split("\n")):
-            if line := line.strip(" "):
+            if line := line.strip(D.BLANK):
                 sites[line].add(site)
                 place = (-1 if doc_id is None else doc_id, tie, i)
                 first[line] = min(first.get(line, place), place)
@@ -23,7 +23,7 @@ def brute(rows, min_sites=D.MIN_SITES):
     for doc_id, text, _, tie in rows:
         lines = [] if text is None else text.split("\n")
         me = lambda i: (-1 if doc_id is None else doc_id, tie, i)
-        gone = [i for i, x in enumerate(lines) if x.strip(" ") and len(sites[x.strip(" ")]) >= min_sites and first[x.strip(" ")] != me(i)]
+        gone = [i for i, x in enumerate(lines) if x.strip(D.BLANK) and len(sites[x.strip(D.BLANK)]) >= min_sites and first[x.strip(D.BLANK)] != me(i)]
         kept = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
         out[doc_id, len(lines), len(gone), ",".join(map(str, gone)), None if kept is None else hashlib.md5(kept.encode()).hexdigest()] += 1
     return out
@@ -67,6 +67,14 @@ def test_awkward_rows(spark):
     assert D.line_report(empty(spark)).count() == 0 and D.remove_boilerplate(empty(spark)).count() == 0
 
 
+def test_windows_line_ends(spark):
+    rows = [(i, f"own {i}\r\n\r\n\t\r\nfooter{end}\nbody {i}\r\n", f"site{i}") for i, end in enumerate(["\r", "", "\t", "\r", " \r", "", "\x0b", "\r"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert Counter(tuple(r) for r in D.line_report(docs).collect()) == brute(rows_of(docs))
+    left = {r.doc_id: r.text for r in D.remove_boilerplate(docs).collect()}
+    assert left[0] == rows[0][1] and all(left[i] == f"own {i}\r\n\r\n\t\r\nbody {i}\r\n" for i in range(1, 8))
+
+
 def test_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert Counter(tuple(r) for r in D.line_report(docs).collect()) == brute(rows_of(docs))
@@ -74,6 +82,6 @@ def test_table(spark):
 
 def test_one_occurrence_of_every_line_stays(spark):
     docs = crowd(spark, 12, 2)
-    before = {x.strip(" ") for r in docs.collect() for x in r.text.split("\n")}
-    left = Counter(x.strip(" ") for r in D.remove_boilerplate(docs).collect() for x in r.text.split("\n"))
+    before = {x.strip(D.BLANK) for r in docs.collect() for x in r.text.split("\n")}
+    left = Counter(x.strip(D.BLANK) for r in D.remove_boilerplate(docs).collect() for x in r.text.split("\n"))
     assert set(left) == before and left["footer of all"] == 1 and left["only on site 3"] == 2

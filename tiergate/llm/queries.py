@@ -118,7 +118,7 @@ LINE_DEDUP_SQL = """
 WITH cut AS (
   SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents
 ), every AS (
-  SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(generate_series(0, len(ls) - 1)) AS pos, trim(unnest(ls), ' ') AS line FROM cut
+  SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(generate_series(0, len(ls) - 1)) AS pos, trim(unnest(ls), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM cut
 ), spread AS (
   SELECT line, count(DISTINCT site) AS n_sites, min((doc_id, pos)) AS first FROM every WHERE line <> '' GROUP BY line
 ), gone AS (
