@@ -9,25 +9,27 @@ Only the upper ``top_bits`` of each attribute are sliced. What the cut bits can
 query, so every row whose sliced sum may still reach the k-th place is a boundary row; boundary rows (ties included)
 get their exact integer score, and ties go to the smaller id.
 
-Distribution: vectors are dealt into stripes and queries into batches, and each (stripe, batch) cell is one group of a
-cogrouped job, a block nested loop of fixed memory. Stripes answer with at most k rows per query; a last aggregation
-takes the best k.
+Distribution: vectors are dealt once into stripes of bounded bytes. A task builds the index of a stripe when the stripe's
+last vector has passed, then streams the queries past it in Arrow batches; a vector is never copied and an index is built
+once. Stripes answer with at most k + 1 rows per query; a last ranking takes the query's own row out and keeps the best k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiergate.llm.common import stage
+from tiergate.session import shuffle_width
 
 K = 5
 SCALE = 256
 TOP_BITS = 6
-STRIPE_ROWS = 16_384
-BATCH_QUERIES = 1_024
+STRIPE_BYTES = 32 << 20
 
 
 def quantise(vector: Column, scale: int = SCALE) -> Column:
@@ -53,7 +55,7 @@ class SlicedIndex:
         self.cut = max(0, bits - top_bits)
         self.bits = bits - self.cut
         upper = ((self.rows - low) >> self.cut).astype(np.uint64)
-        lanes = np.stack([(upper >> np.uint64(b)) & np.uint64(1) for b in range(self.bits)]).astype(np.uint8)  # bits, n, d
+        lanes = np.stack([((upper >> np.uint64(b)) & np.uint64(1)).astype(np.uint8) for b in range(self.bits)])  # bits, n, d
         lanes = np.pad(lanes.transpose(2, 0, 1), ((0, 0), (0, 0), (0, -self.n % 64)))
         self.slices = np.ascontiguousarray(np.packbits(lanes, axis=2, bitorder="little")).view("<u8")  # d, bits, words
         self.valid = np.ascontiguousarray(np.packbits(np.pad(np.ones(self.n, np.uint8), (0, -self.n % 64)), bitorder="little")).view("<u8")
@@ -106,19 +108,18 @@ class SlicedIndex:
                 above, same = above | (same & sums[i]), same & ~sums[i]
         return above | same
 
-    def search(self, weights: np.ndarray, own_id: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows other than ``own_id``, best first, ties to the smaller id."""
+    def search(self, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``ids``, scores) of the k best rows, best first, ties to the smaller id, then to a row equal to
+        the query."""
         alive = self.valid.copy()
-        lo, hi = np.searchsorted(self.ids, [own_id, own_id + 1])
-        for at in range(lo, hi):
-            alive[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
-        if _count(alive) > k:
+        if self.n > k:
             spare = int(np.abs(weights).sum()) * ((1 << self.cut) - 1)  # most that the cut bits can add
             alive = self._candidates(self.sums(weights), alive, k, -(-spare >> self.cut))
         near = np.flatnonzero(np.unpackbits(alive.view(np.uint8), bitorder="little"))
         scores = self.rows[near] @ weights
-        best = np.lexsort((self.ids[near], -scores))[:k]
-        return self.ids[near][best], scores[best]
+        other = (self.rows[near] != weights).any(1)
+        best = np.lexsort((other, self.ids[near], -scores))[:k]
+        return near[best], scores[best]
 
 
 def _count(bitmap: np.ndarray) -> int:
@@ -127,38 +128,58 @@ def _count(bitmap: np.ndarray) -> int:
 
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, top_bits: int = TOP_BITS,
-    stripe_rows: int = STRIPE_ROWS, batch_queries: int = BATCH_QUERIES, id_col: str = "vec_id", vector_col: str = "embedding",
+    stripe_bytes: int = STRIPE_BYTES, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best vectors by integer inner product, its own id left out.
+    """(query_id, rank, vec_id, score): each query row's k best vectors by integer inner product, its own row left out.
 
-    Vectors that are null or hold null or non-finite components take no part on either side, and neither do rows
-    without an id. Rows that repeat an id and vector count once; of an id with several vectors the smallest counts. A
-    query meets only vectors of its own length. With fewer than k candidates all are returned; empty inputs give an
-    empty result. Scores must fit 64 bits.
+    Every row counts: of rows that share an id each is a candidate of its own, and each query row gets its own k rows. A
+    query's own row is one candidate with its id and its vector. Vectors that are null or hold null or non-finite
+    components take no part on either side, and neither do rows without an id. A query meets only vectors of its own
+    length. With fewer than k candidates all are returned; empty inputs give an empty result. Scores must fit 64 bits.
     """
 
     def prepared(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-        return rows.select("id", quantise(F.col("v"), scale).alias("v")).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+        rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", quantise(F.col("v"), scale).alias("v"))
+        return rows.withColumn("dim", F.size("v"))
 
+    spark = vectors.sparkSession
     rows, asked = stage(prepared(vectors), "vectors"), stage(prepared(queries), "queries")
-    stripes, batches = max(1, -(-rows.count() // stripe_rows)), max(1, -(-asked.count() // batch_queries))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("stripe", deal(stripes)).withColumn("batch", every(batches))
-    right = asked.withColumn("batch", deal(batches)).withColumn("stripe", every(stripes))
-
-    def search(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(index) and len(wanted):
-            stripe = SlicedIndex(index["id"].to_numpy(), np.stack(index["v"]).astype(np.int64), top_bits)
-            for query_id, weights in zip(wanted["id"], wanted["v"]):
-                ids, scores = stripe.search(np.asarray(weights, np.int64), query_id, k)
-                out += [(query_id, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    cell = ["stripe", "batch", "dim"]
-    part = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("dim").cast("long")), F.lit(0))).first()
+    # bounded bytes each; small tables are spread over the cores
+    stripes = max(1, -(-8 * total // stripe_bytes), min(shuffle_width(spark), -(-n // 4096)))
+    left = rows.select(F.pmod(F.xxhash64("row"), F.lit(stripes)).cast("int").alias("stripe"), F.lit(False).alias("asks"), "row", "id", "v", "dim")
+    every = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
+    right = asked.select(every.alias("stripe"), F.lit(True).alias("asks"), "row", "id", "v", "dim")
+    order = ["stripe", "dim", "asks"]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, parts, index = None, [], [], None
+        for batch in batches:
+            out = []
+            for (stripe, dim, asks), own in batch.groupby(order):  # runs of the sorted batch
+                if at != (stripe, dim):
+                    at, ids, parts, index = (stripe, dim), [], [], None
+                v = np.stack(own["v"]).astype(np.int64)
+                if not asks:
+                    ids.append(own["id"].to_numpy())
+                    parts.append(v)
+                    continue
+                if parts:
+                    index, ids, parts = SlicedIndex(np.concatenate(ids), np.concatenate(parts), top_bits), [], []
+                if index is None:
+                    continue
+                for row, query_id, weights in zip(own["row"], own["id"], v):
+                    places, scores = index.search(weights, k + 1)
+                    same = (index.ids[places] == query_id) & (index.rows[places] == weights).all(1)
+                    out += [(row, query_id, *x) for x in zip(index.ids[places].tolist(), scores.tolist(), same.tolist())]
+            yield pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score", "own"])
+
+    cells = left.unionByName(right).repartition(stripes, "stripe").sortWithinPartitions(*order)
+    found = cells.mapInPandas(search, "row long, query_id long, vec_id long, score long, own boolean")
+    by_query = Window.partitionBy("row")
+    place = F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id", F.desc("own")))
+    ranked = found.withColumn("place", place).filter(F.col("place") <= k + 1)
+    ranked = ranked.withColumn("mine", F.coalesce(F.min(F.when(F.col("own"), F.col("place"))).over(by_query), F.lit(k + 2)))
+    ranked = ranked.filter(F.col("place") != F.col("mine")).withColumn("rank", F.col("place") - (F.col("place") > F.col("mine")).cast("int"))
+    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
