@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tiergate.llm import (
     best_fit_packing,
+    centroid_clustering,
+    fill_in_middle,
     host_quality_rules,
     license_scan,
     line_dedup,
@@ -15,6 +17,7 @@ from tiergate.llm import (
     source_mixing,
     topk_search,
     url_filter,
+    warc_archive,
 )
 from tiergate.llm.common import read_table
 from tiergate.registry import register
@@ -136,3 +139,82 @@ FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id
 @register("op7_line_dedup", LINE_DEDUP_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest, url FROM pages
+), r AS (
+  SELECT *, row_number() OVER same AS nth, first_value(page_id) OVER same AS head FROM p
+  WINDOW same AS (PARTITION BY digest ORDER BY page_id NULLS LAST, url)
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n < 100 OR nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n >= 100 AND nth > 1 THEN head END AS refers_to
+FROM r
+"""
+
+
+@register("op11_warc_archive", WARC_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.round_trip(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def cluster_sql(rounds: int = centroid_clustering.ROUNDS) -> str:
+    """Rounds of plain assignments and means over all pairs of vector and centroid."""
+    ctes = ["""v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rn, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS a FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""", """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), a) - 1 AS num, a FROM v WHERE vec_id IS NOT NULL ORDER BY num LIMIT 8
+)"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (
+  SELECT rn, min(struct_pack(d := d, num := num)) AS m FROM (
+    SELECT v.rn, c.num, list_sum(list_transform(list_zip(v.a, c.a), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{i} c
+  ) GROUP BY rn
+)""")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.num, coalesce(n.a, c.a) AS a FROM c{i} c LEFT JOIN (
+    SELECT num, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS a FROM (
+      SELECT num, pos, sum(x) AS s, count(*) AS n FROM (
+        SELECT x.m.num AS num, unnest(v.a) AS x, generate_subscripts(v.a, 1) AS pos FROM a{i} x JOIN v ON x.rn = v.rn
+      ) GROUP BY num, pos
+    ) GROUP BY num
+  ) n ON c.num = n.num
+)""")
+    return f"""WITH {", ".join(ctes)}
+SELECT v.vec_id, x.m.num::INTEGER AS cluster, x.m.d::BIGINT AS distance, sum(x.m.d) OVER (PARTITION BY x.m.num)::BIGINT AS cluster_inertia,
+  sum(x.m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.a, ',')) AS centroid_sha256
+FROM a{rounds} x JOIN v ON x.rn = v.rn JOIN c{rounds} c ON c.num = x.m.num"""
+
+
+@register("op12_centroid_clustering", cluster_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.report(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+FILL_IN_MIDDLE_SQL = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), d AS (
+  SELECT *, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS b,
+    ('0x' || substr(x, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(x, 25, 8))::BIGINT % 100 AS h4 FROM h
+), f AS (
+  SELECT *, least(a, b) AS lo, greatest(a, b) AS hi,
+    CASE WHEN n = 0 OR h3 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), parts AS (
+  SELECT *, substr(t, 1, lo) AS p, substr(t, lo + 1, hi - lo) AS m, substr(t, hi + 1) AS s FROM f
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN lo END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@register("op13_fill_in_middle", FILL_IN_MIDDLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
