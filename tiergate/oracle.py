@@ -513,8 +513,8 @@ def rouge_n_sql(pairs: str, n: int, group_cols=()) -> str:
     gb = ", ".join(group_cols)
     return f"""
     WITH pr AS ({pairs}),
-    g AS (SELECT {pre}pair_id, 'p' AS side, unnest({sql_ngrams(sql_tokens('pred'), n)}) AS gram FROM pr
-          UNION ALL SELECT {pre}pair_id, 'r' AS side, unnest({sql_ngrams(sql_tokens('ref'), n)}) AS gram FROM pr),
+    tk AS MATERIALIZED (SELECT {pre}pair_id, 'p' AS side, {sql_tokens('pred')} AS t FROM pr UNION ALL SELECT {pre}pair_id, 'r' AS side, {sql_tokens('ref')} AS t FROM pr),
+    g AS (SELECT {pre}pair_id, side, unnest({sql_ngrams('t', n)}) AS gram FROM tk),
     pg AS (SELECT {gp}, gram, sum(CASE WHEN side = 'p' THEN 1 ELSE 0 END) AS pc, sum(CASE WHEN side = 'r' THEN 1 ELSE 0 END) AS rc
            FROM g GROUP BY {gp}, gram),
     pp AS (SELECT {gp}, sum(least(pc, rc)) AS ov, sum(pc) AS np, sum(rc) AS nr FROM pg GROUP BY {gp}),
@@ -524,26 +524,40 @@ def rouge_n_sql(pairs: str, n: int, group_cols=()) -> str:
     FROM sc {('GROUP BY ' + gb) if gb else ''}"""
 
 
+def _common_prefix_sql(a: str, b: str) -> str:
+    """Length of the common prefix of two lists."""
+    n = f"least(len({a}), len({b}))"
+    return f"COALESCE(list_position(list_transform(range(1, {n} + 1), lambda i: {a}[i] = {b}[i]), false) - 1, {n})"
+
+
 def rouge_l_sql(pairs: str, group_cols=()) -> str:
-    """One row of the LCS table per step: a step takes the next token of the reference, and the new row is the running
-    maximum of greatest(value above, value above left + equal)."""
+    """What two token lists share at both ends is part of a longest common subsequence, so only the rest goes through the
+    table: one of its rows per step, of which the last alone is kept. A step takes the next token of the shorter list, and
+    the new row is the running maximum of greatest(value above, value above left + equal)."""
     pre, gp, _ = _g(group_cols)
     gb = ", ".join(group_cols)
     return f"""
     WITH RECURSIVE pr AS ({pairs}),
-    tl AS (SELECT *, row_number() OVER () AS id, COALESCE({sql_tokens('pred')}, []) AS pt, COALESCE({sql_tokens('ref')}, []) AS rt FROM pr),
-    tp AS (SELECT id, unnest(pt) AS tok, unnest(generate_series(1, len(pt))) AS k FROM tl WHERE len(rt) > 0 AND len(pt) > 0),
-    tr AS (SELECT id, unnest(rt) AS tok, unnest(generate_series(1, len(rt))) AS i, len(rt) AS n FROM tl),
+    t0 AS (SELECT *, row_number() OVER () AS id, COALESCE({sql_tokens('pred')}, []) AS pt, COALESCE({sql_tokens('ref')}, []) AS rt FROM pr),
+    t1 AS (SELECT *, {_common_prefix_sql('pt', 'rt')} AS head FROM t0),
+    t2 AS (SELECT *, list_reverse(pt[head + 1:]) AS pb, list_reverse(rt[head + 1:]) AS rb FROM t1),
+    t3 AS (SELECT *, {_common_prefix_sql('pb', 'rb')} AS tail FROM t2),
+    tl AS MATERIALIZED (SELECT * EXCLUDE (pb, rb), pb[tail + 1:] AS pm, rb[tail + 1:] AS rm FROM t3),
+    two AS MATERIALIZED (SELECT id, CASE WHEN len(pm) < len(rm) THEN pm ELSE rm END AS short, CASE WHEN len(pm) < len(rm) THEN rm ELSE pm END AS long
+            FROM tl WHERE len(pm) > 0 AND len(rm) > 0),
+    tp AS (SELECT id, unnest(long) AS tok, unnest(generate_series(1, len(long))) AS k FROM two),
+    tr AS MATERIALIZED (SELECT id, unnest(short) AS tok, unnest(generate_series(1, len(short))) AS i FROM two),
     step AS (
-      SELECT 0 AS i, id, k, tok, 0 AS v FROM tp
+      SELECT 0 AS i, id, k, tok, 0 AS v, false AS done FROM tp
       UNION ALL
-      SELECT i, id, k, tok, CAST(max(best) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS v
-      FROM (SELECT tr.i, s.id, s.k, s.tok, greatest(s.v, lag(s.v, 1, 0) OVER (PARTITION BY s.id ORDER BY s.k) + CASE WHEN s.tok = tr.tok THEN 1 ELSE 0 END) AS best
-            FROM step s JOIN tr ON s.id = tr.id AND tr.i = s.i + 1) x
+      SELECT i, id, k, tok, CAST(max(best) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS v, done
+      FROM (SELECT coalesce(tr.i, s.i) AS i, s.id, s.k, s.tok, tr.i IS NULL AS done,
+                   greatest(s.v, CASE WHEN tr.i IS NULL THEN 0 ELSE lag(s.v, 1, 0) OVER (PARTITION BY s.id ORDER BY s.k) + CASE WHEN s.tok = tr.tok THEN 1 ELSE 0 END END) AS best
+            FROM step s LEFT JOIN tr ON s.id = tr.id AND tr.i = s.i + 1 WHERE NOT s.done) x
     ),
-    lcs AS (SELECT s.id, max(s.v) AS v FROM step s GROUP BY s.id),
-    sc AS (SELECT tl.*, CASE WHEN len(pt) > 0 THEN COALESCE(lcs.v, 0) / len(pt) ELSE 0.0 END AS p, CASE WHEN len(rt) > 0 THEN COALESCE(lcs.v, 0) / len(rt) ELSE 0.0 END AS r
-           FROM tl LEFT JOIN lcs ON lcs.id = tl.id)
+    lcs AS (SELECT s.id, max(s.v) AS v FROM step s WHERE s.done GROUP BY s.id),
+    sh AS (SELECT tl.*, head + tail + COALESCE(lcs.v, 0) AS v FROM tl LEFT JOIN lcs ON lcs.id = tl.id),
+    sc AS (SELECT *, CASE WHEN len(pt) > 0 THEN v / len(pt) ELSE 0.0 END AS p, CASE WHEN len(rt) > 0 THEN v / len(rt) ELSE 0.0 END AS r FROM sh)
     SELECT {pre}count(*) AS pairs, round(avg(CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END), 9) AS "rougeL"
     FROM sc {('GROUP BY ' + gb) if gb else ''}"""
 
