@@ -68,6 +68,7 @@ RUNS = {
     "boolq_flan-t5-base": [["True", "no", 'say "x"', None, ""], [[1.0, 2.0], [2.5, 3.0], [3.5, 4.0]]],
     "boolq_Phi-3-mini": [[f"answer {i} " * (i % 50) for i in range(800)], [[float(i), i + 0.5] for i in range(400)]],
     "mnli_flan-t5-base": [[], []],
+    "cnn_dm_flan-t5-xl": [["summary"], [[1.0, 2.0]]],
     "mnli_short_times": [["a", "b", "c"], [[1.0, 2.0]]],
 }
 
@@ -77,14 +78,15 @@ def test_batch_reader_gives_positions(spark, tmp_path):
     (tmp_path / "boolq_notes").mkdir()
     want = set()
     for name, (texts, times) in RUNS.items():
-        data, run = name.split("_", 1)
+        data = "cnn_dm" if name.startswith("cnn_dm") else name.split("_")[0]
+        run = name[len(data) + 1 :]
         for i, t in enumerate(texts):
             a, b = times[i // 2] if i // 2 < len(times) else (None, None)
             want.add((data, run, i + 1, i // 2, t, a, b))
     for size in (20_000, R.RANGE_BYTES):
-        rows = R.read_run_folders(spark, str(tmp_path), 2, range_bytes=size).collect()
+        rows = R.read_run_folders(spark, str(tmp_path), 2, ["boolq", "mnli", "cnn_dm", "cnn"], size).collect()
         assert len(rows) == len(want) and {tuple(r) for r in rows} == want
-    only = R.read_run_folders(spark, str(tmp_path), 2, dataset="mnli").collect()
+    only = R.read_run_folders(spark, str(tmp_path), 2, datasets=["mnli"]).collect()
     assert {r.run for r in only} == {"short_times"}
     assert R.scan_run_folders(spark, str(tmp_path), range_bytes=5000).rdd.getNumPartitions() > 10  # one document, many tasks
     assert R.read_run_folders(spark, str(tmp_path / "boolq_notes"), 2).count() == 0
@@ -108,7 +110,7 @@ def test_writer_and_reader_round_trip(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["output.json"] * 2
     doc = json.loads((tmp_path / "d_r1" / "output.json").read_text())
     assert doc == [TRICKY[:16] + [None], [[i * 1.5, i * 1.5 + 1] for i in range(5)]]
-    got = {tuple(r) for r in R.read_run_folders(spark, str(tmp_path), 4, "d", 50).select("run", "position", "response").collect()}
+    got = {tuple(r) for r in R.read_run_folders(spark, str(tmp_path), 4, ["d"], 50).select("run", "position", "response").collect()}
     assert got == {(run, i, t) for _, run, i, t in answers}
 
 

@@ -82,6 +82,7 @@ for _ds, _key in (("boolq", "prompt_build_boolq"), ("mnli", "prompt_build_mnli")
 
 from .operators import metrics as M  # noqa: E402
 from .plans import evaluate as EV  # noqa: E402
+from .sources import run_folder as RF  # noqa: E402
 
 
 def _labelled(spark, sf, *tasks: str) -> DataFrame:
@@ -108,6 +109,20 @@ def q_eval_all(spark, sf):
     return normalize(EV.eval_all(*FX.eval_run(spark, sf, RL.ALL_TASKS), _scan(spark, sf, "embeddings", "vec_id", "embedding")))
 
 
+@register(
+    "eval_run_folder",
+    sql=lambda: O.eval_run_folder_sql(RL.CLASS_TASKS, RL.MULTILABEL_TASKS, RL.TEXT_TASKS, FX.MISSING_RUN, FX.SHORT_RUN),
+)
+def q_eval_run_folder(spark, sf):
+    """S2 + L16: run folders in the runner's layout, read in byte ranges, joined to their prompts by batch-plan position, and
+    evaluated; one run is missing and one was cut off."""
+    answers, references = FX.eval_run(spark, sf, RL.ALL_TASKS)
+    base = scratch_path(spark, "run_folders", _uuid.uuid4().hex)
+    RF.write_run_folders(*FX.run_folder_rows(answers, references, C.BATCH_SIZE_DEFAULT), base)
+    models = [t.model for t in C.EVAL_MODELS]
+    return normalize(EV.eval_run_folders(spark, base, references, _scan(spark, sf, "embeddings", "vec_id", "embedding"), models, C.BATCH_SIZE_DEFAULT))
+
+
 @register("macro_prf", sql=lambda: O.macro_prf_sql(O.class_labelled_sql(RL.CLASS_TASKS), ["task"]))
 def q_macro_prf(spark, sf):
     """A1 pooled over models: one row per task."""

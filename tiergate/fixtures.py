@@ -27,6 +27,7 @@ from . import config as C
 from .functions.hashing import h, h_py, hex_bits, key
 from .functions.rules import CASCADE_RULES, TEXT_TASKS
 from .functions.text import echoes, first_line, strip_echo
+from .operators.batching import batch_plan
 from .operators.ranking import row_number_by
 from .session import scratch_path
 from .sources.emissions import DATASET
@@ -372,6 +373,22 @@ def _label_task_run(spark: SparkSession, sf_dir: str, tasks: Sequence[str]) -> t
     return _responses(asked, said), base.select("task", "prompt_id", "prompt_text", gold_text.alias("gold_text"))
 
 
+#: Runs of the run-folder stand-in that a study would not have finished: one that is not there, one cut off half-way.
+MISSING_RUN, SHORT_RUN = ("wnli", "flan-t5-xl"), ("cola", "Phi-3-small-8k-instruct")
+
+
+def run_folder_rows(answers: DataFrame, references: DataFrame, batch_size: int) -> tuple[DataFrame, DataFrame]:
+    """(dataset, run, position, response) and (dataset, run, batch_id, start_ts, end_ts) as runners of all answers leave them."""
+    plan = batch_plan(references.select("task", "prompt_id", "prompt_text"), batch_size, ("task",))
+    rows = answers.join(plan, ["task", "prompt_id"])
+    half = references.groupBy("task").agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
+    run = F.struct("task", "model")
+    is_run = lambda r: run == F.struct(F.lit(r[0]).alias("task"), F.lit(r[1]).alias("model"))
+    rows = rows.join(half, "task").where(~is_run(MISSING_RUN) & ((F.col("position") <= F.col("half")) | ~is_run(SHORT_RUN)))
+    rows = rows.select(F.col("task").alias("dataset"), F.col("model").alias("run"), "position", "batch_id", "n_chars", "response")
+    return rows.select("dataset", "run", "position", "response"), batch_times(rows, ("dataset", "run", "batch_id"))
+
+
 def text_prompts(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
     """(prompt_id, prompt_text, gold_text, source_text) for one text task."""
     if task == "cnn_dm":

@@ -632,12 +632,12 @@ def eval_text_sql(task: str) -> str:
     return text_metrics_sql(text_pairs_by_model_sql(task), ["model"])
 
 
-def eval_all_sql(class_tasks, multilabel_tasks, text_tasks) -> str:
+def eval_all_sql(class_tasks, multilabel_tasks, text_tasks, class_sql: str | None = None) -> str:
     """(task, model, metric, value) of all tasks."""
     prf = ("n", "unlabelled", "m_pre", "m_rec", "m_f1")
     text = ("pairs", "rouge1", "rouge2", "rougeL", "emb_p", "emb_r", "emb_f1", "no_vector")
     sources = [
-        (eval_class_sql(class_tasks), prf), (eval_multilabel_sql(multilabel_tasks), ("n", "m_pre", "m_rec", "m_f1")),
+        (class_sql or eval_class_sql(class_tasks), prf), (eval_multilabel_sql(multilabel_tasks), ("n", "m_pre", "m_rec", "m_f1")),
         (eval_stsb_sql(), ("n", "unparsed", "rmse", "mae", "r2")),
         *((f"SELECT {q(t)} AS task, * FROM ({eval_text_sql(t)}) x", text) for t in text_tasks),
     ]
@@ -648,6 +648,21 @@ def eval_all_sql(class_tasks, multilabel_tasks, text_tasks) -> str:
     return " UNION ALL ".join(parts)
 
 
+def eval_run_folder_sql(class_tasks, multilabel_tasks, text_tasks, missing: tuple[str, str], short: tuple[str, str]) -> str:
+    """All tasks without the run that is missing and the second half, by prompt length, of the one that is short."""
+    is_run = lambda r: f"(x.task = {q(r[0])} AND x.model = {q(r[1])})"
+    place = f"""SELECT d.doc_id AS prompt_id, row_number() OVER (ORDER BY length({q(short[0] + ': ')} || d.text), d.doc_id) <= count(*) OVER () // 2 AS said
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+    labelled = f"SELECT x.* FROM ({class_labelled_sql(class_tasks)}) x JOIN ({place}) y ON x.prompt_id = y.prompt_id WHERE NOT {is_run(missing)} AND (y.said OR NOT {is_run(short)})"
+    metrics = eval_all_sql(class_tasks, multilabel_tasks, text_tasks, macro_prf_sql(labelled, ["task", "model"]))
+    sizes = [f"SELECT {q(t)} AS task, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id" for t in (*class_tasks, *multilabel_tasks, "stsb")]
+    sizes += [f"SELECT {q(t)}, count(*) FROM ({task_prompts_sql(t)}) p" for t in text_tasks]
+    runs = f"SELECT s.task, m.model, s.n FROM ({' UNION ALL '.join(sizes)}) s CROSS JOIN {_models_values()}"
+    said = f"CASE WHEN {is_run(missing)} THEN 0 WHEN {is_run(short)} THEN n // 2 ELSE n END"
+    return f"""{metrics} UNION ALL SELECT task, model, 'references' AS metric, CAST(n AS DOUBLE) AS value FROM ({runs}) x
+    UNION ALL SELECT task, model, 'answers', CAST({said} AS DOUBLE) FROM ({runs}) x"""
+
+
 def scorer_labels_text_sql() -> str:
     from .config import SCORER_LABEL_MIN_F1
 

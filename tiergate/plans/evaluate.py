@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import class_of, number_of, prepared_answer, rule_column, vector_of
+from ..functions.rules import class_of, number_of, prepared_answer, rule_column, task_rules, vector_of
 from ..functions.text import strip_echo
+from ..operators.batching import batch_plan
 from ..operators.metrics import macro_prf, macro_prf_multilabel, regression_metrics
 from ..session import staged
+from ..sources.run_folder import read_run_folders
 from .text_eval import text_metrics
 
 def labelled(answers: DataFrame, references: DataFrame, rules: dict[str, dict] | None = None) -> DataFrame:
@@ -78,7 +80,31 @@ def eval_all(answers: DataFrame, references: DataFrame, embeddings: DataFrame, r
 
 def run_status(references: DataFrame, answers: DataFrame, models: Sequence[str]) -> DataFrame:
     """(task, model, references, answers): runs that a table of answers should hold, and how many answers it has. A run
-    without answers is reported, not evaluated."""
+    without answers is reported, not evaluated; so is one of a task or model that nobody asked for."""
     wanted = references.groupBy("task").agg(F.count(F.lit(1)).alias("references")).select("*", F.explode(F.array(*map(F.lit, models))).alias("model"))
     got = answers.groupBy("task", "model").agg(F.count(F.lit(1)).alias("answers"))
-    return wanted.join(got, ["task", "model"], "left").select("task", "model", "references", F.coalesce("answers", F.lit(0)).alias("answers"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return wanted.join(got, ["task", "model"], "full").select("task", "model", zero("references"), zero("answers"))
+
+
+def answers_of_folders(rows: DataFrame, references: DataFrame, batch_size: int) -> DataFrame:
+    """(task, model, prompt_id, response): answers of run folders (dataset, run, position, response) meet the prompts that
+    stand at their position of the length-sorted batch plan, task by task."""
+    plan = batch_plan(references.select("task", "prompt_id", "prompt_text"), batch_size, ("task",)).select("task", "position", "prompt_id")
+    said = rows.select(F.col("dataset").alias("task"), F.col("run").alias("model"), "position", "response")
+    return said.join(plan, ["task", "position"]).select("task", "model", "prompt_id", "response")
+
+
+def eval_run_folders(
+    spark: SparkSession, base: str, references: DataFrame, embeddings: DataFrame, models: Sequence[str], batch_size: int, rules: dict[str, dict] | None = None,
+) -> DataFrame:
+    """L16 over a folder of runs, ``<task>_<model>/output.json``: (task, model, metric, value).
+
+    Every run gets its ``references`` (prompts of its task) and ``answers`` (texts in its document); those that have both
+    get their task's metrics, over the answers they have. A missing run has 0 answers and no metrics.
+    """
+    rows = staged(read_run_folders(spark, base, batch_size, list(rules or task_rules())).select("dataset", "run", "position", "response"), "run-answers")
+    found = rows.select(F.col("dataset").alias("task"), F.col("run").alias("model"))
+    status = run_status(references, found, models).unpivot(["task", "model"], ["references", "answers"], "metric", "value")
+    metrics = eval_all(answers_of_folders(rows, references, batch_size), references, embeddings, rules)
+    return metrics.unionByName(status.withColumn("value", F.col("value").cast("double")))

@@ -14,7 +14,7 @@ Rows say which range they come from and their number in it; a row of kind ``quot
 ``read_run_folders`` turns these into positions: the rows are written once, counted by range (a few bytes a range), and
 the running count of a file's ranges is joined back.
 
-As a stream the source takes each document once, when it appears: documents must appear whole (written elsewhere and
+The option ``dataset`` is an expression for names of data sets. As a stream the source takes each document once, when it appears: documents must appear whole (written elsewhere and
 renamed), and later than those already taken.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -206,7 +206,7 @@ def _documents(path: str, dataset: str) -> list[tuple[int, str, str, str, int]]:
     root = re.sub(r"/+$", "", path)
     out = []
     for x in fs.get_file_info(pafs.FileSelector(base, recursive=True)):
-        m = re.search(rf"/({dataset})_([^/]+)/output\.json$", x.path)
+        m = re.search(rf"/((?:{dataset}))_([^/]+)/output\.json$", x.path)
         if m and x.type == pafs.FileType.File:
             out.append((x.mtime_ns or 0, root + x.path[len(base.rstrip("/")) :], m[1], m[2], x.size))
     return sorted(out)
@@ -298,18 +298,19 @@ class RunFolderSource(D.DataSource):
         return RunFolderStream(self.options)
 
 
-def scan_run_folders(spark: SparkSession, base: str, dataset: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Elements of every ``<dataset>_<run>/output.json`` under ``base`` as the source gives them. Without a data set its name
-    is what stands before the first underscore."""
+def scan_run_folders(spark: SparkSession, base: str, datasets: Sequence[str] = (), range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Elements of every ``<dataset>_<run>/output.json`` under ``base`` as the source gives them. Names of data sets may hold
+    underscores where they are given; otherwise the name is what stands before the first underscore."""
     spark.dataSource.register(RunFolderSource)
     reader = spark.read.format("run_folder").option("rangeBytes", range_bytes)
-    return (reader.option("dataset", re.escape(dataset)) if dataset else reader).load(base)
+    names = "|".join(re.escape(d) for d in sorted(datasets, key=len, reverse=True))
+    return (reader.option("dataset", names) if names else reader).load(base)
 
 
-def read_run_folders(spark: SparkSession, base: str, batch_size: int, dataset: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_run_folders(spark: SparkSession, base: str, batch_size: int, datasets: Sequence[str] = (), range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(dataset, run, position, batch_id, response, start_ts, end_ts): one row per answer, positions from 1 in document
     order, with the times of its batch (null where the document has none)."""
-    rows = staged(scan_run_folders(spark, base, dataset, range_bytes), "run-folder-rows")
+    rows = staged(scan_run_folders(spark, base, datasets, range_bytes), "run-folder-rows")
     last = rows.where("kind = 'quote'").groupBy("file").agg(F.max("range_start").alias("last_quote"))
     kept = rows.where("kind <> 'quote'").join(last, "file", "left").where("kind = 'text' or last_quote is null or range_start >= last_quote")
     counts = kept.groupBy("file", "kind", "range_start").agg(F.count(F.lit(1)).alias("n"))
