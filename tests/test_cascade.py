@@ -25,7 +25,7 @@ def test_sequential_equals_one_pass(spark):
     run = stored_run(spark, SF_MID)
     for strategy in ("strategy-1", "strategy-9"):
         seq = _sequential(run, strategy, 0.8).drop("n_tiers")
-        one = cascade.sweep_final(*run, "boolq", (strategy,), (0.8,)).drop("n_tiers", "kchar")
+        one = cascade.sweep_final(*run, "boolq", (strategy,), (0.8,)).drop("n_tiers", "chars")
         assert _rows(seq) == _rows(one)
 
 
@@ -78,7 +78,7 @@ def test_missing_answers_and_scores(spark):
     scores = spark.createDataFrame([("strategy-1", i, t, 0.9) for i in (0, 1) for t in (1, 2)], "strategy string, prompt_id long, tier int, score double")
     one = cascade.sweep_final(prompts, answers, scores, "boolq", ("strategy-1",), (0.8,))
     assert {r.prompt_id: (r.tier, r.pred) for r in one.collect()} == {0: (1, 1), 1: (2, 1), 2: (3, 1), 3: (3, None)}
-    assert _rows(_sequential((prompts, answers, scores), "strategy-1", 0.8).drop("n_tiers")) == _rows(one.drop("n_tiers", "kchar"))
+    assert _rows(_sequential((prompts, answers, scores), "strategy-1", 0.8).drop("n_tiers")) == _rows(one.drop("n_tiers", "chars"))
     r = cascade.threshold_sweep(prompts, answers, scores, "boolq", ("strategy-1",), (0.8,)).first()
     assert (r.n, r.unlabelled) == (3, 1)
 
@@ -164,7 +164,7 @@ def test_sweep_matches_python_loop(spark):
 
 
 def test_tier_accounting_adds_up(spark):
-    acc = cascade.tier_accounting(cascade.sweep_final(*stored_run(spark, SF_SMALL))).collect()
+    acc = cascade.tier_accounting(cascade.sweep_cells(*stored_run(spark, SF_SMALL))).collect()
     n = stored_run(spark, SF_SMALL)[0].count()
     for r in acc:
         assert r.completed + r.remaining == n

@@ -21,6 +21,7 @@ from .functions import rules as RL
 from .plans import cascade
 from .plans import scorer as SC
 from .registry import register
+from .session import scratch_path, staged
 from .sources import prompts as P
 from .sources.tables import scan as _scan
 
@@ -54,6 +55,18 @@ def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return normalize(cascade.threshold_sweep(*stored_run(spark, sf)))
 
 
+def _fine_grid(spark: SparkSession) -> DataFrame:
+    """A table of 1,000 thresholds, 0 .. 0.999."""
+    return spark.range(1000).select((F.col("id") / F.lit(1000.0)).alias("threshold"))
+
+
+@register("threshold_sweep_fine", sql=lambda: O.threshold_sweep_fine_sql())
+def q_threshold_sweep_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """C2 / J6 with the grid as a table: quality and modelled cost at 1,000 thresholds, from the same few intervals a prompt."""
+    cells = staged(cascade.sweep_cells(*stored_run(spark, sf), thresholds=_fine_grid(spark)), "fine-cells")
+    return normalize(cascade.quality_from_cells(cells).join(cascade.cost_from_cells(cells), ["strategy", "threshold"]))
+
+
 @register("strategy_sweep", sql=lambda: O.threshold_sweep_sql("mnli", ("strategy-1", "strategy-9"), C.THRESHOLDS_MNLI))
 def q_strategy_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """C3 on the 3-class task: names x chains x thresholds in one pass."""
@@ -287,7 +300,7 @@ def q_first_accept(spark, sf):
     FROM per""",
 )
 def q_tier_accounting(spark, sf):
-    return normalize(cascade.tier_accounting(cascade.sweep_final(*stored_run(spark, sf))))
+    return normalize(cascade.tier_accounting(cascade.sweep_cells(*stored_run(spark, sf))))
 
 
 @register(
@@ -304,7 +317,7 @@ def q_tier_accounting(spark, sf):
     FROM steps""",
 )
 def q_batch_offsets(spark, sf):
-    return normalize(BT.batch_offsets(cascade.sweep_final(*stored_run(spark, sf)), C.BATCH_SIZE_CASCADE))
+    return normalize(BT.batch_offsets(cascade.sweep_cells(*stored_run(spark, sf)), C.BATCH_SIZE_CASCADE))
 
 
 _FINAL_COLS_SQL = "strategy, threshold, prompt_id, CAST(tier AS BIGINT) AS tier, model, CAST(gold AS BIGINT) AS gold, CAST(pred AS BIGINT) AS pred, score"
@@ -328,7 +341,7 @@ def q_cascade_sequential(spark, sf):
 
 @register("cascade_cost", sql=lambda: O.cascade_cost_sql(O.sweep_final_sql()))
 def q_cascade_cost(spark, sf):
-    return normalize(cascade.cascade_cost(cascade.sweep_final(*stored_run(spark, sf))))
+    return normalize(cascade.cost_from_cells(cascade.sweep_cells(*stored_run(spark, sf))))
 
 
 @register(
@@ -468,7 +481,6 @@ def q_pooled_training(spark, sf):
 # ---------------------------------------------------------------------------------------------------------------
 
 from .operators import energy as EN  # noqa: E402
-from .session import scratch_path, staged  # noqa: E402
 from .sources import emissions as EM  # noqa: E402
 
 
@@ -739,7 +751,7 @@ def q_cost_quality(spark, sf):
     """J9 + C8: quality against measured energy per (strategy, threshold), one-sided keys kept, single models as baselines."""
     run = stored_run(spark, sf)
     measured = CV.measured_energy(EN.energy_batches(FX.emission_records(spark, sf), EM.DATASET))
-    return normalize(CV.cost_quality(CV.sweep_points(cascade.sweep_final(*run)), CV.baselines(*run[:2]), measured))
+    return normalize(CV.cost_quality(CV.sweep_points(cascade.sweep_cells(*run)), CV.baselines(*run[:2]), measured))
 
 
 @register(
@@ -749,7 +761,7 @@ def q_cost_quality(spark, sf):
     FROM ({O.sweep_points_sql()}) c GROUP BY strategy""",
 )
 def q_curve_series(spark, sf):
-    return normalize(CV.curve_series(CV.sweep_points(cascade.sweep_final(*stored_run(spark, sf)))))
+    return normalize(CV.curve_series(CV.sweep_points(cascade.sweep_cells(*stored_run(spark, sf)))))
 
 
 # ---------------------------------------------------------------------------------------------------------------

@@ -320,6 +320,27 @@ def threshold_sweep_sql(dataset="boolq", strategies=tuple(C.STRATEGIES), thresho
     return macro_prf_sql(sweep_final_sql(dataset, strategies, thresholds), ["strategy", "threshold"])
 
 
+def threshold_sweep_fine_sql() -> str:
+    """Every prompt gated at every one of 1,000 thresholds; counts first, then the metrics and the cost of the cells."""
+    rate = "CASE " + " ".join(f"WHEN v = {t} THEN {r!r}" for t, r in MODEL_WH_PER_KCHAR.items()) + " ELSE 0.0 END"
+    return f"""
+    WITH sc AS MATERIALIZED ({scored_long_sql('boolq', tuple(C.STRATEGIES))}),
+    th AS (SELECT i / 1000.0::DOUBLE AS threshold FROM range(1000) t(i)),
+    acc AS (SELECT strategy, threshold, prompt_id, min(CASE WHEN score > threshold OR tier = n_tiers THEN tier END) AS tier FROM sc CROSS JOIN th GROUP BY ALL),
+    cells AS MATERIALIZED (SELECT a.strategy, a.threshold, a.tier, s.n_tiers, s.gold, s.pred, count(*) AS n, sum(length(p.prompt_text)) / 1000.0 AS kchar
+      FROM acc a JOIN sc s USING (strategy, prompt_id, tier) JOIN ({prompts_sql('boolq')}) p ON p.prompt_id = a.prompt_id GROUP BY ALL),
+    lab AS (SELECT strategy, threshold, gold AS label, n AS ng, 0 AS np, CASE WHEN gold = pred THEN n ELSE 0 END AS tp FROM cells
+            UNION ALL SELECT strategy, threshold, pred, 0, n, 0 FROM cells),
+    per AS (SELECT strategy, threshold, label, sum(ng) AS ng, sum(np) AS np, sum(tp) AS tp FROM lab GROUP BY ALL),
+    q AS (SELECT strategy, threshold, CAST(sum(ng) AS BIGINT) AS n, round(avg(CASE WHEN np > 0 THEN tp / np ELSE 0.0 END), {DIGITS}) AS m_pre,
+            round(avg(CASE WHEN ng > 0 THEN tp / ng ELSE 0.0 END), {DIGITS}) AS m_rec, round(avg(2.0 * tp / (ng + np)), {DIGITS}) AS m_f1 FROM per GROUP BY ALL),
+    c AS (SELECT strategy, threshold, CAST(sum(calls) AS BIGINT) AS model_calls, round(sum(wh), 6) AS energy_wh FROM (
+            SELECT strategy, threshold, tier * n AS calls,
+              kchar * list_sum(list_transform(range(1, tier + 1), lambda v: ({rate}) + CASE WHEN v < n_tiers THEN {SCORER_WH_PER_KCHAR!r} ELSE 0.0 END)) AS wh FROM cells) x
+          GROUP BY ALL)
+    SELECT q.strategy, q.threshold, n, CAST(0 AS BIGINT) AS unlabelled, m_pre, m_rec, m_f1, model_calls, energy_wh FROM q JOIN c USING (strategy, threshold)"""
+
+
 def cascade_cost_sql(final_sql: str, dataset: str = "boolq") -> str:
     rate = "CASE " + " ".join(f"WHEN v = {t} THEN {r!r}" for t, r in MODEL_WH_PER_KCHAR.items()) + " ELSE 0.0 END"
     return f"""

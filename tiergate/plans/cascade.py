@@ -8,9 +8,11 @@ A cascade runs over tables:
 
 Two ways to run it:
 
-* ``sweep_final`` (C2, one pass): answers and scores of a prompt meet once, in one row with a step per tier of every
-  strategy's chain; thresholds are a literal array exploded next to it, and the accepting tier is the first whose
-  score is strictly above the threshold (the last tier always accepts). Texts are shuffled once, to meet their
+* One pass (C2): answers and scores of a prompt meet once, in one row with a step per tier of every strategy's chain.
+  The accepting tier - the first whose score is strictly above the threshold, else the last - is a step function of the
+  threshold: tier i accepts from the largest score before it up to its own. ``accept_intervals`` gives these steps, at
+  most one per tier and prompt; ``sweep_cells`` sums them over a table of thresholds of any size (``operators.intervals``),
+  and ``sweep_final`` lists the accepted rows per threshold where rows are wanted. Texts are shuffled once, to meet their
   prompt; from there on rows are narrow. This is the default for threshold grids.
 * ``sequential_final`` (C1): the studied loop over the (at most a handful of) tiers; each tier answers only what is
   still left. Every tier's labels and scores are written once, and both sides of its gate read that table: a model
@@ -31,6 +33,7 @@ from .. import config as C
 from ..functions.rules import CASCADE_RULES as RULES
 from ..functions.text import strip_echo
 from ..operators.gate import accepted_condition
+from ..operators.intervals import rows_on_grid, sums_on_grid
 from ..operators.metrics import macro_prf, macro_prf_from_cells
 from ..session import staged
 
@@ -75,14 +78,14 @@ def chain_models(*chains: str) -> list[str]:
 
 
 def scored_steps(prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:
-    """(strategy, prompt_id, gold, kchar, steps): one row per strategy and prompt; ``steps`` holds tier, model, pred,
+    """(strategy, prompt_id, gold, chars, steps): one row per strategy and prompt; ``steps`` holds tier, model, pred,
     score and whether there is an answer, in chain order. All sides meet on ``prompt_id``."""
     models = sorted({t.model for s in strategies for t in C.CHAINS[C.STRATEGIES[s]]})
     labels = labelled_answers(prompts, answers, dataset, models).select("prompt_id", "model", "pred")
     per_model = labels.groupBy("prompt_id").agg(F.collect_list(F.struct("model", "pred")).alias("preds"))
     wanted = scores.where(F.col("strategy").isin(list(strategies)))
     per_score = wanted.groupBy("prompt_id").agg(F.collect_list(F.struct("strategy", "tier", "score")).alias("scores"))
-    base = prompts.select("prompt_id", F.col("gold_class").alias("gold"), (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"))
+    base = prompts.select("prompt_id", F.col("gold_class").alias("gold"), F.length("prompt_text").cast("long").alias("chars"))
     rows = base.join(per_model, "prompt_id", "left").join(per_score, "prompt_id", "left")
     rows = rows.select("*", F.explode(strategies_array(strategies)).alias("s"))
 
@@ -94,21 +97,67 @@ def scored_steps(prompts: DataFrame, answers: DataFrame, scores: DataFrame, data
             F.get(score, F.lit(0))["score"].alias("score"), F.coalesce(F.size(said) > 0, F.lit(False)).alias("answered"),
         )
 
-    return rows.select(F.col("s.strategy").alias("strategy"), "prompt_id", "gold", "kchar", F.transform("s.tiers", step).alias("steps"))
+    return rows.select(F.col("s.strategy").alias("strategy"), "prompt_id", "gold", "chars", F.transform("s.tiers", step).alias("steps"))
+
+
+Thresholds = Sequence[float] | DataFrame
+
+
+def accept_intervals(
+    prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str = "boolq", strategies: Sequence[str] = tuple(C.STRATEGIES),
+) -> DataFrame:
+    """(strategy, prompt_id, gold, chars, n_tiers, tier, model, pred, score, low, high): the tier accepts the prompt at the
+    thresholds low <= t < high; null is an open end. The intervals of a prompt do not overlap and cover every threshold.
+
+    Only answered steps with a score can accept before the last tier; the last one accepts what is left.
+    """
+    rows = scored_steps(prompts, answers, scores, dataset, strategies)
+    steps = accept_steps("steps", ("tier", "model", "pred", "score"))
+    rows = rows.select("strategy", "prompt_id", "gold", "chars", F.size("steps").alias("n_tiers"), F.explode(steps).alias("a"))
+    return rows.select("strategy", "prompt_id", "gold", "chars", "n_tiers", *(F.col(f"a.{c}").alias(c) for c in ("tier", "model", "pred", "score", "low", "high")))
+
+
+def accept_steps(steps: str, fields: Sequence[str]) -> Column:
+    """The steps of a chain (array column of structs with ``score``, ``answered`` and ``fields``) that accept at some
+    threshold: array<struct<fields..., low, high>>."""
+    n = F.size(steps)
+    offered = lambda x: F.when(x["answered"], x["score"])
+
+    def interval(x: Column, i: Column) -> Column:
+        last = i == n - 1
+        low = F.array_max(F.transform(F.slice(F.col(steps), 1, i), offered))
+        high = F.when(~last, offered(x))
+        holds = F.when(last, ~F.coalesce(F.isnan(low), F.lit(False))).otherwise(high.isNotNull() & (low.isNull() | (high > low)))
+        end = F.when(~F.isnan(high), high)  # NaN is above every threshold, as in a comparison
+        return F.struct(*(x[c].alias(c) for c in fields), low.alias("low"), end.alias("high"), holds.alias("holds"))
+
+    return F.filter(F.transform(steps, interval), lambda x: x["holds"])
 
 
 def sweep_final(
     prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str = "boolq",
-    strategies: Sequence[str] = tuple(C.STRATEGIES), thresholds: Sequence[float] = C.THRESHOLDS_BOOLQ,
+    strategies: Sequence[str] = tuple(C.STRATEGIES), thresholds: Thresholds = C.THRESHOLDS_BOOLQ,
 ) -> DataFrame:
     """Accepted row per (strategy, threshold, prompt): tier, model, gold, pred, score (C2 + W3 + J6)."""
-    rows = scored_steps(prompts, answers, scores, dataset, strategies)
-    rows = rows.select("*", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
-    n = F.size("steps")
-    passed = F.filter("steps", lambda x, i: (i < n - 1) & x["answered"] & accepted_condition(x["score"], F.col("threshold")))
-    taken = F.coalesce(F.get(passed, F.lit(0)), F.element_at("steps", -1))
-    rows = rows.select("strategy", "threshold", "prompt_id", "gold", taken.alias("a"), n.alias("n_tiers"), "kchar")
-    return rows.select("strategy", "threshold", "prompt_id", "a.tier", "a.model", "gold", "a.pred", "a.score", "n_tiers", "kchar")
+    rows = rows_on_grid(accept_intervals(prompts, answers, scores, dataset, strategies), thresholds)
+    return rows.select("strategy", "threshold", "prompt_id", "tier", "model", "gold", "pred", "score", "n_tiers", "chars")
+
+
+def sweep_cells(
+    prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str = "boolq",
+    strategies: Sequence[str] = tuple(C.STRATEGIES), thresholds: Thresholds = C.THRESHOLDS_BOOLQ,
+) -> DataFrame:
+    """(strategy, threshold, n_tiers, tier, _g, _p, _n, _chars): accepted prompts and their characters by tier, gold and
+    predicted label, for a table of thresholds. Neither rows nor time follow the number of thresholds, only the result."""
+    intervals = accept_intervals(prompts, answers, scores, dataset, strategies).withColumnsRenamed({"gold": "_g", "pred": "_p"})
+    keys = ["strategy", "n_tiers", "tier", "_g", "_p"]
+    return sums_on_grid(intervals, keys, {"_n": F.lit(1).cast("long"), "_chars": F.col("chars")}, thresholds)
+
+
+def cells_of(final: DataFrame) -> DataFrame:
+    """The cells of ``sweep_cells`` from accepted rows (those of a sequential cascade, with ``chars``)."""
+    keys = ["strategy", "threshold", "n_tiers", "tier", F.col("gold").alias("_g"), F.col("pred").alias("_p")]
+    return final.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("chars").alias("_chars"))
 
 
 def prompt_cost(tier: Column, n_tiers: Column, kchar: Column, longest: int) -> Column:
@@ -123,35 +172,25 @@ def prompt_cost(tier: Column, n_tiers: Column, kchar: Column, longest: int) -> C
 LONGEST_CHAIN = max(len(chain) for chain in C.CHAINS.values())
 
 
-def sweep_cells(final: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
-    """One aggregation of the accepted rows into (strategy, threshold, gold, pred) cells with row count, model
-    calls and Wh - the macro metrics and the cost both read these cells (one scan, one shuffle of counters)."""
-    return final.groupBy("strategy", "threshold", F.col("gold").alias("_g"), F.col("pred").alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("tier").alias("_calls"),
-        F.sum(prompt_cost(F.col("tier"), F.col("n_tiers"), F.col("kchar"), longest)).alias("_wh"),
-    )
-
-
 def quality_from_cells(cells: DataFrame) -> DataFrame:
     return macro_prf_from_cells(cells, ["strategy", "threshold"])
 
 
-def cost_from_cells(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("strategy", "threshold").agg(
-        F.sum("_calls").alias("model_calls"), F.round(F.sum("_wh"), 6).alias("energy_wh")
-    )
+def cost_from_cells(cells: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """A prompt pays for every tier up to the accepting one (model call), plus the scorer on non-last tiers."""
+    wh = prompt_cost(F.col("tier"), F.col("n_tiers"), F.col("_chars") / F.lit(1000.0), longest)
+    return cells.groupBy("strategy", "threshold").agg(F.sum(F.col("tier") * F.col("_n")).alias("model_calls"), F.round(F.sum(wh), 6).alias("energy_wh"))
 
 
 def threshold_sweep(
-    prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str = "boolq", strategies=tuple(C.STRATEGIES), thresholds=C.THRESHOLDS_BOOLQ
+    prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str = "boolq", strategies=tuple(C.STRATEGIES), thresholds: Thresholds = C.THRESHOLDS_BOOLQ
 ) -> DataFrame:
-    return macro_prf(sweep_final(prompts, answers, scores, dataset, strategies, thresholds), ["strategy", "threshold"])
+    return quality_from_cells(sweep_cells(prompts, answers, scores, dataset, strategies, thresholds))
 
 
-def tier_accounting(final: DataFrame) -> DataFrame:
+def tier_accounting(cells: DataFrame) -> DataFrame:
     """Accepted rows per tier, and completed / remaining after each tier, per (strategy, threshold)."""
-    per_tier = final.groupBy("strategy", "threshold", "tier").agg(F.count(F.lit(1)).alias("accepted"))
+    per_tier = cells.groupBy("strategy", "threshold", "tier").agg(F.sum("_n").alias("accepted"))
     w = Window.partitionBy("strategy", "threshold").orderBy("tier")
     total = F.sum("accepted").over(Window.partitionBy("strategy", "threshold"))
     completed = F.sum("accepted").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -241,15 +280,10 @@ def cascade_sequential(prompts: DataFrame, answers: DataFrame, scores: DataFrame
 
 
 def cascade_cost(final: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
-    """A prompt pays for every tier up to the accepting one (model call), plus the scorer on non-last tiers.
-
-    The prompt size rides along in the one-pass rows (``kchar``), so no join back to the prompts is needed; rows
-    without it (the sequential cascade) get it from ``prompts``.
-    """
-    if "kchar" not in final.columns:
-        sizes = prompts.select("prompt_id", (F.length("prompt_text") / F.lit(1000.0)).alias("kchar"))
-        final = final.join(sizes, "prompt_id")
-    return cost_from_cells(sweep_cells(final))
+    """C7 of accepted rows; those of a sequential cascade get the size of their prompt from ``prompts``."""
+    if "chars" not in final.columns:
+        final = final.join(prompts.select("prompt_id", F.length("prompt_text").cast("long").alias("chars")), "prompt_id")
+    return cost_from_cells(cells_of(final))
 
 
 def scored_long(prompts: DataFrame, answers: DataFrame, scores: DataFrame, dataset: str, strategies: Sequence[str]) -> DataFrame:

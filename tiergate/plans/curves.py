@@ -90,10 +90,10 @@ def baseline_broadcast(base: DataFrame, thresholds: Sequence[float] = C.THRESHOL
     return base.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
 
 
-def sweep_points(final: DataFrame) -> DataFrame:
-    """(strategy, threshold, m_f1, energy_wh) from one aggregation of the accepted rows: the (strategy, threshold, gold,
-    pred) cells - a few rows per grid point - are written once, and quality and modelled cost are both read from them."""
-    cells = staged(cascade.sweep_cells(final), "sweep-cells")
+def sweep_points(cells: DataFrame) -> DataFrame:
+    """(strategy, threshold, m_f1, energy_wh) of a sweep: its cells - a few rows per grid point - are written once, and
+    quality and modelled cost are both read from them."""
+    cells = staged(cells, "sweep-cells")
     quality = cascade.quality_from_cells(cells).select("strategy", "threshold", "m_f1")
     return quality.join(cascade.cost_from_cells(cells).select("strategy", "threshold", "energy_wh"), ["strategy", "threshold"], "full")
 

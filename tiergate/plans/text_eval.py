@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import strip_echo
 from ..operators.embed_match import broadcast_match_col, embed_match_pairs
-from ..operators.gate import accepted_condition
+from ..operators.intervals import sums_on_grid
 from ..operators.rouge import lcs_col, rouge_counts_col
 from ..session import staged
 from ..sources import prompts as P
+from .cascade import accept_steps
 
 DIGITS = 9
+EXACT = "decimal(28,18)"  # of an F-measure that is summed as differences
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,24 +92,30 @@ def scorer_labels_text(pairs: DataFrame, embeddings: DataFrame, keys: Sequence[s
 
 def cascade_text(
     prompts: DataFrame, answers: DataFrame, scores: DataFrame, embeddings: DataFrame, strategy: str = "strategy-9",
-    thresholds: Sequence[float] = C.THRESHOLDS_SAMSUM,
+    thresholds: Sequence[float] | DataFrame = C.THRESHOLDS_SAMSUM,
 ) -> DataFrame:
     """Text cascade per threshold over stored answers and scores: the gate picks one answer per prompt, then
     ROUGE-1 / 2 / L and embedding P / R / F1 of the accepted answers.
 
-    Every answer is compared with its gold text once; thresholds are exploded over these counters only, and no text
-    is shuffled or copied per threshold. A prompt without an answer at its accepting tier counts with zero scores.
+    Every answer is compared with its gold text once; its numbers are summed over the thresholds at which its tier accepts
+    (decimals, so that sums of differences are exact), and no text or row is copied per threshold. A prompt without an
+    answer at its accepting tier counts with zero scores.
     """
     chain = C.CHAINS[C.STRATEGIES[strategy]]
-    last = chain[-1].tier
-    models = [t.model for t in chain]
-    pairs = answer_pairs(prompts, answers.where(F.col("model").isin(models))).withColumnRenamed("prompt_id", "pair_id")
+    pairs = answer_pairs(prompts, answers.where(F.col("model").isin([t.model for t in chain]))).withColumnRenamed("prompt_id", "pair_id")
     per = staged(pair_scores(pairs.drop("model"), embeddings, ["tier"]), "answer-scores")
     gate = scores.where(F.col("strategy") == strategy).select(F.col("prompt_id").alias("pair_id"), "tier", "score")
-    steps = per.join(gate, ["pair_id", "tier"], "left").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("tier", "score", *SCORES, "no_vector"))).alias("steps"))
-    rows = prompts.select(F.col("prompt_id").alias("pair_id")).join(steps, "pair_id", "left")
-    rows = rows.select("*", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
-    passed = F.filter("steps", lambda x: (x["tier"] == last) | accepted_condition(x["score"], F.col("threshold")))
-    picked = rows.select("threshold", F.get(passed, F.lit(0)).alias("a"))
-    out = picked.select("threshold", *[F.coalesce(F.col(f"a.{c}"), F.lit(0.0)).alias(c) for c in SCORES], F.coalesce("a.no_vector", F.lit(0)).alias("no_vector"))
-    return _means(out, ["threshold"]).select(F.lit(strategy).alias("strategy"), "*")
+    said = per.join(gate, ["pair_id", "tier"], "left").groupBy("pair_id").agg(F.collect_list(F.struct("tier", "score", *SCORES, "no_vector")).alias("said"))
+    rows = prompts.select(F.col("prompt_id").alias("pair_id")).join(said, "pair_id", "left")
+
+    def step(tier: Column) -> Column:
+        own = F.get(F.filter("said", lambda x: x["tier"] == tier), F.lit(0))
+        exact = (F.coalesce(own[c], F.lit(0.0)).cast(EXACT).alias(c) for c in SCORES)
+        return F.struct(own["score"].alias("score"), own.isNotNull().alias("answered"), *exact, F.coalesce(own["no_vector"], F.lit(0)).cast("long").alias("no_vector"))
+
+    steps = rows.select(F.transform(F.array(*(F.lit(t.tier) for t in chain)), step).alias("steps"))
+    intervals = steps.select(F.explode(accept_steps("steps", (*SCORES, "no_vector"))).alias("a")).select("a.*")
+    values = {"pairs": F.lit(1).cast("long"), **{c: F.col(c) for c in (*SCORES, "no_vector")}}
+    sums = sums_on_grid(intervals.withColumn("strategy", F.lit(strategy)), ["strategy"], values, thresholds)
+    mean = lambda c: F.round(F.col(c).cast("double") / F.col("pairs"), DIGITS).alias(c)
+    return sums.select("strategy", "threshold", "pairs", *map(mean, SCORES), "no_vector")
