@@ -54,8 +54,8 @@ def load_encoder(path: str | None = None):
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    library = Tokenizer.from_file(path)
-    by_library = lambda text: library.encode(text, add_special_tokens=False).ids
+    library = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # read by the workers that need it only
+    by_library = lambda text: library().encode(text, add_special_tokens=False).ids
     added = spec.get("added_tokens", [])
     id_of = {x["content"]: x["id"] for x in added}
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
