@@ -1,11 +1,15 @@
 """Scorer training and scoring (M2, M3, M6): probabilities in [0, 1], a repeat gives the same scores, one setting is
 chosen, and the training log holds one row per strategy."""
 
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tiergate import config as C
 from tiergate.fixtures import stored_run
+from tiergate.plans import epochs as EP
 from tiergate.plans import scorer as SC
 
 
@@ -27,12 +31,78 @@ def test_training_log_appends(spark, tmp_path):
     log = str(tmp_path / "strategies")
     rows = SC.training_rows(*stored_run(spark, SF_SMALL)[:2], chains=("flan",))
     grid = C.STRATEGY_GRID[:1] + C.STRATEGY_GRID[4:5] + C.STRATEGY_GRID[6:7]
-    first = SC.train_grid(rows, grid, log_path=log).collect()
-    assert {(r.strategy, r.layout, r.training_text) for r in first} == {
-        ("strategy-1", "per-model", "stripped"), ("strategy-5", "per-model", "original"), ("single-scorer-strategy-2", "pooled", "stripped"),
+    table, registry = EP.train_grid(rows, grid, "boolq", log)
+    first = table.collect()
+    assert {(r.strategy, r.layout, r.training_text, r.scorers) for r in first} == {
+        ("strategy-1", "per-model", "stripped", 3), ("strategy-5", "per-model", "original", 3), ("single-scorer-strategy-2", "pooled", "stripped", 1),
     }
-    assert len({r.n_train + r.n_val for r in first}) == 1 and all(r.val_logloss > 0 for r in first)
-    assert SC.train_grid(rows, grid[:1], log_path=log).count() == len(first) + 1
+    assert len(registry) == 7 and len({r.n_train + r.n_val for r in first}) == 1 and all(r.val_loss > 0 for r in first)
+    assert EP.train_grid(rows, grid[:1], "boolq", log)[0].count() == len(first) + 1
+
+
+def plain_fit(rows, scorer, n_features):
+    """Full-batch gradient descent of one scorer in plain numpy: losses of every epoch, and weights of the kept one."""
+    x, y, held = np.zeros((len(rows), n_features + 1)), np.array([r["label"] for r in rows], float), np.array([r["split"] == "validation" for r in rows])
+    for i, r in enumerate(rows):
+        text = r["response"] if scorer.kind.startswith("original") else r["scorer_text"]
+        words = re.sub("[^a-z0-9]+", " ", (text or "").lower()).split()
+        for token in words + ([f"{a} {b}" for a, b in zip(words, words[1:])] if scorer.kind.endswith("pairs") else []):
+            x[i, EP._bucket(token, n_features)] += 1
+    norm = np.sqrt((x**2).sum(1, keepdims=True))
+    x = np.divide(x, norm, out=x, where=norm > 0)
+    x[:, -1] = 1
+    w, history = np.zeros(n_features + 1), []
+    for _ in range(scorer.epochs):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - scorer.step * x[~held].T @ (p - y)[~held] / (~held).sum()
+        q = 1 / (1 + np.exp(-x @ w))
+        loss = -(y * np.log(q) + (1 - y) * np.log(1 - q))
+        history.append((loss[~held].mean(), loss[held].mean() if held.any() else None, w))
+    kept = min(range(len(history)), key=lambda e: history[e][1]) if held.any() else len(history) - 1
+    return history, kept, x
+
+
+def test_epochs_are_a_plain_fit(spark):
+    """Losses, kept epoch and scores of several scorers in one pass, against one fit after the other."""
+    rows = SC.training_rows(*stored_run(spark, SF_SMALL)[:2], chains=("flan",))
+    model = C.CHAINS["flan"][0].model
+    scorers = [EP.Scorer("a", model, 0.5, 6), EP.Scorer("a", None, 3.0, 4), EP.Scorer("b", None, 2.0, 5, "original/pairs")]
+    data = EP.examples(rows, ["stripped/words", "original/pairs"], 64)
+    curve, registry = EP.train(data, scorers, 64)
+    scores = {(r.strategy, r.model, r.prompt_id): r.score for r in EP.registry_scores(data, EP.registry_table(spark, registry)).collect()}
+    plain = [r.asDict() for r in rows.collect()]
+    assert len(scores) == 2 * len(plain)
+    for scorer, entry in zip(scorers, registry):
+        own = [r for r in plain if scorer.model in (None, r["model"])]
+        history, kept, x = plain_fit(own, scorer, 64)
+        got = [c for c in curve if (c[0], c[1]) == (scorer.strategy, scorer.model)]
+        assert [c[2] for c in got] == list(range(1, scorer.epochs + 1)) and [c[2] for c in got if c[7]] == [kept + 1] == [entry[3]]
+        assert np.allclose([c[5] for c in got], [h[0] for h in history]) and np.allclose([c[6] for c in got], [h[1] for h in history])
+        for r, z in zip(own, x @ history[kept][2]):
+            if scorer.strategy == "b" or scorer.model or r["model"] != model:  # a scorer of the model's own goes first
+                assert abs(scores[scorer.strategy, r["model"], r["prompt_id"]] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_registry_falls_back_to_the_pooled_scorer(spark):
+    rows = spark.createDataFrame([("m1", 1, 1, "good good", "x", 1.0, "train"), ("m2", 1, 1, "bad", "x", 0.0, "train"), ("m2", 1, 2, None, None, None, "train")], "model string, tier int, prompt_id long, scorer_text string, response string, label double, split string")
+    data = EP.examples(rows, ["stripped/words"], 8)
+    weights = lambda b: [b, [0.0] * 8]
+    registry = EP.registry_table(spark, [("s", "m1", "stripped/words", 1, *weights(2.0)), ("s", None, "stripped/words", 1, *weights(-2.0)), ("t", "m1", "stripped/words", 1, *weights(0.0)), ("u", None, "original/words", 1, *weights(0.0))])
+    got = {(r.strategy, r.model, r.prompt_id): round(r.score, 6) for r in EP.registry_scores(data, registry).collect()}
+    assert got == {("s", "m1", 1): 0.880797, ("s", "m2", 1): 0.119203, ("s", "m2", 2): 0.119203, ("t", "m1", 1): 0.5}  # no example of u's features
+    assert {r.strategy for r in EP.registry_scores(data, registry, ["t"]).collect()} == {"t"}
+    curve, fitted = EP.train(data, [EP.Scorer("v", "nobody", 1.0, 2), EP.Scorer("w", None, 1.0, 3)], 8)
+    assert fitted[0][4] == 0.0 and [c[3:5] for c in curve] == [(0, 0)] * 2 + [(2, 0)] * 3 and [c[2] for c in curve if c[7]] == [2, 3]
+
+
+def test_patience_stops_early(spark):
+    rows = SC.training_rows(*stored_run(spark, SF_SMALL)[:2], chains=("flan",))
+    data = EP.examples(rows, ["stripped/words"], 64)
+    scorers = [EP.Scorer("wild", None, 60.0, 40)]
+    full, _ = EP.train(data, scorers, 64)
+    short, _ = EP.train(data, scorers, 64, patience=3)
+    assert len(short) < len(full) == 40
+    assert [c[5:7] for c in short] == [c[5:7] for c in full[: len(short)]] or np.allclose([c[6] for c in short], [c[6] for c in full[: len(short)]])
 
 
 def test_split_rates(spark):

@@ -101,3 +101,18 @@ def test_token_embedder_plugin(spark):
     assert got[0] == (1.0, 1.0)
     assert got[1] == (0.0, 0.0)
     assert got[2] == (round(2 ** -0.5, 9), round(2 ** -0.5, 9))
+
+
+def test_unusable_vectors_on_both_plans(spark):
+    """Null, ragged, empty, NaN and infinite vectors are as if absent, whichever plan runs; so is a table without any."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
+    bad = [(40, None), (41, [1.0, 2.0]), (42, []), (43, [1.0, None, 2.0]), (44, [nan, 1.0, 1.0]), (45, [inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (46, [1.0, 2.0, 3.0, 4.0])]
+    pairs = spark.createDataFrame([(1, "a b c d e f g h", "h g x y z a"), (2, "", "x"), (3, "one two three", "one two three")], "pair_id long, pred string, ref string")
+    for table in (rows + bad, bad[:7], []):
+        vectors = spark.createDataFrame(table, "vec_id long, embedding array<float>")
+        got = [{r.pair_id: (round(r.p, 9), round(r.r, 9), r.no_vector) for r in embed_match_pairs(pairs, vectors, allow_broadcast=wide).collect()} for wide in (True, False)]
+        assert got[0] == got[1], table
+    tokens = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("x", [1.0]), ("h", [0.0, 1.0])], "token string, embedding array<float>")
+    found = {r.pair_id: r.no_vector for r in embed_match_pairs(pairs, None, token_vectors=tokens).collect()}
+    assert found[1] == 6 + 4  # only a and h have a vector of the usual width

@@ -215,20 +215,24 @@ def q_scorer_input(spark, sf):
     return normalize(out[0].unionByName(out[1]))
 
 
-def _tier1_scored_sql() -> str:
-    return (
-        f"SELECT strategy, prompt_id, score FROM ({O.scored_long_sql('boolq', tuple(C.STRATEGIES))}) s WHERE tier = 1"
-    )
+def _gated_sql() -> str:
+    """Steps of every strategy and tier that have a gate (the last tier has none)."""
+    return f"SELECT strategy, prompt_id, CAST(tier AS BIGINT) AS tier, score FROM ({O.scored_long_sql('boolq', tuple(C.STRATEGIES))}) s WHERE tier < n_tiers"
 
 
-@register(
-    "gate_split",
-    sql=lambda: f"SELECT strategy, prompt_id, score, CASE WHEN COALESCE(score > {O.sql_dbl(0.8)}, false) THEN 'accept' ELSE 'escalate' END AS route "
-    f"FROM ({_tier1_scored_sql()}) t",
-)
+def _route_sql() -> str:
+    return f"SELECT strategy, prompt_id, tier, score, CASE WHEN COALESCE(score > {O.sql_dbl(0.8)}, false) THEN 'accept' ELSE 'escalate' END AS route FROM ({_gated_sql()}) t"
+
+
+def _gated(spark, sf) -> DataFrame:
+    steps = cascade.scored_long(*stored_run(spark, sf), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") < F.col("n_tiers"))
+    return steps.select("strategy", "prompt_id", "tier", "score")
+
+
+@register("gate_split", sql=_route_sql)
 def q_gate_split(spark, sf):
-    s = cascade.scored_long(*stored_run(spark, sf), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
-    return normalize(G.route(s.select("strategy", "prompt_id", "score"), 0.8))
+    """P8 at every tier that has a gate, for every strategy."""
+    return normalize(G.route(_gated(spark, sf), 0.8))
 
 
 @register(
@@ -245,34 +249,45 @@ def q_join_scores(spark, sf):
     return normalize(a.join(s, ["prompt_id", "tier"]).select("strategy", "prompt_id", "tier", "pred", "gold", "score"))
 
 
-def _accepted_t1_sql() -> str:
-    return f"SELECT strategy, prompt_id FROM ({_tier1_scored_sql()}) t WHERE score > {O.sql_dbl(0.8)}"
+def _gates() -> list[tuple[str, int]]:
+    return [(s, t.tier) for s in C.STRATEGIES for t in C.CHAINS[C.STRATEGIES[s]][:-1]]
+
+
+def _everyone_sql() -> str:
+    gates = ", ".join(f"({O.q(s)}, {t})" for s, t in _gates())
+    return f"SELECT x.strategy, CAST(x.tier AS BIGINT) AS tier, p.prompt_id, CAST(p.gold_class AS BIGINT) AS gold_class FROM ({O.prompts_sql('boolq')}) p CROSS JOIN (VALUES {gates}) x(strategy, tier)"
+
+
+def _everyone(spark, sf) -> DataFrame:
+    """Every prompt at every gate of every strategy."""
+    gates = F.array(*(F.struct(F.lit(s).alias("strategy"), F.lit(t).alias("tier")) for s, t in _gates()))
+    return P.prompts(spark, sf, "boolq").select("prompt_id", "gold_class", F.inline(gates))
 
 
 @register(
     "remaining_anti",
-    sql=lambda: f"SELECT x.strategy, p.prompt_id FROM ({O.prompts_sql('boolq')}) p CROSS JOIN (VALUES {', '.join('(' + O.q(s) + ')' for s in C.STRATEGIES)}) x(strategy) "
-    f"WHERE NOT EXISTS (SELECT 1 FROM ({_accepted_t1_sql()}) a WHERE a.prompt_id = p.prompt_id AND a.strategy = x.strategy)",
+    sql=lambda: f"SELECT strategy, tier, prompt_id FROM ({_everyone_sql()}) e WHERE NOT EXISTS ("
+    f"SELECT 1 FROM ({_gated_sql()}) a WHERE a.score > {O.sql_dbl(0.8)} AND a.prompt_id = e.prompt_id AND a.strategy = e.strategy AND a.tier <= e.tier)",
 )
 def q_remaining_anti(spark, sf):
-    """Prompts left for tier 2 at threshold 0.8 = all prompts (per strategy) minus those tier 1 accepted."""
-    s = cascade.scored_long(*stored_run(spark, sf), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
-    accepted, _ = G.gate_split(s, 0.8)
-    everyone = P.prompts(spark, sf, "boolq").select("prompt_id", F.explode(F.array(*[F.lit(x) for x in C.STRATEGIES])).alias("strategy"))
-    return normalize(G.remaining_anti(everyone, accepted, ["strategy", "prompt_id"]).select("strategy", "prompt_id"))
+    """What is left after each tier at 0.8 = all prompts minus those that a tier up to it accepted."""
+    accepted, _ = G.gate_split(_gated(spark, sf), 0.8)
+    longest = max(len(C.CHAINS[c]) for c in C.STRATEGIES.values())
+    gone = accepted.select("strategy", "prompt_id", F.explode(F.sequence("tier", F.lit(longest))).alias("tier"))
+    return normalize(G.remaining_anti(_everyone(spark, sf), gone, ["strategy", "prompt_id", "tier"]).select("strategy", "tier", "prompt_id"))
 
 
 @register(
     "accepted_semi",
-    sql=lambda: f"SELECT p.prompt_id, CAST(p.gold_class AS BIGINT) AS gold_class FROM ({O.prompts_sql('boolq')}) p "
-    f"WHERE EXISTS (SELECT 1 FROM ({_accepted_t1_sql()}) a WHERE a.prompt_id = p.prompt_id AND a.strategy = 'strategy-1')",
+    sql=lambda: f"SELECT e.strategy, e.tier, e.prompt_id, e.gold_class FROM ({_everyone_sql()}) e JOIN ("
+    f"SELECT strategy, prompt_id, min(tier) AS tier FROM ({_gated_sql()}) a WHERE a.score > {O.sql_dbl(0.8)} GROUP BY ALL) f "
+    "ON f.strategy = e.strategy AND f.prompt_id = e.prompt_id AND f.tier = e.tier",
 )
 def q_accepted_semi(spark, sf):
-    """Prompt rows whose tier-1 answer strategy-1 accepted at 0.8."""
-    s = cascade.scored_long(*stored_run(spark, sf), "boolq", ("strategy-1",)).where(F.col("tier") == 1)
-    accepted, _ = G.gate_split(s, 0.8)
-    p = P.prompts(spark, sf, "boolq").select("prompt_id", "gold_class")
-    return normalize(G.accepted_semi(p, accepted))
+    """The prompts that each tier accepts at 0.8, for every strategy: its gate passes and none before it did."""
+    accepted, _ = G.gate_split(_gated(spark, sf), 0.8)
+    first = accepted.groupBy("strategy", "prompt_id").agg(F.min("tier").alias("tier"))
+    return normalize(G.accepted_semi(_everyone(spark, sf), first, ["strategy", "prompt_id", "tier"]).select("strategy", "tier", "prompt_id", "gold_class"))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -731,12 +746,16 @@ def q_union_results(spark, sf):
 
 @register("sink_results", sql=lambda: O.quality_rows_sql(O.threshold_sweep_sql()))
 def q_sink_results(spark, sf):
-    """Write all grid points, then re-run one strategy's points: its partition is replaced, not doubled."""
-    rows = CV.quality_rows(cascade.threshold_sweep(*stored_run(spark, sf)))
+    """Commit all grid points, then single ones again - at first with wrong numbers, then right ones: each commit
+    replaces its points and keeps all others."""
+    run = stored_run(spark, sf)
+    rows = staged(CV.quality_rows(cascade.threshold_sweep(*run)), "quality-rows")
     base = scratch_path(spark, "results", _uuid.uuid4().hex)
     CV.sink_results(rows, base)
-    CV.sink_results(rows.where(F.col("Model") == "strategy-1"), base)
-    back = spark.read.parquet(base)
+    one = rows.where("Model = 'strategy-1' and Threshold = 0.7D")
+    CV.sink_results(one.withColumn("M-F1", F.lit(-1.0)), base)
+    CV.sink_results(CV.quality_rows(cascade.threshold_sweep(*run, "boolq", ("strategy-1",), (0.7,))), base)
+    back = CV.read_results(spark, base)
     return normalize(back.select(*[F.col(f"`{c}`") for c in CV.QUALITY_COLUMNS]))
 
 
@@ -765,104 +784,138 @@ def q_curve_series(spark, sf):
 
 
 # ---------------------------------------------------------------------------------------------------------------
-# Scorer training and scoring (rows checks: fitted models have no SQL form)
+# Scorers trained by epochs, their registry, and the gate that reads it
 # ---------------------------------------------------------------------------------------------------------------
 
-SCORER_GRID = ((0.01, 20), (0.1, 20))
-
+from .plans import epochs as EP  # noqa: E402
 
-def _loss_ok():
-    return F.col("val_logloss").between(0.0, 10.0).alias("loss_in_range")
+POOLED = [EP.Scorer("pooled", None, EP.step_of(1e-5), 10)]
 
 
-def _split_counts_sql(chains=("flan", "phi"), pct: int = C.VALIDATION_PCT["boolq"]) -> str:
-    """(model, n_train, n_val) of the hash split over the labelled answers."""
-    rows = " UNION ALL ".join(f"SELECT model, prompt_id FROM ({O.labelled_answers_sql('boolq', ch)}) x{i}" for i, ch in enumerate(chains))
-    held = f"{O.sql_h(O.sql_key('prompt_id', O.q('-split-'), O.q('42')))} < {pct}"
-    return f"SELECT model, count(*) FILTER (NOT {held}) AS n_train, count(*) FILTER ({held}) AS n_val FROM ({rows}) r GROUP BY model"
+def _scorer_rows(spark, sf, dataset: str = "boolq") -> DataFrame:
+    if dataset == "samsum":
+        prompts, answers, _ = FX.stored_text_run(spark, sf, "strategy-9")
+        return TE.training_rows_text(prompts, answers, _embeddings(spark, sf))
+    return SC.training_rows(*stored_run(spark, sf, dataset)[:2], dataset=dataset)
 
 
-def _totals_sql() -> str:
-    return f"SELECT CAST(sum(n_train) AS BIGINT) AS n_train, CAST(sum(n_val) AS BIGINT) AS n_val FROM ({_split_counts_sql()}) c"
-
-
-def _values_sql(rows, names: str) -> str:
-    cell = lambda v: O.q(v) if isinstance(v, str) else O.sql_dbl(v) if isinstance(v, float) else str(v)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names})"
+def _fit_sql(rows: str, scorers, result: str) -> str:
+    return O.scorer_fit_sql(rows, scorers, EP.N_FEATURES, result)
 
 
 @register(
     "train_scorer",
-    sql=lambda: f"SELECT v.reg_param, CAST(v.max_iter AS BIGINT) AS max_iter, t.n_train, t.n_val, true AS loss_in_range "
-    f"FROM {_values_sql(SCORER_GRID, 'reg_param, max_iter')} CROSS JOIN ({_totals_sql()}) t",
+    sql=lambda: _fit_sql(
+        O.scorer_rows_sql("boolq"), POOLED,
+        "SELECT strategy, CAST(e AS BIGINT) AS epoch, n_train, n_val, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, kept FROM curve",
+    ),
 )
 def q_train_scorer(spark, sf):
-    """M3: pooled scorer, two settings, judged by validation log-loss; one report row per setting (a loss has no SQL form,
-    so the row says that it is one)."""
-    _, report = SC.fit_best(SC.training_rows(*stored_run(spark, sf)[:2]), SCORER_GRID)
-    rows = [(float(r[0]), int(r[1]), int(r[2]), int(r[3]), float(r[4])) for r in report]
-    table = spark.createDataFrame(rows, "reg_param double, max_iter bigint, n_train bigint, n_val bigint, val_logloss double")
-    return table.select("reg_param", "max_iter", "n_train", "n_val", _loss_ok())
+    """M3: a pooled scorer, epoch by epoch: its losses, and the epoch that is kept, the one with the lowest validation loss."""
+    curve, _ = EP.train(EP.examples(_scorer_rows(spark, sf), ["stripped/words"]), POOLED)
+    return normalize(EP.curve_table(spark, curve).drop("model"))
 
 
 @register(
     "score_rows",
-    sql=lambda: " UNION ALL ".join(f"SELECT model, prompt_id, true AS in_range FROM ({O.labelled_answers_sql('boolq', ch)}) x{ch}" for ch in ("flan", "phi")),
+    sql=lambda: _fit_sql(
+        O.scorer_rows_sql("boolq"), POOLED, "SELECT ex.model, ex.prompt_id, round(1 / (1 + exp(-z)), 6) AS score FROM logits JOIN ex ON ex.rid = logits.rid",
+    ),
 )
 def q_score_rows(spark, sf):
-    """M2: the chosen scorer's class-1 probability for every (model, prompt) row, and that it is one."""
-    rows = SC.training_rows(*stored_run(spark, sf)[:2])
-    model, _ = SC.fit_best(rows, SCORER_GRID[:1])
-    return normalize(SC.score_rows(model, rows).select("model", "prompt_id", F.col("score").between(0.0, 1.0).alias("in_range")))
+    """M2: the kept epoch's class-1 probability for every (model, prompt) row."""
+    data = EP.examples(_scorer_rows(spark, sf), ["stripped/words"])
+    _, registry = EP.train(data, POOLED)
+    scores = EP.registry_scores(data, EP.registry_table(spark, registry))
+    return normalize(scores.select("model", "prompt_id", F.round("score", 6).alias("score")))
 
 
-@register(
-    "train_grid",
-    sql=lambda: f"""SELECT v.strategy, v.learning_rate, CAST(v.epochs AS BIGINT) AS epochs, v.layout, v.training_text, v.reg_param, CAST(v.max_iter AS BIGINT) AS max_iter,
-      t.n_train, t.n_val, true AS loss_in_range
-    FROM {_values_sql([(*r[:5], *SC.grid_for_strategy(r[1], r[2])) for r in C.STRATEGY_GRID], "strategy, learning_rate, epochs, layout, training_text, reg_param, max_iter")}
-    CROSS JOIN ({_totals_sql()}) t""",
-)
+GRIDS = {"boolq": C.STRATEGY_GRID, "mnli": C.STRATEGY_GRID_MNLI, "samsum": C.STRATEGY_GRID_SAMSUM}
+GRID_CHAINS = {"boolq": ("flan", "phi"), "mnli": ("flan", "phi"), "samsum": ("phi",)}
+
+
+def _grid_sql() -> str:
+    parts = []
+    for dataset, grid in GRIDS.items():
+        models = sorted(t.model for c in GRID_CHAINS[dataset] for t in C.CHAINS[c])
+        listed = _values_sql([(r[0], r[1], r[2], r[3], r[4], r[5] or "") for r in grid], "strategy, learning_rate, epochs, layout, training_text, base")
+        result = f"""SELECT {O.q(dataset)} AS dataset, v.strategy, v.learning_rate, CAST(v.epochs AS BIGINT) AS epochs, v.layout, v.training_text, nullif(v.base, '') AS base,
+          count(*) AS scorers, CAST(sum(n_train) AS BIGINT) AS n_train, CAST(sum(n_val) AS BIGINT) AS n_val, CAST(min(e) AS BIGINT) AS first_kept, CAST(max(e) AS BIGINT) AS last_kept,
+          round(sum(n_val * val_loss) / sum(n_val), 6) AS val_loss
+          FROM curve JOIN {listed} ON v.strategy = curve.strategy WHERE kept GROUP BY ALL"""
+        parts.append(f"SELECT * FROM ({_fit_sql(O.scorer_rows_sql(dataset, GRID_CHAINS[dataset]), EP.scorers_of(grid, models), result)}) g_{dataset}")
+    return " UNION ALL ".join(parts)
+
+
+def _values_sql(rows, names: str) -> str:
+    cell = lambda v: O.q(v) if isinstance(v, str) else O.sql_dbl(v) if isinstance(v, float) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names})"
+
+
+@register("train_grid", sql=_grid_sql)
 def q_train_grid(spark, sf):
-    """M6 + S10: the strategy grid, its training log appended to a ``strategies`` table and read back."""
-    log = SC.train_grid(SC.training_rows(*stored_run(spark, sf)[:2]), log_path=scratch_path(spark, "strategies", _uuid.uuid4().hex))
-    return log.select(*[c for c in log.columns if c != "val_logloss"], _loss_ok())
+    """M6 + S10: the strategy grids of all three tasks, their training log appended to one ``strategies`` table and read back."""
+    log = scratch_path(spark, "strategies", _uuid.uuid4().hex)
+    for dataset, grid in GRIDS.items():
+        table, _ = EP.train_grid(_scorer_rows(spark, sf, dataset), grid, dataset, log)
+    return normalize(table)
+
+
+#: One strategy in both layouts.
+LAYOUTS = {
+    "per_model": [EP.Scorer("strategy-1", t.model, EP.step_of(1e-5), 10) for t in C.CHAINS["flan"]],
+    "pooled": [EP.Scorer("strategy-1", None, EP.step_of(1e-5), 10)],
+}
 
 
 @register(
     "scorer_layouts",
-    sql=lambda: f"""SELECT 'strategy-1' AS strategy, 'per_model' AS layout, model, n_train, n_val, true AS loss_in_range FROM ({_split_counts_sql()}) c
-    UNION ALL SELECT 'strategy-1', 'pooled', NULL, n_train, n_val, true FROM ({_totals_sql()}) t""",
+    sql=lambda: " UNION ALL ".join(
+        "SELECT * FROM (" + _fit_sql(
+            O.scorer_rows_sql("boolq", ("flan",)), scorers,
+            f"SELECT strategy, {O.q(layout)} AS layout, model, n_train, n_val, CAST(e AS BIGINT) AS epoch, round(val_loss, 6) AS val_loss FROM curve WHERE kept",
+        ) + f") x{layout}" for layout, scorers in LAYOUTS.items()
+    ),
 )
 def q_scorer_layouts(spark, sf):
-    out = SC.scorer_layouts(SC.training_rows(*stored_run(spark, sf)[:2]))
-    return out.select(*[c for c in out.columns if c != "val_logloss"], _loss_ok())
+    """A strategy's scorers per model and its pooled one: rows, kept epoch and its validation loss."""
+    data = EP.examples(SC.training_rows(*stored_run(spark, sf)[:2], chains=("flan",)), ["stripped/words"])
+    out = []
+    for layout, scorers in LAYOUTS.items():
+        kept = EP.curve_table(spark, EP.train(data, scorers)[0]).where("kept")
+        out.append(kept.select("strategy", F.lit(layout).alias("layout"), "model", "n_train", "n_val", "epoch", "val_loss"))
+    return normalize(out[0].unionByName(out[1]))
 
 
-@register(
-    "cascade_fitted",
-    sql=lambda: f"""SELECT 'strategy-1' AS strategy, th.threshold, p.n AS prompts, p.n AS accepted, true AS tiers_in_range
-    FROM (SELECT count(*) AS n FROM ({O.prompts_sql('boolq')}) x) p CROSS JOIN {O.thresholds_values(C.THRESHOLDS_BOOLQ)}""",
-)
+def _cascade_fitted_sql() -> str:
+    parts = []
+    for layout, scorers in LAYOUTS.items():
+        result = f"""SELECT {O.q(layout)} AS layout, threshold, CAST(tier AS BIGINT) AS tier, count(*) AS accepted FROM (
+            SELECT prompt_id, threshold, min(CASE WHEN tier = 3 OR 1 / (1 + exp(-z)) > threshold THEN tier END) AS tier
+            FROM logits JOIN ex ON ex.rid = logits.rid CROSS JOIN {O.thresholds_values(C.THRESHOLDS_BOOLQ)} GROUP BY prompt_id, threshold) t GROUP BY ALL"""
+        parts.append(f"SELECT * FROM ({_fit_sql(O.scorer_rows_sql('boolq', ('flan',)), scorers, result)}) f_{layout}")
+    return " UNION ALL ".join(parts)
+
+
+@register("cascade_fitted", sql=_cascade_fitted_sql)
 def q_cascade_fitted(spark, sf):
-    """C2 with a trained scorer in the gate: fitted on the train split of the chain's answers, its scores drive the sweep.
-    Every prompt is accepted once at each threshold."""
+    """C2 + C5: the gate reads the scorer registry, once with a scorer per model and once with the pooled one: accepted prompts per
+    threshold and tier."""
     prompts, answers, _ = stored_run(spark, sf)
-    model, _ = SC.fit_best(SC.training_rows(prompts, answers, chains=("flan",)), SCORER_GRID[:1])
-    labelled = cascade.labelled_answers(prompts, answers, "boolq", cascade.chain_models("flan"))
-    final = cascade.sweep_final(prompts, answers, SC.scores_table(model, labelled, "strategy-1"), "boolq", ("strategy-1",))
-    return normalize(
-        final.groupBy("strategy", "threshold").agg(
-            F.countDistinct("prompt_id").alias("prompts"), F.count(F.lit(1)).alias("accepted"),
-            F.min(F.col("tier").between(1, len(C.CHAINS["flan"]))).alias("tiers_in_range"),
-        )
-    )
+    data = EP.examples(SC.training_rows(prompts, answers, chains=("flan",)), ["stripped/words"])
+    out = []
+    for layout, scorers in LAYOUTS.items():
+        registry = EP.registry_table(spark, EP.train(data, scorers)[1])
+        cells = cascade.sweep_cells(prompts, answers, EP.registry_scores(data, registry), "boolq", ("strategy-1",))
+        out.append(cells.groupBy("threshold", "tier").agg(F.sum("_n").alias("accepted")).select(F.lit(layout).alias("layout"), "threshold", "tier", "accepted"))
+    return normalize(out[0].unionByName(out[1]))
 
 
 # ---------------------------------------------------------------------------------------------------------------
 # Streams (oracle = the batch answer on what the stream may emit)
 # ---------------------------------------------------------------------------------------------------------------
 
+from .streaming import cascade as SCS  # noqa: E402
 from .streaming import jobs as ST  # noqa: E402
 
 
@@ -882,14 +935,22 @@ def q_stream_energy(spark, sf):
     return normalize(ST.stream_energy(spark, source, records.schema))
 
 
+@register("stream_gate", sql=_route_sql)
+def q_stream_gate(spark, sf):
+    """The gate of every tier and strategy as a stream with two sinks."""
+    return normalize(ST.stream_gate(spark, _gated(spark, sf), 0.8))
+
+
 @register(
-    "stream_gate",
-    sql=lambda: f"SELECT strategy, prompt_id, score, CASE WHEN COALESCE(score > {O.sql_dbl(0.8)}, false) THEN 'accept' ELSE 'escalate' END AS route "
-    f"FROM ({_tier1_scored_sql()}) t",
+    "stream_cascade",
+    sql=lambda: f"SELECT strategy, prompt_id, CAST(tier AS BIGINT) AS tier, CAST(pred AS BIGINT) AS pred, CASE WHEN tier < n_tiers THEN score END AS score "
+    f"FROM ({O.sweep_final_sql('boolq', tuple(C.STRATEGIES), (0.8,))}) f",
 )
-def q_stream_gate(spark, sf):
-    s = cascade.scored_long(*stored_run(spark, sf), "boolq", tuple(C.STRATEGIES)).where(F.col("tier") == 1)
-    return normalize(ST.stream_gate(spark, s.select("strategy", "prompt_id", "score"), 0.8))
+def q_stream_cascade(spark, sf):
+    """C1 / T2 as a stream over all tiers and strategies: answers and scores arrive in any order, some twice."""
+    answers, scores = FX.arriving_run(spark, sf)
+    accepted = SCS.stream_cascade(spark, answers, scores, *SCS.new_stream(spark), threshold=0.8, delay="2 hours")
+    return normalize(accepted.select("strategy", "prompt_id", "tier", "pred", "score"))
 
 
 @register("stream_dedup", sql=lambda: f"SELECT project_name, energy_consumed FROM ({O.emission_records_sql()}) r")
@@ -905,6 +966,19 @@ def q_stream_dedup(spark, sf):
     return normalize(ST.stream_dedup(spark, first, again))
 
 
+@register(
+    "stream_last_wins",
+    sql=lambda: f"SELECT project_name, arg_max(energy_consumed, file_order) AS energy_consumed, count(*) AS copies FROM ({_dup_records_sql()}) d GROUP BY project_name",
+)
+def q_stream_last_wins(spark, sf):
+    """T3 / A11 as a stream: changed copies arrive after their first record, and the last one wins."""
+    base = scratch_path(spark, "stream_last_wins", _uuid.uuid4().hex)
+    rows = _dup_records(spark, sf).withColumn("file_order", F.col("file_order").cast("long"))
+    for order in (0, 1):
+        rows.where(F.col("file_order") == order).write.parquet(f"{base}/in/{order}")
+    return normalize(ST.stream_last_wins(spark, f"{base}/in/*", f"{base}/table", f"{base}/ckpt"))
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Tracker logs
 # ---------------------------------------------------------------------------------------------------------------

@@ -121,6 +121,27 @@ def stored_run(spark: SparkSession, sf_dir: str, dataset: str = "boolq") -> tupl
     return prompts, *_stored(spark, sf_dir, dataset, build)
 
 
+def arriving_run(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Folders of answers and scores of the stored run as they arrive: scattered over an hour and over files in no order, some
+    twice, then a heartbeat row per stream that moves event time on."""
+    prompts, answers, scores = stored_run(spark, sf_dir)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    later = lambda *parts: F.timestamp_seconds(F.unix_timestamp(start) + h(key(*parts), 3000))
+    a = answers.join(prompts.select("prompt_id", "prompt_text"), "prompt_id")
+    a = a.select("prompt_id", "model", "prompt_text", "response", later(F.col("prompt_id"), "-at-", F.col("model")).alias("ts"))
+    s = scores.select("strategy", "prompt_id", F.col("tier").cast("int").alias("tier"), "score", later(F.col("strategy"), "-at-", F.col("prompt_id"), "-", F.col("tier")).alias("ts"))
+    beat = F.timestamp_seconds(F.unix_timestamp(start) + F.lit(100 * 3600)).alias("ts")
+    base = scratch_path(spark, "arriving", uuid.uuid4().hex)
+    for name, rows in (("answers", a), ("scores", s)):
+        own = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in ("ts", "strategy")]
+        tick = spark.range(1).select(*([F.lit("strategy-1").alias("strategy")] if name == "scores" else []), *own, beat)
+        again = rows.where(h(key(F.col("prompt_id"), "-again")) < 20)
+        part = F.pmod(F.xxhash64("prompt_id", "ts"), F.lit(3))
+        for i, arrivals in enumerate((rows.where(part == 2), rows.where(part == 0).unionByName(again), rows.where(part == 1), tick)):
+            arrivals.write.parquet(f"{base}/{name}/{i}")
+    return f"{base}/answers/*", f"{base}/scores/*"
+
+
 def blind_class(prompt_id: Column, model: Column, n_classes: int) -> Column:
     """Class that the pandas stub answers with: a model does not know the gold label, so a hash alone decides."""
     return h(key(prompt_id, "-b-", model), n_classes).cast("int")

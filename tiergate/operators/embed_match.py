@@ -36,6 +36,16 @@ def token_vec_id(token: Column, n_vectors: int) -> Column:
     return hex_bits(token, 8) % F.lit(n_vectors)
 
 
+def usable_vectors(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Rows whose vector can be compared: a key, no component that is null, NaN or infinite, and the width that most such rows
+    have (of equally frequent widths the larger). Both plans see the same rows; other vectors are as if absent."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    whole = embeddings.where(F.col(key).isNotNull() & (F.size("embedding") > 0) & F.coalesce(F.forall("embedding", fine), F.lit(False)))
+    widths = whole.groupBy(F.size("embedding").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    top = widths.orderBy(F.desc("n"), F.desc("width")).first()
+    return whole.where(F.size("embedding") == (top["width"] if top else 0))
+
+
 def unit_vectors(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
     """(key, u): the embedding as double[] scaled to length 1 (zero vectors stay zero)."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -84,11 +94,12 @@ def id_range(embeddings: DataFrame) -> int:
 def broadcast_match_col(embeddings: DataFrame, pred: Column, ref: Column) -> Column | None:
     """struct<p, r, no_vector> of the greedy match for a (pred, ref) pair held in the row, scored against a broadcast
     matrix - or None when the vector table is too large to broadcast (then use ``embed_match_pairs``'s join plan)."""
-    count, dim = embeddings.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    if not count or count * (dim or 0) * 8 > BROADCAST_LIMIT_BYTES:
-        return None
+    usable = usable_vectors(embeddings)
+    count, dim = usable.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     n_ids = id_range(embeddings)
-    return _broadcast_udf(embeddings)(_ids(pred, n_ids), _ids(ref, n_ids))
+    if not n_ids or count * (dim or 0) * 8 > BROADCAST_LIMIT_BYTES:
+        return None
+    return _broadcast_udf(usable)(_ids(pred, n_ids), _ids(ref, n_ids))
 
 
 def _ids(text: Column, n_ids: int) -> Column:
@@ -98,7 +109,10 @@ def _ids(text: Column, n_ids: int) -> Column:
 def _broadcast_udf(embeddings: DataFrame):
     vecs = unit_vectors(embeddings).orderBy("vec_id").toPandas()
     ids = vecs["vec_id"].to_numpy(dtype=np.int64)
-    bc = embeddings.sparkSession.sparkContext.broadcast((ids, np.stack(vecs["u"]) if len(ids) else np.zeros((0, 0))))
+    if not len(ids):
+        ids = np.array([-1])  # no token has this id
+        vecs = pd.DataFrame({"u": [np.zeros(1)]})
+    bc = embeddings.sparkSession.sparkContext.broadcast((ids, np.stack(vecs["u"])))
 
     def places(wanted) -> np.ndarray:
         """Row of each id that has a vector."""
@@ -137,11 +151,11 @@ def embed_match_pairs(
     """
     g = list(group_cols)
     if token_vectors is not None:
-        return _join_pairs(pairs, g, token_vectors.select("token", F.col("embedding").alias("embedding")), None)
+        return _join_pairs(pairs, g, usable_vectors(token_vectors.select("token", "embedding"), "token"), None)
     match = broadcast_match_col(embeddings, F.col("pred"), F.col("ref")) if allow_broadcast else None
     if match is not None:
         return _broadcast_pairs(pairs, match, g)
-    return _join_pairs(pairs, g, embeddings, id_range(embeddings))
+    return _join_pairs(pairs, g, usable_vectors(embeddings), id_range(embeddings))
 
 
 def _join_pairs(pairs: DataFrame, g: list, vectors: DataFrame, n_ids: int | None) -> DataFrame:

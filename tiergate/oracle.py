@@ -472,6 +472,59 @@ def labelled_answers_sql(dataset: str, chain_name: str) -> str:
     )
 
 
+def scorer_rows_sql(dataset: str, chains=("flan", "phi"), pct: int | None = None) -> str:
+    """(prompt_id, model, tier, stripped, original, y, held) of the scorers' training rows."""
+    pct = C.VALIDATION_PCT[dataset] if pct is None else pct
+    if dataset == "samsum":
+        labels = scorer_labels_text_sql(text_pairs_by_model_sql("samsum", C.CHAINS[chains[0]]))
+        src = f"SELECT a.prompt_id, a.model, a.tier, a.response AS stripped, a.response AS original, l.label AS y FROM ({text_answers_sql('samsum', C.CHAINS[chains[0]])}) a JOIN ({labels}) l ON a.prompt_id = l.prompt_id AND a.model = l.model"
+    else:
+        ans = sql_strip_echo("a.response", "a.prompt_text", "a.model")
+        pred = SQL_CASCADE_RULES[dataset](ans, "a.model")
+        read = ans if dataset == "boolq" else f"CAST({pred} AS VARCHAR)"
+        src = " UNION ALL ".join(
+            f"SELECT a.prompt_id, a.model, a.tier, a.prompt_text || {read} AS stripped, a.response AS original, CASE WHEN {pred} = a.gold_class THEN 1 ELSE 0 END AS y FROM ({answers_sql(dataset, C.CHAINS[c])}) a"
+            for c in chains
+        )
+    return f"SELECT x.*, {sql_h(sql_key('prompt_id', q('-split-'), q('42')))} < {pct} AS held FROM ({src}) x"
+
+
+def scorer_fit_sql(rows: str, scorers, n_features: int, result: str) -> str:
+    """Gradient descent of all scorers, epoch by epoch, over (row, feature) pairs; ``result`` reads ``curve`` (sid, strategy, model,
+    e, n_train, n_val, train_loss, val_loss, kept), ``logits`` of the kept epoch (sid, rid, z), ``ex`` and ``sc``."""
+    last = max(s.epochs for s in scorers)
+    cell = lambda x: "NULL" if x is None else q(x)
+    values = ", ".join(f"({i}, {q(s.strategy)}, {cell(s.model)}, {s.step!r}::DOUBLE, {s.epochs}, {q(s.kind)})" for i, s in enumerate(scorers))
+    kinds = ", ".join(f"({q(k)})" for k in sorted({s.kind for s in scorers}))
+    ctes = [
+        f"sc AS MATERIALIZED (SELECT * FROM (VALUES {values}) v(sid, strategy, model, step, epochs, kind))",
+        f"rw AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM ({rows}) r)",
+        f"ex AS MATERIALIZED (SELECT rid, prompt_id, model, tier, y, held, k.kind, {sql_tokens("CASE WHEN k.kind LIKE 'original/%' THEN original ELSE stripped END")} AS t FROM rw CROSS JOIN (VALUES {kinds}) k(kind))",
+        f"""bk AS (SELECT rid, kind, (('0x' || substr(md5(token), 1, 8))::BIGINT) % {n_features} AS f, count(*) AS c FROM (
+            SELECT rid, kind, unnest(t) AS token FROM ex UNION ALL SELECT rid, kind, unnest({sql_ngrams('t', 2)}) FROM ex WHERE kind LIKE '%/pairs') GROUP BY ALL)""",
+        f"""fx AS MATERIALIZED (SELECT rid, kind, f, c / sqrt(sum(c * c) OVER (PARTITION BY rid, kind)) AS x FROM bk UNION ALL SELECT rid, kind, {n_features}, 1.0 FROM ex)""",
+        "own AS MATERIALIZED (SELECT sc.sid, ex.rid, ex.kind, ex.y, ex.held FROM ex JOIN sc ON sc.kind = ex.kind AND (sc.model IS NULL OR sc.model = ex.model))",
+        "nn AS MATERIALIZED (SELECT sid, count(*) FILTER (NOT held) AS n_train, count(*) FILTER (held) AS n_val FROM own GROUP BY sid)",
+        f"w0 AS MATERIALIZED (SELECT sid, f, 0.0::DOUBLE AS w FROM sc CROSS JOIN range({n_features + 1}) t(f))",
+    ]
+    for e in range(last + 1):
+        ctes.append(f"""z{e} AS MATERIALIZED (SELECT o.sid, o.rid, o.kind, o.y, o.held, sum(fx.x * w.w) AS z FROM own o JOIN fx ON fx.rid = o.rid AND fx.kind = o.kind
+            JOIN w{e} w ON w.sid = o.sid AND w.f = fx.f GROUP BY ALL)""")
+        p = "(1 / (1 + exp(-z)))"
+        loss = f"CASE WHEN y = 1 THEN -ln(greatest({p}, 1e-15)) ELSE -ln(greatest(1 - {p}, 1e-15)) END"
+        ctes.append(f"l{e} AS MATERIALIZED (SELECT sid, {e} AS e, sum(CASE WHEN NOT held THEN {loss} END) AS tl, sum(CASE WHEN held THEN {loss} END) AS vl FROM z{e} GROUP BY sid)")
+        if e < last:
+            ctes.append(f"""w{e + 1} AS MATERIALIZED (SELECT w.sid, w.f, w.w - CASE WHEN {e} < sc.epochs THEN sc.step * coalesce(g.g, 0) / nn.n_train ELSE 0 END AS w
+                FROM w{e} w JOIN sc ON sc.sid = w.sid JOIN nn ON nn.sid = w.sid LEFT JOIN (
+                  SELECT z.sid, fx.f, sum(fx.x * ({p} - z.y)) AS g FROM z{e} z JOIN fx ON fx.rid = z.rid AND fx.kind = z.kind WHERE NOT z.held GROUP BY ALL) g ON g.sid = w.sid AND g.f = w.f)""")
+    every = " UNION ALL ".join(f"SELECT * FROM l{e}" for e in range(1, last + 1))
+    ctes.append(f"""curve AS MATERIALIZED (SELECT sc.sid, sc.strategy, sc.model, sc.step, sc.kind, x.e, nn.n_train, nn.n_val, x.tl / nn.n_train AS train_loss, x.vl / nn.n_val AS val_loss,
+        x.e = arg_min(x.e, (x.vl, x.e)) OVER (PARTITION BY sc.sid) AS kept FROM ({every}) x JOIN sc ON sc.sid = x.sid JOIN nn ON nn.sid = sc.sid WHERE x.e <= sc.epochs)""")
+    chosen = " UNION ALL ".join(f"SELECT z.sid, z.rid, z.z FROM z{e} z JOIN curve c ON c.sid = z.sid AND c.e = {e} AND c.kept" for e in range(1, last + 1))
+    ctes.append(f"logits AS ({chosen})")
+    return f"WITH {', '.join(ctes)} {result}"
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # emission records derived from events
 # ---------------------------------------------------------------------------------------------------------------
@@ -634,12 +687,12 @@ def text_answers_sql(task: str, models=C.EVAL_MODELS) -> str:
     resp = f"(CASE WHEN {sql_echoes('m.model')} THEN p.prompt_text || {text} ELSE {text} END)"
     return (
         f"SELECT p.prompt_id, m.model, m.tier, lower(p.gold_text) AS gold_text, lower({sql_strip_echo(resp, 'p.prompt_text', 'm.model')}) AS answer, "
-        f"{right} AS \"right\" FROM ({task_prompts_sql(task)}) p CROSS JOIN (VALUES {mv}) AS m(model, skill, tier)"
+        f"{right} AS \"right\", {resp} AS response FROM ({task_prompts_sql(task)}) p CROSS JOIN (VALUES {mv}) AS m(model, skill, tier)"
     )
 
 
-def text_pairs_by_model_sql(task: str) -> str:
-    return f"SELECT model, prompt_id AS pair_id, answer AS pred, gold_text AS ref FROM ({text_answers_sql(task)}) a"
+def text_pairs_by_model_sql(task: str, models=C.EVAL_MODELS) -> str:
+    return f"SELECT model, prompt_id AS pair_id, answer AS pred, gold_text AS ref FROM ({text_answers_sql(task, models)}) a"
 
 
 def text_metrics_sql(pairs: str, keys) -> str:
@@ -684,10 +737,10 @@ def eval_run_folder_sql(class_tasks, multilabel_tasks, text_tasks, missing: tupl
     UNION ALL SELECT task, model, 'answers', CAST({said} AS DOUBLE) FROM ({runs}) x"""
 
 
-def scorer_labels_text_sql() -> str:
+def scorer_labels_text_sql(pairs: str | None = None) -> str:
     from .config import SCORER_LABEL_MIN_F1
 
-    per = embed_match_per_pair_sql(text_pairs_by_model_sql("samsum"), ["model"])
+    per = embed_match_per_pair_sql(pairs or text_pairs_by_model_sql("samsum"), ["model"])
     return f"SELECT model, pair_id AS prompt_id, round(f, 9) AS emb_f1, CAST(CASE WHEN f > {SCORER_LABEL_MIN_F1} THEN 1 ELSE 0 END AS BIGINT) AS label FROM ({per}) x"
 
 

@@ -2,8 +2,8 @@
 
 * quality rows are written in the published layout (``Model, Threshold, M-Pre, M-Rec, M-F1``, x100, 1 digit,
   rounded through a decimal so the printed value is the exact half-up of the stored one);
-* ``sink_results`` writes partitioned by strategy with dynamic partition overwrite: re-running one grid point
-  replaces its partition instead of appending a second copy (the studied loop re-reads and re-writes a CSV);
+* ``sink_results`` commits grid points (``sources.point_table``): re-running one (strategy, threshold) replaces that point
+  and keeps all others (the studied loop re-reads and re-writes a CSV);
 * ``cost_quality`` full-outer-joins quality with measured energy on (strategy, threshold) - a key present on one side
   only keeps its row with nulls on the other - and adds the single models at every threshold;
 * single-model baselines are one row per model, attached to every threshold of the sweep by a literal-array
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators.metrics import macro_prf_from_cells
 from ..session import staged
+from ..sources.point_table import read_points, write_points
 from . import cascade
 
 QUALITY_COLUMNS = ("Model", "Threshold", "M-Pre", "M-Rec", "M-F1")
@@ -51,19 +52,17 @@ def union_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
-def sink_results(rows: DataFrame, base: str) -> None:
-    """Partition by strategy, overwrite only the partitions present in ``rows``.
+POINT = ("Model", "Threshold")
 
-    Quality rows are one per (strategy, threshold): a handful per strategy, so hashing on the strategy is safe.
-    """
-    (
-        rows.withColumn("strategy", F.col("Model"))
-        .repartition("strategy")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("strategy")
-        .parquet(base)
-    )
+
+def sink_results(rows: DataFrame, base: str) -> int:
+    """Write quality rows; the grid points that ``rows`` hold are replaced, all others stay. The commit's number."""
+    return write_points(rows, base, POINT)
+
+
+def read_results(spark: SparkSession, base: str) -> DataFrame:
+    """The current quality rows of every grid point."""
+    return read_points(spark, base, POINT)
 
 
 def baselines(prompts: DataFrame, answers: DataFrame, dataset: str = "boolq", chains: Sequence[str] = ("flan", "phi")) -> DataFrame:

@@ -1,14 +1,8 @@
-"""Scorer training and inference (M2-M6, C5) with Spark ML.
+"""Scorer inputs (P7), training rows (M4, P5, U2), and Spark ML pipelines as scorers.
 
-The studied scorer is a fine-tuned transformer on one GPU; the Spark re-aim is a distributed text classifier:
-``RegexTokenizer -> HashingTF -> IDF -> LogisticRegression`` over ``prompt + answer`` (scorer input, P7), label =
-answer right (M4). Train / validation come from the seeded hash split (P5, 20 % validation); each candidate
-setting is fitted on train and judged by validation log-loss, and the best is kept ("best epoch on validation").
-
-The strategy grids (M6) map each strategy's learning rate and epochs to ``regParam = lr * 1000`` and
-``maxIter = 2 * epochs`` - our mapping, stated here, not a property of the studied models.
-
-Layouts (C5): one scorer per (strategy, model), or one pooled scorer per strategy over every model's rows.
+Training by epochs, grids, layouts and the registry are in ``plans.epochs``. A Spark ML ``PipelineModel`` plugs into the
+gate as well (``as_score_fn``, ``scores_table``); ``fit_grid`` fits one, ``RegexTokenizer -> HashingTF -> IDF ->
+LogisticRegression`` over the scorer input, for several settings, judged by validation log-loss.
 """
 
 from __future__ import annotations
@@ -25,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators.sampling import split_hash
-from ..session import staged
 from . import cascade
 
 NUM_FEATURES = 1 << 16
@@ -40,9 +33,9 @@ def scorer_text(dataset: str) -> Column:
 
 
 def training_rows(prompts: DataFrame, answers: DataFrame, dataset: str = "boolq", chains: Sequence[str] = ("flan", "phi"), validation_pct: int | None = None) -> DataFrame:
-    """(model, prompt_id, scorer_text, label double, split): U2 pooled rows with the P5 split of the data set."""
+    """(model, tier, prompt_id, scorer_text, response, label double, split): U2 pooled rows with the P5 split of the data set."""
     rows = cascade.labelled_answers(prompts, answers, dataset, cascade.chain_models(*chains))
-    t = rows.select("model", "prompt_id", scorer_text(dataset).alias("scorer_text"), "response", (F.col("pred") == F.col("gold")).cast("double").alias("label"))
+    t = rows.select("model", "tier", "prompt_id", scorer_text(dataset).alias("scorer_text"), "response", (F.col("pred") == F.col("gold")).cast("double").alias("label"))
     return split_hash(t, C.VALIDATION_PCT[dataset] if validation_pct is None else validation_pct)
 
 
@@ -121,79 +114,3 @@ def scores_table(model: PipelineModel, labelled: DataFrame, strategy: str, datas
     """(strategy, prompt_id, tier, score): a fitted scorer's scores of labelled answers, as ``sweep_final`` takes them."""
     out = model.transform(labelled.withColumn("scorer_text", F.coalesce(scorer_text(dataset), F.lit(""))))
     return out.select(F.lit(strategy).alias("strategy"), "prompt_id", "tier", vector_to_array("probability")[1].alias("score"))
-
-
-def grid_for_strategy(lr: float, epochs: int) -> tuple[float, int]:
-    return (lr * 1000.0, 2 * epochs)
-
-
-LOG_SCHEMA = (
-    "strategy string, learning_rate double, epochs bigint, layout string, training_text string, reg_param double, max_iter bigint, "
-    "n_train bigint, n_val bigint, val_logloss double"
-)
-
-
-def train_grid(rows: DataFrame, grid: Sequence[tuple] = C.STRATEGY_GRID, log_path: str | None = None) -> DataFrame:
-    """M6: every strategy of a grid; one report row per strategy.
-
-    A pooled strategy is one scorer over all models' rows, a per-model one is a scorer for each model (its loss is the
-    mean over their validation rows). ``rows`` hold both training texts: ``scorer_text`` and ``response``. Settings
-    that share layout and text share their features, fitted once; groups run concurrently.
-
-    S10: the report rows are appended to the ``strategies`` training-log table at ``log_path`` when one is given, and
-    the table is returned as read back.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    spark = rows.sparkSession
-    rows = staged(rows, "grid-rows")
-    models = sorted(r["model"] for r in rows.select("model").distinct().collect())  # a handful
-    groups: dict[tuple, list[tuple]] = {}
-    for name, lr, epochs, layout, text, *_ in grid:
-        groups.setdefault((layout, text), []).append((name, lr, epochs))
-
-    def fit_one(job):
-        (layout, text), model = job
-        own = rows if model is None else rows.where(F.col("model") == model)
-        own = own.withColumn("scorer_text", F.coalesce("response", F.lit(""))) if text == "original" else own
-        fitted, n_train, n_val = fit_grid(own, [grid_for_strategy(lr, e) for _, lr, e in groups[layout, text]], parallelism=2)
-        return [(n_train, n_val, loss) for *_, loss in fitted]
-
-    jobs = [(k, m) for k in groups for m in ([None] if k[0] == "pooled" else models)]
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        results = dict(zip(jobs, pool.map(fit_one, jobs)))
-    out = []
-    for (layout, text), members in groups.items():
-        for i, (name, lr, epochs) in enumerate(members):
-            own = [results[k, m][i] for k, m in jobs if k == (layout, text)]
-            n_train, n_val = sum(r[0] for r in own), sum(r[1] for r in own)
-            loss = sum(r[1] * r[2] for r in own if r[1]) / n_val if n_val else float("nan")
-            reg, it = grid_for_strategy(lr, epochs)
-            out.append((name, float(lr), epochs, layout, text, reg, it, n_train, n_val, loss))
-    report = spark.createDataFrame(out, LOG_SCHEMA)
-    if log_path is None:
-        return report
-    report.coalesce(1).write.mode("append").parquet(log_path)
-    return spark.read.parquet(log_path)
-
-
-def scorer_layouts(rows: DataFrame, strategy: str = "strategy-1") -> DataFrame:
-    """Per-model scorers vs one pooled scorer for a strategy; validation log-loss of each."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    lr, epochs = next((lr, e) for n, lr, e, *_ in C.STRATEGY_GRID if n == strategy)
-    setting = grid_for_strategy(lr, epochs)
-    spark = rows.sparkSession
-    rows = staged(rows, "scorer-rows")
-    models = [t.model for ch in ("flan", "phi") for t in C.CHAINS[ch]]
-    jobs = [("per_model", m, rows.where(F.col("model") == m)) for m in models] + [("pooled", None, rows)]
-
-    def one(job):
-        layout, m, subset = job
-        fitted, n_train, n_val = fit_grid(subset, [setting], parallelism=1)
-        return (strategy, layout, m, int(n_train), int(n_val), float(fitted[0][3]))
-
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        out = list(pool.map(one, jobs))
-    schema = "strategy string, layout string, model string, n_train bigint, n_val bigint, val_logloss double"
-    return spark.createDataFrame(out, schema)

@@ -16,6 +16,7 @@ from .. import config as C
 from ..functions.text import strip_echo
 from ..operators.embed_match import broadcast_match_col, embed_match_pairs
 from ..operators.intervals import sums_on_grid
+from ..operators.sampling import split_hash
 from ..operators.rouge import lcs_col, rouge_counts_col
 from ..session import staged
 from ..sources import prompts as P
@@ -90,6 +91,15 @@ def scorer_labels_text(pairs: DataFrame, embeddings: DataFrame, keys: Sequence[s
     )
 
 
+def training_rows_text(prompts: DataFrame, answers: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(model, tier, prompt_id, scorer_text, response, label, split) of a text task: the scorer reads the raw output (P7), and
+    it is right (1) when its embedding-match F1 is above the limit (M5)."""
+    pairs = answer_pairs(prompts, answers).select("model", F.col("prompt_id").alias("pair_id"), "pred", "ref")
+    labels = scorer_labels_text(pairs, embeddings).select("model", "prompt_id", F.col("label").cast("double").alias("label"))
+    rows = answers.select("model", "tier", "prompt_id", F.col("response").alias("scorer_text"), "response").join(labels, ["model", "prompt_id"])
+    return split_hash(rows, C.VALIDATION_PCT["samsum"])
+
+
 def cascade_text(
     prompts: DataFrame, answers: DataFrame, scores: DataFrame, embeddings: DataFrame, strategy: str = "strategy-9",
     thresholds: Sequence[float] | DataFrame = C.THRESHOLDS_SAMSUM,

@@ -9,7 +9,10 @@ streams:
 * ``stream_gate`` (T2): the gate as a stateless stream; ``foreachBatch`` writes each micro-batch to an accepted
   and an escalated table, overwriting that micro-batch's partition so a replayed batch is not written twice;
 * ``stream_dedup`` (T3): duplicate emission records removed with ``dropDuplicatesWithinWatermark`` - the *first*
-  arrival wins (the batch job A11 keeps the *last*; the two differ on purpose).
+  arrival wins;
+* ``stream_last_wins`` (T3 / A11): the *last* record of a key wins, as in the batch job. The result table is the state:
+  hash buckets of keys are points of a ``point_table``, a micro-batch rewrites the buckets that it touches, and its
+  number is committed with them, so a replayed micro-batch changes nothing.
 
 All sinks are parquet with a checkpoint location under the shared checkpoint folder, and every run uses
 ``availableNow`` so it drains what is there and stops.
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.gate import accepted_condition
 from ..session import scratch_path
+from ..sources.point_table import read_points, snapshot, write_points
 
 
 def _run_to_parquet(stream: DataFrame, out: str, ckpt: str, mode: str = "append") -> None:
@@ -72,7 +76,7 @@ def stream_energy(
 
 
 def stream_gate(spark: SparkSession, scored: DataFrame, threshold: float) -> DataFrame:
-    """``scored`` (strategy, prompt_id, score) is staged as files, streamed, and routed to two sinks."""
+    """``scored`` (strategy, prompt_id, tier, score) is staged as files, streamed, and routed to two sinks."""
     run = uuid.uuid4().hex
     src = scratch_path(spark, "stream_gate", run, "src")
     scored.write.mode("overwrite").parquet(src)
@@ -97,7 +101,7 @@ def stream_gate(spark: SparkSession, scored: DataFrame, threshold: float) -> Dat
         .start()
     )
     q.awaitTermination()
-    cols = ["strategy", "prompt_id", "score"]
+    cols = scored.columns
     acc = spark.read.schema(scored.schema).parquet(acc_path).select(*cols, F.lit("accept").alias("route"))
     esc = spark.read.schema(scored.schema).parquet(esc_path).select(*cols, F.lit("escalate").alias("route"))
     return acc.unionByName(esc)
@@ -118,3 +122,32 @@ def stream_dedup(spark: SparkSession, first: DataFrame, again: DataFrame, delay:
         dedup = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["project_name"])
         _run_to_parquet(dedup, out, ckpt)
     return spark.read.parquet(out).select("project_name", "energy_consumed")
+
+
+def stream_last_wins(spark: SparkSession, source: str, base: str, checkpoint: str, buckets: int = 64, files_per_trigger: int | None = None) -> DataFrame:
+    """T3 with A11's rule: drain the Parquet folder ``source`` of records (project_name, energy_consumed, file_order) into the
+    table at ``base`` and return it: (project_name, energy_consumed, copies) with the value of the highest ``file_order`` (of
+    equal ones the larger value). After every micro-batch the table equals ``energy_dedup`` of the records so far.
+
+    ``buckets`` bounds what a micro-batch rewrites: a record rewrites 1 / ``buckets`` of the table.
+    """
+    limit = {"maxFilesPerTrigger": files_per_trigger} if files_per_trigger else {}
+    records = spark.readStream.schema("project_name string, energy_consumed double, file_order long").options(**limit).parquet(source)
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        here = batch.sparkSession
+        number, _, mark = snapshot(here, base)
+        if mark is not None and mark >= batch_id:
+            return  # committed before a restart
+        fresh = batch.select("project_name", "energy_consumed", "file_order", F.lit(1).cast("long").alias("copies"))
+        rows = fresh.withColumn("bucket", F.pmod(F.xxhash64("project_name"), F.lit(buckets)).cast("int"))
+        if number:
+            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
+            rows = rows.unionByName(read_points(here, base, ["bucket"]).where(F.col("bucket").isin(touched)))
+        last = F.max_by("energy_consumed", F.struct("file_order", "energy_consumed"))
+        merged = rows.groupBy("bucket", "project_name").agg(last.alias("energy_consumed"), F.max("file_order").alias("file_order"), F.sum("copies").alias("copies"))
+        write_points(merged, base, ["bucket"], mark=batch_id)
+
+    q = records.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return read_points(spark, base, ["bucket"]).select("project_name", "energy_consumed", "copies")
