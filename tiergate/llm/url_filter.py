@@ -1,18 +1,23 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for what they leave open.
 
-Labelled URLs: a host with a word of ``BAD_WORDS`` among its parts counts as bad, other hosts as good. The trees never
-see the words, only counts, ratios, entropies and suffix statistics, so they carry over to hosts that no list names.
-They are fitted (Spark ML) on a bounded sample, ``max_train_rows`` URLs that no rule decides, lowest hash first.
-
-Features are DataFrame functions. Suffix statistics are counted over all URLs and come back by an equi-join.
+Labels come from a table (page_id, bad) where one is given. For other URLs the verdict of a rule is the label, and where no
+rule decides a weak list: a host with a word of ``BAD_WORDS`` among its parts counts as bad, others as good. The trees
+never see words or rules, only counts, ratios, entropies and suffix statistics, so they carry over to hosts that no list
+names. They are fitted (Spark ML) on a bounded sample of ``max_train_rows`` URLs, lowest hash first.
+
+Features are DataFrame functions. Suffix statistics are out of fold: hosts are dealt into folds, and the rate of bad URLs of
+a suffix is counted over the other folds, so no URL meets its own label or that of its host. They are counted over all
+URLs and come back by an equi-join on (suffix, fold). The trees of all folds but one, scored on that one, give the
+held-out AUC that is reported.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiergate.llm.common import let, lower_az, stage
@@ -29,6 +34,7 @@ BAD_WORDS = (
 
 MAX_TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
+FOLDS = 5
 THRESHOLD = 0.5
 SMOOTHING = 10.0
 
@@ -80,14 +86,26 @@ def is_bad(host: Column) -> Column:
     return F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, BAD_WORDS)))
 
 
-def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
-    """(page_id, url, host, path, rule, verdict, suffix, top, bad): ``suffix`` is the host's last two parts, ``top`` its last."""
+def parsed(pages: DataFrame, url: str = "url", labels: DataFrame | None = None) -> DataFrame:
+    """(page_id, url, host, path, rule, verdict, suffix, top, fold, bad): ``suffix`` is the host's last two parts, ``top`` its
+    last; ``bad`` is the label.
+
+    ``labels``: (page_id, bad); of an id with several labels bad wins, ids and labels that are null are left out.
+    """
     text = F.coalesce(F.col(url), F.lit(""))
     rows = pages.select("page_id", text.alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = rows.withColumn("decided", rule_of(F.col("host"), F.col("path")))
+    given = F.lit(None).cast("boolean")
+    if labels is not None:
+        known = labels.select(F.col("page_id").alias("__id"), F.col("bad").cast("boolean").alias("given")).where("__id IS NOT NULL AND given IS NOT NULL")
+        rows = rows.join(known.groupBy("__id").agg(F.max("given").alias("given")), F.col("page_id") == F.col("__id"), "left").drop("__id")
+        given = F.col("given")
     name = F.regexp_replace("host", ":[0-9]*$", "")
-    return rows.withColumn("decided", rule_of(F.col("host"), F.col("path"))).select(
+    return rows.select(
         "page_id", "url", "host", "path", "decided.rule", "decided.verdict",
-        F.substring_index(name, ".", -2).alias("suffix"), F.substring_index(name, ".", -1).alias("top"), is_bad(F.col("host")).alias("bad"),
+        F.substring_index(name, ".", -2).alias("suffix"), F.substring_index(name, ".", -1).alias("top"),
+        F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"),
+        F.coalesce(given, F.col("decided.verdict") == "block", is_bad(F.col("host"))).alias("bad"),
     )
 
 
@@ -111,39 +129,53 @@ def lexical(rows: DataFrame) -> DataFrame:
 
 
 def with_suffix_statistics(rows: DataFrame) -> DataFrame:
-    """Add, for the host's last two parts and its last part, the log share of all URLs and the smoothed rate of bad
-    ones among URLs that no rule decides. Both tables grow with the number of suffixes, so they are joined."""
-    free = F.col("verdict").isNull()
-    n, bad = rows.agg(F.count("*"), F.avg(F.when(free, F.col("bad").cast("double")))).first()
+    """Add, for the host's last two parts and its last part, the log share of all URLs, and the smoothed rate of bad ones
+    among the URLs of the other folds. Both tables grow with the number of suffixes, so they are joined."""
+    n, bad = rows.agg(F.count("*"), F.avg(F.col("bad").cast("double"))).first()
     mean = float(bad or 0.0)
     for key, name in (("suffix", "suffix"), ("top", "top")):
-        table = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(free.cast("long")).alias("k"), F.sum((free & F.col("bad")).cast("long")).alias("b"))
-        rate = (F.col("b") + SMOOTHING * mean) / (F.col("k") + SMOOTHING)
-        table = table.select(F.col(key).alias("__key"), F.log(F.col("n") / F.lit(n)).alias(f"{name}_share"), rate.alias(f"{name}_rate"))
-        rows = rows.join(table, F.col(key) == F.col("__key")).drop("__key")
+        table = rows.groupBy(key, "fold").agg(F.count("*").alias("k"), F.sum(F.col("bad").cast("long")).alias("b"))
+        all_folds = Window.partitionBy(key)
+        k, b = F.sum("k").over(all_folds), F.sum("b").over(all_folds)
+        rate = (b - F.col("b") + SMOOTHING * mean) / (k - F.col("k") + SMOOTHING)
+        table = table.select(F.col(key).alias("__key"), F.col("fold").alias("__fold"), F.log(k / F.lit(n)).alias(f"{name}_share"), rate.alias(f"{name}_rate"))
+        rows = rows.join(table, (F.col(key) == F.col("__key")) & (F.col("fold") == F.col("__fold"))).drop("__key", "__fold")
     return rows
 
 
+def _trees(sample: DataFrame):
+    """Fitted trees, or the one label of a sample with less than two."""
+    classes = [r["label"] for r in sample.select("label").distinct().collect()]  # at most two rows
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(sample) if len(classes) == 2 else classes[0] if classes else 0.0
+
+
 def scored(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Add ``score``, the trees' probability that a URL is bad. With labels of one class only, that class's 0 or 1."""
+    """Add ``score``, the trees' probability that a URL is bad (with labels of one class only, that class's 0 or 1), and
+    ``held_out_auc``: the area under the curve of trees fitted on the sample without fold 0, on the sample's fold 0 (null if
+    either has labels of one class only)."""
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    sample = ready.filter("verdict IS NULL").select("features", F.col("bad").cast("double").alias("label"), "url", "page_id")
-    sample = sample.orderBy(F.xxhash64("url"), "url", "page_id").limit(max_train_rows).select("features", "label")
+    sample = ready.select("features", F.col("bad").cast("double").alias("label"), "fold", "url", "page_id")
+    sample = sample.orderBy(F.xxhash64("url"), "url", "page_id").limit(max_train_rows).select("features", "label", "fold")
     sample = stage(sample, "url-sample")
-    classes = [r["label"] for r in sample.select("label").distinct().collect()]  # at most two rows
-    if len(classes) < 2:
-        return rows.withColumn("score", F.lit(classes[0] if classes else 0.0))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(sample)
-    return model.transform(ready).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    rest, held = _trees(sample.filter("fold <> 0")), sample.filter("fold = 0")
+    auc = None
+    if not isinstance(rest, float) and held.select("label").distinct().count() == 2:
+        auc = BinaryClassificationEvaluator().evaluate(rest.transform(held))
+    model = _trees(sample)
+    rows = rows if isinstance(model, float) else model.transform(ready).withColumn("score", vector_to_array("probability")[1])
+    score = F.lit(model) if isinstance(model, float) else F.col("score")
+    return rows.withColumns({"score": score, "held_out_auc": F.lit(auc).cast("double")}).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def judge(pages: DataFrame, url: str = "url", max_train_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) for every row of ``pages``, repeated rows included.
+def judge(
+    pages: DataFrame, labels: DataFrame | None = None, url: str = "url", max_train_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score, held_out_auc) for every row of ``pages``, repeated rows included.
 
     ``verdict`` is the rule's, or "block" where the score reaches ``threshold``, else "allow". A null URL, or one
     without "://", has empty host and path, no rule, and is scored like any other. An empty table gives an empty
     result; other columns are ignored.
     """
-    rows = stage(with_suffix_statistics(lexical(stage(parsed(pages, url), "urls"))), "url-features")
+    rows = stage(with_suffix_statistics(lexical(stage(parsed(pages, url, labels), "urls"))), "url-features")
     verdict = F.coalesce("verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return scored(rows, max_train_rows).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return scored(rows, max_train_rows).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "held_out_auc")
