@@ -98,6 +98,10 @@ def test_broken_document_names_itself(spark, tmp_path):
     (tmp_path / "boolq_b" / "output.json").write_text('[["a", "b')
     with pytest.raises(Exception, match="boolq_b/output.json"):
         R.read_run_folders(spark, str(tmp_path), 2).collect()
+    left = R.read_run_folders(spark, str(tmp_path), 2, skip_broken=True)
+    assert {r.run for r in left.collect()} == {"a"} and left.count() == 5
+    told = R.scan_run_folders(spark, str(tmp_path), skip_broken=True).where("kind = 'broken'").collect()
+    assert [(r.run, r.response) for r in told] == [("b", "end of file inside a text")]
 
 
 def test_writer_and_reader_round_trip(spark, tmp_path):

@@ -4,6 +4,7 @@ import random
 
 from conftest import SF_SMALL
 from tiergate.operators import rouge as RG
+from tiergate.operators.embed_match import embed_match_pairs
 from tiergate.plans import text_eval as TE
 
 
@@ -87,6 +88,11 @@ def test_embed_broadcast_equals_join_path(spark):
         b = embed_match(pairs, vectors, allow_broadcast=False).first()
         assert tuple(a) == tuple(b)
     assert a.no_vector > 0 and embed_match(pairs, emb).first().no_vector == 0
+    # stripes of any size: pairs meet their vectors in many cells
+    whole = {r.pair_id: (round(r.p, 9), round(r.r, 9), r.no_vector) for r in embed_match_pairs(pairs, sparse).collect()}
+    for size in (512 * 3, 512 * 20):
+        cut = embed_match_pairs(pairs, sparse, allow_broadcast=False, stripe_bytes=size)
+        assert {r.pair_id: (round(r.p, 9), round(r.r, 9), r.no_vector) for r in cut.collect()} == whole
 
 
 def test_token_embedder_plugin(spark):
@@ -107,9 +113,9 @@ def test_unusable_vectors_on_both_plans(spark):
     """Null, ragged, empty, NaN and infinite vectors are as if absent, whichever plan runs; so is a table without any."""
     nan, inf = float("nan"), float("inf")
     rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
-    bad = [(40, None), (41, [1.0, 2.0]), (42, []), (43, [1.0, None, 2.0]), (44, [nan, 1.0, 1.0]), (45, [inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (46, [1.0, 2.0, 3.0, 4.0])]
+    bad = [(3, [9.0, 9.0, 9.0]), (40, None), (41, [1.0, 2.0]), (42, []), (43, [1.0, None, 2.0]), (44, [nan, 1.0, 1.0]), (45, [inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (46, [1.0, 2.0, 3.0, 4.0])]
     pairs = spark.createDataFrame([(1, "a b c d e f g h", "h g x y z a"), (2, "", "x"), (3, "one two three", "one two three")], "pair_id long, pred string, ref string")
-    for table in (rows + bad, bad[:7], []):
+    for table in (rows + bad, bad[1:8], []):
         vectors = spark.createDataFrame(table, "vec_id long, embedding array<float>")
         got = [{r.pair_id: (round(r.p, 9), round(r.r, 9), r.no_vector) for r in embed_match_pairs(pairs, vectors, allow_broadcast=wide).collect()} for wide in (True, False)]
         assert got[0] == got[1], table

@@ -990,9 +990,9 @@ def _tracker_sql() -> str:
     d = "duration_s"
     dur = f"CAST(trunc({d} / 3600) AS BIGINT) * 3600 + CAST(trunc(({d} % 3600) / 60) AS BIGINT) * 60 + CAST(printf('%05.2f', {d} % 60) AS DOUBLE)"
     cpu_none = f"{O.sql_h(O.sql_key('event_id', O.q('-cpu')))} < {FX.CPU_NONE_PCT}"
-    return f"""SELECT run, CAST(batch AS BIGINT) AS batch, '1.2.5' AS version, CAST(1.55 AS DOUBLE) AS pue, {dur} AS duration_s,
+    return f"""SELECT run, CAST(batch AS BIGINT) AS batch, {O.q(FX.TRACKER_VERSION)} AS version, CAST({FX.TRACKER_PUE} AS DOUBLE) AS pue, {dur} AS duration_s,
       energy_kwh * 1e5 AS gpu_w_total, CASE WHEN {cpu_none} THEN NULL ELSE energy_kwh * 7e4 + energy_kwh * 5e4 END AS cpu_w_total,
-      CAST(626.01 AS DOUBLE) AS intensity_g_kwh, energy_kwh, energy_kwh * {FX.INTENSITY_G_PER_KWH!r} AS co2_g,
+      CAST({FX.INTENSITY_G_PER_KWH} AS DOUBLE) AS intensity_g_kwh, energy_kwh, energy_kwh * {FX.INTENSITY_G_PER_KWH!r} AS co2_g,
       energy_kwh * {FX.INTENSITY_G_PER_KWH!r} * {FX.KM_PER_G!r} AS km
     FROM ({O.batch_records_sql()}) b"""
 

@@ -179,7 +179,7 @@ def batch_times(planned: DataFrame, keys=("batch_id",)) -> DataFrame:
 
 
 RUN_THRESHOLDS = ("0.6", "0.65", "0.7", "0.75", "0.8", "0.85", "0.9", "0.95")
-CO2_PER_KWH = 0.6334  # kg per kWh, the ratio of all published records
+CO2_PER_KWH = 0.5  # kg per kWh, our own
 
 
 #: Event type -> what the run measured: a strategy of the sweep, strategies without quality rows, a model alone.
@@ -251,20 +251,22 @@ def emission_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Line formats of the generated tracker logs.
-VERSION_LINE = "{ts} - carbontracker version 1.2.5"
-PUE_LINE = "{ts} - Only predicted and actual consumptions are multiplied by a PUE coefficient of 1.55."
+# Values in the generated tracker logs, our own.
+TRACKER_VERSION, TRACKER_PUE = "9.8.7", 1.25
+# Fixed formats: the lines of a tracker log.
+VERSION_LINE = f"{{ts}} - carbontracker version {TRACKER_VERSION}"
+PUE_LINE = f"{{ts}} - Only predicted and actual consumptions are multiplied by a PUE coefficient of {TRACKER_PUE}."
 EPOCH_LINE = "{ts} - Epoch 1:"
 DURATION_LINE = "{ts} - Duration: {dur}"
 GPU_LINE = "{ts} - Average power usage (W) for gpu: {gpu}"
 CPU_LINE = "{ts} - Average power usage (W) for cpu: {cpu}"
-INTENSITY_LINE = "{ts} - Average carbon intensity during training was 626.01 gCO2/kWh at detected location: IN."
+INTENSITY_G_PER_KWH = 321.25
+INTENSITY_LINE = f"{{ts}} - Average carbon intensity during training was {INTENSITY_G_PER_KWH} gCO2/kWh at detected location: XX."
 ACTUAL_BLOCK = (
     "{ts} - CarbonTracker: \nActual consumption for 1 epoch(s):\n\tTime:\t0:00:02\n\tEnergy:\t{kwh} kWh\n"
     "\tCO2eq:\t{co2} g\n\tThis is equivalent to:\n\t{km} km travelled by car\n"
 )
-INTENSITY_G_PER_KWH = 626.01
-KM_PER_G = 1.0 / 107.5
+KM_PER_G = 1.0 / 100.0
 CPU_NONE_PCT = 10
 
 

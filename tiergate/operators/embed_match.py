@@ -1,24 +1,21 @@
 """Embedding match precision / recall / F1 (A8, A16): greedy best cosine per token, as BERT-score does.
 
-Plan:
-1. tokens of both sides exploded and counted per (pair, side, token) - partial aggregation, keys include the pair;
-2. the *vocabulary* (distinct tokens) is mapped to a vector id by a hash and joined to the vector table once -
-   each token looked up once, however often it occurs; vectors are unit-normalised JVM-side;
-3. token rows join the vocabulary vectors on the token (AQE splits a hot token's partition if one dominates);
-4. per pair the two bounded token lists meet in one row, and an Arrow-batched pandas UDF takes the max cosine per
-   token with one matrix product (no row per token pair is ever emitted);
-5. P = count-weighted mean over predicted tokens, R over reference tokens, F = 2PR / (P + R); mean over pairs.
-
-When the vector table is small enough (rows x dim x 8 bytes under ``BROADCAST_LIMIT_BYTES``, checked from its row
-count and vector width before anything is collected), a faster plan is used instead: the unit vectors go to every
-executor once as a broadcast matrix, and each pair is scored inside its own row from its two token-id arrays -
-no token rows, no shuffle. Both plans follow one rule and give the same numbers: a token is mapped into the range of
-the table's own ids, a token whose id has no vector takes no part, and such tokens are counted in ``no_vector``.
+P = count-weighted mean over predicted tokens of the best cosine with any reference token, R the same over reference tokens,
+F = 2PR / (P + R); mean over pairs. A token is mapped to a key: the hash into the range of the vector table's own ids, or
+for a table of token vectors the token's own 64-bit hash. A token whose key has no vector takes no part and is counted in
+``no_vector``; vectors that cannot be compared are as if absent (``usable_vectors``). Two plans give the same numbers:
+
+* A vector table under ``BROADCAST_LIMIT_BYTES`` (rows x width x 8, checked before anything is collected) goes to every
+  executor once, and each pair is scored inside its own row from its two lists of keys: no token rows, no shuffle.
+* A larger table is cut into stripes of bounded bytes by a hash of the key. Only keys and counts of a pair travel: a pair
+  sends its predicted keys of stripe i and its reference keys of stripe j to cell (i, j), whose task holds these two
+  stripes and answers with the best cosine per key. The maxima of all cells are merged by key. A vector is sent to the
+  2 x stripes cells that need it, whatever the number of pairs, and no row per pair of tokens is ever emitted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hex_bits
+from ..session import shuffle_width, staged
 from .rouge import tokens
 
 DIGITS = 9
 BROADCAST_LIMIT_BYTES = 64 << 20
+STRIPE_BYTES = 16 << 20
 
 
 def token_vec_id(token: Column, n_vectors: int) -> Column:
@@ -37,13 +36,14 @@ def token_vec_id(token: Column, n_vectors: int) -> Column:
 
 
 def usable_vectors(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Rows whose vector can be compared: a key, no component that is null, NaN or infinite, and the width that most such rows
-    have (of equally frequent widths the larger). Both plans see the same rows; other vectors are as if absent."""
+    """(key, embedding) of vectors that can be compared: a key, no component that is null, NaN or infinite, and the width that
+    most such rows have (of equally frequent widths the larger). Of a key's vectors the smallest counts. Both plans see the
+    same rows; other vectors are as if absent."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     whole = embeddings.where(F.col(key).isNotNull() & (F.size("embedding") > 0) & F.coalesce(F.forall("embedding", fine), F.lit(False)))
     widths = whole.groupBy(F.size("embedding").alias("width")).agg(F.count(F.lit(1)).alias("n"))
     top = widths.orderBy(F.desc("n"), F.desc("width")).first()
-    return whole.where(F.size("embedding") == (top["width"] if top else 0))
+    return whole.where(F.size("embedding") == (top["width"] if top else 0)).groupBy(key).agg(F.min("embedding").alias("embedding"))
 
 
 def unit_vectors(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -53,30 +53,6 @@ def unit_vectors(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
     return embeddings.select(key, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v).alias("u"))
 
 
-def _side_score(a_vecs, a_cnt, b_vecs) -> float:
-    if len(a_vecs) == 0 or len(b_vecs) == 0:
-        return 0.0
-    a = np.stack([np.asarray(x, dtype=np.float64) for x in a_vecs])
-    b = np.stack([np.asarray(x, dtype=np.float64) for x in b_vecs])
-    best = (a @ b.T).max(axis=1)
-    w = np.asarray(a_cnt, dtype=np.float64)
-    return float((best * w).sum() / w.sum())
-
-
-def _greedy_match(pv: Column, pc: Column, rv: Column, rc: Column) -> Column:
-    return F.pandas_udf(_greedy_batch, "p double, r double")(pv, pc, rv, rc)
-
-
-def _greedy_batch(pv: pd.Series, pc: pd.Series, rv: pd.Series, rc: pd.Series) -> pd.DataFrame:
-    ps, rs = [], []
-    for a_v, a_c, b_v, b_c in zip(pv, pc, rv, rc):
-        a_v = [] if a_v is None else a_v
-        b_v = [] if b_v is None else b_v
-        ps.append(_side_score(a_v, a_c, b_v))
-        rs.append(_side_score(b_v, b_c, a_v))
-    return pd.DataFrame({"p": ps, "r": rs})
-
-
 def _ids_score(u: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 0.0
@@ -93,7 +69,7 @@ def id_range(embeddings: DataFrame) -> int:
 
 def broadcast_match_col(embeddings: DataFrame, pred: Column, ref: Column) -> Column | None:
     """struct<p, r, no_vector> of the greedy match for a (pred, ref) pair held in the row, scored against a broadcast
-    matrix - or None when the vector table is too large to broadcast (then use ``embed_match_pairs``'s join plan)."""
+    matrix - or None when the vector table is too large to broadcast (then the sharded plan of ``embed_match_pairs`` scores them)."""
     usable = usable_vectors(embeddings)
     count, dim = usable.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     n_ids = id_range(embeddings)
@@ -142,7 +118,7 @@ def _broadcast_pairs(pairs: DataFrame, match: Column, group_cols: Sequence[str])
 
 def embed_match_pairs(
     pairs: DataFrame, embeddings: DataFrame | None, group_cols: Sequence[str] = (), allow_broadcast: bool = True,
-    token_vectors: DataFrame | None = None,
+    token_vectors: DataFrame | None = None, stripe_bytes: int = STRIPE_BYTES,
 ) -> DataFrame:
     """Per pair: P, R, F of the greedy embedding match.
 
@@ -151,38 +127,83 @@ def embed_match_pairs(
     """
     g = list(group_cols)
     if token_vectors is not None:
-        return _join_pairs(pairs, g, usable_vectors(token_vectors.select("token", "embedding"), "token"), None)
+        named = token_vectors.select(F.xxhash64("token").alias("key"), "token", "embedding").where("token IS NOT NULL")
+        return _sharded_pairs(pairs, g, usable_vectors(named, "key"), lambda token: F.xxhash64(token), stripe_bytes)
     match = broadcast_match_col(embeddings, F.col("pred"), F.col("ref")) if allow_broadcast else None
     if match is not None:
         return _broadcast_pairs(pairs, match, g)
-    return _join_pairs(pairs, g, usable_vectors(embeddings), id_range(embeddings))
-
-
-def _join_pairs(pairs: DataFrame, g: list, vectors: DataFrame, n_ids: int | None) -> DataFrame:
-    """The join plan: token counts per (pair, side), the vocabulary looked up once, vectors regrouped per pair."""
-    side = lambda col, tag: pairs.select(*g, "pair_id", F.lit(tag).alias("side"), F.explode(tokens(col)).alias("token"))
-    counted = side("pred", "p").unionByName(side("ref", "r")).groupBy(*g, "pair_id", "side", "token").agg(F.count(F.lit(1)).alias("cnt"))
-    if n_ids is None:  # (token, embedding) table given by the caller
-        vocab_vecs = counted.select("token").distinct().join(unit_vectors(vectors, key="token"), "token")
-    else:
-        vocab = counted.select("token").distinct().select("token", token_vec_id(F.col("token"), n_ids).alias("vec_id"))
-        vocab_vecs = vocab.join(unit_vectors(vectors), "vec_id").select("token", "u")
-    with_vec = counted.join(vocab_vecs, "token", "left")
-    item = F.struct(F.col("cnt"), F.col("u"))
-    known = F.col("u").isNotNull()
-    per_pair = with_vec.groupBy(*g, "pair_id").agg(
-        F.collect_list(F.when(known & (F.col("side") == "p"), item)).alias("ps"),
-        F.collect_list(F.when(known & (F.col("side") == "r"), item)).alias("rs"),
-        F.sum(F.when(~known, F.col("cnt"))).alias("no_vector"),
-    )
-    scored = per_pair.select(
-        *g, "pair_id", "no_vector",
-        _greedy_match(F.col("ps.u"), F.col("ps.cnt"), F.col("rs.u"), F.col("rs.cnt")).alias("m"),
+    n_ids = id_range(embeddings)
+    vectors = usable_vectors(embeddings).select(F.col("vec_id").alias("key"), "embedding")
+    return _sharded_pairs(pairs, g, vectors, lambda token: token_vec_id(token, max(n_ids, 1)), stripe_bytes)
+
+
+def _cell_maxima(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Best cosines of the pairs of a cell. Rows come sorted by cell and part: vectors of the predicted keys' stripe (0), of
+    the reference keys' stripe (1), then pairs (2), which stream past the two matrices."""
+    at, parts, sides = None, {}, None
+    for batch in batches:
+        out = []
+        for (cell, part), rows in batch.groupby(["cell", "part"]):
+            if cell != at:
+                at, parts, sides = cell, {0: [], 1: []}, None
+            if part < 2:
+                parts[part] += zip(rows["key"], rows["u"])
+                continue
+            if sides is None:
+                sides = []
+                for k in (0, 1):
+                    known = sorted(parts[k], key=lambda x: x[0])
+                    sides.append((np.array([x[0] for x in known], np.int64), np.stack([x[1] for x in known])))
+                parts = {}
+            (p_known, p_unit), (r_known, r_unit) = sides
+            for row, p_keys, p_counts, r_keys, r_counts in zip(rows["row"], rows["p_keys"], rows["p_counts"], rows["r_keys"], rows["r_counts"]):
+                cosine = p_unit[np.searchsorted(p_known, p_keys)] @ r_unit[np.searchsorted(r_known, r_keys)].T
+                out.append((row, "p", p_keys, p_counts, cosine.max(1)))
+                out.append((row, "r", r_keys, r_counts, cosine.max(0)))
+        yield pd.DataFrame(out, columns=["row", "side", "keys", "counts", "best"])
+
+
+def _sharded_pairs(pairs: DataFrame, g: list, vectors: DataFrame, key_of, stripe_bytes: int) -> DataFrame:
+    """The sharded plan over ``vectors`` (key, embedding)."""
+    spark = pairs.sparkSession
+    unit = staged(unit_vectors(vectors, "key"), "unit-vectors")
+    n, width = unit.agg(F.count(F.lit(1)), F.max(F.size("u"))).first()
+    stripes = max(1, -(-n * (width or 0) * 8 // stripe_bytes))
+    copies = max(1, -(-shuffle_width(spark) // stripes**2))  # few cells: several tasks share one
+    keys_of = lambda text: F.transform(tokens(text), key_of)
+    rows = staged(pairs.select(*g, "pair_id", F.monotonically_increasing_id().alias("row"), keys_of(F.col("pred")).alias("p"), keys_of(F.col("ref")).alias("r")), "pair-keys")
+
+    tagged = F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("p").alias("keys")), F.struct(F.lit("r").alias("side"), F.col("r").alias("keys"))))
+    long = rows.select("row", tagged.alias("x")).select("row", "x.side", F.explode("x.keys").alias("key"))
+    counted = long.groupBy("row", "side", "key").agg(F.count(F.lit(1)).alias("n"))
+    counted = staged(counted.join(unit.select("key", F.lit(True).alias("known")), "key", "left"), "pair-key-counts")
+    lost = counted.where("known IS NULL").groupBy("row").agg(F.sum("n").alias("no_vector"))
+
+    stripe = F.pmod(F.xxhash64("key"), F.lit(stripes)).cast("int")
+    held = counted.where("known").groupBy("row", "side", stripe.alias("stripe")).agg(F.collect_list(F.struct("key", "n")).alias("items"))
+    half = lambda side: held.where(F.col("side") == side).select("row", F.col("stripe").alias(f"{side}_stripe"), F.col("items.key").alias(f"{side}_keys"), F.col("items.n").alias(f"{side}_counts"))
+    cell = lambda i, j, copy: ((i * stripes + j) * copies + copy).cast("int")
+    # no nulls among the integers: pandas would make them floats, and 64-bit keys would lose digits
+    asked = half("p").join(half("r"), "row")
+    asked = asked.select(
+        cell(F.col("p_stripe"), F.col("r_stripe"), F.pmod(F.xxhash64("row"), F.lit(copies))).alias("cell"), F.lit(2).alias("part"), F.lit(0).cast("long").alias("key"),
+        F.lit(None).cast("array<double>").alias("u"), "row", "p_keys", "p_counts", "r_keys", "r_counts",
     )
-    everyone = pairs.select(*g, "pair_id")
-    full = everyone.join(scored, [*g, "pair_id"], "left")
-    p = F.coalesce(F.col("m.p"), F.lit(0.0))
-    r = F.coalesce(F.col("m.r"), F.lit(0.0))
+    empty = [F.lit(0).cast("long").alias("row"), *(F.lit(None).cast("array<long>").alias(c) for c in ("p_keys", "p_counts", "r_keys", "r_counts"))]
+    other = unit.select("key", "u", stripe.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(stripes * copies - 1))).alias("oc"))
+    o, c = F.floor(F.col("oc") / copies), F.col("oc") % copies
+    as_p = other.select(cell(F.col("s"), o, c).alias("cell"), F.lit(0).alias("part"), "key", "u", *empty)
+    as_r = other.select(cell(o, F.col("s"), c).alias("cell"), F.lit(1).alias("part"), "key", "u", *empty)
+    cells = asked.unionByName(as_p).unionByName(as_r)
+    cells = cells.repartition(min(stripes**2 * copies, 4 * shuffle_width(spark) + stripes**2), "cell").sortWithinPartitions("cell", "part")
+    maxima = cells.mapInPandas(_cell_maxima, "row long, side string, keys array<long>, counts array<long>, best array<double>")
+    flat = maxima.select("row", "side", F.explode(F.arrays_zip("keys", "counts", "best")).alias("x"))
+    best = flat.groupBy("row", "side", F.col("x.keys").alias("key")).agg(F.max("x.best").alias("best"), F.first("x.counts").alias("n"))
+    weight = lambda side, x: F.sum(F.when(F.col("side") == side, x))
+    score = lambda side: weight(side, F.col("best") * F.col("n")) / weight(side, F.col("n"))
+    scored = best.groupBy("row").agg(score("p").alias("sp"), score("r").alias("sr"))
+    full = rows.select(*g, "pair_id", "row").join(scored, "row", "left").join(lost, "row", "left")
+    p, r = F.coalesce("sp", F.lit(0.0)), F.coalesce("sr", F.lit(0.0))
     f = F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
     return full.select(*g, "pair_id", p.alias("p"), r.alias("r"), f.alias("f"), F.coalesce("no_vector", F.lit(0)).cast("bigint").alias("no_vector"))
 

@@ -100,16 +100,6 @@ def rouge_n_pairs(pairs: DataFrame, n: int, group_cols: Sequence[str] = ()) -> D
     )
 
 
-def rouge_scores(pairs: DataFrame, ns: Sequence[int] = (1, 2), group_cols: Sequence[str] = ()) -> DataFrame:
-    """Mean ROUGE-n F for several n at once: one counting pass, one aggregation."""
-    c = rouge_counts(pairs, ns, group_cols)
-    fs = [_prf(F.col(f"ov{n}"), F.col(f"np{n}"), F.col(f"nr{n}"))[2].alias(f"f{n}") for n in ns]
-    per = c.select(*group_cols, "pair_id", *fs)
-    return per.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("pairs"), *[F.round(F.avg(f"f{n}"), DIGITS).alias(f"rouge{n}") for n in ns]
-    )
-
-
 def rouge_n_exploded(pairs: DataFrame, n: int, group_cols: Sequence[str] = ()) -> DataFrame:
     """Relational ROUGE-n per pair (cross-check only: shuffles every n-gram)."""
     g = list(group_cols)

@@ -23,6 +23,7 @@ from ..session import staged
 from ..sources.point_table import read_points, write_points
 from . import cascade
 
+# Column names of the published result files.
 QUALITY_COLUMNS = ("Model", "Threshold", "M-Pre", "M-Rec", "M-F1")
 QUALITY_SCHEMA = "`Model` string, `Threshold` double, `M-Pre` double, `M-Rec` double, `M-F1` double"
 

@@ -101,9 +101,9 @@ def eval_run_folders(
     """L16 over a folder of runs, ``<task>_<model>/output.json``: (task, model, metric, value).
 
     Every run gets its ``references`` (prompts of its task) and ``answers`` (texts in its document); those that have both
-    get their task's metrics, over the answers they have. A missing run has 0 answers and no metrics.
+    get their task's metrics, over the answers they have. A missing or unreadable run has 0 answers and no metrics.
     """
-    rows = staged(read_run_folders(spark, base, batch_size, list(rules or task_rules())).select("dataset", "run", "position", "response"), "run-answers")
+    rows = staged(read_run_folders(spark, base, batch_size, list(rules or task_rules()), skip_broken=True).select("dataset", "run", "position", "response"), "run-answers")
     found = rows.select(F.col("dataset").alias("task"), F.col("run").alias("model"))
     status = run_status(references, found, models).unpivot(["task", "model"], ["references", "answers"], "metric", "value")
     metrics = eval_all(answers_of_folders(rows, references, batch_size), references, embeddings, rules)

@@ -14,7 +14,8 @@ Rows say which range they come from and their number in it; a row of kind ``quot
 ``read_run_folders`` turns these into positions: the rows are written once, counted by range (a few bytes a range), and
 the running count of a file's ranges is joined back.
 
-The option ``dataset`` is an expression for names of data sets. As a stream the source takes each document once, when it appears: documents must appear whole (written elsewhere and
+Options: ``path``, ``rangeBytes``, ``dataset`` (an expression for names of data sets), and ``broken``: ``fail`` (the default) or
+``report``, which gives a row of kind ``broken`` with the reason in place of an error. As a stream the source takes each document once, when it appears: documents must appear whole (written elsewhere and
 renamed), and later than those already taken.
 """
 
@@ -216,7 +217,7 @@ def _ranges(documents, range_bytes: int) -> list[Range]:
     return [Range(data, run, path, a, min(a + range_bytes, size)) for _, path, data, run, size in documents for a in range(0, size, range_bytes)]
 
 
-def _rows(part: Range) -> Iterator[pa.RecordBatch]:
+def _rows(part: Range, report: bool) -> Iterator[pa.RecordBatch]:
     fs, name = open_fs(part.path)
     rows, held, counts = [], 0, {"text": 0, "time": 0}
 
@@ -243,7 +244,9 @@ def _rows(part: Range) -> Iterator[pa.RecordBatch]:
                     yield batch()
                     rows, held = [], 0
         except ValueError as e:
-            raise ValueError(f"{part.path}: {e}") from e
+            if not report:
+                raise ValueError(f"{part.path}: {e}") from e
+            rows.append(("broken", 0, str(e), None, None))
     if rows:
         yield batch()
 
@@ -252,18 +255,20 @@ class RunFolderReader(D.DataSourceReader):
     def __init__(self, options):
         self.path, self.dataset = options["path"], options.get("dataset", "[^/]+?")
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
+        self.report = options.get("broken", "fail") == "report"
 
     def partitions(self):
         return _ranges(_documents(self.path, self.dataset), self.range_bytes) or [Range("", "", "", 0, 0)]
 
     def read(self, partition):
-        return _rows(partition) if partition.path else iter(())
+        return _rows(partition, self.report) if partition.path else iter(())
 
 
 class RunFolderStream(D.DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.dataset = options["path"], options.get("dataset", "[^/]+?")
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
+        self.report = options.get("broken", "fail") == "report"
 
     def initialOffset(self) -> dict:
         return {"time": -1, "path": ""}
@@ -277,7 +282,7 @@ class RunFolderStream(D.DataSourceStreamReader):
         return _ranges(fresh, self.range_bytes)
 
     def read(self, partition):
-        return _rows(partition)
+        return _rows(partition, self.report)
 
     def commit(self, end: dict) -> None:
         """Nothing is kept between offsets."""
@@ -298,19 +303,24 @@ class RunFolderSource(D.DataSource):
         return RunFolderStream(self.options)
 
 
-def scan_run_folders(spark: SparkSession, base: str, datasets: Sequence[str] = (), range_bytes: int = RANGE_BYTES) -> DataFrame:
+def scan_run_folders(spark: SparkSession, base: str, datasets: Sequence[str] = (), range_bytes: int = RANGE_BYTES, skip_broken: bool = False) -> DataFrame:
     """Elements of every ``<dataset>_<run>/output.json`` under ``base`` as the source gives them. Names of data sets may hold
     underscores where they are given; otherwise the name is what stands before the first underscore."""
     spark.dataSource.register(RunFolderSource)
-    reader = spark.read.format("run_folder").option("rangeBytes", range_bytes)
+    reader = spark.read.format("run_folder").option("rangeBytes", range_bytes).option("broken", "report" if skip_broken else "fail")
     names = "|".join(re.escape(d) for d in sorted(datasets, key=len, reverse=True))
     return (reader.option("dataset", names) if names else reader).load(base)
 
 
-def read_run_folders(spark: SparkSession, base: str, batch_size: int, datasets: Sequence[str] = (), range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_run_folders(
+    spark: SparkSession, base: str, batch_size: int, datasets: Sequence[str] = (), range_bytes: int = RANGE_BYTES, skip_broken: bool = False
+) -> DataFrame:
     """(dataset, run, position, batch_id, response, start_ts, end_ts): one row per answer, positions from 1 in document
-    order, with the times of its batch (null where the document has none)."""
-    rows = staged(scan_run_folders(spark, base, datasets, range_bytes), "run-folder-rows")
+    order, with the times of its batch (null where the document has none). A document that is broken anywhere is an error,
+    or has no rows with ``skip_broken``."""
+    rows = staged(scan_run_folders(spark, base, datasets, range_bytes, skip_broken), "run-folder-rows")
+    if skip_broken:
+        rows = rows.join(rows.where("kind = 'broken'").select("file").distinct(), "file", "left_anti")
     last = rows.where("kind = 'quote'").groupBy("file").agg(F.max("range_start").alias("last_quote"))
     kept = rows.where("kind <> 'quote'").join(last, "file", "left").where("kind = 'text' or last_quote is null or range_start >= last_quote")
     counts = kept.groupBy("file", "kind", "range_start").agg(F.count(F.lit(1)).alias("n"))

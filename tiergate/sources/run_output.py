@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shuffle_width
+from .run_folder import read_run_folders
 
 LINE_BATCHES = 64  # batches in one line of our own layout
 RUN_JSON = "first_batch bigint, texts array<string>, times array<array<double>>"
@@ -56,17 +57,10 @@ def scan_run_output(spark: SparkSession, base: str, batch_size: int) -> DataFram
 
 
 def scan_output_json(spark: SparkSession, base: str, dataset: str, batch_size: int) -> DataFrame:
-    """S2, the runner's layout: (run, position, batch_id, response, start_ts, end_ts) of every ``<dataset>_<run>/output.json``.
-
-    A document that is not of that shape has no rows.
-    """
-    raw = spark.read.text(f"{base.rstrip('/')}/{dataset}_*/output.json", wholetext=True)
-    docs = raw.select(
-        F.regexp_extract(F.col("_metadata.file_path"), f"/{dataset}_([^/]+)/output[.]json$", 1).alias("run"), F.lit(0).cast("bigint").alias("first_batch"),
-        F.from_json(F.get_json_object("value", "$[0]"), "array<string>").alias("texts"),
-        F.from_json(F.get_json_object("value", "$[1]"), "array<array<double>>").alias("times"),
-    )
-    return _unfold(docs, batch_size, "run")
+    """S2, the runner's layout: (run, position, batch_id, response, start_ts, end_ts) of every ``<dataset>_<run>/output.json``,
+    read in byte ranges (``sources.run_folder``). A document that is not of that shape has no rows."""
+    rows = read_run_folders(spark, base, batch_size, [dataset], skip_broken=True)
+    return rows.select("run", "position", "batch_id", "response", "start_ts", "end_ts")
 
 
 def write_responses(responses: DataFrame, batches: DataFrame, base: str) -> None:
