@@ -2,8 +2,9 @@
 
 A scorer is a logistic model over hashed token features of what it reads. Training is full-batch gradient descent, one pass
 over the written examples per epoch, with the weights of the epoch before as warm start. All scorers of a grid learn in
-the same pass: a task holds one weight column per scorer, multiplies its batch of sparse examples with all of them, and
-adds up partial gradients and losses, which Spark sums by (scorer, feature). What reaches the driver is (features +
+the same pass: a task holds one weight column per scorer, multiplies its sparse examples with all of them (chunk by chunk, as
+matrices, no Python object per row or word) and adds up
+partial gradients and losses, which Spark sums by (scorer, feature). What reaches the driver is (features +
 losses) x scorers numbers, whatever the number of rows. The weights of each epoch are kept; the epoch with the lowest
 validation loss is chosen, and a scorer can stop ``patience`` epochs after it.
 
@@ -16,23 +17,22 @@ training text "stripped" or "original", and a base for long inputs ("longformer"
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rouge import tokens
+from ..operators.token_columns import distinct, hash32, hashes, pair_codes, row_of, slices, word_codes
 from ..session import staged
 
 N_FEATURES = 1024
 WEIGHT_LIMIT_BYTES = 64 << 20
-CHUNK_ROWS = 2_000  # of a batch, multiplied at once
+CHUNK_ROWS = 1_000  # of a batch, multiplied at once (as a dense matrix of this many rows)
 DIGITS = 6
 #: Rows of a pass beside the feature gradients.
 INTERCEPT, TRAIN_LOSS, N_TRAIN, VAL_LOSS, N_VAL = range(5)
@@ -68,56 +68,98 @@ def scorers_of(grid: Sequence[tuple], models: Sequence[str]) -> list[Scorer]:
 
 
 def _bucket(token: str, n: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % n
+    return hash32(token) % n
+
+
+FEATURES = pa.struct([("idx", pa.binary()), ("n", pa.binary())])
 
 
 def feature_udf(n_features: int):
-    """struct<idx, val> of token lists: hashed counts (of words, and of pairs where asked), scaled to length 1."""
-
-    @F.pandas_udf("idx array<int>, val array<double>")
-    def features(column: pd.Series, pairs: pd.Series) -> pd.DataFrame:
-        idx, val = [], []
-        for words, two in zip(column, pairs):
-            words = [] if words is None else list(words)
-            counts: Counter = Counter()
-            for token, c in Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])] if two else words).items():
-                counts[_bucket(token, n_features)] += c
-            keys = sorted(counts)
-            x = np.array([counts[k] for k in keys], float)
-            idx.append(np.array(keys, np.int32))
-            val.append(x / math.sqrt(float((x * x).sum())) if len(x) else x)
-        return pd.DataFrame({"idx": idx, "val": val})
+    """struct<idx, n> of lower-cased texts: the features that a text has, in order, and how often (words, and pairs where asked).
+    Both are arrays of 32-bit integers in one binary value, which every epoch reads without a step per feature."""
+
+    def of_slice(text: pa.Array, pairs: pa.Array) -> pa.Array:
+        words, ((codes, offsets),) = word_codes(text)
+        rows = row_of(offsets)
+        buckets = (hashes(words) % n_features)[codes]
+        two = pc.fill_null(pairs, False).to_numpy(zero_copy_only=False).astype(bool)
+        if two.any():
+            asked = two[rows]
+            numbers, pair_rows = pair_codes(len(words), codes[asked], rows[asked])
+            known, at = distinct(numbers)
+            named = np.fromiter((hash32(f"{words[k // len(words)]} {words[k % len(words)]}") for k in known.tolist()), np.int64, len(known))
+            rows, buckets = np.r_[rows, pair_rows], np.r_[buckets, (named % n_features)[at]]
+        counts = np.bincount(rows * n_features + buckets, minlength=len(text) * n_features)
+        some = np.flatnonzero(counts)
+        ends = np.r_[0, np.cumsum(np.bincount(some // n_features, minlength=len(text)))].astype(np.int32) * 4
+        packed = [pa.BinaryArray.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends), pa.py_buffer(x.astype("<i4"))]) for x in (some % n_features, counts[some])]
+        return pa.StructArray.from_arrays(packed, fields=list(FEATURES))
+
+    @F.arrow_udf("idx binary, n binary")
+    def features(text: pa.Array, pairs: pa.Array) -> pa.Array:
+        parts, at = [], 0
+        for (part,) in slices(text):
+            parts.append(of_slice(part, pairs.slice(at, len(part))))
+            at += len(part)
+        return pa.concat_arrays(parts) if parts else pa.array([], FEATURES)
 
     return features
 
 
 def examples(rows: DataFrame, kinds: Sequence[str], n_features: int = N_FEATURES) -> DataFrame:
-    """(model, prompt_id, tier, split, label, kind, idx, val), written once: an example per row and kind of features.
+    """(model, prompt_id, tier, split, label, kind, idx, n), written once: an example per row and kind of features (``feature_udf``).
 
     ``rows``: (model, prompt_id, tier, split, label, scorer_text, response); a null text has no feature.
     """
     wanted = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(k.split("/")[0]).alias("text"), F.lit(k.endswith("/pairs")).alias("pairs")) for k in kinds))
     long = rows.select("model", "prompt_id", "tier", "split", "label", "scorer_text", "response", F.explode(wanted).alias("k"))
     text = F.when(F.col("k.text") == "original", F.col("response")).otherwise(F.col("scorer_text"))
-    out = long.select("model", "prompt_id", "tier", "split", "label", F.col("k.kind").alias("kind"), feature_udf(n_features)(tokens(text), F.col("k.pairs")).alias("x"))
-    return staged(out.select("model", "prompt_id", "tier", "split", "label", "kind", "x.idx", "x.val"), "scorer-examples")
+    out = long.select("model", "prompt_id", "tier", "split", "label", F.col("k.kind").alias("kind"), feature_udf(n_features)(F.lower(text), F.col("k.pairs")).alias("x"))
+    return staged(out.select("model", "prompt_id", "tier", "split", "label", "kind", "x.idx", "x.n"), "scorer-examples")
 
 
-def _flat(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, value) of a batch of sparse examples."""
-    sizes = part["idx"].map(len).to_numpy()
-    if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.repeat(np.arange(len(part)), sizes), np.concatenate(part["idx"].tolist()).astype(np.int64), np.concatenate(part["val"].tolist())
+def _integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of the rows, integers) of a column of packed integers; null is none."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, ends, raw = column.buffers()
+    offsets = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return (offsets - offsets[0]) // 4, data.view("<i4").astype(np.int64)
 
 
-def _logits(n: int, at: np.ndarray, feature: np.ndarray, value: np.ndarray, weights: np.ndarray, intercept: np.ndarray) -> np.ndarray:
-    """rows x scorers: the sparse rows times the weight columns."""
-    out = np.tile(intercept, (n, 1))
-    if len(at):
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out[at[starts]] += np.add.reduceat(value[:, None] * weights[feature], starts)
-    return out
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets of the rows, features, values) of a batch of examples: each row's counts, scaled to length 1."""
+    offsets, feature = _integers(batch.column(batch.schema.get_field_index("idx")))
+    counts = _integers(batch.column(batch.schema.get_field_index("n")))[1].astype(float)
+    sizes = np.diff(offsets)
+    squares = np.r_[0.0, np.cumsum(counts * counts)]  # whole numbers: exact
+    return offsets, feature, counts / np.repeat(np.sqrt(squares[offsets[1:]] - squares[offsets[:-1]]), sizes)
+
+
+def _chunks(rows: np.ndarray, offsets: np.ndarray, feature: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chosen ``rows`` of sparse examples in chunks: (rows, row in the chunk, feature and value of each entry)."""
+    for k in range(0, len(rows), CHUNK_ROWS):
+        own = rows[k : k + CHUNK_ROWS]
+        sizes = offsets[own + 1] - offsets[own]
+        at = np.repeat(np.arange(len(own)), sizes)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[own], sizes)
+        yield own, at, feature[place], value[place]
+
+
+def _dense(n: int, at: np.ndarray, feature: np.ndarray, value: np.ndarray, n_features: int) -> np.ndarray:
+    return np.bincount(at * n_features + feature, weights=value, minlength=n * n_features).reshape(n, n_features)
+
+
+def _groups(batch: pa.RecordBatch, own_of: Callable[[str, str], tuple]) -> dict[tuple, np.ndarray]:
+    """Rows of a batch by what ``own_of(kind, model)`` gives; rows without a kind or model are in none."""
+    kind, model = (batch.column(batch.schema.get_field_index(c)).dictionary_encode() for c in ("kind", "model"))
+    n = max(len(model.dictionary), 1)
+    pair = pc.fill_null(kind.indices, -1).to_numpy().astype(np.int64) * n + pc.fill_null(model.indices, 0).to_numpy()
+    pair[(pc.is_null(kind.indices).to_numpy(zero_copy_only=False)) | (pc.is_null(model.indices).to_numpy(zero_copy_only=False))] = -1
+    found: dict[tuple, list] = {}
+    for x in np.unique(pair[pair >= 0]).tolist():
+        found.setdefault(own_of(kind.dictionary[x // n].as_py(), model.dictionary[x % n].as_py()), []).append(x)
+    return {own: np.flatnonzero(np.isin(pair, some)) for own, some in found.items() if own}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -130,28 +172,35 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _pass(data: DataFrame, scorers: Sequence[Scorer], weights: np.ndarray, intercept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients (features x scorers) and the five sums (see INTERCEPT ..) of all scorers at the given weights."""
     n_features = weights.shape[0]
+    out_type = pa.schema([("scorer", pa.int32()), ("feature", pa.int32()), ("g", pa.float64())])
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own_of(kind: str, model: str) -> tuple:
+        return tuple(i for i, s in enumerate(scorers) if s.kind == kind and s.model in (None, model))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = np.zeros(weights.shape), np.zeros((5, len(scorers)))
         for batch in batches:
-            for (kind, model), rows in batch[batch["label"].notna()].groupby(["kind", "model"]):
-                own = [i for i, s in enumerate(scorers) if s.kind == kind and s.model in (None, model)]
-                for part in (rows.iloc[k : k + CHUNK_ROWS] for k in range(0, len(rows), CHUNK_ROWS) if own):
-                    at, feature, value = _flat(part)
-                    p = _sigmoid(_logits(len(part), at, feature, value, weights[:, own], intercept[own]))
-                    y = part["label"].to_numpy(float)[:, None]
-                    train, held = ((part["split"] == name).to_numpy()[:, None] for name in ("train", "validation"))
+            label, split = (batch.column(batch.schema.get_field_index(c)) for c in ("label", "split"))
+            label, entries = label.to_numpy(zero_copy_only=False), _sparse(batch)
+            in_train, in_held = (pc.fill_null(pc.equal(split, name), False).to_numpy(zero_copy_only=False) for name in ("train", "validation"))
+            for chosen, rows in _groups(batch, own_of).items():
+                own = list(chosen)
+                for part, *sparse in _chunks(rows, *entries):
+                    x = _dense(len(part), *sparse, n_features)
+                    p = _sigmoid(x @ weights[:, own] + intercept[own])
+                    y, train, held = (c[part][:, None] for c in (label, in_train, in_held))
                     loss = -(y * np.log(np.maximum(p, 1e-15)) + (1 - y) * np.log(np.maximum(1 - p, 1e-15)))
                     error = np.where(train, p - y, 0.0)
-                    for j, i in enumerate(own):
-                        total[:, i] += np.bincount(feature, weights=value * error[at, j], minlength=n_features)
+                    total[:, own] += x.T @ error
                     sums[:3, own] += np.stack([error.sum(0), np.where(train, loss, 0).sum(0), np.full(len(own), train.sum())])
                     sums[3:, own] += np.stack([np.where(held, loss, 0).sum(0), np.full(len(own), held.sum())])
         for i in range(len(scorers)):
             some = np.flatnonzero(total[:, i])
-            yield pd.DataFrame({"scorer": i, "feature": np.r_[some, n_features + np.arange(5)], "g": np.r_[total[some, i], sums[:, i]]})
+            feature, g = np.r_[some, n_features + np.arange(5)], np.r_[total[some, i], sums[:, i]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int32()), pa.array(feature, pa.int32()), pa.array(g)], schema=out_type)
 
-    parts = data.select("model", "split", "label", "kind", "idx", "val").mapInPandas(add_up, "scorer int, feature int, g double")
+    known = data.where(F.col("label").isNotNull() & ~F.isnan("label"))
+    parts = known.select("model", "split", F.col("label").cast("double").alias("label"), "kind", "idx", "n").mapInArrow(add_up, "scorer int, feature int, g double")
     got = parts.groupBy("scorer", "feature").agg(F.sum("g").alias("g")).toPandas()  # (features + 5) x scorers
     out = np.zeros((n_features + 5, len(scorers)))
     out[got["feature"].to_numpy(int), got["scorer"].to_numpy(int)] = got["g"].to_numpy()
@@ -256,16 +305,21 @@ def registry_scores(data: DataFrame, registry: DataFrame, strategies: Sequence[s
     place = {(r["strategy"], r["model"]): (i, r["kind"]) for i, r in enumerate(table)}
     names = sorted({r["strategy"] for r in table})
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def using(kind: str, model: str) -> tuple:
+        found = [(s, place.get((s, model), place.get((s, None)))) for s in names]
+        return tuple((s, at[0]) for s, at in found if at is not None and at[1] == kind)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for (model, kind), part in batch.groupby(["model", "kind"]):
-                using = [(s, place.get((s, model), place.get((s, None)))) for s in names]
-                using = [(s, at[0]) for s, at in using if at is not None and at[1] == kind]
-                if using:
-                    columns = [i for _, i in using]
-                    p = _sigmoid(_logits(len(part), *_flat(part), weights[:, columns], intercept[columns]))
-                    out += [pd.DataFrame({"strategy": s, "model": model, "prompt_id": part["prompt_id"].astype("Int64"), "tier": part["tier"].astype("Int32"), "score": p[:, j]}) for j, (s, _) in enumerate(using)]
-            yield pd.concat(out) if out else pd.DataFrame(columns=["strategy", "model", "prompt_id", "tier", "score"])
-
-    return data.select("model", "prompt_id", "tier", "kind", "idx", "val").mapInPandas(score, "strategy string, model string, prompt_id long, tier int, score double")
+            entries = _sparse(batch)
+            keys = [batch.column(batch.schema.get_field_index(c)) for c in ("model", "prompt_id", "tier")]
+            for chosen, rows in _groups(batch, using).items():
+                columns = [i for _, i in chosen]
+                for part, *sparse in _chunks(rows, *entries):
+                    p = _sigmoid(_dense(len(part), *sparse, weights.shape[0]) @ weights[:, columns] + intercept[columns])
+                    own = [c.take(pa.array(part)) for c in keys]
+                    for j, (s, _) in enumerate(chosen):
+                        yield pa.RecordBatch.from_arrays([pa.array([s] * len(part), pa.string()), *own, pa.array(p[:, j])], names=["strategy", "model", "prompt_id", "tier", "score"])
+
+    keyed = data.select("model", F.col("prompt_id").cast("long").alias("prompt_id"), F.col("tier").cast("int").alias("tier"), "kind", "idx", "n")
+    return keyed.mapInArrow(score, "strategy string, model string, prompt_id long, tier int, score double")
