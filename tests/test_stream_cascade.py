@@ -68,3 +68,16 @@ def test_rows_behind_the_watermark_and_forgotten_prompts(spark, tmp_path):
     drain()
     arrive(spark, src, "2", [(2, MODELS[1], "p", "yes", at(6))], [("strategy-1", 2, 1, 0.9, at(0)), ("strategy-1", 2, 2, 0.95, at(6))])
     assert drain() == {1: 1, 2: 2}  # the late score of tier 1 no longer counts
+
+
+def test_prompts_share_their_state(spark, tmp_path, monkeypatch):
+    """Any number of buckets gives the same rows, and a bucket with many prompts is one call, not one a prompt."""
+    a_rows, s_rows, want = run(spark, 5)
+    arrive(spark, str(tmp_path), "0", [x for x in a_rows if x[-1] < T0 + dt.timedelta(minutes=51)], [x for x in s_rows if x[-1] < T0 + dt.timedelta(minutes=51)])
+    got = {}
+    for n in (1, 7):
+        out, ckpt = str(tmp_path / f"out{n}"), str(tmp_path / f"ckpt{n}")
+        rows = SC.stream_cascade(spark, f"{tmp_path}/answers/*", f"{tmp_path}/scores/*", out, ckpt, 0.8, "boolq", ("strategy-1",), "2 hours", 3, buckets=n).collect()
+        got[n] = {(r.prompt_id, r.tier, r.pred, r.score) for r in rows}
+        assert len(rows) == len(got[n])
+    assert got[1] == got[7] and got[1] <= {(k, *v) for k, v in want.items()} and len(got[1]) > N / 4
