@@ -135,3 +135,22 @@ def test_stream_takes_each_document_once(spark, tmp_path):
     folders(source, {"boolq_Phi-3-mini": RUNS["boolq_Phi-3-mini"]})
     assert drain() == {"boolq_flan-t5-base": 5, "mnli_short_times": 3, "boolq_Phi-3-mini": 800}
     assert drain()["boolq_Phi-3-mini"] == 800
+
+
+def test_evaluation_moves_texts_once(spark, tmp_path):
+    """Reading positions shuffles no text, and answers meet plan, prompt length and gold text in one join - also where ids repeat."""
+    from tiergate.plans import evaluate as EV
+
+    folders(tmp_path, {"boolq_flan-a": [["yes", "no", None], []], "boolq_Phi-b": [["p1yes", "p22no"], [[1.0, 2.0]]]})
+    rows = R.read_answers(spark, str(tmp_path), ["boolq"], 7)
+    told = R.read_run_folders(spark, str(tmp_path), 2, ["boolq"], 7).select("dataset", "run", "position", "response")
+    assert sorted(map(str, rows.collect())) == sorted(map(str, told.collect())) and rows.count() == 5
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(file|SortMergeJoin", "".join(x for x in plan.splitlines() if "response" in x))
+    refs = spark.createDataFrame([("boolq", 1, "p1", "1"), ("boolq", 2, "p22", "0"), ("boolq", 2, "p333", "1"), ("boolq", None, "p4444", "1")], "task string, prompt_id long, prompt_text string, gold_text string")
+    met = EV.answers_of_folders(rows, refs, 2)
+    want = EV.labelled(met.select("task", "model", "prompt_id", "response").distinct(), refs)
+    assert sorted(map(str, EV.labelled_rows(met).distinct().collect())) == sorted(map(str, want.distinct().collect()))
+    assert met.count() == 8  # the second and third place have two references each
+    # a run without the prompt's text: its length is enough
+    assert {(r.model, r.prompt_id, r.pred_class) for r in EV.labelled_rows(met).collect() if r.prompt_id == 1} == {("flan-a", 1, 1), ("Phi-b", 1, 1)}
