@@ -1,6 +1,7 @@
 """Scorers trained by epochs, kept in a registry, and applied all at once.
 
-A scorer is a logistic model over hashed token features of what it reads. Training is full-batch gradient descent, one pass
+A scorer is a logistic model over hashed token features of what it reads. Words of a prompt that all its answers are read with
+are counted, kept and multiplied once (``shared_examples``). Training is full-batch gradient descent, one pass
 over the written examples per epoch, with the weights of the epoch before as warm start. All scorers of a grid learn in
 the same pass: a task holds one weight column per scorer, multiplies its sparse examples with all of them (chunk by chunk, as
 matrices, no Python object per row or word) and adds up
@@ -24,15 +25,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.token_columns import distinct, hash32, hashes, pair_codes, row_of, slices, word_codes
+from ..operators.token_columns import distinct, found_in, hash32, hashes, pair_codes, row_of, slices, word_codes
 from ..session import staged
 
 N_FEATURES = 1024
 WEIGHT_LIMIT_BYTES = 64 << 20
-CHUNK_ROWS = 1_000  # of a batch, multiplied at once (as a dense matrix of this many rows)
+CHUNK_ROWS = 1_000  # of a batch, read and multiplied at once (as a dense matrix of this many rows)
 DIGITS = 6
 #: Rows of a pass beside the feature gradients.
 INTERCEPT, TRAIN_LOSS, N_TRAIN, VAL_LOSS, N_VAL = range(5)
@@ -74,15 +75,13 @@ def _bucket(token: str, n: int) -> int:
 FEATURES = pa.struct([("idx", pa.binary()), ("n", pa.binary())])
 
 
-def feature_udf(n_features: int):
-    """struct<idx, n> of lower-cased texts: the features that a text has, in order, and how often (words, and pairs where asked).
-    Both are arrays of 32-bit integers in one binary value, which every epoch reads without a step per feature."""
+def _features(text: pa.Array, pairs: np.ndarray, n_features: int) -> pa.Array:
+    """struct<idx, n> of lower-cased texts, a slice of bounded size at a time."""
 
-    def of_slice(text: pa.Array, pairs: pa.Array) -> pa.Array:
+    def of_slice(text: pa.Array, two: np.ndarray) -> pa.Array:
         words, ((codes, offsets),) = word_codes(text)
         rows = row_of(offsets)
         buckets = (hashes(words) % n_features)[codes]
-        two = pc.fill_null(pairs, False).to_numpy(zero_copy_only=False).astype(bool)
         if two.any():
             asked = two[rows]
             numbers, pair_rows = pair_codes(len(words), codes[asked], rows[asked])
@@ -95,13 +94,37 @@ def feature_udf(n_features: int):
         packed = [pa.BinaryArray.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(ends), pa.py_buffer(x.astype("<i4"))]) for x in (some % n_features, counts[some])]
         return pa.StructArray.from_arrays(packed, fields=list(FEATURES))
 
+    parts, at = [], 0
+    for (part,) in slices(text):
+        parts.append(of_slice(part, pairs[at : at + len(part)]))
+        at += len(part)
+    return pa.concat_arrays(parts) if parts else pa.array([], FEATURES)
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, False).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def feature_udf(n_features: int):
+    """struct<idx, n> of lower-cased texts: the features that a text has, in order, and how often (words, and pairs where asked).
+    Both are arrays of 32-bit integers in one binary value, which every epoch reads without a step per feature."""
+
     @F.arrow_udf("idx binary, n binary")
     def features(text: pa.Array, pairs: pa.Array) -> pa.Array:
-        parts, at = [], 0
-        for (part,) in slices(text):
-            parts.append(of_slice(part, pairs.slice(at, len(part))))
-            at += len(part)
-        return pa.concat_arrays(parts) if parts else pa.array([], FEATURES)
+        return _features(text, _flags(pairs), n_features)
+
+    return features
+
+
+def shared_feature_udf(n_features: int):
+    """The same of a row's text, and in ``own`` of each of its answers' texts."""
+
+    @F.arrow_udf("idx binary, n binary, own array<struct<idx: binary, n: binary>>")
+    def features(text: pa.Array, own: pa.Array, pairs: pa.Array) -> pa.Array:
+        two, sizes = _flags(pairs), pc.fill_null(pc.list_value_length(own), 0).to_numpy().astype(np.int64)
+        shared, parts = _features(text, two, n_features), _features(own.flatten(), np.repeat(two, sizes), n_features)
+        parts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), parts)
+        return pa.StructArray.from_arrays([*shared.flatten(), parts], names=["idx", "n", "own"])
 
     return features
 
@@ -111,13 +134,51 @@ def examples(rows: DataFrame, kinds: Sequence[str], n_features: int = N_FEATURES
 
     ``rows``: (model, prompt_id, tier, split, label, scorer_text, response); a null text has no feature.
     """
-    wanted = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(k.split("/")[0]).alias("text"), F.lit(k.endswith("/pairs")).alias("pairs")) for k in kinds))
-    long = rows.select("model", "prompt_id", "tier", "split", "label", "scorer_text", "response", F.explode(wanted).alias("k"))
+    long = rows.select("model", "prompt_id", "tier", "split", "label", "scorer_text", "response", F.explode(_wanted(kinds)).alias("k"))
     text = F.when(F.col("k.text") == "original", F.col("response")).otherwise(F.col("scorer_text"))
     out = long.select("model", "prompt_id", "tier", "split", "label", F.col("k.kind").alias("kind"), feature_udf(n_features)(F.lower(text), F.col("k.pairs")).alias("x"))
     return staged(out.select("model", "prompt_id", "tier", "split", "label", "kind", "x.idx", "x.n"), "scorer-examples")
 
 
+def _wanted(kinds: Sequence[str]) -> Column:
+    return F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(k.split("/")[0]).alias("text"), F.lit(k.endswith("/pairs")).alias("pairs")) for k in kinds))
+
+
+def shared_examples(rows: DataFrame, kinds: Sequence[str], n_features: int = N_FEATURES) -> DataFrame:
+    """(prompt_id, split, kind, idx, n, answers), written once: the examples of ``examples``, a row per prompt and kind.
+
+    ``rows``: (prompt_id, split, shared_text, answers), see ``scorer.training_prompts``. Words that all answers to a prompt are
+    read with are counted once, in ``idx`` and ``n``; an answer (model, tier, label, known, idx, n) adds its own, and has no
+    feature at all where it is not ``known`` (null text). Pairs of words cross the border of the two texts and are the answers' own.
+    """
+    long = rows.select("prompt_id", "split", "shared_text", "answers", F.explode(_wanted(kinds)).alias("k"))
+    split_up = (F.col("k.text") != "original") & ~F.col("k.pairs")
+    whole = lambda a: F.when(F.col("k.text") == "original", a["response"]).otherwise(F.concat("shared_text", a["own_text"]))
+    texts = F.transform("answers", lambda a: F.lower(F.when(split_up, a["own_text"]).otherwise(whole(a))))
+    meta = F.transform("answers", lambda a: F.struct(a["model"].alias("model"), a["tier"].alias("tier"), a["label"].alias("label")))
+    long = long.select("prompt_id", "split", "k", F.when(split_up, F.lower("shared_text")).alias("shared"), texts.alias("texts"), meta.alias("meta"))
+    x = shared_feature_udf(n_features)("shared", "texts", "k.pairs")
+    out = long.select("prompt_id", "split", "k.kind", "meta", F.transform("texts", lambda t: t.isNotNull()).alias("known"), x.alias("x"))
+    answers = F.transform("meta", lambda a, i: F.struct(
+        a["model"].alias("model"), a["tier"].alias("tier"), a["label"].alias("label"), F.get("known", i).alias("known"),
+        F.get("x.own", i)["idx"].alias("idx"), F.get("x.own", i)["n"].alias("n"),
+    ))
+    return staged(out.select("prompt_id", "split", "kind", "x.idx", "x.n", answers.alias("answers")), "scorer-examples")
+
+
+def _by_prompt(data: DataFrame) -> DataFrame:
+    """Examples in the form of ``shared_examples``: those of ``examples`` share no words."""
+    answer = lambda a: F.struct(
+        a["model"].alias("model"), a["tier"].cast("int").alias("tier"), a["label"].cast("double").alias("label"), a["known"].alias("known"), a["idx"].alias("idx"), a["n"].alias("n"),
+    )
+    if "answers" in data.columns:
+        idx, n, answers = F.col("idx"), F.col("n"), F.transform("answers", answer)
+    else:
+        own = {c: F.col(c) for c in ("model", "tier", "label", "idx", "n")} | {"known": F.lit(True)}
+        idx, n, answers = F.lit(b""), F.lit(b""), F.array(answer(own))
+    return data.select(F.col("prompt_id").cast("long").alias("prompt_id"), "split", "kind", idx.alias("idx"), n.alias("n"), answers.alias("answers"))
+
+
 def _integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of the rows, integers) of a column of packed integers; null is none."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -127,39 +188,109 @@ def _integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (offsets - offsets[0]) // 4, data.view("<i4").astype(np.int64)
 
 
-def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets of the rows, features, values) of a batch of examples: each row's counts, scaled to length 1."""
-    offsets, feature = _integers(batch.column(batch.schema.get_field_index("idx")))
-    counts = _integers(batch.column(batch.schema.get_field_index("n")))[1].astype(float)
-    sizes = np.diff(offsets)
-    squares = np.r_[0.0, np.cumsum(counts * counts)]  # whole numbers: exact
-    return offsets, feature, counts / np.repeat(np.sqrt(squares[offsets[1:]] - squares[offsets[:-1]]), sizes)
-
-
-def _chunks(rows: np.ndarray, offsets: np.ndarray, feature: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Chosen ``rows`` of sparse examples in chunks: (rows, row in the chunk, feature and value of each entry)."""
-    for k in range(0, len(rows), CHUNK_ROWS):
-        own = rows[k : k + CHUNK_ROWS]
-        sizes = offsets[own + 1] - offsets[own]
-        at = np.repeat(np.arange(len(own)), sizes)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[own], sizes)
-        yield own, at, feature[place], value[place]
-
-
-def _dense(n: int, at: np.ndarray, feature: np.ndarray, value: np.ndarray, n_features: int) -> np.ndarray:
-    return np.bincount(at * n_features + feature, weights=value, minlength=n * n_features).reshape(n, n_features)
-
-
-def _groups(batch: pa.RecordBatch, own_of: Callable[[str, str], tuple]) -> dict[tuple, np.ndarray]:
-    """Rows of a batch by what ``own_of(kind, model)`` gives; rows without a kind or model are in none."""
-    kind, model = (batch.column(batch.schema.get_field_index(c)).dictionary_encode() for c in ("kind", "model"))
-    n = max(len(model.dictionary), 1)
-    pair = pc.fill_null(kind.indices, -1).to_numpy().astype(np.int64) * n + pc.fill_null(model.indices, 0).to_numpy()
-    pair[(pc.is_null(kind.indices).to_numpy(zero_copy_only=False)) | (pc.is_null(model.indices).to_numpy(zero_copy_only=False))] = -1
-    found: dict[tuple, list] = {}
-    for x in np.unique(pair[pair >= 0]).tolist():
-        found.setdefault(own_of(kind.dictionary[x // n].as_py(), model.dictionary[x % n].as_py()), []).append(x)
-    return {own: np.flatnonzero(np.isin(pair, some)) for own, some in found.items() if own}
+@dataclass
+class _Counts:
+    """Counts of features of some rows: offsets of the rows, then feature and count of each entry."""
+
+    offsets: np.ndarray
+    feature: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def read(cls, idx: pa.Array, n: pa.Array) -> _Counts:
+        offsets, feature = _integers(idx)
+        return cls(offsets, feature, _integers(n)[1].astype(float))
+
+    def squares(self) -> np.ndarray:
+        total = np.r_[0.0, np.cumsum(self.count * self.count)]  # whole numbers: exact
+        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+
+    def dense(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(features that ``rows`` have, matrix of the counts: rows x these features)."""
+        sizes = self.offsets[rows + 1] - self.offsets[rows]
+        at = np.repeat(np.arange(len(rows)), sizes)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.offsets[rows], sizes)
+        feature = self.feature[place]
+        known = np.flatnonzero(np.bincount(feature)) if len(feature) else np.zeros(0, np.int64)
+        number = np.zeros(known[-1] + 1 if len(known) else 0, np.int64)
+        number[known] = np.arange(len(known))
+        matrix = np.bincount(at * len(known) + number[feature], weights=self.count[place], minlength=len(rows) * len(known))
+        return known, matrix.reshape(len(rows), len(known))
+
+
+class _Part:
+    """At most CHUNK_ROWS rows of ``_by_prompt``, as arrays; each example's counts are scaled to length 1."""
+
+    def __init__(self, batch: pa.RecordBatch, n_features: int):
+        self.batch = batch
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        answers, self.kind = column("answers"), column("kind")
+        self.row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(answers), 0).to_numpy())  # of each answer
+        flat = answers.flatten()
+        self.answer = dict(zip((f.name for f in flat.type), flat.flatten()))
+        self.known = _flags(self.answer["known"])
+        self.shared, self.own = _Counts.read(column("idx"), column("n")), _Counts.read(self.answer["idx"], self.answer["n"])
+        of_answer = row_of(self.own.offsets)
+        there = row_of(self.shared.offsets) * n_features + self.shared.feature  # in order
+        both, at = found_in(self.row[of_answer] * n_features + self.own.feature, there)
+        cross = np.bincount(of_answer[both], weights=(self.own.count[both] * self.shared.count[at[both]]), minlength=len(self.row))
+        length = np.sqrt(np.where(self.known, self.shared.squares()[self.row] + 2 * cross, 0) + self.own.squares())
+        self.scale = np.divide(1.0, length, out=np.zeros(len(length)), where=length > 0)
+
+    def split(self, name: str) -> np.ndarray:
+        return _flags(pc.equal(self.batch.column(self.batch.schema.get_field_index("split")), name))[self.row]
+
+    def groups(self, own_of: Callable[[str, str], tuple]) -> dict[tuple, np.ndarray]:
+        """Answers by what ``own_of(kind, model)`` gives; those without a kind or model are in none."""
+        kind, model = self.kind.dictionary_encode(), self.answer["model"].dictionary_encode()
+        n = max(len(model.dictionary), 1)
+        pair = pc.fill_null(kind.indices, -1).to_numpy().astype(np.int64)[self.row]
+        pair = np.where((pair < 0) | model.indices.is_null().to_numpy(zero_copy_only=False), -1, pair * n + pc.fill_null(model.indices, 0).to_numpy())
+        found: dict[tuple, list] = {}
+        for x in np.unique(pair[pair >= 0]).tolist():
+            found.setdefault(own_of(kind.dictionary[x // n].as_py(), model.dictionary[x % n].as_py()), []).append(x)
+        return {own: np.flatnonzero(np.isin(pair, some)) for own, some in found.items() if own}
+
+
+def _parts(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[_Part]:
+    """Batches in slices of bounded size, so what a task holds does not follow the batch size."""
+    for batch in batches:
+        for k in range(0, len(batch), CHUNK_ROWS):
+            yield _Part(batch.slice(k, CHUNK_ROWS), n_features)
+
+
+def _scored(part: _Part, own_of: Callable[[str, str], tuple], weights: np.ndarray, intercept: np.ndarray, learn: Callable | None = None) -> Iterator[tuple]:
+    """(columns of weights, answers, probabilities) of a part, for its answers by the columns that ``own_of`` gives them.
+
+    With ``learn(columns, answers, probabilities) -> error`` the gradient comes last, as (None, features, gradient of all columns).
+    """
+    with_words = np.flatnonzero(np.diff(part.shared.offsets))
+    known, shared = part.shared.dense(with_words)
+    place = np.zeros(len(part.shared.offsets) - 1, np.int64)
+    place[with_words] = np.arange(len(with_words))
+    by_words = part.known & (np.diff(part.shared.offsets) > 0)[part.row]
+    groups = part.groups(own_of)
+    used = np.array(sorted({c for own, rows in groups.items() if by_words[rows].any() for c in own}), np.int64)
+    product, error_sum = shared @ weights[np.ix_(known, used)], np.zeros((len(with_words), len(used)))
+    for chosen, rows in groups.items():
+        columns = np.array(chosen, np.int64)
+        in_used = np.searchsorted(used, columns)
+        for k in range(0, len(rows), CHUNK_ROWS):
+            own = rows[k : k + CHUNK_ROWS]
+            own_known, matrix = part.own.dense(own)
+            z, has = matrix @ weights[np.ix_(own_known, columns)], np.flatnonzero(by_words[own])
+            at = np.ix_(place[part.row[own[has]]], in_used) if len(has) else None
+            if at is not None:
+                z[has] += product[at]
+            p = _sigmoid(z * part.scale[own][:, None] + intercept[columns])
+            yield columns, own, p
+            if learn is not None:
+                error = learn(columns, own, p) * part.scale[own][:, None]
+                yield None, (own_known, columns), matrix.T @ error
+                if at is not None:
+                    np.add.at(error_sum, at, error[has])
+    if learn is not None and len(with_words):
+        yield None, (known, used), shared.T @ error_sum
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -179,28 +310,27 @@ def _pass(data: DataFrame, scorers: Sequence[Scorer], weights: np.ndarray, inter
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = np.zeros(weights.shape), np.zeros((5, len(scorers)))
-        for batch in batches:
-            label, split = (batch.column(batch.schema.get_field_index(c)) for c in ("label", "split"))
-            label, entries = label.to_numpy(zero_copy_only=False), _sparse(batch)
-            in_train, in_held = (pc.fill_null(pc.equal(split, name), False).to_numpy(zero_copy_only=False) for name in ("train", "validation"))
-            for chosen, rows in _groups(batch, own_of).items():
-                own = list(chosen)
-                for part, *sparse in _chunks(rows, *entries):
-                    x = _dense(len(part), *sparse, n_features)
-                    p = _sigmoid(x @ weights[:, own] + intercept[own])
-                    y, train, held = (c[part][:, None] for c in (label, in_train, in_held))
-                    loss = -(y * np.log(np.maximum(p, 1e-15)) + (1 - y) * np.log(np.maximum(1 - p, 1e-15)))
-                    error = np.where(train, p - y, 0.0)
-                    total[:, own] += x.T @ error
-                    sums[:3, own] += np.stack([error.sum(0), np.where(train, loss, 0).sum(0), np.full(len(own), train.sum())])
-                    sums[3:, own] += np.stack([np.where(held, loss, 0).sum(0), np.full(len(own), held.sum())])
+        for part in _parts(batches, n_features):
+            label = part.answer["label"].to_numpy(zero_copy_only=False).astype(float)  # null: NaN
+            in_train, in_held = (part.split(name) & ~np.isnan(label) for name in ("train", "validation"))
+
+            def learn(columns: np.ndarray, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+                y, train, held = (c[rows][:, None] for c in (label, in_train, in_held))  # noqa: B023
+                loss = -(y * np.log(np.maximum(p, 1e-15)) + (1 - y) * np.log(np.maximum(1 - p, 1e-15)))
+                error = np.where(train, p - y, 0.0)
+                sums[:3, columns] += np.stack([error.sum(0), np.where(train, loss, 0).sum(0), np.full(len(columns), train.sum())])
+                sums[3:, columns] += np.stack([np.where(held, loss, 0).sum(0), np.full(len(columns), held.sum())])
+                return error
+
+            for columns, at, found in _scored(part, own_of, weights, intercept, learn):
+                if columns is None:
+                    total[np.ix_(*at)] += found
         for i in range(len(scorers)):
             some = np.flatnonzero(total[:, i])
             feature, g = np.r_[some, n_features + np.arange(5)], np.r_[total[some, i], sums[:, i]]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int32()), pa.array(feature, pa.int32()), pa.array(g)], schema=out_type)
 
-    known = data.where(F.col("label").isNotNull() & ~F.isnan("label"))
-    parts = known.select("model", "split", F.col("label").cast("double").alias("label"), "kind", "idx", "n").mapInArrow(add_up, "scorer int, feature int, g double")
+    parts = _by_prompt(data).drop("prompt_id").mapInArrow(add_up, "scorer int, feature int, g double")
     got = parts.groupBy("scorer", "feature").agg(F.sum("g").alias("g")).toPandas()  # (features + 5) x scorers
     out = np.zeros((n_features + 5, len(scorers)))
     out[got["feature"].to_numpy(int), got["scorer"].to_numpy(int)] = got["g"].to_numpy()
@@ -263,13 +393,16 @@ LOG = (
 def train_grid(rows: DataFrame, grid: Sequence[tuple], dataset: str, log_path: str | None = None) -> tuple[DataFrame, list[tuple]]:
     """M6: (training log, registry rows) of every strategy of a grid; all its scorers learn in the same passes.
 
+    ``rows``: as ``examples`` or ``shared_examples`` take them.
+
     A log row per strategy: its rows, the range of epochs that its scorers kept, and their mean loss over its validation
     rows. S10: the rows are appended to the log table at ``log_path`` when one is given, and the table is read back.
     """
     spark = rows.sparkSession
-    models = sorted(r["model"] for r in rows.select("model").distinct().collect())  # a handful
-    scorers = scorers_of(grid, models)
-    data = examples(rows, sorted({s.kind for s in scorers}))
+    kinds = sorted({s.kind for s in scorers_of(grid, [""])})
+    data = shared_examples(rows, kinds) if "answers" in rows.columns else examples(rows, kinds)
+    model = F.explode("answers.model").alias("model") if "answers" in data.columns else "model"
+    scorers = scorers_of(grid, sorted(r["model"] for r in data.select(model).distinct().collect()))  # a handful of models
     curve, registry = train(data, scorers)
     log = []
     for strategy, rate, epochs, layout, text, base in grid:
@@ -303,23 +436,20 @@ def registry_scores(data: DataFrame, registry: DataFrame, strategies: Sequence[s
     weights = np.stack([r["weights"] for r in table], 1) if table else np.zeros((N_FEATURES, 0))
     intercept = np.array([r["intercept"] for r in table])
     place = {(r["strategy"], r["model"]): (i, r["kind"]) for i, r in enumerate(table)}
-    names = sorted({r["strategy"] for r in table})
+    named = [r["strategy"] for r in table]
+    names = sorted(set(named))
 
     def using(kind: str, model: str) -> tuple:
-        found = [(s, place.get((s, model), place.get((s, None)))) for s in names]
-        return tuple((s, at[0]) for s, at in found if at is not None and at[1] == kind)
+        found = [place.get((s, model), place.get((s, None))) for s in names]
+        return tuple(at[0] for at in found if at is not None and at[1] == kind)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entries = _sparse(batch)
-            keys = [batch.column(batch.schema.get_field_index(c)) for c in ("model", "prompt_id", "tier")]
-            for chosen, rows in _groups(batch, using).items():
-                columns = [i for _, i in chosen]
-                for part, *sparse in _chunks(rows, *entries):
-                    p = _sigmoid(_dense(len(part), *sparse, weights.shape[0]) @ weights[:, columns] + intercept[columns])
-                    own = [c.take(pa.array(part)) for c in keys]
-                    for j, (s, _) in enumerate(chosen):
-                        yield pa.RecordBatch.from_arrays([pa.array([s] * len(part), pa.string()), *own, pa.array(p[:, j])], names=["strategy", "model", "prompt_id", "tier", "score"])
-
-    keyed = data.select("model", F.col("prompt_id").cast("long").alias("prompt_id"), F.col("tier").cast("int").alias("tier"), "kind", "idx", "n")
-    return keyed.mapInArrow(score, "strategy string, model string, prompt_id long, tier int, score double")
+        for part in _parts(batches, weights.shape[0]):
+            prompt = part.batch.column(part.batch.schema.get_field_index("prompt_id"))
+            for columns, rows, p in _scored(part, using, weights, intercept):
+                at = pa.array(rows)
+                own = [part.answer["model"].take(at), prompt.take(pa.array(part.row[rows])), part.answer["tier"].take(at)]
+                for j, i in enumerate(columns.tolist()):
+                    yield pa.RecordBatch.from_arrays([pa.array([named[i]] * len(rows), pa.string()), *own, pa.array(p[:, j])], names=["strategy", "model", "prompt_id", "tier", "score"])
+
+    return _by_prompt(data).drop("split").mapInArrow(score, "strategy string, model string, prompt_id long, tier int, score double")
