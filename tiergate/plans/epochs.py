@@ -95,7 +95,7 @@ def _features(text: pa.Array, pairs: np.ndarray, n_features: int) -> pa.Array:
         return pa.StructArray.from_arrays(packed, fields=list(FEATURES))
 
     parts, at = [], 0
-    for (part,) in slices(text):
+    for (part,) in slices(text, parts=4):
         parts.append(of_slice(part, pairs[at : at + len(part)]))
         at += len(part)
     return pa.concat_arrays(parts) if parts else pa.array([], FEATURES)
