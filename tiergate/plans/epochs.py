@@ -28,12 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.token_columns import distinct, found_in, hash32, hashes, pair_codes, row_of, slices, word_codes
+from ..operators.token_columns import distinct, found_in, hash32, hashes, lengths, pair_codes, row_of, slices, spans, word_codes
 from ..session import staged
 
 N_FEATURES = 1024
 WEIGHT_LIMIT_BYTES = 64 << 20
 CHUNK_ROWS = 1_000  # of a batch, read and multiplied at once (as a dense matrix of this many rows)
+PART_BYTES, ANSWER_BYTES = 4 << 20, 64  # of packed features read at once; what an answer counts for beside its features
 DIGITS = 6
 #: Rows of a pass beside the feature gradients.
 INTERCEPT, TRAIN_LOSS, N_TRAIN, VAL_LOSS, N_VAL = range(5)
@@ -219,7 +220,7 @@ class _Counts:
 
 
 class _Part:
-    """At most CHUNK_ROWS rows of ``_by_prompt``, as arrays; each example's counts are scaled to length 1."""
+    """A slice of rows of ``_by_prompt`` (see ``_parts``), as arrays; each example's counts are scaled to length 1."""
 
     def __init__(self, batch: pa.RecordBatch, n_features: int):
         self.batch = batch
@@ -252,11 +253,23 @@ class _Part:
         return {own: np.flatnonzero(np.isin(pair, some)) for own, some in found.items() if own}
 
 
+def _sizes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the features of each row, those of its answers included."""
+    column = lambda name: batch.column(batch.schema.get_field_index(name))
+    flat = column("answers").flatten()
+    answer = dict(zip((f.name for f in flat.type), flat.flatten()))
+    total = np.r_[0, np.cumsum(lengths(answer["idx"], answer["n"]) + ANSWER_BYTES)]
+    counts = pc.fill_null(pc.list_value_length(column("answers")), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(counts)
+    return lengths(column("idx"), column("n")) + total[ends] - total[ends - counts]
+
+
 def _parts(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[_Part]:
-    """Batches in slices of bounded size, so what a task holds does not follow the batch size."""
+    """Batches in slices of at most CHUNK_ROWS rows and PART_BYTES of features (one row at least), so what a task holds beside
+    Spark's batch follows neither its size nor the length of texts or the number of answers to a prompt."""
     for batch in batches:
-        for k in range(0, len(batch), CHUNK_ROWS):
-            yield _Part(batch.slice(k, CHUNK_ROWS), n_features)
+        for at, end in spans(_sizes(batch), CHUNK_ROWS, PART_BYTES):
+            yield _Part(batch.slice(at, end - at), n_features)
 
 
 def _scored(part: _Part, own_of: Callable[[str, str], tuple], weights: np.ndarray, intercept: np.ndarray, learn: Callable | None = None) -> Iterator[tuple]:
