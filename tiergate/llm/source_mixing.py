@@ -205,6 +205,12 @@ def slot_blocks(draws: DataFrame, sources: list[dict], seed: int = SEED) -> Data
     return spread.mapInPandas(deal, "shard long, slot long, num int, block long, epoch long")
 
 
+def _at_blocks(parts: DataFrame, slots: DataFrame) -> DataFrame:
+    """Join what documents have of a block with rows of slots. A few rows per shard unfold to all slots, and a row per document
+    to all its blocks, which Spark's size estimates don't see: without the hint it would broadcast one of the sides."""
+    return parts.join(slots.hint("merge"), ["num", "block"])
+
+
 def doc_blocks(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each (document, block that holds some of its words): ``lo`` and ``hi`` are word numbers in the document."""
     b = F.lit(block_words)
@@ -232,7 +238,7 @@ def mix_counts(docs: DataFrame, weigh=cyclic_weights, repeats: int = REPEATS, bl
     placed, slots = plan_mix(docs, weigh, repeats, block_words, seed)
     # the row number inside a stream is unique among documents that have words
     times = slots.groupBy("num", "block").agg(F.count("*").alias("times"))
-    hits = doc_blocks(placed, block_words).join(times, ["num", "block"])
+    hits = _at_blocks(doc_blocks(placed, block_words), times)
     taken = hits.groupBy("num", "at").agg(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))).alias("taken"))
     full = placed.withColumn("key", F.when(F.col("size") > 0, F.col("at")))
     out = full.join(taken.withColumnRenamed("at", "key"), ["num", "key"], "left")
