@@ -127,7 +127,7 @@ def test_mixed_documents(spark):
 def test_blocks_are_never_broadcast(spark):
     """A few rows of draws unfold to every slot of the mix; Spark's estimate of them is far too small to broadcast by."""
     docs = spark.createDataFrame([(i, "word " * 50, "en", f"src{i % 3}", 250) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
-    for mix in (X.mix_counts(docs),):
+    for mix in (X.mix_counts(docs), X.mix_documents(docs)):
         mix.collect()
         joins = re.findall(r"\w+Join \[num#\d+L?, block#.*", mix._jdf.queryExecution().executedPlan().toString())
         assert joins and all(j.startswith("SortMergeJoin") for j in joins), joins

@@ -266,7 +266,7 @@ def mix_documents(docs: DataFrame, weigh=cyclic_weights, repeats: int = REPEATS,
     """
     placed, slots = plan_mix(docs, weigh, repeats, block_words, seed)
     # runs of neighbouring blocks: words lo..hi of the document at ``at`` in its source's stream, taken in this epoch
-    parts = doc_blocks(placed, block_words).join(slots.select("num", "block", "epoch"), ["num", "block"])
+    parts = _at_blocks(doc_blocks(placed, block_words), slots.select("num", "block", "epoch"))
     key = ["doc_id", "tie", "source", "num", "at", "size", "epoch"]
     ranges = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
