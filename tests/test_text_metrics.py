@@ -3,6 +3,7 @@
 import random
 
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 from tiergate.operators import rouge as RG
 from tiergate.operators.embed_match import embed_match_pairs
 from tiergate.plans import text_eval as TE
@@ -122,3 +123,48 @@ def test_unusable_vectors_on_both_plans(spark):
     tokens = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("x", [1.0]), ("h", [0.0, 1.0])], "token string, embedding array<float>")
     found = {r.pair_id: r.no_vector for r in embed_match_pairs(pairs, None, token_vectors=tokens).collect()}
     assert found[1] == 6 + 4  # only a and h have a vector of the usual width
+
+
+def test_large_vector_tables_shuffle_no_words(spark, monkeypatch):
+    """Over the broadcast limit every number of a pair still comes from one pass over its texts: keys, counts and vectors are not
+    dealt out by pair, and a slice whose words name more vectors than a task may hold is cut."""
+    from tiergate.operators import embed_match as E
+
+    rows = [(i, [float(i % 5 - 2), 1.0, float(i % 3), 0.5 * (i % 2)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    text = lambda k, n: " ".join(f"w{(k * 7 + j * j) % 200}" for j in range(n))
+    pairs = _pairs(spark, [(text(i, 20 + i % 9), text(i + 1, 15)) for i in range(40)] + [(None, "a"), ("", "")]).withColumn("model", F.lit("m"))
+    want = {r.pair_id: tuple(r) for r in TE.pair_scores(pairs, vectors, ["model"]).collect()}
+    monkeypatch.setattr(E, "BROADCAST_LIMIT_BYTES", 0)
+    got = TE.pair_scores(pairs, vectors, ["model"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.pair_id: tuple(r) for r in got.collect()} == want
+
+
+def test_vectors_of_a_slice(spark, monkeypatch):
+    """Vectors come from the files that hold them, in whatever order and size; a slice is cut to what may be held; pairs of many
+    words are multiplied in parts."""
+    import numpy as np
+    import pyarrow as pa
+    from tiergate.operators import embed_match as E
+
+    table = np.random.default_rng(1).normal(size=(500, 8))
+    rows = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(table)], "key long, embedding array<double>").repartition(7, "key")
+    whole, cut = E.vector_files(rows, 8, 1500), E.vector_files(rows, 8, 1500, 64 * 10)
+    assert len(cut.files) > len(whole.files) and sum(n for _, n in cut.files) == 500
+    unit = table / np.linalg.norm(table, axis=1)[:, None]
+    for keys in (np.arange(1500), np.array([1497, 4, 0, 0, 3]), np.array([7]), np.arange(0, 1500, 300)):
+        for files in (whole, cut):
+            known, u = files.of(keys)
+            assert known.tolist() == sorted({k for k in keys.tolist() if k % 3 == 0})
+            assert len(known) == 0 or np.allclose(u, unit[known // 3])
+    texts = [pa.array([" ".join(f"w{j}" for j in range(k, k + 30)) for k in range(s, s + 16)]) for s in (0, 5)]
+    parts = list(E._in_reach(tuple(texts), cut))
+    assert len(parts) == 1
+    want = E.matches(parts[0][0], *parts[0][1], cut)
+    monkeypatch.setattr(E, "FETCH_BYTES", 40 * 8 * 8)
+    monkeypatch.setattr(E, "COSINES", 50)
+    parts = [E.matches(words, a, b, cut) for words, (a, b) in E._in_reach(tuple(texts), cut)]
+    assert len(parts) == 4
+    for name, values in want.items():
+        assert np.allclose(np.concatenate([p[name] for p in parts]), values)
