@@ -168,3 +168,21 @@ def test_vectors_of_a_slice(spark, monkeypatch):
     assert len(parts) == 4
     for name, values in want.items():
         assert np.allclose(np.concatenate([p[name] for p in parts]), values)
+
+
+def test_text_cascade_over_the_broadcast_limit(spark, monkeypatch):
+    """A table of vectors in files gives the numbers of a broadcast one; texts of prompts are not sent to their answers."""
+    from tiergate import fixtures as FX
+    from tiergate.operators import embed_match as E
+    from tiergate.sources.tables import scan
+
+    run = FX.stored_text_run(spark, SF_SMALL, "strategy-9")
+    emb = scan(spark, SF_SMALL, "embeddings", "vec_id", "embedding")
+    want = sorted(map(tuple, TE.cascade_text(*run, emb).collect()))
+    monkeypatch.setattr(E, "BROADCAST_LIMIT_BYTES", 0)
+    assert sorted(map(tuple, TE.cascade_text(*run, emb).collect())) == want
+    prompts = spark.createDataFrame([(1, "say b", "b"), (2, None, "c")], "prompt_id long, prompt_text string, gold_text string")
+    answers = spark.createDataFrame([(1, 1, "Phi", "say bB"), (1, 2, "flan", "B"), (2, 1, "Phi", "c"), (2, 2, "flan", "c")], "prompt_id long, tier int, model string, response string")
+    pairs = TE.answer_pairs(prompts, answers)
+    assert {(r.prompt_id, r.tier): (r.pred, r.ref) for r in pairs.collect()} == {(1, 1): ("b", "b"), (1, 2): ("b", "b"), (2, 1): (None, "c"), (2, 2): ("c", "c")}
+    assert "length(prompt_text" in pairs._jdf.queryExecution().optimizedPlan().toString().partition("Join")[2]
