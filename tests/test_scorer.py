@@ -194,3 +194,17 @@ def test_passes_read_bounded_bytes(spark, monkeypatch):
         assert all(held(p) <= 2_000 or len(p.batch) == 1 for p in parts) and len(parts) > 10
     got = gradient(EP._parts(iter([batch]), 64))
     assert np.allclose(got[0], whole[0], rtol=0, atol=1e-12) and np.allclose(got[1], whole[1], rtol=0, atol=1e-12) and len(got[1]) > 300
+
+
+def test_text_labels_over_the_broadcast_limit(spark, monkeypatch):
+    """Training labels of a text task come from one pass over the pairs, with a table of vectors of any size."""
+    from tiergate.operators import embed_match as E
+    from tiergate.plans import text_eval as TE
+
+    vectors = spark.createDataFrame([(i, [float(i % 7 - 3), 1.0, float(i % 4)]) for i in range(90)], "vec_id long, embedding array<float>")
+    pairs = spark.createDataFrame([(i, "m", f"a{i} b c{i % 3}", f"c{i % 2} b a{i}") for i in range(30)] + [(30, "m", "a1", ""), (31, "m", None, "b")], "pair_id long, model string, pred string, ref string")
+    want = sorted(map(tuple, TE.scorer_labels_text(pairs, vectors).collect()))
+    monkeypatch.setattr(E, "BROADCAST_LIMIT_BYTES", 0)
+    labels = TE.scorer_labels_text(pairs, vectors)
+    assert "Exchange" not in labels._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, labels.collect())) == want
