@@ -161,10 +161,11 @@ def test_vectors_of_a_slice(spark, monkeypatch):
     texts = [pa.array([" ".join(f"w{j}" for j in range(k, k + 30)) for k in range(s, s + 16)]) for s in (0, 5)]
     parts = list(E._in_reach(tuple(texts), cut))
     assert len(parts) == 1
-    want = E.matches(parts[0][0], *parts[0][1], cut)
+    numbers = lambda words, sides: E.matches_of(cut.keys_of(words), *sides, cut.of(cut.keys_of(words)))
+    want = numbers(*parts[0])
     monkeypatch.setattr(E, "FETCH_BYTES", 40 * 8 * 8)
     monkeypatch.setattr(E, "COSINES", 50)
-    parts = [E.matches(words, a, b, cut) for words, (a, b) in E._in_reach(tuple(texts), cut)]
+    parts = [numbers(words, sides) for words, sides in E._in_reach(tuple(texts), cut)]
     assert len(parts) == 4
     for name, values in want.items():
         assert np.allclose(np.concatenate([p[name] for p in parts]), values)
